@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,3 +37,8 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._lexloom_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:
+    """The schema of df's columns with those of ddl after them."""
+    return StructType([*df.select(*columns).schema.fields, *StructType.fromDDL(ddl).fields])
