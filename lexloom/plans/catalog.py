@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import corpus_queries, tree_queries
+
 FLAGSHIP = "a5_analysis_stats"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+QUERIES = corpus_queries.QUERIES | tree_queries.QUERIES
+ORACLES = corpus_queries.ORACLES | tree_queries.ORACLES
