@@ -22,6 +22,7 @@ BLANKS = b" \t\n\x0b\x0c\r"
 
 # Fixed values of the line rules.
 ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", '"', "'", ")", "]", "…", "”", "’", "»", "。", "！", "？"))
+INNER = (b". ", b"! ", b"? ")  # a line with a sentence's end inside is prose, however it ends
 BARS = (b"|", b">", b"/", "»".encode(), "•".encode(), "·".encode())
 BOILERPLATE = (
     b"all rights reserved", b"licensed under", b"is licensed under", b"released under the", b"copyright (c)",
@@ -36,7 +37,7 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 def line_passes(line: bytes, plain: bool) -> bool:
     """Whether a line with a word stays; plain: it has no symbol and no exclamation mark."""
     line = line.strip(BLANKS)
-    if not line.endswith(ENDS):
+    if not line.endswith(ENDS) and not any(x in line for x in INNER):
         return False
     if not plain:
         words = line.split()  # bytes.split() parts at space and tab..CR
@@ -135,7 +136,7 @@ def oracle(table: str = "documents") -> str:
     wl AS (SELECT doc_id, line, i, regexp_extract_all(line, '{word}') AS w FROM line WHERE regexp_matches(line, '{word}')),
     rl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again, list_sum(list_transform(w, lambda x: length(x))) AS chars FROM wl),
     jl AS (SELECT *, NOT again
-        AND len(list_filter([{quoted(ENDS)}], lambda e: ends_with(w[-1], e))) > 0
+        AND (len(list_filter([{quoted(ENDS)}], lambda e: ends_with(w[-1], e))) > 0 OR regexp_matches(line, '[.!?] .*{word}'))
         AND 2 * len(list_filter(w, lambda x: ends_with(x, '!!'))) < len(w)
         AND 5 * len(list_filter(w, lambda x: list_contains([{quoted(BARS)}], x))) < len(w)
         AND 10 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) < chars
