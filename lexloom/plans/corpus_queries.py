@@ -47,7 +47,7 @@ def _edges(spark, d):
 
 
 FORM_SQL = f"WITH {MORPHS_SQL}, f AS (SELECT form, cpos, lemma, feat_str, lang, count(*) AS n FROM morph GROUP BY ALL) "
-DICT_SQL = f"WITH {MORPHS_SQL}, train AS (SELECT DISTINCT form, lemma, cpos, feat_str FROM morph WHERE doc_id % 10 <> 0), test AS (SELECT * FROM morph WHERE doc_id % 10 = 0) "
+DICT_SQL = f"WITH {MORPHS_SQL}, train AS (SELECT DISTINCT form, lemma, cpos, feat_str FROM morph WHERE doc_id % 10 <> 0), test AS (SELECT * FROM morph) "
 
 
 def _forms(spark, d):
@@ -240,7 +240,7 @@ def a4_oov_msrs_per_tag(spark, d):
 @query(DICT_SQL + "SELECT lang, count(*) AS n_tokens, count(*) FILTER (WHERE form NOT IN (SELECT form FROM train)) AS n_oov, count(DISTINCT form) AS n_forms, count(DISTINCT form) FILTER (WHERE form NOT IN (SELECT form FROM train)) AS n_oov_forms FROM test GROUP BY lang")
 def a5_analysis_stats(spark, d):
     m = _morphs(spark, d)
-    return lexicon.analysis_stats(m.filter("doc_id % 10 = 0"), _dictionary(m), ["lang"])
+    return lexicon.analysis_stats(m, _dictionary(m), ["lang"])
 
 
 @query(f"WITH {EDGES_SQL}, s AS (SELECT doc_id, line_no, count(DISTINCT tok_no) AS t, count(*) AS m FROM edge GROUP BY ALL) SELECT doc_id % 10 AS part, count(*) AS n_sentences, sum(t) AS n_tokens, sum(m) AS n_morphs, round(sum(m) / sum(t), 6) AS morphs_per_token FROM s GROUP BY 1")
@@ -261,7 +261,7 @@ def t1_top_forms(spark, d):
 @query(DICT_SQL + "SELECT t.doc_id, t.line_no, t.tok_no, t.form, r.cpos AS a_cpos, r.feat_str AS a_feat_str, r.cpos IS NULL AS oov FROM test t LEFT JOIN train r USING (form)")
 def j1_lookup(spark, d):
     m = _morphs(spark, d)
-    return lexicon.lookup(m.filter("doc_id % 10 = 0").select(*TOKEN, "form"), _dictionary(m)).select(*TOKEN, "form", "a_cpos", "a_feat_str", "oov")
+    return lexicon.lookup(m.select(*TOKEN, "form"), _dictionary(m)).select(*TOKEN, "form", "a_cpos", "a_feat_str", "oov")
 
 
 _PREFIXES_SQL = """, tf AS (SELECT DISTINCT form FROM test), px AS (SELECT left(form, l) AS prefix, count(*) AS n FROM (SELECT DISTINCT form FROM train), (VALUES (1), (2), (3)) AS v(l) WHERE l < length(form) GROUP BY 1 ORDER BY n DESC, prefix LIMIT 20),
@@ -279,7 +279,7 @@ def _prefix_list(dictionary):
 def j2_prefix_lookup(spark, d):
     m = _morphs(spark, d)
     dic = _dictionary(m)
-    return lexicon.prefix_lookup(m.filter("doc_id % 10 = 0"), _prefix_list(dic), dic)
+    return lexicon.prefix_lookup(m, _prefix_list(dic), dic)
 
 
 _READ = ", rd AS (SELECT string_split(oov_msr, '|')[1] AS cpos, array_to_string(string_split(oov_msr, '|')[3:], '|') AS feat_str FROM oov)"
@@ -289,14 +289,14 @@ _READ = ", rd AS (SELECT string_split(oov_msr, '|')[1] AS cpos, array_to_string(
 def j3_expand_oov(spark, d):
     m = _morphs(spark, d)
     dic = _dictionary(m)
-    return lexicon.expand_oov(m.filter("doc_id % 10 = 0"), dic, lexicon.oov_msrs(dic))
+    return lexicon.expand_oov(m, dic, lexicon.oov_msrs(dic))
 
 
 @query(DICT_SQL.rstrip() + _MSR + _READ + " SELECT f.form, rd.cpos, rd.feat_str FROM (SELECT DISTINCT form FROM test WHERE form IN (SELECT form FROM train WHERE cpos IN (SELECT cpos FROM top))) f, rd")
 def j4_dope(spark, d):
     m = _morphs(spark, d)
     dic = _dictionary(m)
-    return lexicon.dope(m.filter("doc_id % 10 = 0"), dic, lexicon.oov_msrs(dic))
+    return lexicon.dope(m, dic, lexicon.oov_msrs(dic))
 
 
 _PROPN = ", hs AS (SELECT form, '' AS prefix, form AS host FROM tf UNION ALL SELECT form, prefix, host FROM cut WHERE length(host) >= 2), pn AS (SELECT form, prefix, host, rd.cpos, rd.feat_str FROM hs, rd)"
@@ -306,14 +306,14 @@ _PROPN = ", hs AS (SELECT form, '' AS prefix, form AS host FROM tf UNION ALL SEL
 def j5_always_propn(spark, d):
     m = _morphs(spark, d)
     dic = _dictionary(m)
-    return lexicon.always_propn(m.filter("doc_id % 10 = 0"), _prefix_list(dic), lexicon.oov_msrs(dic)).groupBy("cpos", "prefix", "feat_str").agg(F.count("*").alias("n"), F.sum(F.length("host")).alias("n_chars"))
+    return lexicon.always_propn(m, _prefix_list(dic), lexicon.oov_msrs(dic)).groupBy("cpos", "prefix", "feat_str").agg(F.count("*").alias("n"), F.sum(F.length("host")).alias("n_chars"))
 
 
 @query(DICT_SQL.rstrip() + _MSR + _READ + ", an AS (SELECT form, cpos, feat_str, false AS oov FROM train UNION ALL SELECT f.form, rd.cpos, rd.feat_str, true FROM (SELECT DISTINCT form FROM test WHERE form NOT IN (SELECT form FROM train)) f, rd) SELECT doc_id, line_no, tok_no, form, an.cpos, an.feat_str, oov FROM test JOIN an USING (form)")
 def g11_analyze_dictionary(spark, d):
     m = _morphs(spark, d)
     dic = _dictionary(m)
-    return lexicon.analyze_dictionary(m.filter("doc_id % 10 = 0").select(*TOKEN, "form"), dic, lexicon.oov_msrs(dic)).select(*TOKEN, "form", "cpos", "feat_str", "oov")
+    return lexicon.analyze_dictionary(m.select(*TOKEN, "form"), dic, lexicon.oov_msrs(dic)).select(*TOKEN, "form", "cpos", "feat_str", "oov")
 
 
 _G10 = f""", w AS (SELECT form FROM tf WHERE CASE form {_MARKS} END IS NULL), wh AS (SELECT form, '' AS prefix, form AS host, cpos, feat_str FROM train WHERE form IN (SELECT form FROM w)
@@ -327,5 +327,5 @@ ev AS (SELECT form, '' AS prefix, form AS host, CASE form {_MARKS} END AS cpos,
 def g10_analyze_lexicon(spark, d):
     m = _morphs(spark, d)
     dic = _dictionary(m)
-    a = lexicon.analyze_lexicon(m.filter("doc_id % 10 = 0").select("doc_id", "form"), dic, _prefix_list(dic), lexicon.oov_msrs(dic))
+    a = lexicon.analyze_lexicon(m.select("doc_id", "form"), dic, _prefix_list(dic), lexicon.oov_msrs(dic))
     return a.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("cpos").alias("n_tags"), F.sum(F.length("prefix")).alias("in_prefix"), F.count_if("oov").alias("n_oov"))

@@ -102,9 +102,9 @@ def g3_build(spark, d):
     return inner.groupBy("doc_id").agg(F.sum("n_inner").alias("n_inner"), F.max("n_inner").alias("most"))
 
 
-@query(LAT + "SELECT doc_id, line_no, tok_no, from_node + 2 * (tok_no - 1) AS from_node, to_node + 2 * (tok_no - 1) AS to_node, form FROM edge WHERE line_no <= 3")
+@query(LAT + "SELECT doc_id, line_no, sum(from_node + 2 * (tok_no - 1)) AS starts, max(to_node + 2 * (tok_no - 1)) AS top FROM edge GROUP BY ALL")
 def w2_renumber(spark, d):
-    return lattice.renumber(_edges(spark, d), SENT).filter("line_no <= 3").select(*TOKEN, "from_node", "to_node", "form")
+    return lattice.renumber(_edges(spark, d), SENT).groupBy(*SENT).agg(F.sum("from_node").alias("starts"), F.max("to_node").alias("top"))
 
 
 @query(LAT + "SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE cpos = 'PREFIX') AS bridged FROM edge WHERE NOT (path > 0 AND from_node = 1) GROUP BY doc_id")
@@ -217,15 +217,15 @@ def u4_shared_beginning(spark, d):
     return lattice.shared_beginning(m.select(*SENT, "pos", "form"), m.select(*SENT, "pos", F.col("lemma").alias("form")), SENT, "form")
 
 
-@query(LAT + "SELECT doc_id, line_no, string_agg(from_node || chr(9) || to_node || chr(9) || form || chr(9) || '_' || chr(9) || cpos || chr(9) || cpos || chr(9) || '_' || chr(9) || tok_no, chr(10) ORDER BY from_node, to_node, form, tok_no) AS value FROM (SELECT doc_id, line_no, tok_no, from_node + 2 * (tok_no - 1) AS from_node, to_node + 2 * (tok_no - 1) AS to_node, form, cpos FROM edge WHERE line_no <= 2 AND path = 0) GROUP BY ALL")
+@query(LAT + "SELECT doc_id, line_no, string_agg(from_node || chr(9) || to_node || chr(9) || form || chr(9) || '_' || chr(9) || cpos || chr(9) || cpos || chr(9) || '_' || chr(9) || tok_no, chr(10) ORDER BY from_node, to_node, form, tok_no) AS value FROM (SELECT doc_id, line_no, tok_no, from_node + 2 * (tok_no - 1) AS from_node, to_node + 2 * (tok_no - 1) AS to_node, form, cpos FROM edge WHERE path = 0) GROUP BY ALL")
 def k4_lattice_lines(spark, d):
-    e = lattice.renumber(_edges(spark, d).filter("line_no <= 2 and path = 0"), SENT)
+    e = lattice.renumber(_edges(spark, d).filter("path = 0"), SENT)
     return sinks.lattice_lines(e.withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")}), SENT)
 
 
-@query(PATH_SQL + "SELECT doc_id, line_no, string_agg(token || chr(9) || replace(forms, ';', ':'), chr(10) ORDER BY tok_no) AS value FROM gold WHERE NOT contains(token, ';') AND line_no <= 5 GROUP BY ALL")
+@query(PATH_SQL + "SELECT doc_id, line_no, string_agg(token || chr(9) || replace(forms, ';', ':'), chr(10) ORDER BY tok_no) AS value FROM gold WHERE NOT contains(token, ';') GROUP BY ALL")
 def k7_segmentation(spark, d):
-    e = _edges(spark, d).filter("not contains(token, ';') and line_no <= 5")
+    e = _edges(spark, d).filter("not contains(token, ';')")
     _, gold = _paths(e)
     rows = gold.join(e, [*TOKEN, "path"])
     return sinks.segmentation_lines(rows, SENT)
@@ -300,9 +300,9 @@ def j15_training_record(spark, d):
     return depgraph.training_record(_arcs(spark, d)[0], gold, found, SENT)
 
 
-@query(TREE + "SELECT doc_id, line_no, string_agg(id || chr(9) || form || chr(9) || '_' || chr(9) || cpos || chr(9) || cpos || chr(9) || '_' || chr(9) || head || chr(9) || deprel || chr(9) || '_' || chr(9) || '_', chr(10) ORDER BY id) AS value FROM gold WHERE line_no <= 3 GROUP BY ALL")
+@query(TREE + "SELECT doc_id, line_no, string_agg(id || chr(9) || form || chr(9) || '_' || chr(9) || cpos || chr(9) || cpos || chr(9) || '_' || chr(9) || head || chr(9) || deprel || chr(9) || '_' || chr(9) || '_', chr(10) ORDER BY id) AS value FROM gold GROUP BY ALL")
 def k2_conll_lines(spark, d):
-    g = _arcs(spark, d)[0].filter("line_no <= 3").withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")})
+    g = _arcs(spark, d)[0].withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")})
     return sinks.conll_lines(g, SENT)
 
 
@@ -358,9 +358,9 @@ def a8_errors_by_class(spark, d):
     return evaluation.errors_by_class(_morph_scores(spark, d), "doc_id")
 
 
-@query(MORPHEVAL + "SELECT doc_id, line_no, string_agg(status, chr(10) ORDER BY tok_no) AS value FROM st WHERE line_no <= 10 GROUP BY ALL")
+@query(MORPHEVAL + "SELECT doc_id, line_no, string_agg(status, chr(10) ORDER BY tok_no) AS value FROM st GROUP BY ALL")
 def k11_status_lines(spark, d):
-    return sinks.vector_lines(_morph_scores(spark, d).filter("line_no <= 10"), SENT, F.col("status"))
+    return sinks.vector_lines(_morph_scores(spark, d), SENT, F.col("status"))
 
 
 SEG_LEVELS = {"seg": ["form"], "pos-seg": ["form", "cpos"]}
@@ -395,9 +395,9 @@ def j20_backoff_match(spark, d):
 # --- features and learning
 
 
-@query(f"WITH {MORPHS_SQL} SELECT doc_id, line_no, tok_no, form, lag(form, 1) OVER w AS m1, lag(cpos, 2) OVER w AS m2, lead(form, 1) OVER w AS q1 FROM morph WHERE line_no <= 5 WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY tok_no)")
+@query(f"WITH {MORPHS_SQL} SELECT doc_id, line_no, tok_no, form, lag(form, 1) OVER w AS m1, lag(cpos, 2) OVER w AS m2, lead(form, 1) OVER w AS q1 FROM morph WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY tok_no)")
 def w3_context(spark, d):
-    m = derived.morphs(_docs(spark, d)).filter("line_no <= 5")
+    m = derived.morphs(_docs(spark, d))
     return features.context(m, SENT, "tok_no", ["form", "cpos"]).select(*TOKEN, "form", F.col("M1_form").alias("m1"), F.col("M2_cpos").alias("m2"), F.col("Q1_form").alias("q1"))
 
 
@@ -415,9 +415,9 @@ def f4_generated(spark, d):
     return features.generated(derived.morphs(_docs(spark, d)), "suf", text.suffixes("form", 3), SENT).groupBy("feature").agg(F.count("*").alias("n"))
 
 
-@query(TREE + "SELECT a.doc_id, a.line_no, a.id, a.form AS self_w, h.form AS h_w, g.form AS h2_w, l.form AS l_w FROM gold a LEFT JOIN gold h ON a.doc_id = h.doc_id AND a.line_no = h.line_no AND a.head = h.id LEFT JOIN gold g ON g.doc_id = h.doc_id AND g.line_no = h.line_no AND h.head = g.id LEFT JOIN (SELECT doc_id, line_no, head, min(id) AS l FROM gold WHERE id < head GROUP BY ALL) m ON m.doc_id = a.doc_id AND m.line_no = a.line_no AND m.head = a.id LEFT JOIN gold l ON l.doc_id = a.doc_id AND l.line_no = a.line_no AND l.id = m.l WHERE a.line_no <= 4")
+@query(TREE + "SELECT a.doc_id, a.line_no, a.id, a.form AS self_w, h.form AS h_w, g.form AS h2_w, l.form AS l_w FROM gold a LEFT JOIN gold h ON a.doc_id = h.doc_id AND a.line_no = h.line_no AND a.head = h.id LEFT JOIN gold g ON g.doc_id = h.doc_id AND g.line_no = h.line_no AND h.head = g.id LEFT JOIN (SELECT doc_id, line_no, head, min(id) AS l FROM gold WHERE id < head GROUP BY ALL) m ON m.doc_id = a.doc_id AND m.line_no = a.line_no AND m.head = a.id LEFT JOIN gold l ON l.doc_id = a.doc_id AND l.line_no = a.line_no AND l.id = m.l")
 def f3_addresses(spark, d):
-    g = _arcs(spark, d)[0].filter("line_no <= 4")
+    g = _arcs(spark, d)[0]
     return depgraph.address(g, SENT, {"w": F.col("form")}).select(*SENT, "id", "self_w", "h_w", "h2_w", "l_w")
 
 
@@ -509,9 +509,9 @@ def m4_failed_instances(spark, d):
     return learn.failed_instances(found.filter("path = 0"), gold, TOKEN, lattice.path_key())
 
 
-@query(f"WITH {MORPHS_SQL}, h AS (SELECT doc_id AS epoch, count(*) AS n, count(*) FILTER (WHERE cpos = 'X') AS r FROM morph WHERE doc_id < 40 GROUP BY doc_id), c AS (SELECT epoch, r AS right_n, n, round(r / n, 6) AS rate, round(round(r / n, 6) - lag(round(r / n, 6)) OVER (ORDER BY epoch), 6) AS change FROM h) SELECT epoch, n, rate, change, count(*) FILTER (WHERE change = 0) OVER (ORDER BY epoch) AS n_equal, count(*) FILTER (WHERE change < 0) OVER (ORDER BY epoch) AS n_falling FROM c")
+@query(f"WITH {MORPHS_SQL}, h AS (SELECT line_no % 50 AS epoch, count(*) AS n, count(*) FILTER (WHERE cpos = 'X') AS r FROM morph GROUP BY 1), c AS (SELECT epoch, r AS right_n, n, round(r / n, 6) AS rate, round(round(r / n, 6) - lag(round(r / n, 6)) OVER (ORDER BY epoch), 6) AS change FROM h) SELECT epoch, n, rate, change, count(*) FILTER (WHERE change = 0) OVER (ORDER BY epoch) AS n_equal, count(*) FILTER (WHERE change < 0) OVER (ORDER BY epoch) AS n_falling FROM c")
 def a26_w9_history(spark, d):
-    h = derived.morphs(_docs(spark, d)).filter("doc_id < 40").groupBy(F.col("doc_id").alias("epoch")).agg(F.count("*").alias("n"), F.count_if(F.expr("cpos = 'X'")).alias("right"))
+    h = derived.morphs(_docs(spark, d)).groupBy((F.col("line_no") % 50).alias("epoch")).agg(F.count("*").alias("n"), F.count_if(F.expr("cpos = 'X'")).alias("right"))
     return learn.history_changes(h).select("epoch", "n", "rate", "change", "n_equal", "n_falling")
 
 
