@@ -438,7 +438,8 @@ def a17_vector_difference(spark, d):
 @query(VEC + "SELECT (SELECT sum(a.value * b.value) FROM a JOIN b USING (feature)) AS dot, (SELECT sum(value) FROM a) AS l1")
 def a17_vector_dot(spark, d):
     a, b = _vectors(spark, d)
-    return learn.vector_dot(a, b).crossJoin(learn.vector_l1(a))  # one row each
+    both = a.join(b.withColumnRenamed("value", "other"), "feature", "left")
+    return both.agg(F.sum(F.col("value") * F.col("other")).alias("dot"), F.sum("value").alias("l1"))
 
 
 # language of a token from its affixes, over labelled features
