@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Hand texts to Python workers in batches of so many rows at most (a setting of the session that only bounds memory)."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    now = int(conf.get(name, "10000"))
+    if now > rows or now <= 0:
+        conf.set(name, str(rows))
+
+
 class Scratch:
     """Written intermediate tables of one run."""
 

@@ -70,11 +70,11 @@ def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts of about SLICE bytes."""
+def slices(texts: list[bytes], most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of about `most` bytes."""
     at, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > SLICE:
+        if size and size + len(t) > most:
             yield at, i
             at, size = i, 0
         size += len(t)
@@ -124,3 +124,26 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+_BYTE2 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def fragment_names(data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of data[at[0]:at[1]], data[at[1]:at[2]], ...."""
+    out = []
+    for table, salt in ((_BYTE, 1), (_BYTE2, 2)):
+        names = np.empty(len(at) - 1, np.uint64)
+        a = 0
+        while a < len(names):  # pieces of about SLICE bytes
+            b = max(a + 1, int(np.searchsorted(at, at[a] + SLICE, side="right")) - 1)
+            b = min(b, len(names))
+            piece = np.frombuffer(data, np.uint8, int(at[b] - at[a]), int(at[a]))
+            up, down = _powers(len(piece) + 1)
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(table[piece] * up[: len(piece)], out=total[1:])
+            start, end = at[a:b] - at[a], at[a + 1 : b + 1] - at[a]
+            names[a:b] = mix((total[end] - total[start]) * down[start], salt)
+            a = b
+        out.append(names)
+    return out[0], out[1]

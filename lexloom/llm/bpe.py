@@ -15,17 +15,24 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._tables import extended
-from ._text import slices, utf8
+from ._tables import extended, small_batches
+from ._text import fragment_names, slices, utf8
 
 #: Distinct fragments that a worker remembers; longer fragments are encoded each time.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 150_000, 48
+#: Fragments encoded at once; ids decoded at once.
+ENCODED, DECODED = 2000, 1 << 17
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 1 << 19
+NEVER = np.iinfo(np.int32).max
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3]] = True  # and the second bytes of U+00C0 to U+00FF
+_LETTER[0x80:0xC0] = True
 
 
 def default_vocabulary() -> str:
@@ -41,18 +48,25 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices starts[0].., sizes[0] of them, then starts[1].., and so on."""
+    out = np.arange(int(sizes.sum()))
+    return out + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The values of two sorted arrays, each once."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.concatenate([[True], both[1:] != both[:-1]])]
+
+
 class Vocabulary:
     """A byte-level BPE file with its table of certain cuts."""
 
     def __init__(self, path: str, specials: bool = True) -> None:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = not specials
+        self.path, self.use_specials, self._tokenizer, self._flat = path, specials, None, None
         byte_of = _byte_of()
         ids = spec["model"]["vocab"]
         self.bytes = [b""] * (max([*ids.values(), *(t["id"] for t in spec["added_tokens"])], default=-1) + 1)
@@ -74,7 +88,21 @@ class Vocabulary:
         # last two bytes of white space beyond ASCII
         self.blank = np.zeros(1 << 16, bool)
         self.blank[[int.from_bytes(chr(c).encode()[-2:]) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0x180E, 0xFEFF)]] = True
-        self.known: dict[bytes, tuple[int, ...]] = {}
+        self.known: dict[bytes, np.ndarray] = {}
+        # merges: an open table from pairs of ids to ranks
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.made = np.array([ids[x + y] for x, y in pairs], np.int32)
+        self.keys, self.ranks = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, np.int32)
+        for rank, (x, y) in enumerate(pairs):
+            code = ids[x] << 32 | ids[y]
+            place = (code * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 43
+            while self.keys[place] != -1:
+                if self.keys[place] == code:
+                    break
+                place = (place + 1) & (len(self.keys) - 1)
+            else:
+                self.keys[place], self.ranks[place] = code, rank
+        self.byte_id = np.array([ids[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])], np.int32)
 
     def cuts(self, data: bytes) -> np.ndarray:
         """Places in data where a fragment certainly begins, without 0."""
@@ -86,22 +114,119 @@ class Vocabulary:
         cut[1:] &= ~self.blank[pair[:-1]]
         return np.flatnonzero(cut) + 1
 
-    def fragments(self, fragments: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each fragment."""
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.no_truncation()
+            self._tokenizer.no_padding()
+            self._tokenizer.encode_special_tokens = not self.use_specials
+        return self._tokenizer
+
+    def _library(self, fragments: list[bytes]) -> list[np.ndarray]:
+        """The ids of fragments by the library, remembered where they are short."""
         known = self.known
-        new = [f for f in dict.fromkeys(fragments) if f not in known]
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(dict.fromkeys(fragments))
-            for f, e in zip(new, self.tokenizer.encode_batch([f.decode() for f in new], add_special_tokens=False), strict=True):
-                known[f] = tuple(e.ids)
-        out = list(map(known.__getitem__, fragments))
-        for f in new:
-            if len(f) > LONGEST:
-                del known[f]
+        out = [known.get(f) for f in fragments]
+        new = [i for i, x in enumerate(out) if x is None]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+        for a in range(0, len(new), ENCODED):
+            part = new[a : a + ENCODED]
+            for i, e in zip(part, self.tokenizer.encode_batch([fragments[i].decode() for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, np.int32)
+                if len(fragments[i]) <= LONGEST:
+                    known[fragments[i]] = out[i]
         return out
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids among the merges, NEVER for pairs that don't merge (a negative id is none)."""
+        code = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
+        code[(left < 0) | (right < 0)] = -2
+        place = (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
+        rank = np.full(code.shape, NEVER, np.int32)
+        todo = np.arange(code.size)
+        code, place, flat = code.ravel(), place.ravel(), rank.ravel()
+        while len(todo):
+            at = place[todo]
+            key = self.keys[at]
+            hit = key == code[todo]
+            flat[todo[hit]] = self.ranks[at[hit]]
+            todo = todo[~hit & (key != -1)]
+            place[todo] = (place[todo] + 1) & (len(self.keys) - 1)
+        return flat.reshape(rank.shape)
+
+    def _merge(self, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-pair merges of many words at once: b has a word a row, size of its bytes count. The rows' ids in a row, and their sizes.
+
+        As often as some word has a pair that merges, each word's pair of least rank (of equal ones the leftmost) becomes one id."""
+        ids = np.where(np.arange(b.shape[1]) < size[:, None], self.byte_id[b], -1)
+        rank = self._rank(ids[:, :-1], ids[:, 1:])
+        live, size = np.arange(len(ids)), size.copy()
+        columns = np.arange(b.shape[1])
+        while len(live):
+            part = rank[live]
+            at = part.argmin(1)
+            best = part[np.arange(len(live)), at]
+            on = best < NEVER
+            live, at, best = live[on], at[on], best[on]
+            if not len(live):
+                break
+            row = np.arange(len(live))
+            word = np.take_along_axis(ids[live], np.minimum(columns + (columns > at[:, None]), len(columns) - 1), 1)
+            word[:, -1] = -1
+            word[row, at] = self.made[best]
+            part = np.take_along_axis(rank[live], np.minimum(columns[:-1] + (columns[:-1] > at[:, None]), len(columns) - 2), 1)
+            part[:, -1] = NEVER
+            part[row, at] = self._rank(word[row, at], word[row, np.minimum(at + 1, len(columns) - 1)])
+            part[at + 1 == len(columns), -1] = NEVER
+            left = at > 0
+            part[row[left], at[left] - 1] = self._rank(word[row[left], at[left] - 1], word[row[left], at[left]])
+            ids[live], rank[live] = word, part
+            size[live] -= 1
+        return ids[columns < size[:, None]], size
+
+    def pieces(self, data: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the fragments of data that begin at `at` (its last is the end): which distinct one each is, and the distinct ones' ids in a row and sizes.
+
+        Fragments are told apart by two 64-bit names and their lengths. Those that are plain words (a blank at most, then letters that are
+        ASCII or Latin-1) are one pre-token and merged here together; the library encodes the others."""
+        b = np.frombuffer(data, np.uint8)
+        size = np.diff(at)
+        one, two = fragment_names(data, at)
+        order = np.argsort(one)
+        new = np.ones(len(order), bool)
+        new[1:] = one[order][1:] != one[order][:-1]
+        first, which = order[new], np.empty(len(order), np.int64)
+        which[order] = np.cumsum(new) - 1
+        if (two[first][which] != two).any() or (size[first][which] != size).any():  # two fragments with one name
+            first = which = np.arange(len(size))
+        start, size = at[:-1][first], size[first]
+        odd = ~_LETTER[b]
+        odd[1:] |= (b[:-1] == 0xC3) & ((b[1:] == 0x97) | (b[1:] == 0xB7))  # signs among the letters
+        odd = np.concatenate([[0], np.cumsum(odd)])
+        inner = np.minimum(start + (b[np.minimum(start, len(b) - 1)] == 0x20), start + size) if len(b) else start
+        plain = (odd[start + size] == odd[inner]) & (size > 1) & (size <= LONGEST)
+        sizes = np.zeros(len(first), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for low, high in ((1, 8), (8, 16), (16, LONGEST)):
+            rows = np.flatnonzero(plain & (size > low) & (size <= high))
+            if len(rows):
+                cell = np.minimum(start[rows][:, None] + np.arange(high), len(b) - 1)
+                ids, sizes[rows] = self._merge(b[cell], size[rows])
+                found.append((rows, ids))
+        rows = np.flatnonzero(~plain)
+        if len(rows):
+            ids = self._library([data[i : i + n] for i, n in zip(start[rows].tolist(), size[rows].tolist(), strict=True)])
+            sizes[rows] = np.fromiter(map(len, ids), np.int64, len(ids))
+            found.append((rows, np.concatenate(ids)))
+        flat = np.empty(int(sizes.sum()), np.int32)
+        begin = np.cumsum(sizes) - sizes
+        for rows, ids in found:
+            flat[ragged(begin[rows], sizes[rows])] = ids
+        return which, flat, sizes
+
     def split_specials(self, text: bytes) -> list[bytes | int]:
         """The text's parts, with the ids of added tokens between them; the earliest, then longest, wins."""
         out: list[bytes | int] = []
@@ -120,11 +245,10 @@ class Vocabulary:
                 owner.append(k)
         data = b"".join(p for p in parts if isinstance(p, bytes))
         begin = np.concatenate([[0], np.cumsum([len(p) if isinstance(p, bytes) else 0 for p in parts])]).astype(np.int64)
-        at = np.union1d(self.cuts(data), begin)
-        place = at.tolist()
-        ids = self.fragments([data[a:b] for a, b in zip(place[:-1], place[1:], strict=True)])
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))
+        at = merged(self.cuts(data), begin)
+        which, ids, sizes = self.pieces(data, at)
+        size = sizes[which]
+        flat = ids[ragged((np.cumsum(sizes) - sizes)[which], size)]
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(at, begin)]
         special = [(i, p) for i, p in enumerate(parts) if not isinstance(p, bytes)]
         if special:
@@ -132,10 +256,13 @@ class Vocabulary:
             upto = upto + np.concatenate([[0], np.cumsum([not isinstance(p, bytes) for p in parts])])
         return flat, upto[np.searchsorted(np.array([*owner, len(texts)]), np.arange(len(texts) + 1))]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        raw = b"".join(map(self.bytes.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "replace").encode()
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The tokens' bytes in a row, and how many each has."""
+        if self._flat is None:
+            self._size = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
+            self._flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        size = self._size[ids]
+        return self._flat[ragged((np.cumsum(self._size) - self._size)[ids], size)].tobytes(), size
 
 
 @lru_cache(maxsize=4)
@@ -152,12 +279,13 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     path = path or default_vocabulary()
     kept = [c for c in (docs.columns if keep is None else keep) if c != "ids"]
     schema = extended(docs, kept, "ids array<int>")
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
             texts = utf8(batch["text"])
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODED_BYTES):
                 flat, at = known.encode(texts[a:b])
                 ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in kept), ids], names=[*kept, "ids"])
@@ -165,6 +293,15 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
     return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(run, schema)
 
 
+def _runs(at: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about DECODED ids."""
+    a, n = 0, len(at) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + DECODED, side="right")) - 1)
+        yield a, min(b, n)
+        a = min(b, n)
+
+
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded (ids, more) -> the same columns and decoded, the text. Null or no ids give an empty text.
 
@@ -172,14 +309,17 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
     kept = [c for c in encoded.columns if c != "decoded"]
     schema = extended(encoded, kept, "decoded string")
+    small_batches(encoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path)
         for batch in batches:
             column = batch["ids"]
             flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            void = column.is_null().to_numpy(zero_copy_only=False)
-            text = [b"" if void[i] else known.decode(flat[at[i] : at[i + 1]]) for i in range(len(column))]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array(text, pa.binary()).cast(pa.string())], names=[*kept, "decoded"])
+            for a, b in _runs(at):
+                data, size = known.decode(flat[at[a] : at[b]])
+                upto = np.concatenate([[0], np.cumsum(size)])[at[a : b + 1] - at[a]].tolist()
+                text = [data[i:j].decode("utf-8", "replace") for i, j in zip(upto[:-1], upto[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in kept), pa.array(text, pa.string())], names=[*kept, "decoded"])
 
     return encoded.select(*kept).mapInArrow(run, schema)
