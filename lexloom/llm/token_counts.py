@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Vocabulary, default_vocabulary, vocabulary
-from ._tables import extended
+from .bpe import ENCODED_BYTES, Vocabulary, default_vocabulary, merged, vocabulary
+from ._tables import extended, small_batches
 from ._text import slices, utf8
 
 #: Fragments in a leaf at first; a tree is built anew when a leaf has grown to GROWN times as many characters as the mean leaf.
 LEAF, GROWN = 32, 16
+TOGETHER = 2000  # edits whose stretches are encoded together
 EDITS = "array<struct<at: int, removed: int, inserted: string>>"
 
 
@@ -42,9 +43,9 @@ def build(known: Vocabulary, texts: list[bytes]) -> list[tuple[np.ndarray, np.nd
     """Each text's heaps of characters and of tokens."""
     data = b"".join(texts)
     begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    at = np.union1d(known.cuts(data), begin)
-    place = at.tolist()
-    size = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known.fragments([data[a:b] for a, b in zip(place[:-1], place[1:], strict=True)])), np.int64, len(place) - 1))])
+    at = merged(known.cuts(data), begin)
+    which, _, sizes = known.pieces(data, at)
+    size = np.concatenate([[0], np.cumsum(sizes[which])])
     chars = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])[at]
     out = []
     for a, b in zip(np.searchsorted(at, begin[:-1]), np.searchsorted(at, begin[1:]), strict=True):
@@ -53,50 +54,73 @@ def build(known: Vocabulary, texts: list[bytes]) -> list[tuple[np.ndarray, np.nd
     return out
 
 
-def _descend(heap: np.ndarray, at: int) -> tuple[int, int]:
+def _descend(heap: list[int], at: int) -> tuple[int, int]:
     """The leaf that holds character at (the last one that has any, past the end) and the characters before it."""
     i, before, width = 1, 0, len(heap) // 2
-    at = min(at, int(heap[1]) - 1)
+    at = min(at, heap[1] - 1)
     while i < width:
         i *= 2
         if at - before >= heap[i]:
-            before += int(heap[i])
+            before += heap[i]
             i += 1
     return i, before
 
 
-def _set(heap: np.ndarray, i: int, value: int) -> None:
+def _set(heap: list[int], i: int, value: int) -> None:
     change = value - heap[i]
-    while i:
+    while change and i:
         heap[i] += change
         i //= 2
 
 
-def edit(known: Vocabulary, text: str, chars: np.ndarray, tokens: np.ndarray, at: int, removed: int, inserted: str) -> tuple[str, np.ndarray, np.ndarray, int]:
-    """The text and heaps after an edit (at and removed are clipped to the text), and how many characters were encoded for it."""
-    at = max(0, min(at, len(text)))
-    end = at + max(0, min(removed, len(text) - at))
-    new = text[:at] + inserted + text[end:]
-    if not text:
-        chars, tokens = build(known, [new.encode()])[0]
-        return new, chars, tokens, len(new)
-    # a cut depends on the characters on both sides of it: take in the leaves of those beside the edit
-    first, start = _descend(chars, max(0, at - 1))
-    last, before = _descend(chars, end)
-    stop = before + int(chars[last])
-    part = text[start:at] + inserted + text[end:stop]
-    data = part.encode()
-    cut = [0, *known.cuts(data).tolist(), len(data)] if data else [0]
-    count = sum(map(len, known.fragments([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)])))
-    for i in range(first + 1, last + 1):
-        _set(chars, i, 0)
-        _set(tokens, i, 0)
-    _set(chars, first, len(part))
-    _set(tokens, first, count)
-    if len(part) * (len(chars) // 2) > GROWN * max(len(new), 64 * LEAF):
-        chars, tokens = build(known, [new.encode()])[0]
-        return new, chars, tokens, len(part) + len(new)
-    return new, chars, tokens, len(part)
+Tree = tuple[str, list[int], list[int]]  # text, heap of characters, heap of tokens
+
+
+def edit(known: Vocabulary, trees: list[Tree], edits: list[tuple[int, int, str]]) -> tuple[list[Tree], list[int]]:
+    """One edit (at, removed, inserted; clipped to the text) of each tree: the trees after it, and how many characters of each were encoded.
+
+    The stretches that the edits touch are encoded together."""
+    out: list[Tree] = []
+    part, place = [], []
+    for (text, chars, tokens), (at, removed, inserted) in zip(trees, edits, strict=True):
+        at = max(0, min(at, len(text)))
+        end = at + max(0, min(removed, len(text) - at))
+        new = text[:at] + inserted + text[end:]
+        if text:
+            # a cut depends on the characters on both sides of it: take in the leaves of those beside the edit
+            first, start = _descend(chars, max(0, at - 1))
+            last, before = _descend(chars, end)
+            part.append(text[start:at] + inserted + text[end : before + chars[last]])
+        else:
+            first, last = 1, len(chars) - 1
+            part.append(new)
+        place.append((first, last))
+        out.append((new, chars, tokens))
+    data = [p.encode() for p in part]
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64)
+    joined = b"".join(data)
+    at = merged(known.cuts(joined), begin)
+    which, _, sizes = known.pieces(joined, at)
+    upto = np.concatenate([[0], np.cumsum(sizes[which])])[np.searchsorted(at, begin)]
+    counts = np.diff(upto).tolist()
+    grown = []
+    for i, (new, chars, tokens) in enumerate(out):
+        first, last = place[i]
+        if first == 1:  # the text was empty: all of it is its first leaf
+            first = len(chars) // 2
+            last = first
+        for leaf in range(first + 1, last + 1):
+            _set(chars, leaf, 0)
+            _set(tokens, leaf, 0)
+        _set(chars, first, len(part[i]))
+        _set(tokens, first, counts[i])
+        if len(part[i]) * (len(chars) // 2) > GROWN * max(len(new), 64 * LEAF):
+            grown.append(i)
+    encoded = [len(p) for p in part]
+    for i, (c, t) in zip(grown, build(known, [out[i][0].encode() for i in grown]) if grown else (), strict=True):
+        out[i] = (out[i][0], c.tolist(), t.tolist())
+        encoded[i] += len(out[i][0])
+    return out, encoded
 
 
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -106,12 +130,13 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_vocabulary()
     kept = [c for c in docs.columns if c not in ("n_tokens", "char_sums", "token_sums")]
     schema = extended(docs, kept, "n_tokens long, char_sums array<long>, token_sums array<long>")
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path, False)
         for batch in batches:
             texts = utf8(batch["text"])
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODED_BYTES):
                 trees = build(known, texts[a:b])
                 sums = [pa.array([t[i] for t in trees], pa.list_(pa.int64())) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*(batch[c].slice(a, b - a) for c in kept), pa.array([int(t[1][1]) for t in trees], pa.int64()), *sums], names=schema.names)
@@ -129,22 +154,28 @@ def apply_edits(counted: DataFrame, path: str | None = None) -> DataFrame:
     kept = [c for c in counted.columns if c not in ("n_encoded", "text", "n_tokens", "char_sums", "token_sums")]
     names = ["text", "n_tokens", "char_sums", "token_sums", "n_encoded"]
     schema = extended(counted, [*kept, *names[:4]], "n_encoded long")
+    small_batches(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary(path, False)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in names}
-            for text, c, t, edits in zip(batch["text"].to_pylist(), batch["char_sums"], batch["token_sums"], batch["edits"].to_pylist(), strict=True):
-                void, text, encoded = text is None, text or "", 0
-                chars, tokens = (x.values.to_numpy(zero_copy_only=False).copy() for x in (c, t))
-                for e in edits or ():
-                    if e and (e["removed"] or e["inserted"]):
-                        text, chars, tokens, n = edit(known, text, chars, tokens, e["at"] or 0, e["removed"] or 0, e["inserted"] or "")
-                        encoded, void = encoded + n, False
-                for name, v in zip(names, (None if void else text, int(tokens[1]), chars, tokens, encoded), strict=True):
-                    out[name].append(v)
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *(pa.array(out[n], k) for n, k in zip(names, kinds, strict=True))], names=[*kept, *names])
+            texts = batch["text"].to_pylist()
+            trees = list(zip([t or "" for t in texts], batch["char_sums"].to_pylist(), batch["token_sums"].to_pylist(), strict=True))
+            edits = [[(e["at"] or 0, e["removed"] or 0, e["inserted"] or "") for e in es or () if e and (e["removed"] or e["inserted"])] for es in batch["edits"].to_pylist()]
+            encoded = [0] * len(trees)
+            for k in range(max(map(len, edits), default=0)):
+                todo = [i for i, es in enumerate(edits) if len(es) > k]
+                for a in range(0, len(todo), TOGETHER):
+                    some = todo[a : a + TOGETHER]
+                    done, n = edit(known, [trees[i] for i in some], [edits[i][k] for i in some])
+                    for i, tree, m in zip(some, done, n, strict=True):
+                        trees[i], encoded[i] = tree, encoded[i] + m
+            void = [t is None and not es for t, es in zip(texts, edits, strict=True)]
+            columns = [
+                pa.array([None if v else t[0] for v, t in zip(void, trees, strict=True)], pa.string()), pa.array([t[2][1] for t in trees], pa.int64()),
+                pa.array([t[1] for t in trees], pa.list_(pa.int64())), pa.array([t[2] for t in trees], pa.list_(pa.int64())), pa.array(encoded, pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *columns], names=[*kept, *names])
 
     return counted.select(*kept, *names[:4]).mapInArrow(run, schema)
 

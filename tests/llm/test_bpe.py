@@ -31,7 +31,7 @@ def test_fragments_encode_as_the_whole():
     for i, t in enumerate(ODD):
         ids, back = reference(t)
         assert flat[at[i] : at[i + 1]].tolist() == ids, t[:40]
-        assert known.decode(flat[at[i] : at[i + 1]]).decode() == back == t
+        assert known.decode(flat[at[i] : at[i + 1]])[0].decode() == back == t
 
 
 @settings(max_examples=300, deadline=None)
@@ -72,10 +72,12 @@ def test_edited_counts(text, edits):
     known = token_counts.vocabulary(PATH, False)
     chars, tokens = token_counts.build(known, [text.encode()])[0]
     assert tokens[1] == count(text) and chars[1] == len(text)
+    tree = (text, chars.tolist(), tokens.tolist())
     for at, removed, inserted in edits:
         a = min(at, len(text))
         want = text[:a] + inserted + text[a + removed :]
-        text, chars, tokens, _ = token_counts.edit(known, text, chars, tokens, at, removed, inserted)
+        (tree,), _ = token_counts.edit(known, [tree], [(at, removed, inserted)])
+        text, chars, tokens = tree
         assert text == want and tokens[1] == count(text) and chars[1] == len(text)
 
 
