@@ -34,7 +34,7 @@ def test_stages_match_brute_force(spark):
 
 
 def test_each_stage_keeps_columns_and_odd_rows(spark):
-    text = " ".join(f"word{i} goes on, and here it ends." for i in range(30))
+    text = " ".join(f"word{i} goes{i} on, and{i} here it{i} ends." for i in range(30))
     rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (2, text + " More.", None, None, None), (None, text, "en", "b", 1), (3, None, "en", "a", 0), (4, "", "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for name, stage in corpus_pipeline.STAGES[:-1]:
