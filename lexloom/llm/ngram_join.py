@@ -24,6 +24,9 @@ all their uncommon ones and at least in the difference of their counts of common
 exceeds H they are no candidates. So among near copies of one text, those too far from it to link
 with it meet others only by what they share beyond it.
 
+Before a text is fetched, the sets' profiles (counts of shingles in hash classes, kept for all sets
+and about a tenth of a text in size) give a lower bound of the shingles two sets differ in.
+
 Candidates first form a star in each name's group (every member against the one with the fewest
 uncommon shingles), so a group of g near copies costs g checks. Only groups whose members still lie
 in several components are then checked across components; what can't link by size is sorted out
@@ -46,13 +49,11 @@ from ._text import LOWER, mix, shingle_sets, slices, utf8
 
 #: Most common shingles that are left out of segments; what is broadcast to tasks is at most 8 bytes for each.
 COMMON = 200_000
+#: Rows (two longs each) up to which the ids of texts to fetch are broadcast; beyond, texts are shuffled.
+BROADCAST = 500_000
 _U = np.uint64
 
 
-def _named(doc_ids: pa.Array, texts: list[bytes], k: int) -> tuple[list, list[np.ndarray]]:
-    return doc_ids, shingle_sets([t.translate(LOWER) for t in texts], k)
-
-
 def _census(k: int):
     """Arrow batches (doc_id, th, text) -> a row for each document, and one for each locally common shingle."""
 
@@ -69,15 +70,30 @@ def _census(k: int):
                 local, count = np.unique(every[tally[(every >> _U(44)).astype(np.int64)] >= max(4, len(sets) // 200)], return_counts=True)
                 keep = count >= max(4, len(sets) // 200)
                 local, count = local[keep], count[keep]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), th.slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.zeros(b - a, bool))], names=_CENSUS)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), th.slice(a, b - a), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.zeros(b - a, bool)), pa.array([profile(s).tobytes() for s in sets], pa.binary())], names=_CENSUS)
                 if len(local):
                     none = pa.nulls(len(local), pa.int64())
-                    yield pa.RecordBatch.from_arrays([none, none, pa.array(count.astype(np.int64)), pa.array(local.view(np.int64)), none, pa.array(np.ones(len(local), bool))], names=_CENSUS)
+                    yield pa.RecordBatch.from_arrays([none, none, pa.array(count.astype(np.int64)), pa.array(local.view(np.int64)), none, pa.array(np.ones(len(local), bool)), pa.nulls(len(local), pa.binary())], names=_CENSUS)
 
     return run
 
 
-_CENSUS = ["doc_id", "th", "n", "h1", "h2", "common"]
+_CENSUS = ["doc_id", "th", "n", "h1", "h2", "common", "profile"]
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """Counts (255 at most) of a set's shingles in 2^j hash classes, a power that follows its size."""
+    j = int(band(np.array([len(s)]))[0])
+    return np.minimum(np.bincount((s >> _U(63 - j) >> _U(1)).astype(np.int64), minlength=1 << j), 255).astype(np.uint8)
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only, by their profiles."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (x, y))
+    if len(a) > len(b):
+        a, b = b, a
+    b = np.minimum(b.reshape(len(a), -1).sum(1), 255)
+    return int(np.abs(np.minimum(a, 255) - b).sum())
 
 
 def band(n: np.ndarray) -> np.ndarray:
@@ -160,30 +176,29 @@ def _names(k: int, common: bytes, num: int, den: int):
             texts = utf8(batch["text"])
             seen: set[int] = set()  # equal sets of one batch are named once
             for a, b in slices(texts):
-                fresh, h1 = [], []
+                fresh, h1, rare = [], [], []
                 for s in shingle_sets([t.translate(LOWER) for t in texts[a:b]], k):
                     h = int(mix(s).sum(dtype=np.uint64))
                     if len(s) and h not in seen:
                         seen.add(h)
                         fresh.append(s)
                         h1.append(h)
+                        rare.append(len(s) - int(_among(s, known).sum()))
                 if fresh:
                     name, place = signatures(fresh, known, num, den)
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.array(h1, np.uint64)[place].view(np.int64))], names=["sig", "h1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.array(h1, np.uint64)[place].view(np.int64)), pa.array(np.array(rare, np.int32)[place])], names=["sig", "h1", "rare"])
 
     return run
 
 
-def _rare(k: int, common: bytes):
-    """Arrow batches (doc_id, text) -> the text's count of uncommon shingles beside it."""
-    known = np.frombuffer(common, np.uint64)
+def _near(num: int, den: int):
+    """Arrow batches (a, b, na, nb, pa, pb) -> the pairs (a, b) that their profiles don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = utf8(batch["text"]), []
-            for a, b in slices(texts):
-                out += [int((~_among(s, known)).sum()) for s in shingle_sets([t.translate(LOWER) for t in texts[a:b]], k)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(out, pa.int64())], names=["doc_id", "text", "rare"])
+            rows = zip(batch["na"].to_pylist(), batch["nb"].to_pylist(), batch["pa"].to_pylist(), batch["pb"].to_pylist(), strict=True)
+            keep = pa.array([apart(x, y) * (num + den) <= (n + m) * (den - num) for n, m, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
     return run
 
@@ -216,8 +231,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    census = scratch.save(rows.mapInArrow(_census(k), "doc_id long, th long, n long, h1 long, h2 long, common boolean"))
-    names = census.filter("not common").drop("common")
+    census = scratch.save(rows.mapInArrow(_census(k), "doc_id long, th long, n long, h1 long, h2 long, common boolean, profile binary"))
+    names = census.filter("not common").drop("common", "profile")
     least = max(64, (names.agg(F.sum("n")).first()[0] or 0) // COMMON)
     found = census.filter("common").groupBy("h1").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h1").collect()  # at most COMMON rows
     common = np.sort(np.array([x[0] for x in found], np.int64).view(np.uint64)).tobytes()
@@ -225,23 +240,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sets = names.filter("n > 0 and doc_id is not null")
     # of equal sets the one of least doc_id stands for all; two longs name a set
     reps = sets.groupBy("h1", "h2").agg(F.min("doc_id").alias("rid"), F.min("n").alias("n"))
-    groups = rows.filter("doc_id is not null").mapInArrow(_names(k, common, num, den), "sig long, h1 long")
-    groups = groups.repartition("sig").selectExpr("sig", "h1", "min(h1) over (partition by sig) lo", "max(h1) over (partition by sig) hi").filter("lo <> hi")
-    groups = scratch.save(groups.select("sig", "h1").distinct())
-
-    ids = groups.select("h1").distinct().join(reps, "h1")
-    wanted = scratch.save(sets.join(ids.withColumnRenamed("rid", "doc_id").drop("n"), ["h1", "h2", "doc_id"]).groupBy("h1", "doc_id", "n").agg(F.min("th").alias("th")))
-    # the texts that any check can need, once
-    texts = scratch.save(rows.join(wanted.select("doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_rare(k, common), "doc_id long, text string, rare long"))
-    nodes = wanted.join(texts.select("doc_id", "rare"), "doc_id").select("h1", F.col("doc_id").alias("node"), "n", "rare")
-    member = scratch.save(groups.join(nodes, "h1").drop("h1"))
+    groups = rows.filter("doc_id is not null").mapInArrow(_names(k, common, num, den), "sig long, h1 long, rare int")
+    groups = groups.repartition("sig").selectExpr("sig", "h1", "rare", "min(h1) over (partition by sig) lo", "max(h1) over (partition by sig) hi").filter("lo <> hi")
+    member = scratch.save(groups.select("sig", "h1", "rare").distinct().join(reps.select("h1", F.col("rid").alias("node"), "n"), "h1").drop("h1"))
     bound = f"""greatest({{0}}.n, {{1}}.n) * {num} <= least({{0}}.n, {{1}}.n) * {den} and (pmod(sig, 2) = 0 or
         ({{0}}.rare + {{1}}.rare + abs({{0}}.n - {{0}}.rare - {{1}}.n + {{1}}.rare)) * {num + den} <= ({{0}}.n + {{1}}.n) * {den - num})"""
+    nodes = member.select(F.col("node").alias("doc_id")).distinct()
+    shapes = scratch.save(census.filter("not common").join(nodes, "doc_id").select("doc_id", "th", "h1", "n", "profile").join(reps.select(F.col("rid").alias("doc_id"), "h1"), ["doc_id", "h1"]).dropDuplicates(["doc_id"]).drop("h1"))
 
     def check(pairs: DataFrame) -> DataFrame:
+        x = shapes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("profile").alias("pa"))
+        y = shapes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("profile").alias("pb"))
+        near = scratch.save(pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_near(num, den), "a long, b long"))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(shapes.select("doc_id", "th"), "doc_id")
+        if wanted.count() <= BROADCAST:
+            wanted = F.broadcast(wanted)
+        texts = scratch.save(rows.join(wanted, ["doc_id", "th"]).select("doc_id", "text").dropDuplicates(["doc_id"]))
         x = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
         y = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        return scratch.save(pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, num, den), "a long, b long"))
+        return scratch.save(near.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, num, den), "a long, b long"))
 
     star = member.selectExpr("sig", "struct(n, rare, node) x", "min(struct(rare, n, node)) over (partition by sig) p").filter("x.node <> p.node").filter(bound.format("x", "p"))
     tried = scratch.save(star.selectExpr("least(x.node, p.node) a", "greatest(x.node, p.node) b").distinct())
