@@ -501,7 +501,7 @@ def m1_disambiguate(spark, d):
 @query()
 def m2_attach(spark, d):
     g = _arcs(spark, d)[0]
-    return learn.attach(g, learn.attachment_weights(g), SENT, window=4)
+    return learn.attach(g, learn.attachment_weights(g), SENT)
 
 
 @query(PATH_SQL + "SELECT doc_id, line_no, tok_no FROM gold WHERE path > 0")
