@@ -4,23 +4,26 @@ Each source's documents form blocks of equal size. With weight w (a share of all
 source is released at floor(j / w) and due at ceil((j + 1) / w); in each slot the released block with
 the earliest deadline goes. A source is then never a whole block ahead of its weight or behind it.
 
-Weights are whole numbers of slots in a period, so the schedule repeats: what is scheduled on the
-driver is one period (a constant number of slots, whatever the corpus), and block j of a source with
-w slots goes to slot (j div w) * period + slot of its block (j mod w). Documents get their number in
-their source by counts of hash ranges, so a source that holds a third of all rows is numbered in
-many tasks.
+Weights are taken exactly as given (floats as fractions), so no rounding adds up over the corpus. The schedule is made on the
+driver from weights and numbers of blocks: one step for each block of BLOCK documents. A source that has run out leaves its share
+free; sources with weight 0 come after all others. Documents get their number in their source by counts of hash ranges, so a source
+that holds a third of all rows is numbered in many tasks.
 """
 
 from __future__ import annotations
 
 import heapq
-from math import isqrt
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from math import isqrt, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots in a period, documents in a block, and documents that one task numbers at most, about.
-PERIOD, BLOCK, CHUNK = 1000, 16, 20_000
+#: Slots in a period, documents in a block, documents that one task numbers at most, about, and blocks up to which the schedule is broadcast.
+PERIOD, BLOCK, CHUNK, SMALL = 1000, 16, 20_000, 1_000_000
 
 
 def apportion(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -37,30 +40,46 @@ def apportion(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return slots
 
 
+def deal(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """All blocks by earliest deadline first: source, block, slot, release, deadline. Ties go by deadline of the next block, then name.
+
+    Weights count relative to their sum. Sources with weight 0 share the slots after all others equally."""
+    exact = {s: Fraction(weights.get(s, 0)) for s in blocks}
+    start = 0
+    for phase in ({s: w for s, w in exact.items() if w > 0}, {s: Fraction(1) for s, w in exact.items() if w <= 0}):
+        scale = lcm(*(w.denominator for w in phase.values()))
+        whole = {s: int(w * scale) for s, w in phase.items()}
+        total = sum(whole.values())
+        release = lambda s, j: start + j * total // whole[s]  # noqa: B023, E731
+        due = lambda s, j: start - (-(j + 1) * total // whole[s])  # noqa: B023, E731
+        waiting = [(start, s, 0) for s in sorted(phase) if blocks[s]]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, str, int]] = []
+        t = start
+        while waiting or ready:
+            if not ready:
+                t = max(t, waiting[0][0])
+            while waiting and waiting[0][0] <= t:
+                _, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (due(s, j), due(s, j + 1), s, j))
+            d, _, s, j = heapq.heappop(ready)
+            yield s, j, t, release(s, j), d
+            if j + 1 < blocks[s]:
+                heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
+            t += 1
+        start = t
+
+
 def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period by earliest deadline first: (source, block, slot, release, deadline). Ties go by deadline of the next block, then name."""
-    period = sum(slots.values())
-    release = lambda s, j: j * period // slots[s]
-    due = lambda s, j: -(-(j + 1) * period // slots[s])
-    waiting = [(0, s, 0) for s in sorted(slots)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (due(s, j), due(s, j + 1), s, j))
-        d, _, s, j = heapq.heappop(ready)
-        out.append((s, j, t, release(s, j), d))
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
-    return out
-
-
-def target_slots(docs: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> dict[str, int]:
-    """Slots for each source of docs: by weights (sources without one get none of the rest but one slot), else by the root of their counts."""
+    """One period of whole slots."""
+    return list(deal(slots, slots))
+
+
+def target_slots(docs: DataFrame, weights: dict[str, float] | None = None, period: int | None = None) -> dict[str, float]:
+    """The weight of each source of docs: of weights (0 where it has none), else the root of its count; with a period, rounded to whole slots of it."""
     counts = {s: n for s, n in docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().collect()}
-    return apportion({s: weights.get(s, 0.0) if weights is not None else isqrt(n << 20) for s, n in counts.items()}, period)
+    found = {s: max(0.0, float(weights.get(s, 0.0))) if weights is not None else isqrt(n << 20) for s, n in counts.items()}
+    return apportion(found, period) if period else found
 
 
 def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -77,26 +96,29 @@ def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return ranked.join(sizes, ["_s", "_c"]).withColumn("rank", F.col("_before") + F.col("_r") - 1).drop("_h", "_c", "_r", "_before")
 
 
-def mix(docs: DataFrame, slots: dict[str, int], block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, slots: dict[str, float], block: int = BLOCK) -> DataFrame:
     """docs (doc_id, source, more) -> the same columns with block (in the source), slot, place (in the slot), release and deadline (slots).
 
-    No document is dropped or repeated: a source that has run out leaves its slots free, the others keep theirs.
-    A null source is one source. Columns of those five names are replaced. Read in the order of slot and place."""
+    slots: weights of the sources, relative to their sum. No document is dropped or repeated: a source that has run out leaves its share
+    free, one without a weight comes last. A null source is one source. Columns of those five names are replaced. Read in the order of
+    slot and place."""
     spark: SparkSession = docs.sparkSession
-    period = sum(slots.values())
     added = ["block", "slot", "place", "release", "deadline"]
     docs = docs.select(*(c for c in docs.columns if c not in (*added, "rank")))
-    plan = [(s, slots[s], j, t, r, d) for s, j, t, r, d in schedule(slots)]
-    plan = spark.createDataFrame(plan, "_s string, _w long, _j long, _t long, _rel long, _due long")
-    weights = plan.groupBy("_s").agg(F.max("_w").alias("_w"))
+    counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().collect()
+    names = sorted(s for s, _ in counts)
+    at, columns = {s: i for i, s in enumerate(names)}, [array("q") for _ in range(5)]
+    for s, *numbers in deal(slots, {s: -(-n // block) for s, n in counts}):
+        for column, x in zip(columns, (at[s], *numbers), strict=True):
+            column.append(x)
+    plan = pa.table([pa.array(names, pa.string()).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["_s", "block", "slot", "release", "deadline"])
+    few = plan.num_rows <= SMALL
+    plan = spark.createDataFrame(plan) if plan.num_rows else spark.createDataFrame([], "_s string, block long, slot long, release long, deadline long")
     rows = numbered(docs).withColumn("block", F.floor(F.col("rank") / block)).withColumn("place", F.col("rank") % block)
-    rows = rows.join(F.broadcast(weights), "_s").withColumn("_round", F.floor(F.col("block") / F.col("_w"))).withColumn("_j", F.col("block") % F.col("_w"))
-    rows = rows.join(F.broadcast(plan.drop("_w")), ["_s", "_j"])  # one row a slot of the period
-    at = lambda c: F.col("_round") * period + F.col(c)
-    return rows.withColumns({"slot": at("_t"), "release": at("_rel"), "deadline": at("_due")}).drop("_s", "_w", "_j", "_t", "_rel", "_due", "_round", "rank").select(*docs.columns, *added)
+    return rows.join(F.broadcast(plan) if few else plan, ["_s", "block"]).select(*docs.columns, *added)
 
 
-def in_order(docs: DataFrame, slots: dict[str, int], block: int = BLOCK) -> DataFrame:
+def in_order(docs: DataFrame, slots: dict[str, float], block: int = BLOCK) -> DataFrame:
     """docs in the mixed order (files and rows within them), with their own columns."""
     mixed = mix(docs, slots, block)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*(c for c in docs.columns))
