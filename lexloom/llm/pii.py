@@ -38,7 +38,7 @@ _MORE = (
     ("phone", re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"), None),
     ("id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), None),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"), None),
-    ("secret", re.compile(r"(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?(?P<s>[A-Za-z0-9+/_.-]{6,200})", re.I), re.compile(r"[=:]")),
+    ("secret", re.compile(r"(?:password|passwd|secret|token|api_key|apikey)\s{0,3}[=:]\s{0,3}[\"']?(?P<s>[A-Za-z0-9+/_.-]{6,})", re.I), re.compile(r"[=:]")),
 )
 # Gazetteers and context words by kind.
 TLDS = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es it nl be ch at se no dk fi pl pt ie eu us ca mx br ar cl au nz jp cn kr in ru ua tr za".split())
