@@ -485,7 +485,8 @@ def a19_m3_epoch(spark, d):
 @query(f"WITH {MORPHS_SQL}, h AS (SELECT lang AS feature, doc_id AS generation, CAST(count(*) % 7 AS BIGINT) AS value FROM morph WHERE lang IS NOT NULL GROUP BY ALL) SELECT feature, sum(value * (u - generation)) AS total FROM (SELECT *, coalesce(lead(generation) OVER (PARTITION BY feature ORDER BY generation), 1000000) AS u FROM h) GROUP BY feature")
 def a18_average_weights(spark, d):
     h = derived.morphs(_docs(spark, d)).filter("lang is not null").groupBy(F.col("lang").alias("feature"), F.col("doc_id").alias("generation")).agg((F.count("*") % 7).alias("value"))
-    return learn.average_weights(h, 1_000_000)
+    end = _docs(spark, d).agg(F.greatest(F.lit(1_000_000), F.max("doc_id") + 1).alias("end"))  # past every generation, however many documents
+    return learn.average_weights(h.crossJoin(F.broadcast(end)), F.col("end"))
 
 
 @query()
