@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,21 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one if all work is done in this process, else an error."""
+    where, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not where and not re.fullmatch(r"local(\[[^\]]*\])?", app.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _own.get(app.applicationId) or "file://" + tempfile.mkdtemp(prefix="lexloom-")
+        _own[app.applicationId] = where
     return where.rstrip("/")
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Hand texts to Python workers in batches of so many rows at most (a setting of the session that only bounds memory)."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    now = int(conf.get(name, "10000"))
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For queries and stages, not operators: hand rows to Python workers in batches of so many at most, which bounds memory where texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
     if now > rows or now <= 0:
-        conf.set(name, str(rows))
+        spark.conf.set(name, str(rows))
 
 
 class Scratch:
@@ -31,20 +37,31 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.base, self.n = spark, f"{shared_folder(spark)}/lexloom-{name}-{uuid.uuid4().hex}", 0
+        self.paths: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.base}/{self.n}"
         df.write.parquet(path)
+        self.paths.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lexloom_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._lexloom_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete({df._lexloom_path})
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        self._delete(self.paths - {df._lexloom_path for df in tables})
+
+    def _delete(self, paths: set[str]) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+        self.paths -= paths
 
 
 def extended(df: DataFrame, columns: list[str], ddl: str) -> StructType:

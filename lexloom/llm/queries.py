@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import bpe, chat_format, fingerprints, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, url_filters
+from ._tables import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -71,9 +71,8 @@ def test_edges(spark):
     assert ngram_join.jaccard_components(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("common_share", [0.0, 0.3, 0.95])
-def test_any_linked_pair_shares_a_name(common_share):
-    """At any tier: the names of two sets meet whenever the sets link."""
+def test_any_linked_pair_shares_a_name():
+    """At any tier: the names of two sets meet whenever the sets link, more than e of them where one set is not short."""
     rng = np.random.default_rng(5)
     sets = []
     for n in [*range(1, 40), 60, 100, 250]:
@@ -81,9 +80,7 @@ def test_any_linked_pair_shares_a_name(common_share):
         for cut in range(4):
             keep = base[rng.permutation(n)[: max(1, n - cut * n // 12)]]
             sets.append(np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 1 + n // 9)).astype(np.uint64)])))
-    every = np.unique(np.concatenate(sets))
-    common = every[rng.random(len(every)) < common_share]
-    name, place = ngram_join.signatures(sets, common, 80, 100)
+    name, place, short = ngram_join.signatures(sets, 80, 100)
     held = [set(name[place == i].tolist()) for i in range(len(sets))]
     links = 0
     for i in range(len(sets)):
@@ -91,10 +88,42 @@ def test_any_linked_pair_shares_a_name(common_share):
             inter = len(np.intersect1d(sets[i], sets[j]))
             if 100 * inter >= 80 * (len(sets[i]) + len(sets[j]) - inter):
                 links += 1
-                assert held[i] & held[j]
+                both = held[i] & held[j]
+                enough = False
+                for f in {x & 63 for x in both}:
+                    e = int(ngram_join.spare(np.array([f]))[0])
+                    n = sum(x & 63 == f for x in both)
+                    enough |= n >= (1 if short[i] >> f & 1 and short[j] >> f & 1 else e + 1)
+                assert enough
     assert links > 50
 
 
+def test_passages_that_many_documents_share(spark):
+    """A passage with very many holders: links of the documents that hold it are still found."""
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    some = lambda n: [r.choice(vocabulary) for _ in range(n)]
+    passage, rows = some(40), []
+    for i in range(0, 270, 3):
+        own = some(r.choice([4, 20, 60, 200]))
+        rows += [(i, " ".join(own[:3] + passage + own[3:])), (i + 1, " ".join(own[:3] + passage + own[3:-1] + ["x"]))]
+        rows.append((i + 2, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == brute(rows)
+
+
+def test_texts_under_one_id_are_sets_of_their_own(spark):
+    r = random.Random(4)
+    a, b = (" ".join(r.choice("abcdefghij") + str(r.random()) for _ in range(40)) for _ in range(2))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, a), (9, b)]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (9, 1)]
+    assert len({r.group_id for r in out if r.group_id is not None}) == 2
+    text_ids = spark.createDataFrame([("1", a), ("x", a), ("2", a)], "doc_id string, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join.jaccard_components(text_ids).collect()) == [(0, 0), (1, 1), (2, 1)]
+
+
 def test_long_text_in_pieces():
     from lexloom.llm import _text
 
