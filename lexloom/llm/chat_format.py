@@ -13,18 +13,28 @@ one with very many turns is spread over tasks until it is rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Turns are numbered in chunks of so many values of `turn`.
 CHUNK = 4096
 
 
+def _said() -> tuple[Column, Column]:
+    return F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+
+
+def _hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes of a text, which also order turns of one number and role."""
+    return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), F.reverse(text), text).alias("t2")
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) -> conv_id, place (from 1), n, p1, p2: each turn's prefix hashes, and the conversation's length.
 
-    Turns follow their number, null first, then role and text; exact repeats of a row count once."""
-    rows = turns.select("conv_id", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).alias("chunk"), "turn", "role", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.reverse("text"), "text").alias("t2")).filter("conv_id is not null").distinct()
+    Turns follow their number, null first, then role and text; repeats of a row count once. A null role is `unknown` and a null text empty."""
+    role, text = _said()
+    rows = turns.select("conv_id", F.floor(F.coalesce("turn", F.lit(-1)) / CHUNK).alias("chunk"), "turn", role.alias("role"), *_hashes(text)).filter("conv_id is not null").distinct()
     inner = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "t1", "t2")
     rows = rows.withColumn("at", F.row_number().over(inner))
     sizes = rows.groupBy("conv_id", "chunk").agg(F.count("*").alias("size"))
@@ -51,23 +61,24 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text, more) -> conv_id, n_turns, n_copies, chat: one row for each maximal conversation.
 
-    A turn is <|role|>, a line break, its text and <|end|>, a line break; null roles are `unknown`, null texts empty.
-    Rows without a conv_id are left out; exact repeats of a row count once; other columns are not used. An empty
+    A turn is <|role|>, a line break, its text and <|end|>, a line break; null roles are `unknown`, null texts empty, also
+    where conversations are compared. Rows without a conv_id are left out; repeats of a row count once; other columns are not used. An empty
     table gives an empty result."""
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     kept = maximal(turns)
-    rows = turns.join(kept, "conv_id").distinct()
-    said = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))
-    order = F.struct("turn", "role", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.reverse("text"), "text").alias("t2"), said.alias("said"))
-    chats = rows.groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    role, text = _said()
+    said = F.concat(F.lit("<|"), role, F.lit("|>\n"), text, F.lit("<|end|>\n"))
+    order = F.struct("turn", role.alias("role"), *_hashes(text), said.alias("said"))
+    # repeats go where a conversation is put together: its text is shuffled once
+    chats = turns.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.array_distinct(F.collect_list(order))).alias("all"))
     return chats.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("all", lambda t: t["said"]), "").alias("chat"))
 
 
 def oracle() -> str:
     """The same in DuckDB SQL, for tables whose turns are distinct numbers."""
     return """
-    WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
-    c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, 'unknown'), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, role NULLS FIRST) AS said, count(*) AS n_turns FROM t GROUP BY conv_id),
+    WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, list(struct_pack(r := role, x := text) ORDER BY turn NULLS FIRST, role) AS said, count(*) AS n_turns FROM t GROUP BY conv_id),
     p AS (SELECT conv_id, n_turns, sha256(said::VARCHAR) AS whole, said FROM c),
     w AS (SELECT whole, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM p GROUP BY whole, n_turns),
     i AS (SELECT DISTINCT sha256(said[1:k]::VARCHAR) AS inner_hash FROM (SELECT said, n_turns, unnest(range(1, n_turns)) AS k FROM p)),
