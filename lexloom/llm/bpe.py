@@ -13,6 +13,7 @@ Added tokens of the file (``<|endoftext|>``) are taken out of the text first, as
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,6 +67,9 @@ class Vocabulary:
     def __init__(self, path: str, specials: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type", "BPE") != "BPE" or spec["model"].get("ignore_merges") or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level BPE with the usual pre-tokens and without a normaliser")
         self.path, self.use_specials, self._tokenizer, self._flat = path, specials, None, None
         byte_of = _byte_of()
         ids = spec["model"]["vocab"]
@@ -77,13 +81,15 @@ class Vocabulary:
             self.bytes[t["id"]] = t["content"].encode()
             if specials:
                 self.specials.append((t["content"].encode(), t["id"]))
+        self.special_id = dict(self.specials)
+        self.special = re.compile(b"|".join(re.escape(s) for s in sorted(self.special_id, key=len, reverse=True)) or b"(?!)")
         joined = [np.frombuffer(self.bytes[i], np.uint8).astype(np.int64) for i in ids.values()]
         free = np.ones(1 << 16, bool)
         for t in joined:
             free[t[:-1] << 8 | t[1:]] = False
         left, right = np.divmod(np.arange(1 << 16), 256)
         free &= ~np.isin(left, [0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)])
-        free &= (right != 0x27) & ((right < 0x80) | (right > 0xBF))
+        free &= (left != 0x27) & (right != 0x27) & ((right < 0x80) | (right > 0xBF))
         self.free = free
         # last two bytes of white space beyond ASCII
         self.blank = np.zeros(1 << 16, bool)
@@ -230,11 +236,11 @@ class Vocabulary:
     def split_specials(self, text: bytes) -> list[bytes | int]:
         """The text's parts, with the ids of added tokens between them; the earliest, then longest, wins."""
         out: list[bytes | int] = []
-        while hit := min(((at, -len(s), i, s) for s, i in self.specials if (at := text.find(s)) >= 0), default=None):
-            at, _, i, s = hit
-            out += [text[:at], i]
-            text = text[at + len(s) :]
-        return [*out, text]
+        done = 0
+        for m in self.special.finditer(text):
+            out += [text[done : m.start()], self.special_id[m[0]]]
+            done = m.end()
+        return [*out, text[done:]]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row and, for each text, where its ids begin (one more at the end)."""

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 from functools import lru_cache
 
@@ -106,3 +107,25 @@ def test_counts_edges(spark):
     assert got[2].text == "abc" and got[2].n_tokens == count("abc")
     assert got[3].text == " b" and got[3].n_tokens == count(" b")
     assert got[4].n_tokens == count("x <|endoftext|>")
+
+
+def test_many_added_tokens_and_apostrophes(spark):
+    special = "<|endoftext|>"
+    texts = ["it's " + special * 3 + "we'll'x 'tis o''clock" + special, special * 20_000, "x" + special + "'s", "'" * 50 + "a'b'c" * 30, None, "same", "same"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.decode(bpe.encode(docs)).collect():
+        if texts[r.doc_id] is None or len(r.ids) < 10_000:
+            assert r.ids == reference(texts[r.doc_id] or "")[0]
+        else:
+            assert len(r.ids) == 20_000 and len(set(r.ids)) == 1
+        assert r.decoded == (texts[r.doc_id] or "")
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    path = tmp_path / "v.json"
+    spec = json.load(open(bpe.default_vocabulary(), encoding="utf-8"))
+    path.write_text(json.dumps(spec | {"normalizer": {"type": "NFC"}}))
+    with pytest.raises(ValueError, match="no byte-level BPE"):
+        bpe.Vocabulary(str(path))
