@@ -163,9 +163,9 @@ def with_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     Documents go to ranges of doc_id; each range ends with a copy of the first document of the next one (ahead), the
     last with that of the very first. Equal doc_ids follow each other by their texts' hash; null ones come last."""
     spark = docs.sparkSession
-    ranges = ranges or max(8, min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges or max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # follows what the cluster is set to
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = rows.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("e")).first()[0]  # at most 4096 numbers
+    known = rows.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("e")).first()[0]  # one number for each range
     edges = sorted(set(known or ()), reverse=True)
     step = max(1, int(len(edges) ** 0.5))
     coarse, fine = edges[::step], [edges[i : i + step] for i in range(0, len(edges), step)]
@@ -180,14 +180,14 @@ def with_neighbours(docs: DataFrame, ranges: int | None = None) -> DataFrame:
         place = F.lit(0)
     rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(place)).withColumn("th", F.coalesce(F.xxhash64("text"), F.lit(0)))
     heads = sorted(rows.groupBy("range").agg(F.min(F.struct(F.coalesce(-F.col("doc_id"), F.lit(2**63 - 1)).alias("k"), "th")).alias("h")).collect())  # one row for each range
-    firsts = [(heads[i - 1][0], heads[i][0], heads[i][1]["th"]) for i in range(len(heads))] if heads else []
-    # where the head of each range goes besides: to the end of the range before it
-    ahead = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(th).cast("long").alias("th"), F.lit(to).alias("to"), F.lit(-heads[i][1]["k"]).cast("long").alias("id")) for i, (to, r, th) in enumerate(firsts))) if firsts else F.array()
-    own = F.array(F.struct(F.col("range"), F.lit(False).alias("ahead")))
-    if firsts:
-        hit = F.filter(ahead, lambda x: (x["r"] == F.col("range")) & (x["th"] == F.col("th")) & ((x["id"] == F.col("doc_id")) | F.col("doc_id").isNull()))
-        own = F.concat(own, F.transform(hit, lambda x: F.struct(x["to"].alias("range"), F.lit(True).alias("ahead"))))
-    rows = rows.select("doc_id", "text", "th", F.explode(own).alias("at")).select("at.range", "at.ahead", "doc_id", "text", "th")
+    # the head of each range goes besides to the end of the range before it
+    firsts = [(r, x["th"], None if x["k"] == 2**63 - 1 else -x["k"], heads[i - 1][0]) for i, (r, x) in enumerate(heads)]
+    heads = F.broadcast(spark.createDataFrame(firsts, "range int, th long, doc_id long, before int"))  # one row for each range
+    same = (rows["range"] == heads["range"]) & (rows["th"] == heads["th"]) & rows["doc_id"].eqNullSafe(heads["doc_id"])
+    rows = rows.join(heads, same, "left").select(rows["range"], rows["doc_id"], "text", rows["th"], "before")
+    own = F.struct("range", F.lit(False).alias("ahead"))
+    at = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead"))))
+    rows = rows.withColumn("at", F.explode(at)).select("at.range", "at.ahead", "doc_id", "text", "th")
     return rows.repartition("range").sortWithinPartitions("range", "ahead", F.col("doc_id").desc_nulls_last(), "th").drop("th")
 
 
