@@ -3,8 +3,10 @@
 Wide patterns propose candidate spans; labelers of three sorts vote on each (for, against or
 abstaining): strict patterns and check sums, gazetteers, and context. The vote vectors of the whole
 corpus are counted in Spark; expectation-maximisation over these counts (a fixed number of distinct
-vectors, whatever the corpus) estimates each labeler's reliability without labels. The posteriors
-then train a logistic span classifier on votes, kind and shape, and it decides the final spans.
+vectors, whatever the corpus) estimates each labeler's reliability for each kind without labels. The posteriors
+then train a logistic span classifier, and it decides the final spans. Its inputs are kind and votes and what
+no labeler sees: the words before and after a span, its length and its runs of character classes (hashed).
+It is fitted on a sample of at most SAMPLED candidates, those of least hashes of what they are.
 
 Spans of the base patterns are always kept; the classifier adds others. Where an added span would
 overlap a base span or an earlier added one, it is left out.
@@ -13,6 +15,8 @@ overlap a base span or an earlier added one, it is left out.
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import extended
+from ._tables import Scratch, extended
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 SPANS = "array<struct<kind: string, start: int, end: int, base: boolean, score: double>>"
 CONTEXT = 40  # characters before a span that context labelers see
+SAMPLED, HASHED = 20_000, 512  # candidates that the classifier is fitted on, at most; hashed inputs of the classifier
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -102,15 +107,23 @@ def matches(text: str) -> list[tuple[str, int, int, bool]]:
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Base matches, flagged, and further candidates that don't overlap those that pass; by kind and start."""
     found = matches(text)
-    taken = sorted((a, b) for _, a, b, ok in found if ok)
     more = [(k, a, b) for k, a, b, ok in found if not ok]
     for kind, pattern, needs in _MORE:
         if needs is None or needs.search(text):
             more += [(kind, *(m.span("s") if "s" in pattern.groupindex else m.span())) for m in pattern.finditer(text)]
     out = [x for x in found if x[3]]
+    # candidates come by start, so an earlier one overlaps if it ends later; base spans are merged to disjoint ones and searched
+    starts, ends, done = [], [], 0
+    for a, b in sorted((a, b) for _, a, b, ok in found if ok):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for kind, a, b in sorted(more, key=lambda x: (x[1], -x[2], x[0])):
-        if not any(a < d and c < b for c, d in taken):
-            taken.append((a, b))
+        i = bisect_right(ends, a)
+        if a >= done and (i == len(ends) or starts[i] >= b):
+            done = b
             out.append((kind, a, b, False))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1]))
 
@@ -148,66 +161,95 @@ def votes(text: str, kind: str, a: int, b: int, ok: bool) -> tuple[int, ...]:
 LABELERS = 5
 
 
+def traits(text: str, kind: str, a: int, b: int) -> tuple[int, ...]:
+    """Hashed inputs of the classifier: two words before a span and one after, its length and its shape."""
+    before, after, s = text[max(0, a - CONTEXT) : a].lower().split()[-2:], text[b : b + CONTEXT // 2].lower().split()[:1], text[a:b]
+    shape = re.sub(r"(.)\1+", r"\1", "".join("d" if c.isdigit() else "a" if c.isalpha() else c for c in s[:CONTEXT]))
+    named = [*(f"b{w}" for w in before), *(f"a{w}" for w in after), f"n{min(12, (b - a) // 4)}", f"s{shape}"]
+    return tuple(sorted({zlib.crc32(f"{kind}:{x}".encode()) % HASHED for x in named}))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Reliabilities and the span classifier: a weight for each kind, and for each vote of each labeler."""
+    """Priors by kind and the span classifier: a weight for each kind, for each vote of each labeler, and for each hashed input."""
 
     prior: tuple[float, ...] = (0.5,) * len(KINDS)
     kind: tuple[float, ...] = (0.0,) * len(KINDS)
     vote: tuple[tuple[float, float, float], ...] = ((-1.0, 0.0, 1.0),) * LABELERS
+    trait: tuple[float, ...] = (0.0,) * HASHED
 
-    def score(self, kind: str, v: tuple[int, ...]) -> float:
-        z = self.kind[KINDS.index(kind)] + sum(w[x + 1] for w, x in zip(self.vote, v, strict=True))
+    def score(self, kind: str, v: tuple[int, ...], seen: tuple[int, ...] = ()) -> float:
+        z = self.kind[KINDS.index(kind)] + sum(w[x + 1] for w, x in zip(self.vote, v, strict=True)) + sum(self.trait[i] for i in seen)
         return float(1 / (1 + np.exp(-z)))
 
 
 def reliabilities(kind: np.ndarray, v: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM over counted vote vectors: prior by kind, P(vote | class) by labeler, and the posterior of each vector."""
-    given = np.stack([np.tile([0.2, 0.3, 0.5], (LABELERS, 1)), np.tile([0.5, 0.3, 0.2], (LABELERS, 1))])  # start: labelers do better than chance
-    prior = np.full(len(KINDS), 0.5)
+    """EM over counted vote vectors: prior by kind, P(vote | class) by kind and labeler, and the posterior of each vector."""
+    start = np.array([[0.2, 0.3, 0.5], [0.5, 0.3, 0.2]])  # labelers do better than chance
+    given = np.tile(start[:, None, None, :], (1, len(KINDS), LABELERS, 1))
+    prior, labeler = np.full(len(KINDS), 0.5), np.arange(LABELERS)
     for _ in range(rounds):
-        like = np.stack([np.log(given[c][np.arange(LABELERS), v + 1]).sum(1) for c in (0, 1)])
+        like = np.log(given[:, kind[:, None], labeler, v + 1]).sum(2)
         z = like[0] - like[1] + np.log(prior[kind]) - np.log1p(-prior[kind])
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         for k in range(len(KINDS)):
             at = kind == k
             prior[k] = np.clip((n[at] @ post[at] + 1) / (n[at].sum() + 2), 0.01, 0.99)
-        for c, p in ((0, post), (1, 1 - post)):
-            for j in range(LABELERS):
-                hits = np.array([(n * p)[v[:, j] == x].sum() for x in (-1, 0, 1)]) + given[c][j] * 2
-                given[c][j] = np.clip(hits / hits.sum(), 0.01, 0.98)
+        for c, p in ((0, n * post), (1, n * (1 - post))):
+            hits = lambda at: np.stack([(p[at][:, None] * (v[at] == x)).sum(0) for x in (-1, 0, 1)], 1)  # noqa: B023, E731
+            pooled = hits(np.full(len(n), True)) + start[c] * 4
+            pooled /= pooled.sum(1, keepdims=True)
+            for k in range(len(KINDS)):  # a kind with few candidates leans on all of them
+                own = hits(kind == k) + pooled * 20
+                given[c, k] = np.clip(own / own.sum(1, keepdims=True), 0.01, 0.98)
     return prior, given, post
 
 
-def train(kind: np.ndarray, v: np.ndarray, n: np.ndarray) -> Model:
-    """Logistic regression on the posteriors, weighted by counts, by gradient steps of fixed number."""
+def train(kind: np.ndarray, v: np.ndarray, n: np.ndarray, sample: list[tuple[tuple[int, ...], tuple[int, ...]]] = ()) -> Model:
+    """Logistic regression on the posteriors of counted vote vectors by gradient steps of fixed number.
+
+    sample: (kind and votes, hashed inputs) of candidates; without one, the vectors themselves are learned from, by their counts."""
     if not len(n):
         return Model()
     prior, _, post = reliabilities(kind, v, n)
-    x = np.concatenate([np.eye(len(KINDS))[kind], *(np.eye(3)[v[:, j] + 1] for j in range(LABELERS))], axis=1)
-    start = Model()
-    w = np.concatenate([start.kind, *(np.array(t) for t in start.vote)])
-    first, share = w.copy(), n / n.sum()
-    for _ in range(400):
+    at = {(k, *row): i for i, (k, row) in enumerate(zip(kind.tolist(), v.tolist(), strict=True))}
+    rows = np.array([at[key] for key, _ in sample] or np.arange(len(n)), int)
+    share = np.full(len(rows), 1 / len(rows)) if len(sample) else n / n.sum()
+    seen = np.zeros((len(rows), HASHED))
+    for i, (_, traits_) in enumerate(sample):
+        seen[i, list(traits_)] = 1
+    x = np.concatenate([np.eye(len(KINDS))[kind[rows]], *(np.eye(3)[v[rows, j] + 1] for j in range(LABELERS)), seen], axis=1)
+    start, post = Model(), post[rows]
+    w = np.concatenate([start.kind, *(np.array(t) for t in start.vote), start.trait])
+    first = w.copy()
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (share * (p - post)) + 1e-3 * (w - first))
-    k = len(KINDS)
-    return Model(tuple(prior.tolist()), tuple(w[:k].tolist()), tuple(tuple(w[k + 3 * j : k + 3 * j + 3].tolist()) for j in range(LABELERS)))
+        w -= 1.0 * (x.T @ (share * (p - post)) + 1e-3 * (w - first))
+    k, m = len(KINDS), len(KINDS) + 3 * LABELERS
+    return Model(tuple(prior.tolist()), tuple(w[:k].tolist()), tuple(tuple(w[k + 3 * j : k + 3 * j + 3].tolist()) for j in range(LABELERS)), tuple(w[m:].tolist()))
 
 
 def fit(docs: DataFrame) -> Model:
-    """Learn from the votes on all candidates of docs (text). What the driver gets has at most 6 * 3^5 rows."""
+    """Learn from the votes on all candidates of docs (text); null texts have none, repeated rows count, an empty table gives the start model.
+
+    What the driver gets has at most 6 * 3^5 rows of counts and SAMPLED candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, *votes(t, k, a, b, ok)) for t in batch["text"].to_pylist() if t for k, a, b, ok in candidates(t)]
-            kinds, *columns = zip(*rows, strict=True) if rows else [()] * (LABELERS + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array(c, pa.int32()) for c in columns)], names=["kind", *names])
+            rows = [(k, *votes(t, k, a, b, ok), traits(t, k, a, b)) for t in batch["text"].to_pylist() if t for k, a, b, ok in candidates(t)]
+            kinds, *columns, seen = zip(*rows, strict=True) if rows else [()] * (LABELERS + 2)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), *(pa.array(c, pa.int32()) for c in columns), pa.array(seen, pa.list_(pa.int32()))], names=["kind", *names, "seen"])
 
     names = [f"v{i}" for i in range(LABELERS)]
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, " + ", ".join(f"{c} int" for c in names))
-    rows = sorted(found.groupBy("kind", *names).agg(F.count("*").alias("n")).collect())
-    return train(np.array([KINDS.index(r[0]) for r in rows], int), np.array([r[1:-1] for r in rows], int).reshape(len(rows), LABELERS), np.array([r[-1] for r in rows], float))
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, " + ", ".join(f"{c} int" for c in names) + ", seen array<int>")
+    # candidates alone are written: the texts are read once
+    scratch = Scratch(docs.sparkSession, "pii")
+    found = scratch.save(found.groupBy("kind", *names, "seen").agg(F.count("*").alias("n")))
+    rows = sorted(found.groupBy("kind", *names).agg(F.sum("n").alias("n")).collect())
+    picked = found.withColumn("h", F.xxhash64("kind", *names, "seen")).orderBy("h", "kind", *names, "seen").limit(SAMPLED).collect()
+    scratch.keep_only()
+    sample = [((KINDS.index(r[0]), *r[1 : 1 + LABELERS]), tuple(r["seen"])) for r in picked]
+    return train(np.array([KINDS.index(r[0]) for r in rows], int), np.array([r[1:-1] for r in rows], int).reshape(len(rows), LABELERS), np.array([r[-1] for r in rows], float), sample)
 
 
 def find(docs: DataFrame, model: Model, keep: list[str] | None = None, redact: bool = False, least: float = 0.5) -> DataFrame:
@@ -226,7 +268,7 @@ def find(docs: DataFrame, model: Model, keep: list[str] | None = None, redact: b
             for t in batch["text"].to_pylist():
                 spans = []
                 for k, a, b, ok in candidates(t) if t else ():
-                    score = model.score(k, votes(t, k, a, b, ok))
+                    score = model.score(k, votes(t, k, a, b, ok), traits(t, k, a, b))
                     if ok or score >= least:
                         spans.append({"kind": k, "start": a, "end": b, "base": ok, "score": score})
                 out.append(spans)

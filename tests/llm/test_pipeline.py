@@ -23,7 +23,7 @@ def test_stages_match_brute_force(spark):
     model = pii.fit(spark.createDataFrame([(t,) for t in unique.values()], "text string"))
     masked = {}
     for i, t in unique.items():
-        spans = [(a, b, k) for k, a, b, ok in pii.candidates(t) if ok or model.score(k, pii.votes(t, k, a, b, ok)) >= 0.5]
+        spans = [(a, b, k) for k, a, b, ok in pii.candidates(t) if ok or model.score(k, pii.votes(t, k, a, b, ok), pii.traits(t, k, a, b)) >= 0.5]
         for a, b, k in sorted(spans, reverse=True):
             t = f"{t[:a]}<{k.upper()}>{t[b:]}"
         masked[i] = t
