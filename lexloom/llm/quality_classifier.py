@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Texts become hashed counts of words' shapes, endings and signs, weighted by the inverse document
-frequencies of the whole corpus. A bounded sample of labelled documents (LABELLED of them) gives the
+Texts become hashed counts of their words (half of the features) and of words' shapes, endings and
+lengths (the other half), weighted by the inverse document frequencies of the whole corpus. A bounded sample of labelled documents (LABELLED of them) gives the
 latent space (a truncated SVD) and stays as labelled vectors, which are broadcast: LABELLED * RANK
 floats, whatever the corpus. Every document's vector is multiplied with all of them in blocks, and
 its NEAREST neighbours by exact cosine vote with their labels, weighted by similarity and by how rare
@@ -24,8 +24,8 @@ from ._tables import extended
 from ._text import hash_words, mix, slices, utf8
 
 #: Features; labelled documents at most in the sample; latent dimensions; neighbours; documents in a block.
-FEATURES, LABELLED, RANK, NEAREST, BLOCKED = 1024, 4000, 48, 25, 256
-EXTRA = 16
+FEATURES, LABELLED, RANK, NEAREST, BLOCKED = 2048, 4000, 64, 25, 256
+EXTRA, TERMS = 16, 1024
 _CLASS = np.zeros(256, np.uint8)  # 0 letter bytes a-z and beyond ASCII, 1 A-Z, 2 digit, 3.. signs
 _CLASS[65:91] = 1
 _CLASS[48:58] = 2
@@ -34,10 +34,10 @@ for _i, _b in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """Hashed counts (documents x FEATURES): for each word its shape (runs of byte classes), its last two bytes and its length; and repeated words."""
+    """Hashed counts (documents x FEATURES): for each word itself, its shape (runs of byte classes), its last two bytes and its length; and repeated words."""
     data = b" ".join(texts)
     b = np.frombuffer(data, np.uint8)
-    _, starts, ends = hash_words(data)
+    name, starts, ends = hash_words(data)
     first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     doc = np.searchsorted(first, starts, side="right") - 1
     kind = _CLASS[b]
@@ -56,7 +56,8 @@ def features(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     out = np.zeros(n * FEATURES, np.float32)
     for salt, value in ((1, shape), (2, tail), (3, length), (4, shape * np.uint64(31) + length)):
-        out += np.bincount(doc * FEATURES + (mix(value, salt) % np.uint64(FEATURES - EXTRA)).astype(np.int64), minlength=n * FEATURES)
+        out += np.bincount(doc * FEATURES + TERMS + (mix(value, salt) % np.uint64(FEATURES - TERMS - EXTRA)).astype(np.int64), minlength=n * FEATURES)
+    out += np.bincount(doc * FEATURES + (mix(name, 5) % np.uint64(TERMS)).astype(np.int64), minlength=n * FEATURES)
     return out.reshape(n, FEATURES)
 
 
@@ -116,9 +117,13 @@ class Model:
         for a in range(0, len(texts), BLOCKED):
             cosine = self.latent(texts[a : a + BLOCKED]) @ self.known
             k = min(NEAREST, cosine.shape[1])
-            best = np.argpartition(cosine, -k, axis=1)[:, -k:]
-            vote = np.maximum(np.take_along_axis(cosine, best, axis=1).astype(np.float64), 0.05) ** 8 * self.value[best]
-            out[a : a + BLOCKED] = (vote * self.label[best]).sum(1) / vote.sum(1)
+            # ties with the last of the nearest vote too, so the order of labelled rows does not matter
+            last = np.partition(cosine, -k, axis=1)[:, -k][:, None]
+            vote = np.where(cosine >= last, np.maximum(cosine, 0.05).astype(np.float64), 0)
+            for _ in range(3):
+                vote *= vote
+            vote *= self.value
+            out[a : a + BLOCKED] = (vote @ self.label) / vote.sum(1)
         return np.clip(out, 0, 1)
 
 
@@ -177,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs (text, more) -> the columns of keep (all by default) and score, from 0 to 1: higher, likelier good.
 
-    Null texts are scored as empty. A column named score is replaced. One row for each row."""
+    Null texts are scored as empty: nothing is nearest, all labelled rows vote alike. Repeated rows score alike, an empty table
+    gives an empty result. A column named score is replaced. One row for each row."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     schema = extended(docs, kept, "score double")
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,3 +1,5 @@
+import numpy as np
+from pyspark.sql import functions as F
 import zlib
 
 from lexloom.llm import quality_classifier
@@ -36,3 +38,25 @@ def test_edges(spark):
     none = quality_classifier.fit(docs.limit(0), labels.limit(0))
     assert {r.score for r in quality_classifier.score(docs, none).collect()} == {0.5}
     assert quality_classifier.score(docs.limit(0), model).collect() == []
+
+
+def test_scores_match_naive_neighbours(spark):
+    """Every cosine by itself, the nearest by sorting, their votes by a loop."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.fit(docs, labels)
+    some = docs.filter("doc_id < 120").unionByName(docs.filter("doc_id < 1").withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit(None).cast("string")}))
+    texts = {r.doc_id: (r.text or "").encode() for r in some.collect()}
+    for r in quality_classifier.score(some, model, keep=["doc_id"]).collect():
+        z = (quality_classifier.vectors([texts[r.doc_id]])[0].astype(float) * model.weight) @ model.axes
+        z /= max(np.linalg.norm(z), 1e-9)
+        cosines = [float(z @ model.known[:, j]) for j in range(model.known.shape[1])]
+        least = sorted(cosines)[-quality_classifier.NEAREST]
+        near = [(c, j) for j, c in enumerate(cosines) if c >= least - 1e-9]
+        votes = [(max(c, 0.05) ** 8 * model.value[j], model.label[j]) for c, j in near]
+        assert abs(r.score - sum(v * y for v, y in votes) / sum(v for v, _ in votes)) < 2e-3
+
+
+def test_words_are_features():
+    a, b = quality_classifier.features([b"alpha beta", b"gamma beta"])
+    assert (a[: quality_classifier.TERMS] != b[: quality_classifier.TERMS]).any()
