@@ -1,13 +1,15 @@
 """Quality rules: line-first cleaning.
 
-Each line is judged by itself: a line that does not end as a sentence does, a navigation bar, a
-boilerplate line, one of symbols or of shouting, or a repeat of an earlier line goes. A document
+Each line is judged by itself: a line that does not end as a sentence does (in any script that marks
+sentences), a navigation bar, a line of which boilerplate phrases make up an eighth or more of the words,
+one of symbols or of shouting, or a repeat of an earlier line goes. Prose that only mentions such a phrase stays. A document
 that loses more than half of its characters in words to that is rejected, as is one that fails the
 base rules (under 50 words, or more than half of its words in repeated 3-word windows).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,23 +23,28 @@ SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\x0b\x0c\r"
 
 # Fixed values of the line rules.
-ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", '"', "'", ")", "]", "…", "”", "’", "»", "。", "！", "？"))
-INNER = (b". ", b"! ", b"? ")  # a line with a sentence's end inside is prose, however it ends
+TERMINALS = "։؝؞؟۔܀܁܂।॥၊။።፧፨᙮។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡"  # ends of sentences beyond ASCII
+ENDS = tuple(x.encode() for x in (".", "!", "?", ":", ";", '"', "'", ")", "]", "…", "”", "’", "»", *TERMINALS))
+UNMARKED = ((0x0E00, 0x0EFF),)  # Thai and Lao don't mark the ends of sentences
+INNER = (b". ", b"! ", b"? ", *(x.encode() for x in TERMINALS))  # a line with a sentence's end inside is prose, however it ends
 BARS = (b"|", b">", b"/", "»".encode(), "•".encode(), "·".encode())
 BOILERPLATE = (
-    b"all rights reserved", b"licensed under", b"is licensed under", b"released under the", b"copyright (c)",
+    b"all rights reserved", b"licensed under", b"released under the", b"copyright (c)",
     b"terms of use", b"terms of service", b"privacy policy", b"cookie policy", b"we use cookies", b"accept cookies",
     b"click here", b"read more", b"sign up", b"log in", b"subscribe to", b"skip to content", b"back to top",
     b"enable javascript", b"javascript is disabled", b"share this", b"follow us on", b"lorem ipsum",
 )
 
+_PHRASES = re.compile(rb"(?<![a-z0-9\x80-\xff])(" + b"|".join(map(re.escape, BOILERPLATE)) + rb")(?![a-z0-9\x80-\xff])")
+_INNER = re.compile(b"|".join(map(re.escape, INNER)))
+
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def line_passes(line: bytes, plain: bool) -> bool:
     """Whether a line with a word stays; plain: it has no symbol and no exclamation mark."""
     line = line.strip(BLANKS)
-    if not line.endswith(ENDS) and not any(x in line for x in INNER):
+    if not line.endswith(ENDS) and not _INNER.search(line) and not any(a <= ord(line[-4:].decode(errors="ignore")[-1]) <= b for a, b in UNMARKED):
         return False
     if not plain:
         words = line.split()  # bytes.split() parts at space and tab..CR
@@ -45,8 +52,8 @@ def line_passes(line: bytes, plain: bool) -> bool:
             return False
         if 10 * sum(map(line.count, (SYMBOLS[i : i + 1] for i in range(len(SYMBOLS))))) >= sum(len(w.decode()) for w in words):
             return False
-    low = line.lower()  # bytes: A-Z only
-    return not any(b in low for b in BOILERPLATE)
+    found = set(_PHRASES.findall(line.lower()))  # bytes: A-Z only
+    return not found or 8 * sum(len(p.split()) for p in found) < len(line.split())
 
 
 def clean(text: bytes) -> tuple[bytes, int, int]:
@@ -136,11 +143,14 @@ def oracle(table: str = "documents") -> str:
     wl AS (SELECT doc_id, line, i, regexp_extract_all(line, '{word}') AS w FROM line WHERE regexp_matches(line, '{word}')),
     rl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again, list_sum(list_transform(w, lambda x: length(x))) AS chars FROM wl),
     jl AS (SELECT *, NOT again
-        AND (len(list_filter([{quoted(ENDS)}], lambda e: ends_with(w[-1], e))) > 0 OR regexp_matches(line, '[.!?] .*{word}'))
+        AND (len(list_filter([{quoted(ENDS)}], lambda e: ends_with(w[-1], e))) > 0 OR regexp_matches(line, '[.!?] .*{word}') OR regexp_matches(line, '[{TERMINALS}]')
+            OR regexp_matches(w[-1], '[{"".join(f"{chr(a)}-{chr(b)}" for a, b in UNMARKED)}]$'))
         AND 2 * len(list_filter(w, lambda x: ends_with(x, '!!'))) < len(w)
         AND 5 * len(list_filter(w, lambda x: list_contains([{quoted(BARS)}], x))) < len(w)
         AND 10 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) < chars
-        AND len(list_filter([{quoted(BOILERPLATE)}], lambda p: contains(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), p))) = 0 AS good FROM rl),
+        AND coalesce(nullif(8 * list_sum(list_transform(list_filter([{quoted(BOILERPLATE)}],
+            lambda p: regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])' || regexp_escape(p) || '($|[^a-z0-9\\x{{80}}-\\x{{10FFFF}}])')),
+            lambda p: len(string_split(p, ' ')))), 0) < len(w), TRUE) AS good FROM rl),
     per AS (SELECT doc_id, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE good), 0) AS stay FROM jl GROUP BY doc_id),
     s AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,

@@ -31,6 +31,20 @@ def test_odd_texts_match_sql(spark, tmp_path):
     assert got == sql(f"{path}/*.parquet")
 
 
+def test_prose_with_phrases_and_other_scripts(spark, tmp_path):
+    plain = "we walked along the river and spoke of many things that had happened in that long and quiet year "
+    lines = [plain + p.decode() + " " + plain for p in quality_rules.BOILERPLATE] + [p.decode().title() + " now" for p in quality_rules.BOILERPLATE]
+    lines += ["a blog in our catalog in town.", "ภาษาไทย ไม่มี จุด", "यह एक वाक्य है।", "یہ ایک جملہ ہے۔", "Սա նախադասություն է։", "これは文です。次の文", "no end", "éclick here.", "Click here, read more: sign up."]
+    rows = [(i, line if i % 2 else line + "\n" + " ".join([line] * 60)) for i, line in enumerate(lines)]
+    rows.append((900, plain * 10 + "click here for more, and " + plain * 3 + "the end."))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path)
+    judged = quality_rules.judge(spark.read.parquet(path), keep=["doc_id"])
+    assert sorted((tuple(x) for x in judged.select(*COLUMNS).collect()), key=str) == sql(f"{path}/*.parquet")
+    assert quality_rules.line_passes(rows[-1][1].encode(), True)
+    assert quality_rules.line_passes("यह एक वाक्य है।".encode(), True) and not quality_rules.line_passes(b"Click here, read more: sign up.", True)
+
+
 def test_cleaning_and_clashing_columns(spark):
     good = "This is a plain sentence of several words, and it ends well. " * 2
     lines = [good + f"Line {i} says more about the number {i * 7}." for i in range(6)]
