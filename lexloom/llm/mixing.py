@@ -5,7 +5,8 @@ source is released at floor(j / w) and due at ceil((j + 1) / w); in each slot th
 the earliest deadline goes. A source is then never a whole block ahead of its weight or behind it.
 
 Weights are taken exactly as given (floats as fractions), so no rounding adds up over the corpus. The schedule is made on the
-driver from weights and numbers of blocks: one step for each block of BLOCK documents. A source that has run out leaves its share
+driver from weights and numbers of blocks: one step for each block. A block has BLOCK documents, or more in a corpus that would have
+over BLOCKS of them, so the driver's work and what is broadcast have a bound. A source that has run out leaves its share
 free; sources with weight 0 come after all others. Documents get their number in their source by counts of hash ranges, so a source
 that holds a third of all rows is numbered in many tasks.
 """
@@ -23,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Slots in a period, documents in a block, documents that one task numbers at most, about, and blocks up to which the schedule is broadcast.
-PERIOD, BLOCK, CHUNK, SMALL = 1000, 16, 20_000, 1_000_000
+PERIOD, BLOCK, CHUNK, SMALL = 1000, 16, 2_000, 1_000_000
+#: Blocks that the schedule has at most, about (blocks get larger beyond), and sources; more of these are an error.
+BLOCKS, SOURCES = 1 << 18, 100_000
 
 
 def apportion(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -75,9 +78,17 @@ def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
     return list(deal(slots, slots))
 
 
+def _counts(docs: DataFrame) -> list[tuple[str, int]]:
+    """The sources with their numbers of documents."""
+    found = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().limit(SOURCES + 1).collect()
+    if len(found) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    return [(s, n) for s, n in found]
+
+
 def target_slots(docs: DataFrame, weights: dict[str, float] | None = None, period: int | None = None) -> dict[str, float]:
     """The weight of each source of docs: of weights (0 where it has none), else the root of its count; with a period, rounded to whole slots of it."""
-    counts = {s: n for s, n in docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().collect()}
+    counts = dict(_counts(docs))
     found = {s: max(0.0, float(weights.get(s, 0.0))) if weights is not None else isqrt(n << 20) for s, n in counts.items()}
     return apportion(found, period) if period else found
 
@@ -96,7 +107,7 @@ def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return ranked.join(sizes, ["_s", "_c"]).withColumn("rank", F.col("_before") + F.col("_r") - 1).drop("_h", "_c", "_r", "_before")
 
 
-def mix(docs: DataFrame, slots: dict[str, float], block: int = BLOCK) -> DataFrame:
+def mix(docs: DataFrame, slots: dict[str, float], block: int | None = None) -> DataFrame:
     """docs (doc_id, source, more) -> the same columns with block (in the source), slot, place (in the slot), release and deadline (slots).
 
     slots: weights of the sources, relative to their sum. No document is dropped or repeated: a source that has run out leaves its share
@@ -105,7 +116,8 @@ def mix(docs: DataFrame, slots: dict[str, float], block: int = BLOCK) -> DataFra
     spark: SparkSession = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline"]
     docs = docs.select(*(c for c in docs.columns if c not in (*added, "rank")))
-    counts = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().collect()
+    counts = _counts(docs)
+    block = block or max(BLOCK, -(-sum(n for _, n in counts) // BLOCKS))
     names = sorted(s for s, _ in counts)
     at, columns = {s: i for i, s in enumerate(names)}, [array("q") for _ in range(5)]
     for s, *numbers in deal(slots, {s: -(-n // block) for s, n in counts}):
@@ -118,7 +130,7 @@ def mix(docs: DataFrame, slots: dict[str, float], block: int = BLOCK) -> DataFra
     return rows.join(F.broadcast(plan) if few else plan, ["_s", "block"]).select(*docs.columns, *added)
 
 
-def in_order(docs: DataFrame, slots: dict[str, float], block: int = BLOCK) -> DataFrame:
+def in_order(docs: DataFrame, slots: dict[str, float], block: int | None = None) -> DataFrame:
     """docs in the mixed order (files and rows within them), with their own columns."""
     mixed = mix(docs, slots, block)
     return mixed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(*(c for c in docs.columns))

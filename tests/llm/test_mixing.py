@@ -31,3 +31,42 @@ def test_sources_without_weight_come_last(spark):
     slots = sorted({(r.slot, r.source) for r in got})
     assert len({t for t, _ in slots}) == len(slots) == 225
     assert abs(sum(s == "a" for _, s in slots[:50]) - 45) < 1
+
+
+def naive(weights, blocks):
+    """Slot by slot over all sources: of the released blocks the one that is due first."""
+    from fractions import Fraction
+    from math import ceil, floor
+
+    total = sum(Fraction(w) for w in weights.values())
+    share, done, t, out = {s: Fraction(weights[s]) / total for s in blocks}, dict.fromkeys(blocks, 0), 0, []
+    while any(done[s] < blocks[s] for s in blocks):
+        ready = [(ceil((done[s] + 1) / share[s]), ceil((done[s] + 2) / share[s]), s) for s in blocks if done[s] < blocks[s] and floor(done[s] / share[s]) <= t]
+        if ready:
+            s = min(ready)[2]
+            out.append((s, done[s], t))
+            done[s] += 1
+        t += 1
+    return out
+
+
+def test_documents_get_the_naive_schedule(spark):
+    sizes = {"a": 137, "b": 64, "c": 9, "": 31}
+    docs = spark.createDataFrame([(1000 * i + j, s or None) for i, (s, n) in enumerate(sizes.items()) for j in range(n)], "doc_id long, source string").repartition(3)
+    weights, block = {"a": 0.47, "b": 0.31, "c": 0.02, "": 0.2}, 4
+    slot_of = {(s, j): t for s, j, t in naive(weights, {s: -(-n // block) for s, n in sizes.items()})}
+    got = mixing.mix(docs, mixing.target_slots(docs, weights), block).collect()
+    assert {(r.source or "", r.block): r.slot for r in got} == slot_of
+    for s, n in sizes.items():
+        own = [r for r in got if (r.source or "") == s]
+        assert sorted(r.block * block + r.place for r in own) == list(range(n))
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 10)
+    docs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(1000)], "doc_id long, source string")
+    got = mixing.mix(docs, mixing.target_slots(docs)).collect()
+    assert len(got) == 1000 and max(r.place for r in got) == 99 and len({r.slot for r in got}) == 10
+    monkeypatch.setattr(mixing, "SOURCES", 1)
+    with pytest.raises(ValueError, match="more than 1 sources"):
+        mixing.target_slots(docs)
