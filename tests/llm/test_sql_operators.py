@@ -69,6 +69,15 @@ def test_snapshots(spark):
     assert chat_format.render(turns.limit(0)).collect() == []
 
 
+def test_nulls_count_as_what_they_are_rendered_as(spark, tmp_path):
+    data = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "hi"), (2, 1, "assistant", ""), (2, 2, "user", "go"), (3, 0, None, "x"), (4, 0, "unknown", "x"), (5, 0, None, None), (5, 0, "unknown", "")]
+    path = str(tmp_path / "c.parquet")
+    spark.createDataFrame(data, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    got = rows(chat_format.render(spark.read.parquet(path)), CHAT)
+    assert got == sql(f"{path}/*.parquet", "conversations", chat_format.oracle(), CHAT)
+    assert [r[:3] for r in got] == [(2, 3, 1), (3, 1, 2), (5, 1, 1)]
+
+
 def test_schedule_keeps_every_source_within_a_block():
     for shares in ({"a": 1}, {"a": 5, "b": 3, "c": 1}, {f"s{i}": i * i + 1 for i in range(23)}, {"a": 1e9, "b": 1, "c": 0}):
         slots = mixing.apportion(shares, 200)
