@@ -59,13 +59,16 @@ def same_arcs(a: DataFrame, b: DataFrame, sent: list[str]) -> DataFrame:
 
 
 def attach_orphans(arcs: DataFrame, sent: list[str], root_label: str = "ROOT") -> DataFrame:
-    """Tokens without a head get one: the first root of the sentence (relation punct), or are the root themselves where there is none (the first of them)."""
+    """Tokens without a head get one: the first token with root_label (relation punct), or are the root themselves where there is none (the first of them).
+
+    A token with root_label hangs from 0, whatever its head was."""
     by = Window.partitionBy(*sent)
-    root = F.coalesce(F.min(F.when((F.col("deprel") == root_label) | (F.col("head") == 0), F.col("id"))).over(by), F.min(F.when(F.col("head").isNull(), F.col("id"))).over(by))
+    labelled = F.col("head").isNotNull() & (F.col("deprel") == root_label)
+    root = F.coalesce(F.min(F.when(labelled, F.col("id"))).over(by), F.min(F.when(F.col("head").isNull(), F.col("id"))).over(by))
     orphan = F.col("head").isNull()
     rows = arcs.withColumn("_root", root)
     rows = rows.withColumn("deprel", F.when(orphan & (F.col("id") == F.col("_root")), F.lit("root")).when(orphan, F.lit("punct")).otherwise(F.col("deprel")))
-    return rows.withColumn("head", F.when(orphan & (F.col("id") == F.col("_root")), F.lit(0)).when(orphan, F.col("_root")).otherwise(F.col("head"))).drop("_root")
+    return rows.withColumn("head", F.when((orphan & (F.col("id") == F.col("_root"))) | labelled, F.lit(0)).when(orphan, F.col("_root")).otherwise(F.col("head"))).drop("_root")
 
 
 def merge_tokens(arcs: DataFrame, mapping: DataFrame, sent: list[str]) -> DataFrame:

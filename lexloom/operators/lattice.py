@@ -98,25 +98,39 @@ def renumber(edges: DataFrame, sent: list[str]) -> DataFrame:
 
 
 def bridge(edges: DataFrame, token: list[str]) -> DataFrame:
-    """An edge whose end has no edge and is not the top goes on to the next node."""
-    starts = edges.select(*token, F.col("from_node").alias("to_node")).distinct().withColumn("goes_on", F.lit(True))
-    found = edges.join(starts, [*token, "to_node"], "left").join(bounds(edges, token), token)
-    return found.withColumn("to_node", F.when(F.col("goes_on").isNull() & (F.col("to_node") < F.col("top")), F.col("to_node") + 1).otherwise(F.col("to_node"))).select(*edges.columns)
+    """An edge whose end has no edge and is not the top goes on to the next node, if an edge starts there."""
+    starts = edges.select(*token, F.col("from_node").alias("to_node")).distinct()
+    here, after = starts.withColumn("goes_on", F.lit(True)), starts.withColumn("to_node", F.col("to_node") - 1).withColumn("next", F.lit(True))
+    found = edges.join(here, [*token, "to_node"], "left").join(after, [*token, "to_node"], "left").join(bounds(edges, token), token)
+    lost = F.col("goes_on").isNull() & F.col("next").isNotNull() & (F.col("to_node") < F.col("top"))
+    return found.withColumn("to_node", F.when(lost, F.col("to_node") + 1).otherwise(F.col("to_node"))).select(*edges.columns)
 
 
 def meet_join(edges: DataFrame, token: list[str], longest: int) -> DataFrame:
-    """token, x, y (nodes, x < y), meet (the nearest node that reaches both) and join (the nearest that both reach)."""
+    """token, x, y (nodes, x < y), meet (the nearest node that reaches both) and join (the nearest that both reach).
+
+    Of the nodes that a way from y first shares with x, the one with the fewest edges to x (then to y, then the greater number for meet, the lesser
+    for join). Up to `longest` edges are followed."""
     link = edges.select(*token, "from_node", "to_node").distinct()
     every = edges.select(*token, F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    reach = every.select(*token, F.col("node").alias("a"), F.col("node").alias("b"))
-    front = reach
-    for _ in range(longest):
-        front = front.join(link.withColumnRenamed("from_node", "b"), [*token, "b"]).select(*token, "a", F.col("to_node").alias("b")).distinct()
+    reach = front = every.select(*token, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("d"))
+    for n in range(1, longest + 1):
+        front = front.join(link.withColumnRenamed("from_node", "b"), [*token, "b"]).select(*token, "a", F.col("to_node").alias("b"), F.lit(n).alias("d")).distinct()
         reach = reach.unionByName(front)
-    reach = reach.distinct()
+    reach = reach.groupBy(*token, "a", "b").agg(F.min("d").alias("d"))
     pair = every.withColumnRenamed("node", "x").join(every.withColumnRenamed("node", "y"), token).filter("x < y")
-    above = reach.withColumnsRenamed({"a": "m", "b": "x"}).join(reach.withColumnsRenamed({"a": "m", "b": "y"}), [*token, "m"]).groupBy(*token, "x", "y").agg(F.max("m").alias("meet"))
-    below = reach.withColumnsRenamed({"b": "j", "a": "x"}).join(reach.withColumnsRenamed({"b": "j", "a": "y"}), [*token, "j"]).groupBy(*token, "x", "y").agg(F.min("j").alias("join"))
+    back = link.select(*token, F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"))
+    xy = [*token, "x", "y"]
+
+    def nearest(start: str, end: str, way: DataFrame, sign: int, name: str) -> DataFrame:
+        from_x, from_y = (reach.select(*token, F.col(start).alias(v), F.col(end).alias("m"), F.col("d").alias(f"d{v}")) for v in "xy")
+        of_x, of_y = pair.join(from_x, [*token, "x"]), pair.join(from_y, [*token, "y"])
+        alone = of_y.join(of_x, [*xy, "m"], "left_anti").withColumnRenamed("m", "from_node").join(way, [*token, "from_node"]).select(*xy, F.col("to_node").alias("m"))
+        first = alone.unionByName(pair.select(*xy, F.col("y").alias("m"))).distinct()
+        both = of_x.join(of_y, [*xy, "m"]).join(first, [*xy, "m"], "left_semi")
+        return both.groupBy(*xy).agg(F.min(F.struct("dx", "dy", (sign * F.col("m")).alias("o"), "m"))["m"].alias(name))
+
+    above, below = nearest("b", "a", back, -1, "meet"), nearest("a", "b", link, 1, "join")
     return pair.join(above, [*token, "x", "y"], "left").join(below, [*token, "x", "y"], "left")
 
 
@@ -175,50 +189,73 @@ def gold_segmentation(candidates: DataFrame, gold: DataFrame, sent: list[str]) -
     return renumber(kept, sent)
 
 
-def lemma_readings(gold_edges: DataFrame, candidates: DataFrame, token: list[str], key: list[str]) -> DataFrame:
-    """gold edges with n_lemmas and the lemmas that candidates of the token have for the same key (base of G6, G7)."""
-    c = candidates.groupBy(*token, *key).agg(F.array_sort(F.collect_set("lemma")).alias("lemmas"))
-    return gold_edges.join(c, [*token, *key], "left").withColumn("n_lemmas", F.coalesce(F.size("lemmas"), F.lit(0)))
+def follow(gold_edges: DataFrame, candidates: DataFrame, token: list[str], keys: list[list[str]]) -> DataFrame:
+    """The gold path of each token followed through its lattice: a row for each step at which candidates match (base of G6 to G8).
+
+    At the node reached so far, for each gold morpheme in order and for each list of key columns in order, candidates (with lemma)
+    match whose keys equal the gold's. One lemma: on to the end of the first match (least end). Several lemmas: on to their end and
+    the next morpheme, or, with several ends, the token is over. No match: the node stays.
+    Gives token, morph_idx, n_gold, level, lemmas (sorted), matches (array of to_node, lemma, cpos) and top."""
+    value = lambda key: F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("_")) for c in key))
+    c = candidates.select(*token, F.struct("from_node", "to_node", "lemma", "cpos", F.array(*map(value, keys)).alias("k")).alias("e")).distinct()
+    c = c.groupBy(*token).agg(F.array_sort(F.collect_list("e")).alias("c"), F.max("e.to_node").alias("top"))
+    g = gold_edges.groupBy(*token).agg(F.array_sort(F.collect_list(F.struct("from_node", "to_node", F.array(*map(value, keys)).alias("k")))).alias("g"), F.min("from_node").alias("bottom"))
+    record = "struct<i: int, level: int, lemmas: array<string>, matches: array<struct<to_node: int, lemma: string, cpos: string>>>"
+    steps = f"flatten(transform(g, (x, i) -> transform(sequence(0, {len(keys) - 1}), l -> struct(i, l, x.k[l] as key))))"
+    hit = "filter(c, e -> e.from_node = s.cur and e.k[t.l] = t.key)"
+    seen = "struct(t.i, t.l as level, sort_array(ls) as lemmas, transform(m, x -> struct(cast(x.to_node as int) as to_node, x.lemma, x.cpos)) as matches)"
+    ends = "size(array_distinct(transform(m, x -> x.to_node)))"
+    over = f"(size(ls) > 1 and {ends} > 1)"
+    moved = f"struct(if({over}, s.cur, cast(m[0].to_node as int)) as cur, {over} as over, if(size(ls) > 1, t.i, s.done) as done, array_append(s.seen, {seen}) as seen)"
+    step = f"transform(array({hit}), m -> if(size(m) = 0, s, transform(array(array_distinct(transform(m, x -> x.lemma))), ls -> {moved})[0]))[0]"
+    start = f"struct(cast(bottom as int) as cur, false as over, -1 as done, cast(array() as array<{record}>) as seen)"
+    walk = F.expr(f"aggregate({steps}, {start}, (s, t) -> if(s.over or s.done = t.i, s, {step}), s -> s.seen)")
+    out = g.join(c, token).select(*token, "top", F.size("g").alias("n_gold"), F.explode(walk).alias("s"))
+    return out.select(*token, F.col("s.i").alias("morph_idx"), "n_gold", "s.level", "s.lemmas", "s.matches", "top")
 
 
 def ambiguous_lemmas(gold_edges: DataFrame, candidates: DataFrame, token: list[str], key: list[str]) -> DataFrame:
-    """Gold edges whose key has several lemmas, up to the token's first edge that no candidate matches."""
-    found = lemma_readings(gold_edges, candidates, token, key)
-    broken = F.max(F.col("n_lemmas") == 0).over(Window.partitionBy(*token).orderBy("from_node").rowsBetween(Window.unboundedPreceding, 0))
-    return found.withColumn("_b", broken).filter("n_lemmas > 1 and not _b").drop("_b")
+    """token, morph_idx, n_lemmas, lemmas: gold morphemes whose key has several lemmas where the gold path has come to."""
+    return follow(gold_edges, candidates, token, [key]).filter("size(lemmas) > 1").select(*token, "morph_idx", F.size("lemmas").alias("n_lemmas"), "lemmas")
 
 
 def unambiguous_lemmas(gold_edges: DataFrame, candidates: DataFrame, token: list[str], keys: list[list[str]]) -> DataFrame:
-    """Gold edges with the one lemma that their first matching key leaves, and that key's place in keys."""
-    out = None
-    for i, key in enumerate(keys):
-        found = lemma_readings(gold_edges, candidates, token, key).filter("n_lemmas > 0").select(*token, "from_node", F.struct(F.lit(i).alias("level"), "n_lemmas", "lemmas").alias("hit"))
-        out = found if out is None else out.unionByName(found)
-    return out.groupBy(*token, "from_node").agg(F.min("hit").alias("hit")).filter("hit.n_lemmas = 1").select(*token, "from_node", "hit.level", F.col("hit.lemmas")[0].alias("lemma"))
+    """token, morph_idx, level, cpos, lemma: steps with one match and its lemma, by keys in order (G7). As in the tool that this follows, further
+    keys of a morpheme are tried from the node that a match leads to."""
+    one = follow(gold_edges, candidates, token, keys).filter("size(lemmas) = 1 and size(matches) = 1").select(*token, "morph_idx", "level", F.col("matches")[0].alias("m"))
+    return one.select(*token, "morph_idx", "level", "m.cpos", "m.lemma").filter("lemma not in ('', '_')")
+
+
+def suffix_conflicts(gold_edges: DataFrame, candidates: DataFrame, token: list[str], key: list[str]) -> DataFrame:
+    """token, morph_idx, lemma: gold morphemes but the last whose one lemma has two matches, one to the top and one that goes on."""
+    two = follow(gold_edges, candidates, token, [key]).filter("size(lemmas) = 1 and size(matches) = 2 and morph_idx < n_gold - 1")
+    return two.filter("(matches[0].to_node = top) <> (matches[1].to_node = top)").select(*token, "morph_idx", F.col("lemmas")[0].alias("lemma"))
 
 
-def suffix_conflicts(gold_edges: DataFrame, candidates: DataFrame, token: list[str]) -> DataFrame:
-    """Gold forms that end the token in one candidate reading and are followed by more in another, with a different lemma."""
-    tops = bounds(candidates, token)
-    c = candidates.join(tops, token).withColumn("ends", F.col("to_node") == F.col("top"))
-    sides = c.groupBy(*token, "form").agg(F.array_sort(F.collect_set(F.when(F.col("ends"), F.col("lemma")))).alias("ending"), F.array_sort(F.collect_set(F.when(~F.col("ends"), F.col("lemma")))).alias("going"))
-    return gold_edges.select(*token, "form").distinct().join(sides, [*token, "form"]).filter("size(ending) > 0 and size(going) > 0 and size(array_except(ending, going)) > 0")
+#: Fixed values of the two repairs.
+FUSED_PREFIXES, CLITIC_HOSTS, CLITIC_HOST_TAG, CLITIC_TAG = ("B", "K", "L"), ("ECMW", "ECMI", "ECMH", "ECMM"), "PRP", "S_PRN"
 
 
 def repair_fused_h(edges: DataFrame, token: list[str]) -> DataFrame:
-    """A prefix edge followed by exactly one H edge with the same end as another edge of the prefix's form gets that end itself as well."""
-    h = edges.filter("form = 'H'").groupBy(*token, F.col("from_node").alias("to_node")).agg(F.count("*").alias("n"), F.max("to_node").alias("h_to")).filter("n = 1")
-    fused = edges.join(h, [*token, "to_node"]).select(*(F.col("h_to").alias("to_node") if c == "to_node" else F.col(c) for c in edges.columns))
-    return edges.unionByName(fused)
-
-
-def merge_clitics(edges: DataFrame, token: list[str], marker: str = "ECMx", clitic: str = "CLITIC") -> DataFrame:
-    """A marker edge takes the end and form of the clitic edge after it, which goes."""
-    nxt = edges.filter(F.col("cpos") == clitic).select(*token, F.col("from_node").alias("to_node"), F.col("to_node").alias("c_to"), F.col("form").alias("c_form"))
-    marked = edges.filter(F.col("cpos") == marker).join(nxt, [*token, "to_node"], "left")
-    merged = marked.select(*(F.coalesce("c_to", "to_node").alias("to_node") if c == "to_node" else F.concat("form", F.coalesce("c_form", F.lit(""))).alias("form") if c == "form" else F.col(c) for c in edges.columns))
-    gone = marked.filter("c_to is not null").select(*token, F.col("to_node").alias("from_node"), F.lit(clitic).alias("cpos")).distinct()
-    return edges.filter(F.col("cpos") != marker).join(gone, [*token, "from_node", "cpos"], "left_anti").select(*edges.columns).unionByName(merged)
+    """A fused prefix (B, K, L) beside the same prefix followed by a single H edge to the fused one's end goes; what follows it starts at the bare prefix's end too."""
+    p = edges.filter(F.col("form").isin(*FUSED_PREFIXES)).select(*token, "from_node", "form", "cpos", "to_node").distinct()
+    only = edges.groupBy(*token, F.col("from_node").alias("bare")).agg(F.count("*").alias("n"), F.max("form").alias("h"), F.max("to_node").alias("to_node")).filter("n = 1 and h = 'H'")
+    fused = p.join(p.withColumnRenamed("to_node", "bare"), [*token, "from_node", "form", "cpos"]).join(only, [*token, "bare", "to_node"])
+    fused = fused.select(*token, "from_node", "form", "cpos", "to_node", "bare").distinct()
+    after = edges.join(fused.select(*token, F.col("to_node").alias("from_node"), "bare").distinct(), [*token, "from_node"])
+    copies = after.select(*(F.col("bare").alias(c) if c == "from_node" else F.col(c) for c in edges.columns))
+    return edges.join(fused, [*token, "from_node", "form", "cpos", "to_node"], "left_anti").select(*edges.columns).unionByName(copies)
+
+
+def merge_clitics(edges: DataFrame, token: list[str]) -> DataFrame:
+    """edges with feat_str: a PRP edge of the forms ECMW, ECMI, ECMH, ECMM takes end and features of the edge after it (the first by end and
+    form), if that is tagged S_PRN, and that edge goes (J18)."""
+    first = edges.groupBy(*token, F.col("from_node").alias("to_node")).agg(F.min(F.struct(F.col("to_node").alias("end"), "form", "cpos", "feat_str")).alias("c"))
+    host = (F.col("cpos") == CLITIC_HOST_TAG) & F.col("form").isin(*CLITIC_HOSTS)
+    found = edges.join(first.filter(F.col("c.cpos") == CLITIC_TAG), [*token, "to_node"], "left").withColumn("_m", host & F.col("c").isNotNull())
+    gone = found.filter("_m").select(*token, F.col("to_node").alias("from_node"), F.col("c.end").alias("to_node"), "c.form", "c.cpos").distinct()
+    merged = found.withColumn("to_node", F.when(F.col("_m"), F.col("c.end")).otherwise(F.col("to_node"))).withColumn("feat_str", F.when(F.col("_m"), F.col("c.feat_str")).otherwise(F.col("feat_str")))
+    return merged.select(*edges.columns).join(gone, [*token, "from_node", "to_node", "form", "cpos"], "left_anti").select(*edges.columns)
 
 
 def shared_beginning(a: DataFrame, b: DataFrame, sent: list[str], value: str) -> DataFrame:

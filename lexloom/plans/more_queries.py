@@ -143,18 +143,37 @@ def b19_same_morphs(spark, d):
     return m.join(prior, TOKEN).filter(text.same_morph("m", "before")).groupBy("doc_id").agg(F.count("*").alias("n_same"))
 
 
-# an H edge is put behind every prefix, to the end of the token
-@query(LAT + "SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE to_node = 2 AND cpos = 'PREFIX') AS fused FROM (SELECT doc_id, line_no, tok_no, to_node, cpos FROM edge UNION ALL SELECT DISTINCT doc_id, line_no, tok_no, 2, 'H' FROM edge WHERE cpos = 'PREFIX' UNION ALL SELECT doc_id, line_no, tok_no, 2, cpos FROM edge WHERE cpos = 'PREFIX' AND (doc_id, line_no, tok_no) NOT IN (SELECT doc_id, line_no, tok_no FROM edge WHERE from_node = 1 AND form = 'H')) GROUP BY doc_id")
+# prefixes become B, K or X by their length and come fused to node 2 as well; behind the bare ones comes H (and at every fifth token another edge); W follows
+@query(LAT.rstrip() + """, px AS (SELECT DISTINCT doc_id, line_no, tok_no, CASE path WHEN 1 THEN 'B' WHEN 2 THEN 'K' ELSE 'X' END AS form FROM edge WHERE cpos = 'PREFIX'),
+tk AS (SELECT DISTINCT doc_id, line_no, tok_no FROM px), okay AS (SELECT * FROM tk WHERE tok_no % 5 <> 0),
+fh AS (SELECT doc_id, line_no, tok_no, 0 AS from_node, 1 AS to_node, form, 'PREFIX' AS cpos FROM px
+    UNION ALL SELECT doc_id, line_no, tok_no, 0, 2, form, 'PREFIX' FROM px WHERE form = 'X' OR tok_no % 5 = 0
+    UNION ALL SELECT doc_id, line_no, tok_no, 1, 2, 'H', 'DEF' FROM tk UNION ALL SELECT doc_id, line_no, tok_no, 1, 2, 'Z', 'DEF' FROM tk WHERE tok_no % 5 = 0
+    UNION ALL SELECT doc_id, line_no, tok_no, 2, 3, 'W', 'NN' FROM tk UNION ALL SELECT DISTINCT doc_id, line_no, tok_no, 1, 3, 'W', 'NN' FROM px WHERE form <> 'X' AND tok_no % 5 <> 0)
+SELECT doc_id, from_node, to_node, form, cpos, count(*) AS n FROM fh GROUP BY ALL""")
 def j17_repair_fused_h(spark, d):
-    e = _edges(spark, d).select(*TOKEN, "from_node", "to_node", "form", "cpos")
-    h = e.filter("cpos = 'PREFIX'").select(*TOKEN).distinct().withColumns({"from_node": F.lit(1), "to_node": F.lit(2), "form": F.lit("H"), "cpos": F.lit("H")})
-    return lattice.repair_fused_h(e.unionByName(h), TOKEN).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.expr("to_node = 2 and cpos = 'PREFIX'")).alias("fused"))
-
-
-@query(LAT + "SELECT doc_id, count(*) AS n, sum(length(form)) AS n_chars FROM (SELECT doc_id, form FROM edge WHERE path = 0 UNION ALL SELECT a.doc_id, a.form || b.form FROM edge a JOIN edge b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.tok_no = b.tok_no AND a.path = 1 AND b.path = 1 AND a.from_node = 0 AND b.from_node = 1) GROUP BY doc_id")
+    p = _edges(spark, d).filter("cpos = 'PREFIX'").selectExpr(*TOKEN, "case path when 1 then 'B' when 2 then 'K' else 'X' end form").distinct()
+    t = p.select(*TOKEN).distinct()
+    edge = lambda of, a, b, form, cpos: of.selectExpr(*TOKEN, f"{a} from_node", f"{b} to_node", f"{form} form", f"'{cpos}' cpos")
+    e = edge(p, 0, 1, "form", "PREFIX")
+    for more in (edge(p, 0, 2, "form", "PREFIX"), edge(t, 1, 2, "'H'", "DEF"), edge(t.filter("tok_no % 5 = 0"), 1, 2, "'Z'", "DEF"), edge(t, 2, 3, "'W'", "NN")):
+        e = e.unionByName(more)
+    return lattice.repair_fused_h(e, TOKEN).groupBy("doc_id", "from_node", "to_node", "form", "cpos").agg(F.count("*").alias("n"))
+
+
+# prefixes become hosts of clitics (those of one and two letters by their forms), what follows them a clitic at every second token; each split by itself
+@query(LAT.rstrip() + """, ec AS (SELECT doc_id, line_no, tok_no, path, from_node, to_node, CASE WHEN path > 0 AND from_node = 0 THEN CASE path WHEN 1 THEN 'ECMW' WHEN 2 THEN 'ECMI' ELSE 'ECMX' END ELSE form END AS form,
+    CASE WHEN path = 0 THEN cpos WHEN from_node = 0 THEN 'PRP' WHEN tok_no % 2 = 0 THEN 'S_PRN' ELSE cpos END AS cpos, form AS feat_str FROM edge),
+mc AS (SELECT a.doc_id, a.form, a.cpos, CASE WHEN b.form IS NOT NULL THEN b.to_node ELSE a.to_node END AS to_node, coalesce(b.feat_str, a.feat_str) AS feat_str
+    FROM ec a LEFT JOIN ec b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.tok_no = b.tok_no AND a.path = b.path AND b.from_node = a.to_node AND b.cpos = 'S_PRN' AND a.form IN ('ECMW', 'ECMI') AND a.cpos = 'PRP'
+    WHERE NOT (a.cpos = 'S_PRN' AND a.path IN (1, 2)))
+SELECT doc_id, form, cpos, to_node, feat_str, count(*) AS n FROM mc GROUP BY ALL""")
 def j18_merge_clitics(spark, d):
-    e = _edges(spark, d).filter("path <= 1").withColumn("cpos", F.when((F.col("path") == 1) & (F.col("from_node") == 0), F.lit("ECMx")).when(F.col("path") == 1, F.lit("CLITIC")).otherwise(F.lit("W")))
-    return lattice.merge_clitics(e.select(*TOKEN, "from_node", "to_node", "form", "cpos"), TOKEN).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("form")).alias("n_chars"))
+    e = _edges(spark, d).select(
+        *TOKEN, "path", "from_node", "to_node", F.expr("case when path > 0 and from_node = 0 then case path when 1 then 'ECMW' when 2 then 'ECMI' else 'ECMX' end else form end").alias("form"),
+        F.expr("case when path = 0 then cpos when from_node = 0 then 'PRP' when tok_no % 2 = 0 then 'S_PRN' else cpos end").alias("cpos"), F.col("form").alias("feat_str"),
+    )
+    return lattice.merge_clitics(e, [*TOKEN, "path"]).groupBy("doc_id", "form", "cpos", "to_node", "feat_str").agg(F.count("*").alias("n"))
 
 
 @query(TREE + "SELECT CASE WHEN length(form) > 6 THEN 'joined' ELSE 'proper' END AS rule, sum(CASE WHEN length(form) > 6 THEN 2 ELSE 1 END) AS n FROM gold GROUP BY 1")

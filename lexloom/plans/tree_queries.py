@@ -107,10 +107,14 @@ def w2_renumber(spark, d):
     return lattice.renumber(_edges(spark, d), SENT).groupBy(*SENT).agg(F.sum("from_node").alias("starts"), F.max("to_node").alias("top"))
 
 
-@query(LAT + "SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE cpos = 'PREFIX') AS bridged FROM edge WHERE NOT (path > 0 AND from_node = 1) GROUP BY doc_id")
+# edges from node 1 are taken out; every second token goes on from node 2 to 3, every third one to 4 by an edge from 3
+@query(LAT + """, br AS (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos FROM edge WHERE NOT (path > 0 AND from_node = 1)
+    UNION ALL SELECT DISTINCT doc_id, line_no, tok_no, 2, 3, '-', 'X' FROM edge WHERE tok_no % 2 = 0 UNION ALL SELECT DISTINCT doc_id, line_no, tok_no, 3, 4, '-', 'Y' FROM edge WHERE tok_no % 3 = 0)
+SELECT doc_id, line_no, tok_no, from_node, CASE WHEN to_node = 1 AND tok_no % 2 = 0 THEN 2 WHEN to_node = 2 AND tok_no % 2 = 1 AND tok_no % 3 = 0 THEN 3 ELSE to_node END AS to_node, form, cpos FROM br""")
 def g4_bridge(spark, d):
-    e = _edges(spark, d).filter("not (path > 0 and from_node = 1)")
-    return lattice.bridge(e, TOKEN).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.expr("cpos = 'PREFIX' and to_node = 2")).alias("bridged"))
+    e = _edges(spark, d).filter("not (path > 0 and from_node = 1)").select(*TOKEN, "from_node", "to_node", "form", "cpos").distinct()
+    more = lambda n, cpos: e.filter(f"tok_no % {n} = 0").select(*TOKEN).distinct().selectExpr(*TOKEN, f"{n} from_node", f"{n + 1} to_node", "'-' form", f"'{cpos}' cpos")
+    return lattice.bridge(e.unionByName(more(2, "X")).unionByName(more(3, "Y")), TOKEN)
 
 
 @query(LAT + "SELECT doc_id, count(*) AS n_pairs, sum(meet) AS meets, sum(j) AS joins FROM (SELECT doc_id, 0 AS meet, 2 AS j FROM (SELECT DISTINCT doc_id, line_no, tok_no FROM edge) UNION ALL SELECT doc_id, 0, 1 FROM (SELECT DISTINCT doc_id, line_no, tok_no FROM edge WHERE path > 0) UNION ALL SELECT doc_id, 1, 2 FROM (SELECT DISTINCT doc_id, line_no, tok_no FROM edge WHERE path > 0)) GROUP BY doc_id")
@@ -163,33 +167,56 @@ def g9_gold_segmentation(spark, d):
     return lattice.gold_segmentation(found, gold, SENT).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.max("to_node").alias("top"))
 
 
-# lemmas for lattice edges: the lower-cased form, and for forms of even length the form as well
-LEMMA_SQL = LAT.rstrip() + ", le AS (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos, lower(form) AS lemma FROM edge UNION SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos, form FROM edge WHERE length(form) % 2 = 0), ge AS (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos FROM edge WHERE path = 0) "
+# lemmas for lattice edges: the lower-cased form, and for forms of even length the form as well; every third token also has its prefixes to the top, every
+# sixth with another lemma; the gold path is that of the longest prefix
+T3 = "doc_id, line_no, tok_no"
+LEMMA_SQL = LAT.rstrip() + f""", be AS (SELECT DISTINCT {T3}, from_node, to_node, form, cpos, '' AS mark FROM edge
+    UNION SELECT DISTINCT {T3}, 0, 2, form, cpos, CASE WHEN tok_no % 6 = 0 THEN '2' ELSE '' END FROM edge WHERE cpos = 'PREFIX' AND tok_no % 3 = 0),
+le AS (SELECT DISTINCT {T3}, from_node, to_node, form, cpos, lower(form) || mark AS lemma FROM be UNION SELECT DISTINCT {T3}, from_node, to_node, form, cpos, form || mark FROM be WHERE length(form) % 2 = 0),
+ge AS (SELECT {T3}, form, cpos, from_node AS i, count(*) OVER (PARTITION BY {T3}) AS n_gold FROM (SELECT DISTINCT {T3}, from_node, form, cpos FROM (SELECT * FROM edge QUALIFY path = max(path) OVER (PARTITION BY {T3}))))"""
+
+
+def _walk_sql(levels: list[str]) -> str:
+    """The walk along gold paths of two morphemes at most, step by step: tables m0, m1, ... of matches, and walk over them all."""
+    out, n = [f"st0 AS (SELECT DISTINCT {T3}, n_gold, 0 AS cur, false AS over, -1 AS done FROM ge)"], 0
+    for i in (0, 1):
+        for level, key in enumerate(levels):
+            same = " AND ".join(f"l.{c} = g.{c}" for c in key)
+            out.append(f"""m{n} AS (SELECT s.doc_id, s.line_no, s.tok_no, s.n_gold, s.cur, s.over, s.done, count(l.lemma) AS m, count(DISTINCT l.lemma) AS n, count(DISTINCT l.to_node) AS ends,
+    min(l.to_node) AS low, max(l.to_node) AS high, min(l.cpos) AS cpos, list_sort(list(DISTINCT l.lemma)) AS lemmas FROM st{n} s LEFT JOIN ge g ON s.doc_id = g.doc_id AND s.line_no = g.line_no AND s.tok_no = g.tok_no AND g.i = {i} AND NOT s.over AND s.done <> {i}
+    LEFT JOIN le l ON l.doc_id = g.doc_id AND l.line_no = g.line_no AND l.tok_no = g.tok_no AND l.from_node = s.cur AND {same} GROUP BY ALL)""")
+            out.append(f"st{n + 1} AS (SELECT {T3}, n_gold, CASE WHEN m = 0 OR (n > 1 AND ends > 1) THEN cur ELSE low END AS cur, over OR (n > 1 AND ends > 1) AS over, CASE WHEN n > 1 THEN {i} ELSE done END AS done FROM m{n})")
+            n += 1
+    steps = " UNION ALL ".join(f"SELECT *, {k // len(levels)} AS morph_idx, {k % len(levels)} AS level FROM m{k} WHERE m > 0" for k in range(n))
+    return LEMMA_SQL + ", " + ", ".join(out) + f", walk AS ({steps}) "
 
 
 def _lemma_edges(spark, d):
     e = _edges(spark, d)
-    one = e.select(*TOKEN, "from_node", "to_node", "form", "cpos").distinct()
-    gold = e.filter("path = 0").select(*TOKEN, "from_node", "to_node", "form", "cpos").distinct()
-    return one.withColumn("lemma", F.lower("form")).unionByName(one.filter("length(form) % 2 = 0").withColumn("lemma", F.col("form"))).distinct(), gold
+    base = e.select(*TOKEN, "from_node", "to_node", "form", "cpos", F.lit("").alias("mark"))
+    more = e.filter("cpos = 'PREFIX' and tok_no % 3 = 0").select(*TOKEN, F.lit(0).alias("from_node"), F.lit(2).alias("to_node"), "form", "cpos", F.expr("if(tok_no % 6 = 0, '2', '')").alias("mark"))
+    one = base.unionByName(more)
+    lemmas = one.withColumn("lemma", F.concat(F.lower("form"), "mark")).unionByName(one.filter("length(form) % 2 = 0").withColumn("lemma", F.concat("form", "mark"))).drop("mark").distinct()
+    gold = e.join(e.groupBy(*TOKEN).agg(F.max("path").alias("path")), [*TOKEN, "path"])
+    return lemmas, gold.select(*TOKEN, "from_node", "to_node", "form", "cpos").distinct()
 
 
-@query(LEMMA_SQL + "SELECT g.doc_id, g.line_no, g.tok_no, g.form, CAST(count(DISTINCT l.lemma) AS INTEGER) AS n_lemmas, string_agg(DISTINCT l.lemma, ',' ORDER BY l.lemma) AS lemmas FROM ge g JOIN le l USING (doc_id, line_no, tok_no, from_node, to_node, form, cpos) GROUP BY ALL HAVING count(DISTINCT l.lemma) > 1")
+@query(_walk_sql([["form", "cpos"]]) + f"SELECT {T3}, morph_idx, CAST(n AS INTEGER) AS n_lemmas, array_to_string(lemmas, ',') AS lemmas FROM walk WHERE n > 1")
 def g6_ambiguous_lemmas(spark, d):
     c, g = _lemma_edges(spark, d)
-    return lattice.ambiguous_lemmas(g, c, TOKEN, ["from_node", "to_node", "form", "cpos"]).select(*TOKEN, "form", "n_lemmas", F.array_join("lemmas", ",").alias("lemmas"))
+    return lattice.ambiguous_lemmas(g, c, TOKEN, ["form", "cpos"]).select(*TOKEN, "morph_idx", "n_lemmas", F.array_join("lemmas", ",").alias("lemmas"))
 
 
-@query(LEMMA_SQL + "SELECT g.doc_id, g.line_no, g.tok_no, 0 AS level, min(l.lemma) AS lemma FROM ge g JOIN le l USING (doc_id, line_no, tok_no, from_node, form, cpos) GROUP BY ALL HAVING count(DISTINCT l.lemma) = 1")
+@query(_walk_sql([["form", "cpos"], ["cpos"]]) + f"SELECT {T3}, morph_idx, level, cpos, lemmas[1] AS lemma FROM walk WHERE n = 1 AND m = 1 AND lemmas[1] NOT IN ('', '_')")
 def g7_unambiguous_lemmas(spark, d):
     c, g = _lemma_edges(spark, d)
-    return lattice.unambiguous_lemmas(g, c, TOKEN, [["from_node", "form", "cpos"], ["form"]]).select(*TOKEN, "level", "lemma")
+    return lattice.unambiguous_lemmas(g, c, TOKEN, [["form", "cpos"], ["cpos"]])
 
 
-@query(LEMMA_SQL + ", s AS (SELECT doc_id, line_no, tok_no, form, list_sort(list(DISTINCT lemma) FILTER (WHERE to_node = 2)) AS a, list_sort(list(DISTINCT lemma) FILTER (WHERE to_node < 2)) AS b FROM le GROUP BY doc_id, line_no, tok_no, form) SELECT doc_id, line_no, tok_no, form FROM s WHERE len(a) > 0 AND len(b) > 0 AND len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 AND (doc_id, line_no, tok_no, form) IN (SELECT doc_id, line_no, tok_no, form FROM le)")
+@query(_walk_sql([["form", "cpos"]]) + f"SELECT {T3}, morph_idx, lemmas[1] AS lemma FROM walk WHERE n = 1 AND m = 2 AND low < 2 AND high = 2 AND morph_idx < n_gold - 1")
 def g8_suffix_conflicts(spark, d):
-    c, _ = _lemma_edges(spark, d)
-    return lattice.suffix_conflicts(c, c, TOKEN).select(*TOKEN, "form")
+    c, g = _lemma_edges(spark, d)
+    return lattice.suffix_conflicts(g, c, TOKEN, ["form", "cpos"])
 
 
 @query(LAT + "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos FROM (SELECT * FROM edge UNION ALL SELECT * FROM edge)) GROUP BY doc_id")
@@ -279,9 +306,11 @@ def t4_same_arcs(spark, d):
     return depgraph.same_arcs(*_arcs(spark, d), SENT)
 
 
-@query(TREE.rstrip() + ", orph AS (SELECT doc_id, line_no, id, CASE WHEN id % 4 = 3 OR (line_no % 2 = 0 AND id = 1) THEN NULL ELSE head END AS head, deprel FROM gold), r AS (SELECT *, coalesce(min(CASE WHEN head = 0 THEN id END) OVER w, min(CASE WHEN head IS NULL THEN id END) OVER w) AS root FROM orph WINDOW w AS (PARTITION BY doc_id, line_no)) SELECT doc_id, line_no, id, CASE WHEN head IS NULL AND id = root THEN 0 WHEN head IS NULL THEN root ELSE head END AS head, CASE WHEN head IS NULL AND id = root THEN 'root' WHEN head IS NULL THEN 'punct' ELSE deprel END AS deprel FROM r")
+@query(TREE.rstrip() + """, orph AS (SELECT doc_id, line_no, id, CASE WHEN id % 4 = 3 OR (line_no % 2 = 0 AND id = 1) THEN NULL ELSE head END AS head, CASE WHEN id % 5 = line_no % 6 THEN 'ROOT' ELSE deprel END AS deprel FROM gold),
+r AS (SELECT *, coalesce(min(CASE WHEN head IS NOT NULL AND deprel = 'ROOT' THEN id END) OVER w, min(CASE WHEN head IS NULL THEN id END) OVER w) AS root FROM orph WINDOW w AS (PARTITION BY doc_id, line_no))
+SELECT doc_id, line_no, id, CASE WHEN head IS NULL AND id = root THEN 0 WHEN head IS NULL THEN root WHEN deprel = 'ROOT' THEN 0 ELSE head END AS head, CASE WHEN head IS NULL AND id = root THEN 'root' WHEN head IS NULL THEN 'punct' ELSE deprel END AS deprel FROM r""")
 def w6_attach_orphans(spark, d):
-    g = _arcs(spark, d)[0]
+    g = _arcs(spark, d)[0].withColumn("deprel", F.when(F.expr("id % 5 = line_no % 6"), "ROOT").otherwise(F.col("deprel")))
     g = g.withColumn("head", F.when(~((F.col("id") % 4 == 3) | ((F.col("line_no") % 2 == 0) & (F.col("id") == 1))), F.col("head")))
     return depgraph.attach_orphans(g, SENT).select(*SENT, "id", "head", "deprel")
 
@@ -338,7 +367,7 @@ def a11_attachment_nopunct(spark, d):
     return evaluation.attachment_scores_nopunct(p, g, SENT)
 
 
-MORPHEVAL = PATH_SQL.rstrip() + ", gk AS (SELECT DISTINCT e.doc_id, e.line_no, e.tok_no, e.form || '_' || e.cpos AS k FROM edge e JOIN gold USING (doc_id, line_no, tok_no, path)), pk AS (SELECT DISTINCT doc_id, line_no, tok_no, form || '_' || cpos AS k FROM edge WHERE path = 0), cm AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, coalesce(g.line_no, p.line_no) AS line_no, coalesce(g.tok_no, p.tok_no) AS tok_no, count(*) FILTER (WHERE g.k = p.k) AS tp, count(*) FILTER (WHERE g.k IS NULL) AS fp, count(*) FILTER (WHERE p.k IS NULL) AS missed_gold FROM gk g FULL JOIN pk p ON g.doc_id = p.doc_id AND g.line_no = p.line_no AND g.tok_no = p.tok_no AND g.k = p.k GROUP BY 1, 2, 3), st AS (SELECT *, CASE WHEN fp = 0 AND missed_gold = 0 THEN 'Success' ELSE 'Error' END AS status FROM cm) "
+MORPHEVAL = PATH_SQL.rstrip() + ", gk AS (SELECT DISTINCT e.doc_id, e.line_no, e.tok_no, e.form || '_' || e.cpos AS k FROM edge e JOIN gold USING (doc_id, line_no, tok_no, path)), pk AS (SELECT DISTINCT doc_id, line_no, tok_no, form || '_' || cpos AS k FROM edge WHERE path = 0), cm AS (SELECT coalesce(g.doc_id, p.doc_id) AS doc_id, coalesce(g.line_no, p.line_no) AS line_no, coalesce(g.tok_no, p.tok_no) AS tok_no, count(*) FILTER (WHERE g.k = p.k) AS tp, count(*) FILTER (WHERE g.k IS NULL) AS fp, count(*) FILTER (WHERE p.k IS NULL) AS missed_gold FROM gk g FULL JOIN pk p ON g.doc_id = p.doc_id AND g.line_no = p.line_no AND g.tok_no = p.tok_no AND g.k = p.k GROUP BY 1, 2, 3), st AS (SELECT *, CASE WHEN fp = 0 THEN 'Success' ELSE 'Error' END AS status FROM cm) "
 
 
 def _morph_scores(spark, d):
@@ -367,8 +396,9 @@ SEG_LEVELS = {"seg": ["form"], "pos-seg": ["form", "cpos"]}
 
 
 @query(TREE.rstrip() + """, lv AS (SELECT 'seg' AS level, doc_id, line_no, form AS k, 1 AS g, 0 AS p FROM gold UNION ALL SELECT 'seg', doc_id, line_no, CASE WHEN id % 9 = 0 THEN lower(form) ELSE form END, 0, 1 FROM pred UNION ALL SELECT 'pos-seg', doc_id, line_no, form || chr(1) || cpos, 1, 0 FROM gold UNION ALL SELECT 'pos-seg', doc_id, line_no, CASE WHEN id % 9 = 0 THEN lower(form) ELSE form END || chr(1) || cpos, 0, 1 FROM pred),
-ct AS (SELECT level, doc_id, line_no, k, sum(g) AS g, sum(p) AS p FROM lv GROUP BY ALL), sn AS (SELECT level, doc_id, line_no, sum(g) AS g, sum(p) AS p, sum(least(g, p)) AS tp FROM ct GROUP BY ALL)
-SELECT level, sum(g) AS gold, sum(p) AS pred, sum(tp) AS tp, round(sum(tp) / sum(p), 6) AS precision, round(sum(tp) / sum(g), 6) AS recall, round(2 * sum(tp) / (sum(g) + sum(p)), 6) AS f1, round(count(*) FILTER (WHERE g = tp AND p = tp) / count(*), 6) AS em FROM sn GROUP BY level""")
+ct AS (SELECT level, doc_id, line_no, k, sum(g) AS g, sum(p) AS p FROM lv GROUP BY ALL), sn AS (SELECT level, doc_id, line_no, sum(g) AS g, sum(p) AS p, sum(least(g, p)) AS tp FROM ct GROUP BY ALL),
+ex AS (SELECT round(count(*) FILTER (WHERE ok) / count(*), 6) AS em FROM (SELECT doc_id, line_no, bool_and(g.head = p.head AND g.deprel = p.deprel AND (g.id % 9 <> 0 OR g.form = lower(g.form))) AS ok FROM gold g JOIN pred p USING (doc_id, line_no, id) GROUP BY ALL))
+SELECT level, sum(g) AS gold, sum(p) AS pred, sum(tp) AS tp, round(sum(tp) / sum(p), 6) AS precision, round(sum(tp) / sum(g), 6) AS recall, round(2 * sum(tp) / (sum(g) + sum(p)), 6) AS f1, any_value(em) AS em FROM sn, ex GROUP BY level""")
 def a12_segment_f1(spark, d):
     g, p = _arcs(spark, d)
     return evaluation.segment_f1(p.withColumn("form", F.when(F.col("id") % 9 == 0, F.lower("form")).otherwise(F.col("form"))), g, SENT, ["id"], SEG_LEVELS)

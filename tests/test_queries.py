@@ -41,7 +41,7 @@ def compare(spark, duck, sf, name):
         assert len(found[1]) == len(wanted[1]), (len(found[1]), len(wanted[1]), found[1][:2], wanted[1][:2])
         wrong = [(a, b) for a, b in zip(*[found[1], wanted[1]]) if a != b]
         assert not wrong, (len(wrong), wrong[:3])
-    assert found[1] or name == "g8_suffix_conflicts"  # needs a prefix that equals the host
+    assert found[1]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
