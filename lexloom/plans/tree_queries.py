@@ -9,6 +9,7 @@ from ..functions import text
 from ..operators import depgraph, evaluation, features, lattice, learn
 from ..sources import derived, sinks
 from ..sources.derived import ARCS_SQL, EDGES_SQL, MORPHS_SQL, SENT
+from .scratch import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -33,9 +34,17 @@ def _edges(spark, d) -> DataFrame:
     return derived.edges(derived.tokens(_docs(spark, d)))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """df written and read again, for queries that take several ways from it."""
+    path = scratch_path(df.sparkSession, "derived")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _paths(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate paths of each token, and the gold one: the longest prefix, else the whole token."""
     found = edges.groupBy(*TOKEN, "token", "path").agg(F.array_sort(F.collect_list(F.struct("from_node", "to_node", "form", "cpos"))).alias("morphs"))
+    found = _once(found)
     return found, found.groupBy(*TOKEN).agg(F.max_by("morphs", "path").alias("morphs"), F.max("path").alias("path"))
 
 
@@ -96,7 +105,7 @@ def p15_ambiguous_tokens(spark, d):
 
 @query(PATH_SQL + ", m AS (SELECT DISTINCT doc_id, line_no, tok_no, token, string_split(key, ';') AS p FROM pth), i AS (SELECT doc_id, line_no, tok_no, p[1] AS a, row_number() OVER (PARTITION BY doc_id, line_no, tok_no ORDER BY p[1]) AS node FROM (SELECT DISTINCT doc_id, line_no, tok_no, p FROM m WHERE len(p) > 1) GROUP BY doc_id, line_no, tok_no, p[1]) SELECT doc_id, sum(n_inner) AS n_inner, max(n_inner) AS most FROM (SELECT doc_id, line_no, tok_no, count(*) AS n_inner FROM i GROUP BY ALL) GROUP BY doc_id")
 def g3_build(spark, d):
-    found, _ = _paths(_edges(spark, d))
+    found, _ = _paths(_once(_edges(spark, d)))
     built = lattice.build(found.select(*TOKEN, F.transform("morphs", lambda m: F.struct(m["form"].alias("form"), m["cpos"].alias("cpos"))).alias("morphs")), TOKEN)
     inner = built.filter("from_node > 0").groupBy(*TOKEN).agg(F.max("from_node").alias("n_inner"))
     return inner.groupBy("doc_id").agg(F.sum("n_inner").alias("n_inner"), F.max("n_inner").alias("most"))
@@ -126,7 +135,7 @@ INFUSE_SQL = PATH_SQL + ", cand AS (SELECT * FROM pth WHERE path = 0), inf AS (S
 
 
 def _infused(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     return lattice.infuse(found.filter("path = 0"), gold, TOKEN)
 
 
@@ -148,7 +157,7 @@ def j12_infuse_edges(spark, d):
 
 @query(PATH_SQL + "SELECT CASE WHEN path = 0 THEN 'ok' ELSE 'missing_path' END AS status, count(*) AS n FROM gold WHERE tok_no % 11 <> 0 GROUP BY 1 UNION ALL SELECT 'missing_token', count(*) FROM gold WHERE tok_no % 11 = 0")
 def a15_validate_gold(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     return lattice.validate_gold(found.filter("path = 0 and tok_no % 11 <> 0"), gold, TOKEN)
 
 
@@ -157,13 +166,13 @@ SAME_FORMS = "array_to_string(list_sort(list_distinct(string_split(forms, ';')))
 
 @query(PATH_SQL + f"SELECT p.doc_id, p.line_no, p.tok_no, p.path FROM (SELECT *, {SAME_FORMS} AS k FROM pth) p WHERE (doc_id, line_no, tok_no, k) IN (SELECT doc_id, line_no, tok_no, {SAME_FORMS} FROM gold)")
 def j13_intersect_paths(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     return lattice.intersect_paths(found, gold, TOKEN).select(*TOKEN, "path")
 
 
 @query(PATH_SQL + f", k AS (SELECT p.* FROM (SELECT *, {SAME_FORMS} AS k FROM pth) p WHERE (doc_id, line_no, tok_no, k) IN (SELECT doc_id, line_no, tok_no, {SAME_FORMS} FROM gold)) SELECT doc_id, count(*) AS n_edges, max(to_node + 2 * (tok_no - 1)) AS top FROM (SELECT DISTINCT e.doc_id, e.line_no, e.tok_no, e.from_node, e.to_node, e.form, e.cpos FROM edge e JOIN k USING (doc_id, line_no, tok_no, path)) GROUP BY doc_id")
 def g9_gold_segmentation(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     return lattice.gold_segmentation(found, gold, SENT).groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.max("to_node").alias("top"))
 
 
@@ -192,7 +201,7 @@ def _walk_sql(levels: list[str]) -> str:
 
 
 def _lemma_edges(spark, d):
-    e = _edges(spark, d)
+    e = _once(_edges(spark, d))
     base = e.select(*TOKEN, "from_node", "to_node", "form", "cpos", F.lit("").alias("mark"))
     more = e.filter("cpos = 'PREFIX' and tok_no % 3 = 0").select(*TOKEN, F.lit(0).alias("from_node"), F.lit(2).alias("to_node"), "form", "cpos", F.expr("if(tok_no % 6 = 0, '2', '')").alias("mark"))
     one = base.unionByName(more)
@@ -233,7 +242,7 @@ def p10_repair_circular(spark, d):
 
 @query(PATH_SQL + "SELECT doc_id, line_no, tok_no, count(*) AS n FROM (SELECT doc_id, line_no, tok_no, key FROM pth UNION SELECT doc_id, line_no, tok_no, key FROM gold) GROUP BY ALL")
 def u1_union_paths(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     key = [*TOKEN, lattice.path_key().alias("key")]
     return found.select(*key).unionByName(gold.select(*key)).distinct().groupBy(*TOKEN).agg(F.count("*").alias("n"))
 
@@ -317,7 +326,7 @@ def w6_attach_orphans(spark, d):
 
 @query(PATH_SQL.rstrip() + f", {ARCS_SQL.split(MORPHS_SQL)[1].lstrip(',').replace('gold AS', 'garc AS').replace('FROM gold', 'FROM garc').strip()}, mp AS (SELECT e.doc_id, e.line_no, e.tok_no, e.form, row_number() OVER (PARTITION BY e.doc_id, e.line_no ORDER BY e.tok_no, e.from_node) AS id FROM edge e JOIN gold g USING (doc_id, line_no, tok_no, path)) SELECT a.doc_id, a.line_no, a.id, a.head, mp.tok_no, mp.form AS morph FROM garc a LEFT JOIN mp USING (doc_id, line_no, id)")
 def j14_merge_tokens(spark, d):
-    e = _edges(spark, d)
+    e = _once(_edges(spark, d))
     _, gold = _paths(e)
     mapping = gold.select(*TOKEN, "path").join(e, [*TOKEN, "path"]).withColumn("morph_idx", F.col("from_node"))
     return depgraph.merge_tokens(_arcs(spark, d)[0], mapping, SENT).select(*SENT, "id", "head", "tok_no", "morph")
@@ -325,7 +334,7 @@ def j14_merge_tokens(spark, d):
 
 @query(PATH_SQL + "SELECT doc_id, line_no, count(*) FILTER (WHERE path = 0) AS n_arcs, count(DISTINCT tok_no) AS n_gold, count(*) AS n_candidates, true AS complete FROM pth GROUP BY doc_id, line_no")
 def j15_training_record(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     return depgraph.training_record(_arcs(spark, d)[0], gold, found, SENT)
 
 
@@ -371,7 +380,7 @@ MORPHEVAL = PATH_SQL.rstrip() + ", gk AS (SELECT DISTINCT e.doc_id, e.line_no, e
 
 
 def _morph_scores(spark, d):
-    e = _edges(spark, d)
+    e = _once(_edges(spark, d))
     _, gold = _paths(e)
     key = F.concat_ws("_", "form", "cpos")
     return evaluation.morph_scores(e.filter("path = 0"), gold.select(*TOKEN, "path").join(e, [*TOKEN, "path"]), TOKEN, key)
@@ -521,7 +530,7 @@ def a18_average_weights(spark, d):
 
 @query()
 def m1_disambiguate(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     scored = found.select(*TOKEN, F.col("path").alias("path_id"), lattice.path_key(F.transform("morphs", lambda m: F.struct(m["cpos"].alias("form"), F.lit("").alias("cpos")))).alias("key"), F.col("path").alias("score"))
     pair = gold.select(*TOKEN, lattice.path_key(F.transform("morphs", lambda m: F.struct(m["cpos"].alias("form"), F.lit("").alias("cpos")))).alias("key"))
     nxt = pair.select(*SENT, (F.col("tok_no") - 1).alias("tok_no"), F.col("key").alias("next_key"))
@@ -537,7 +546,7 @@ def m2_attach(spark, d):
 
 @query(PATH_SQL + "SELECT doc_id, line_no, tok_no FROM gold WHERE path > 0")
 def m4_failed_instances(spark, d):
-    found, gold = _paths(_edges(spark, d))
+    found, gold = _paths(_once(_edges(spark, d)))
     return learn.failed_instances(found.filter("path = 0"), gold, TOKEN, lattice.path_key())
 
 
