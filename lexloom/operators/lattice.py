@@ -76,17 +76,17 @@ def fused_forms(path_table: DataFrame, token: list[str]) -> DataFrame:
     return path_table.select(*token, token_of_path("morphs", fused=True).alias("fused")).distinct()
 
 
-def build(analyses: DataFrame, token: list[str]) -> DataFrame:
-    """analyses (token, morphs: array of struct(form, cpos)) -> edges in which equal beginnings of analyses share nodes.
+def build(analyses: DataFrame, token: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """analyses (token, morphs: array of struct(form, cpos, more...)) -> edges in which equal beginnings of analyses share nodes.
 
     An inner node is a distinct beginning of an analysis; nodes are numbered from 0 by depth, then beginning; all analyses end at the top."""
     steps = analyses.select(*token, "morphs", F.posexplode("morphs").alias("i", "m"))
-    begin = lambda n: F.concat_ws("\x02", F.transform(F.slice("morphs", 1, n), lambda m: F.concat_ws("\x01", m["form"], m["cpos"])))
-    e = steps.select(*token, begin(F.col("i")).alias("a"), F.when(F.col("i") + 1 < F.size("morphs"), begin(F.col("i") + 1)).alias("b"), F.col("i").alias("depth"), "m.form", "m.cpos").distinct()
+    begin = lambda n: F.concat_ws("\x02", F.transform(F.slice("morphs", 1, n), lambda m: F.concat_ws("\x01", *(m[c] for c in ("form", "cpos", *more)))))
+    e = steps.select(*token, begin(F.col("i")).alias("a"), F.when(F.col("i") + 1 < F.size("morphs"), begin(F.col("i") + 1)).alias("b"), F.col("i").alias("depth"), "m.form", "m.cpos", *(f"m.{c}" for c in more)).distinct()
     inner = e.filter("b is not null").select(*token, "b", (F.col("depth") + 1).alias("d")).distinct().withColumn("node", F.row_number().over(Window.partitionBy(*token).orderBy("d", "b")))
     top = inner.groupBy(*token).agg((F.max("node") + 1).alias("top"))
     out = e.join(inner.select(*token, F.col("b").alias("a"), F.col("node").alias("from_node")), [*token, "a"], "left").join(inner.select(*token, "b", F.col("node").alias("to_inner")), [*token, "b"], "left").join(top, token, "left")
-    return out.select(*token, F.coalesce("from_node", F.lit(0)).alias("from_node"), F.coalesce("to_inner", "top", F.lit(1)).alias("to_node"), "form", "cpos").distinct()
+    return out.select(*token, F.coalesce("from_node", F.lit(0)).alias("from_node"), F.coalesce("to_inner", "top", F.lit(1)).alias("to_node"), "form", "cpos", *more).distinct()
 
 
 def renumber(edges: DataFrame, sent: list[str]) -> DataFrame:

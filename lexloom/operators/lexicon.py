@@ -6,6 +6,8 @@ distinct forms and join back, so a form that holds a large part of all tokens is
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,3 +158,40 @@ def analyze_lexicon(tokens: DataFrame, dictionary: DataFrame, prefixes: DataFram
     open_split = always_propn(unknown, prefixes, oov).filter("prefix <> ''")
     every = marks.unionByName(found).unionByName(open_whole).unionByName(open_split).distinct().join(unknown.withColumn("oov", F.lit(True)), "form", "left").withColumn("oov", F.coalesce("oov", F.lit(False)))
     return tokens.join(every, "form")
+
+
+def split_morphs(analyses: DataFrame) -> DataFrame:
+    """Rows of analyze_lexicon or analyze_dictionary -> form, morphs (array of form, lemma, cpos, feat_str), oov: the prefix, if any, as a morpheme of its own tagged PREFIX, then the host."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in analyses.columns else F.lit("")
+    host = F.col("host") if "host" in analyses.columns else F.col("form")
+    morph = lambda form, lemma, cpos, feats: F.struct(form.alias("form"), lemma.alias("lemma"), cpos.alias("cpos"), feats.alias("feat_str"))
+    own = morph(host, text("lemma"), F.col("cpos"), text("feat_str"))
+    before = morph(text("prefix"), F.lit(""), F.lit("PREFIX"), F.lit(""))
+    return analyses.select("form", F.when(text("prefix") != "", F.array(before, own)).otherwise(F.array(own)).alias("morphs"), "oov").distinct()
+
+
+def entry_morphs(tokens: DataFrame, entries: DataFrame, oov: DataFrame) -> DataFrame:
+    """Dictionary entries of several morphemes (token, morphs, as read_ud_lexicon gives them) -> form, morphs, oov for each distinct form of tokens; forms without an entry have the readings of oov."""
+    forms = tokens.select("form").distinct()
+    morph = lambda m: F.struct(*(F.coalesce(m[c], F.lit("")).alias(c) for c in ("form", *ANALYSIS)))
+    known = forms.join(entries.select(F.col("token").alias("form"), F.transform("morphs", morph).alias("morphs")), "form").select("form", "morphs", F.lit(False).alias("oov")).distinct()
+    made = expand_oov(forms, known, oov).select("form", F.array(F.struct("form", F.lit("").alias("lemma"), "cpos", "feat_str")).alias("morphs"), F.lit(True).alias("oov"))
+    return known.unionByName(made)
+
+
+def token_lattices(tokens: DataFrame, analyses: DataFrame, sent: list[str]) -> DataFrame:
+    """tokens (sent, tok_no, form) and analyses (form, morphs, oov) -> lattice edges: sent, tok_no, token, oov, from_node, to_node, form, lemma, cpos, feat_str.
+
+    Lattices are built once for each distinct form and joined back; nodes are those of the sentence. Sinks write them as they are."""
+    from .lattice import build, renumber
+
+    named = analyses.withColumnRenamed("form", "token")
+    built = build(named, ["token"], ["lemma", "feat_str"]).join(named.groupBy("token").agg(F.max("oov").alias("oov")), "token")
+    edges = tokens.select(*sent, "tok_no", F.col("form").alias("token")).join(built, "token")
+    return renumber(edges, sent).select(*sent, "tok_no", "token", "oov", "from_node", "to_node", "form", "lemma", "cpos", "feat_str")
+
+
+def analyze_with(tokens: DataFrame, analyser: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """tokens with the readings of an analyser of one's own (E4): it gets the distinct forms (form) and returns form with columns of its readings, as many rows as it likes; forms without a row keep nulls."""
+    forms = tokens.select("form").distinct()
+    return tokens.join(forms.join(analyser(forms), "form", "left"), "form")

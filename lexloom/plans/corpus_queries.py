@@ -265,7 +265,7 @@ def j1_lookup(spark, d):
 
 
 _PREFIXES_SQL = """, tf AS (SELECT DISTINCT form FROM test), px AS (SELECT left(form, l) AS prefix, count(*) AS n FROM (SELECT DISTINCT form FROM train), (VALUES (1), (2), (3)) AS v(l) WHERE l < length(form) GROUP BY 1 ORDER BY n DESC, prefix LIMIT 20),
-cut AS (SELECT form, prefix, substr(form, length(prefix) + 1) AS host FROM tf JOIN px ON length(form) > length(prefix) AND starts_with(form, prefix)),
+st AS (SELECT form, left(form, l) AS prefix, substr(form, l + 1) AS host FROM tf, (VALUES (1), (2), (3)) AS v(l) WHERE l < length(form)), cut AS (SELECT form, prefix, host FROM st JOIN px USING (prefix)),
 num AS (SELECT form, prefix, host, CASE WHEN regexp_matches(host, '^[0-9]+(\\.[0-9]+)?$|^[0-9]{1,3}(,[0-9]{3})*(\\.[0-9]+)?$') THEN 'CD' ELSE 'NCD' END AS cpos FROM cut WHERE regexp_matches(host, '[0-9]') AND host NOT IN (SELECT form FROM train)),
 pl AS (SELECT c.form, c.prefix, c.host, t.lemma, t.cpos, t.feat_str FROM cut c JOIN train t ON t.form = c.host UNION ALL SELECT form, prefix, host, '', cpos, '' FROM num)"""
 

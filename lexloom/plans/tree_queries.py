@@ -164,7 +164,7 @@ def a15_validate_gold(spark, d):
 SAME_FORMS = "array_to_string(list_sort(list_distinct(string_split(forms, ';'))), ';')"
 
 
-@query(PATH_SQL + f"SELECT p.doc_id, p.line_no, p.tok_no, p.path FROM (SELECT *, {SAME_FORMS} AS k FROM pth) p WHERE (doc_id, line_no, tok_no, k) IN (SELECT doc_id, line_no, tok_no, {SAME_FORMS} FROM gold)")
+@query(PATH_SQL + f"SELECT p.doc_id, p.line_no, p.tok_no, p.path FROM (SELECT *, {SAME_FORMS} AS k FROM pth) p JOIN (SELECT doc_id, line_no, tok_no, {SAME_FORMS} AS k FROM gold) g USING (doc_id, line_no, tok_no, k)")
 def j13_intersect_paths(spark, d):
     found, gold = _paths(_once(_edges(spark, d)))
     return lattice.intersect_paths(found, gold, TOKEN).select(*TOKEN, "path")
@@ -423,7 +423,7 @@ def w5_number_repeats(spark, d):
     return evaluation.number_repeats(_arcs(spark, d)[0].select(*SENT, "id", "form"), SENT, ["form"], ["id"])
 
 
-@query(LAT.rstrip() + ", c AS (SELECT * FROM edge WHERE path = 0), g AS (SELECT doc_id, line_no, tok_no, token || CASE WHEN tok_no % 3 = 0 THEN 'x' ELSE '' END AS form, CASE WHEN tok_no % 4 = 0 THEN 'ZZ' ELSE cpos END AS cpos FROM c) SELECT g.doc_id, g.line_no, g.tok_no, CASE WHEN g.form = c.form AND g.cpos = c.cpos THEN 'Form_POS' WHEN g.cpos = c.cpos THEN 'POS' WHEN g.form = c.form THEN 'Form' ELSE 'none' END AS level, CASE WHEN g.form = c.form OR g.cpos = c.cpos THEN 1 ELSE 0 END AS n_matches FROM g JOIN c USING (doc_id, line_no, tok_no)")
+@query(f"WITH {MORPHS_SQL}, g AS (SELECT *, form || CASE WHEN tok_no % 3 = 0 THEN 'x' ELSE '' END AS g_form, CASE WHEN tok_no % 4 = 0 THEN 'ZZ' ELSE cpos END AS g_cpos FROM morph) SELECT doc_id, line_no, tok_no, CASE WHEN g_form = form AND g_cpos = cpos THEN 'Form_POS' WHEN g_cpos = cpos THEN 'POS' WHEN g_form = form THEN 'Form' ELSE 'none' END AS level, CASE WHEN g_form = form OR g_cpos = cpos THEN 1 ELSE 0 END AS n_matches FROM g")
 def j20_backoff_match(spark, d):
     c = _edges(spark, d).filter("path = 0").select(*TOKEN, "form", "cpos")
     g = c.withColumns({"form": F.concat("form", F.when(F.col("tok_no") % 3 == 0, F.lit("x")).otherwise(F.lit(""))), "cpos": F.when(F.col("tok_no") % 4 == 0, F.lit("ZZ")).otherwise(F.col("cpos")), "gold_id": F.lit(1)})

@@ -45,7 +45,12 @@ def _cell(i: int) -> Column:
 
 def read_conll(spark: SparkSession, path: str, limit: int | None = None, strict_terminated: bool = False) -> DataFrame:
     """Ten-column dependency rows (S2): id, form, lemma, cpos, pos, feats, feat_str, head, deprel, _corrupt."""
-    rows = _rows(blocks(spark, path, limit, strict_terminated))
+    return conll_rows(blocks(spark, path, limit, strict_terminated))
+
+
+def conll_rows(found: DataFrame) -> DataFrame:
+    """The rows of blocks (path, block, lines), row by row: also for streams."""
+    rows = _rows(found)
     ok = (F.size("cells") == 10) & (_cell(1) != "") & (_cell(3) != "") & (_cell(4) != "") & (_cell(7) != "") & parse_int(F.get("cells", F.lit(0))).isNotNull() & parse_int(F.get("cells", F.lit(6))).isNotNull()
     feat = F.get("cells", F.lit(5))
     return rows.select("path", "block", parse_int(F.get("cells", F.lit(0))).alias("id"), _cell(1).alias("form"), _cell(2).alias("lemma"), _cell(3).alias("cpos"), _cell(4).alias("pos"), parse_feats(feat).alias("feats"), feat.alias("feat_str"), parse_int(F.get("cells", F.lit(6))).alias("head"), _cell(7).alias("deprel"), F.when(~F.coalesce(ok, F.lit(False)), F.col("line")).alias("_corrupt"))
@@ -54,7 +59,12 @@ def read_conll(spark: SparkSession, path: str, limit: int | None = None, strict_
 def read_conllu(spark: SparkSession, path: str, limit: int | None = None, strict_terminated: bool = False) -> DataFrame:
     """Ten-column universal rows (S3): as read_conll with upos, xpos, deps, misc and tok_no, the running count of tokens; a-b rows give their
     token's form to the rows in their range, a.b rows are left out; comments are in sentence_comments()."""
-    rows = _rows(blocks(spark, path, limit, strict_terminated)).withColumn("key", F.get("cells", F.lit(0))).filter("not contains(key, '.')")
+    return conllu_rows(blocks(spark, path, limit, strict_terminated))
+
+
+def conllu_rows(found: DataFrame) -> DataFrame:
+    """The rows of blocks (path, block, lines; path and block name a sentence)."""
+    rows = _rows(found).withColumn("key", F.get("cells", F.lit(0))).filter("not contains(key, '.')")
     by = Window.partitionBy("path", "block").orderBy("line_no")
     span = F.contains("key", F.lit("-"))
     rows = rows.withColumn("span_end", F.when(span, F.substring_index("key", "-", -1).try_cast("int"))).withColumn("span_form", F.when(span, F.get("cells", F.lit(1))))
@@ -76,7 +86,11 @@ def read_lattice(spark: SparkSession, path: str, fmt: str = "spmrl", limit: int
 
     fmt spmrl: eight columns. ul: spans `from-to` give tokens, edges belong to the span they lie in, or without spans to a running token by their bounds. ud: the
     tokens are the words of the sentence's comment, an edge's token is in column nine."""
-    found = blocks(spark, path, limit, strict_terminated)
+    return lattice_rows(blocks(spark, path, limit, strict_terminated), fmt)
+
+
+def lattice_rows(found: DataFrame, fmt: str = "spmrl") -> DataFrame:
+    """The edges of blocks (path, block, lines; path and block name a sentence). spmrl goes row by row: also for streams."""
     rows = _rows(found)
     at = lambda i: parse_int(F.get("cells", F.lit(i)))
     feat = F.get("cells", F.lit(6))
@@ -86,11 +100,15 @@ def read_lattice(spark: SparkSession, path: str, fmt: str = "spmrl", limit: int
     if fmt == "ud":
         comment = found.select("path", "block", F.expr("split(trim(substring(filter(lines, x -> startswith(x, '#'))[0], 2)), ' +')").alias("words"))
         return rows.join(comment, ["path", "block"], "left").select("path", "block", *base, at(8).alias("tok_no"), F.get("words", at(8) - 1).alias("token"))
-    span = F.contains(F.get("cells", F.lit(0)), F.lit("-"))
-    spans = rows.filter(span).select("path", "block", F.substring_index(F.get("cells", F.lit(0)), "-", 1).try_cast("int").alias("s"), F.substring_index(F.get("cells", F.lit(0)), "-", -1).try_cast("int").alias("e"), F.get("cells", F.lit(1)).alias("token"))
-    spans = spans.withColumn("tok_no", F.row_number().over(Window.partitionBy("path", "block").orderBy("s")))
-    edges = rows.filter(~span).select("path", "block", *base)
-    inside = edges.join(spans, ["path", "block"], "left").filter("s is null or (from_node >= s and to_node <= e)")
+    # spans are numbered, and each edge looks back to the last span that starts at or before it: one sort of the sentence
+    key = F.get("cells", F.lit(0))
+    by = Window.partitionBy("path", "block")
+    start, end = (F.substring_index(key, "-", n).try_cast("int") for n in (1, -1))
+    rows = rows.withColumn("is_span", F.contains(key, F.lit("-"))).withColumn("at", F.when(F.col("is_span"), start).otherwise(at(0)))
+    rows = rows.withColumn("spans", F.count_if("is_span").over(by)).withColumn("n", F.count_if("is_span").over(by.orderBy("at", F.desc("is_span"), "line_no").rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.last(F.when(F.col("is_span"), F.struct(end.alias("e"), F.get("cells", F.lit(1)).alias("token"))), True).over(by.orderBy("at", F.desc("is_span"), "line_no").rowsBetween(Window.unboundedPreceding, 0))
+    edges = rows.withColumn("last", last).filter("not is_span").select("path", "block", *base, "spans", F.when(F.col("spans") > 0, F.col("n")).alias("tok_no"), F.col("last.e").alias("e"), F.col("last.token").alias("token"))
+    inside = edges.filter("spans = 0 or to_node <= e")
     before = F.max("to_node").over(Window.partitionBy("path", "block").orderBy("from_node", "to_node").rowsBetween(Window.unboundedPreceding, -1))
     starts = inside.withColumn("new", F.when(F.coalesce(before <= F.col("from_node"), F.lit(True)), F.lit(1)).otherwise(F.lit(0)))
     running = F.sum("new").over(Window.partitionBy("path", "block").orderBy("from_node", "to_node").rowsBetween(Window.unboundedPreceding, 0))
@@ -149,9 +167,11 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("value")).filter("value <> '' and not startswith(value, '#')")
 
 
-def read_dep(spark: SparkSession, path: str) -> DataFrame:
-    """path, block, form, cpos, head (from 0, -1 for the root), deprel, of ten-column blocks."""
+def read_dep(spark: SparkSession, path: str, width: int = 10) -> DataFrame:
+    """path, block, form, cpos, head (from 0, -1 for the root), deprel, of ten-column blocks, or of those four columns with such heads."""
     rows = _rows(blocks(spark, path))
+    if width == 4:
+        return rows.select("path", "block", "line_no", _cell(0).alias("form"), _cell(1).alias("cpos"), parse_int(F.get("cells", F.lit(2))).alias("head"), _cell(3).alias("deprel"))
     return rows.select("path", "block", "line_no", _cell(1).alias("form"), _cell(3).alias("cpos"), (parse_int(F.get("cells", F.lit(6))) - 1).alias("head"), _cell(7).alias("deprel"))
 
 

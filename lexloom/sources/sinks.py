@@ -33,6 +33,17 @@ def conll_lines(rows: DataFrame, sent: list[str]) -> DataFrame:
     return block_text(rows, sent, ["id"], line)
 
 
+def dep_lines(rows: DataFrame, sent: list[str], order: str) -> DataFrame:
+    """Four columns: form, cpos, head (from 0, -1 for the root), deprel (the short form of S12). A form that begins with # would be read as a comment."""
+    return block_text(rows, sent, [order], F.concat_ws("\t", _text("form"), _text("cpos"), F.col("head").cast("string"), _text("deprel")))
+
+
+def commented(text: DataFrame, tokens: DataFrame, sent: list[str]) -> DataFrame:
+    """Blocks (sent, value) with the sentence's tokens (tok_no, token) in a comment line before them, as S6 reads it."""
+    words = tokens.select(*sent, "tok_no", "token").distinct().groupBy(*sent).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "token"))), lambda t: t["token"]), " ").alias("_w"))
+    return text.join(words, sent).select(*sent, F.concat(F.lit("# "), F.col("_w"), F.lit("\n"), F.col("value")).alias("value"))
+
+
 def conllu_lines(rows: DataFrame, sent: list[str]) -> DataFrame:
     """Ten columns with an a-b row before the morphemes of a token of two or more (K3). A missing lemma is the form without _."""
     by = Window.partitionBy(*sent, "tok_no")
@@ -49,9 +60,11 @@ def lattice_lines(edges: DataFrame, sent: list[str]) -> DataFrame:
     return block_text(edges, sent, ["from_node", "to_node", "form"], line)
 
 
-def ud_lattice_lines(edges: DataFrame, sent: list[str], tag: str | None = None) -> DataFrame:
-    """Edges after a span row for each token, with oov=1 where its flag is set (K5, A25); tag stands for all tags if given."""
+def ud_lattice_lines(edges: DataFrame, sent: list[str], tag: str | None = None, spans: bool = True) -> DataFrame:
+    """Edges after a span row for each token, with oov=1 where its flag is set (K5, A25); tag stands for all tags if given. Without spans, edges alone."""
     line = F.concat_ws("\t", F.col("from_node").cast("string"), F.col("to_node").cast("string"), _text("form"), _text("lemma"), F.lit(tag) if tag else _text("cpos"), F.lit(tag) if tag else _text("pos"), _text("feat_str"), F.lit("_"), F.col("tok_no").cast("string"))
+    if not spans:
+        return block_text(edges, sent, ["tok_no", "from_node", "to_node", "form"], line)
     spans = edges.groupBy(*sent, "tok_no", "token").agg(F.min("from_node").alias("a"), F.max("to_node").alias("b"), F.max("oov").alias("oov"))
     span_line = F.concat_ws("\t", F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string")), "token", *[F.lit("_")] * 6, F.when(F.col("oov"), F.lit("oov=1")).otherwise(F.lit("_")))
     rows = edges.select(*sent, "tok_no", F.lit(1).alias("kind"), "from_node", "to_node", "form", line.alias("_t")).unionByName(spans.select(*sent, "tok_no", F.lit(0).alias("kind"), F.col("a").alias("from_node"), F.col("b").alias("to_node"), F.lit("").alias("form"), span_line.alias("_t")))
@@ -93,4 +106,4 @@ def write_metrics(df: DataFrame, path: str, sep: str = "\t") -> None:
     df.write.mode("overwrite").option("header", True).option("sep", sep).csv(path)
 
 
-__all__ = ["format_feats", *[n for n in dir() if n.endswith("_lines") or n.startswith("write_")], "json_lattice", "block_text"]
+__all__ = ["format_feats", *[n for n in dir() if n.endswith("_lines") or n.startswith("write_")], "json_lattice", "block_text", "commented"]
