@@ -178,16 +178,16 @@ def _to_file(spark, edges):
 @query(cq.DICT_SQL.rstrip() + cq._MSR + cq._READ + cq._PREFIXES_SQL + cq._PROPN + cq._G10 + _lattice_sql("ev"))
 def g10_lattice_files(spark, d):
     m = _once(derived.morphs(_docs(spark, d)))
-    dic = cq._dictionary(m)
-    forms = m.select("form").distinct()
-    found = lexicon.split_morphs(lexicon.analyze_lexicon(forms, dic, cq._prefix_list(dic), lexicon.oov_msrs(dic)))
+    dic = _once(cq._dictionary(m))
+    forms = _once(m.select("form").distinct())
+    found = _once(lexicon.split_morphs(lexicon.analyze_lexicon(forms, dic, _once(cq._prefix_list(dic)), _once(lexicon.oov_msrs(dic)))))
     return _to_file(spark, lexicon.token_lattices(m, found, SENT))
 
 
 @query(cq.DICT_SQL.rstrip() + cq._MSR + cq._READ + EDGES_SQL.replace(MORPHS_SQL, "") + ENTRY_SQL.split(EDGES_SQL)[1] + ", ana AS (SELECT form, prefix, host, cpos, '' AS feat_str FROM en UNION ALL SELECT f.form, '', f.form, rd.cpos, rd.feat_str FROM (SELECT form FROM forms WHERE length(form) % 7 = 0) f, rd)" + _lattice_sql("ana"))
 def g11_lattice_files(spark, d):
     m = _once(derived.morphs(_docs(spark, d)))
-    found = lexicon.entry_morphs(m, _entries(spark, d), lexicon.oov_msrs(cq._dictionary(m)))
+    found = _once(lexicon.entry_morphs(m, _entries(spark, d), _once(lexicon.oov_msrs(cq._dictionary(m)))))
     return _to_file(spark, lexicon.token_lattices(m, found, SENT))
 
 

@@ -1,5 +1,7 @@
 """Readers and sinks over files, and streams against their batch results."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,31 @@ def test_lattices(spark, tmp_path):
     assert sinks.ud_lattice_lines(edges, ["block"]).first().value.split("\n")[0] == "0-2\tab\t_\t_\t_\t_\t_\t_\toov=1"
 
 
+def test_spans_by_sweep(spark, tmp_path):
+    edge = "{}\t{}\t{}\t_\tX\tX\t_\t_\n"
+    s = write(tmp_path / "s.lat", "2-3\tc\n" + edge.format(2, 3, "c") + "0-2\tab\n" + edge.format(1, 2, "b") + edge.format(0, 2, "ab") + edge.format(0, 1, "a") + edge.format(1, 3, "over") + edge.format(5, 6, "past") + "\n")
+    assert sorted((r.form, r.tok_no, r.token) for r in readers.read_lattice(spark, s, "ul").collect()) == [("a", 1, "ab"), ("ab", 1, "ab"), ("b", 1, "ab"), ("c", 2, "c")]
+    bare = write(tmp_path / "b.lat", edge.format(0, 1, "a") + edge.format(0, 2, "ab") + edge.format(1, 2, "b") + edge.format(2, 3, "c") + "\n")
+    assert sorted((r.form, r.tok_no, r.token) for r in readers.read_lattice(spark, bare, "ul").collect()) == [("a", 1, None), ("ab", 1, None), ("b", 1, None), ("c", 2, None)]
+
+
+def test_token_lattices(spark):
+    toks = spark.createDataFrame([(1, 1, "bhouse"), (1, 2, "x"), (1, 3, "bhouse")], "sent int, tok_no int, form string")
+    read = spark.createDataFrame([("bhouse", "b", "house", "NN", "g", False), ("bhouse", "b", "house", "VB", "", False), ("bhouse", "", "bhouse", "NNP", "", False), ("x", "", "x", "NN", "", True)], "form string, prefix string, host string, cpos string, feat_str string, oov boolean")
+    got = sorted((r.from_node, r.to_node, r.form, r.cpos, r.feat_str, r.oov) for r in lexicon.token_lattices(toks, lexicon.split_morphs(read), ["sent"]).collect())
+    word = lambda at: [(at, at + 1, "b", "PREFIX", "", False), (at, at + 2, "bhouse", "NNP", "", False), (at + 1, at + 2, "house", "NN", "g", False), (at + 1, at + 2, "house", "VB", "", False)]
+    assert got == sorted([*word(0), (2, 3, "x", "NN", "", True), *word(3)])
+
+
+def test_joint_attaches_what_it_chose(spark):
+    rows = [(1, 1, 0, "X", 0, [("ab", "X")]), (1, 1, 1, "P;N", 1, [("a", "P"), ("b", "N")]), (1, 2, 0, "V", 0, [("c", "V")])]
+    c = spark.createDataFrame(rows, "sent int, tok_no int, path_id int, key string, score long, morphs array<struct<form: string, cpos: string>>")
+    pair = spark.createDataFrame([("P;N", "V", 3)], "key string, next_key string, w long")
+    weights = spark.createDataFrame([("pp|P|N", 5), ("pp|N|V", 4), ("pp|V|ROOT", 6), ("rl|P|N|case", 1), ("rl|N|V|obj", 2), ("rl|V|ROOT|root", 1)], "feature string, w long")
+    got = sorted((r.id, r.tok_no, r.form, r.head, r.deprel, r.score) for r in learn.joint(c, ["sent"], pair, weights).collect())
+    assert got == [(1, 1, "a", 2, "case", 6), (2, 1, "b", 3, "obj", 6), (3, 2, "c", 0, "root", 7)]
+
+
 def test_lexicons(spark, tmp_path):
     p = write(tmp_path / "lex", "word :NN-M-S:S-M-S-3 lemma :UNK: other\nword :VB-F-S-PAST: lem2\n\n")
     rows = readers.read_lexicon(spark, p).orderBy("tag").collect()
@@ -90,7 +117,7 @@ def test_lexicons(spark, tmp_path):
     assert [len(r.morphs) for r in readers.read_ud_lexicon(spark, u).orderBy("analysis_id").collect()] == [2, 1]
     c = write(tmp_path / "list", "# c\n\n a \nb\n")
     assert sorted(r.value for r in readers.read_list(spark, c).collect()) == ["a", "b"]
-    assert len(readers.provenance(spark, c).first().md5) == 32
+    assert readers.provenance(spark, c).first().md5 == hashlib.md5(b"# c\n\n a \nb\n").hexdigest()
     d = write(tmp_path / "dep", CONLL)
     assert readers.read_dep(spark, d).filter("form = 'KF'").first().head == -1
 
