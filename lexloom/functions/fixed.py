@@ -50,3 +50,25 @@ MSR_FEATURE = {
 PRONOUN = {"MF-P-1": "אנחנו", "MF-S-1": "אני", "F-S-2": "את", "M-S-2": "אתה", "M-P-2": "אתם", "F-P-2": "אתן", "M-S-3": "הוא", "F-S-3": "היא", "M-P-3": "הם", "F-P-3": "הן"}
 OTHER_PRONOUN = "הם"
 BRIDGE = {"CD": "של", "NN": "של", "VB": "את", "BN": "את", "IN": "", "INTJ": "", "RB": ""}
+
+# The published templates for dependency arcs (Zhang and Nivre, 2011), as template strings of operators/features.py.
+ARC_TEMPLATES = (
+    "S0|w,S0|w", "S0|p,S0|w", "S0|w|p,S0|w",
+    "N0|w,N0|w", "N0|p,N0|w", "N0|w|p,N0|w",
+    "N1|w,N1|w", "N1|p,N1|w", "N1|w|p,N1|w",
+    "N2|w,N2|w", "N2|p,N2|w", "N2|w|p,N2|w",
+    "S0h|w,S0h|w", "S0h|p,S0h|w", "S0|l,S0h|w",
+    "S0h2|w,S0h2|w", "S0h2|p,S0h2|w", "S0h|l,S0h2|w",
+    "S0l|w,S0l|w", "S0l|p,S0l|w", "S0l|l,S0l|w",
+    "S0r|w,S0r|w", "S0r|p,S0r|w", "S0r|l,S0r|w",
+    "N0l|w,N0l|w", "N0l|p,N0l|w", "N0l|l,N0l|w",
+    "S0l2|w,S0l2|w", "S0l2|p,S0l2|w", "S0l2|l,S0l2|w",
+    "S0r2|w,S0r2|w", "S0r2|p,S0r2|w", "S0r2|l,S0r2|w",
+    "N0l2|w,N0l2|w", "N0l2|p,N0l2|w", "N0l2|l,N0l2|w",
+    "S0|w|p+N0|w|p,S0|w", "S0|w|p+N0|w,S0|w", "S0|w+N0|w|p,S0|w", "S0|w|p+N0|p,S0|w", "S0|p+N0|w|p,S0|w", "S0|w+N0|w,S0|w", "S0|p+N0|p,S0|w",
+    "N0|p+N1|p,S0|w;N0|w", "N0|p+N1|p+N2|p,S0|w;N0|w", "S0|p+N0|p+N1|p,S0|w;N0|w", "S0|p+N0|p+N0l|p,S0|w;N0|w", "N0|p+N0l|p+N0l2|p,S0|w;N0|w",
+    "S0h|p+S0|p+N0|p,S0|w", "S0h2|p+S0h|p+S0|p,S0|w", "S0|p+S0l|p+N0|p,S0|w", "S0|p+S0l|p+S0l2|p,S0|w", "S0|p+S0r|p+N0|p,S0|w", "S0|p+S0r|p+S0r2|p,S0|w",
+    "S0|w|d,S0|w;N0|w", "S0|p|d,S0|w;N0|w", "N0|w|d,S0|w;N0|w", "N0|p|d,S0|w;N0|w", "S0|w+N0|w|d,S0|w;N0|w", "S0|p+N0|p|d,S0|w;N0|w",
+    "S0|w|vr,S0|w", "S0|p|vr,S0|w", "S0|w|vl,S0|w", "S0|p|vl,S0|w", "N0|w|vl,N0|w", "N0|p|vl,N0|w",
+    "S0|w|sr,S0|w", "S0|p|sr,S0|w", "S0|w|sl,S0|w", "S0|p|sl,S0|w", "N0|w|sl,N0|w", "N0|p|sl,N0|w",
+)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import distance_bucket, format_feats, host_feats, suffix_feats, word_key
+from .features import compile_templates
+
 
 def heads(arcs: DataFrame, sent: list[str]) -> DataFrame:
     """arcs with head_of_head (null above the root)."""
@@ -98,8 +103,113 @@ def address(arcs: DataFrame, sent: list[str], values: dict[str, Column]) -> Data
     return out
 
 
-def to_conll(arcs: DataFrame, sent: list[str]) -> DataFrame:
-    """sent, block: ten tab columns a token, a line each, in order; absent arcs have head 0 and relation None."""
-    cell = lambda c: F.when(F.col(c).isNull() | (F.col(c).cast("string") == ""), F.lit("_")).otherwise(F.col(c).cast("string"))
-    line = F.concat_ws("\t", F.col("id").cast("string"), cell("form"), cell("lemma"), cell("cpos"), cell("cpos"), cell("feat_str"), F.coalesce("head", F.lit(0)).cast("string"), F.coalesce("deprel", F.lit("None")), F.lit("_"), F.lit("_"))
-    return arcs.groupBy(*sent).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))), lambda r: r["line"]), "\n").alias("block"))
+def has_arcs(arcs: DataFrame, sent: list[str]) -> DataFrame:
+    """sent, id, has_head (an arc leads to it, also one from the root), has_modifiers."""
+    used = arcs.filter("head > 0").select(*sent, F.col("head").alias("id")).distinct().withColumn("has_modifiers", F.lit(True))
+    return arcs.select(*sent, "id", F.col("head").isNotNull().alias("has_head")).join(used, [*sent, "id"], "left").withColumn("has_modifiers", F.coalesce("has_modifiers", F.lit(False)))
+
+
+def to_conll(arcs: DataFrame, sent: list[str], root_label: str = "ROOT") -> DataFrame:
+    """Trees of morphemes (id, form, lemma, cpos, pos, feat_str, head, deprel) -> rows for sinks.conll_lines: an absent arc has head 0 and relation None, one with root_label head 0."""
+    absent = F.col("head").isNull()
+    return arcs.select(*sent, "id", "form", "lemma", "cpos", "pos", "feat_str", F.when(absent | (F.col("deprel") == root_label), F.lit(0)).otherwise(F.col("head")).alias("head"), F.when(absent, F.lit("None")).otherwise(F.col("deprel")).alias("deprel"))
+
+
+def to_conllu(arcs: DataFrame, sent: list[str], root_label: str = "ROOT") -> DataFrame:
+    """As to_conll, with tok_no and token, for sinks.conllu_lines: tokens without an arc hang from the root."""
+    return attach_orphans(arcs, sent, root_label).select(*sent, "id", "tok_no", "token", "form", "lemma", F.col("cpos").alias("upos"), F.col("pos").alias("xpos"), "feat_str", "head", "deprel")
+
+
+def from_conll(rows: DataFrame, sent: list[str], kind: str = "form") -> DataFrame:
+    """Rows of read_conll (sent: path, block or others) -> tree rows with word (by kind as in word_key), word_pos, host and suffix features."""
+    word = word_key("form", "lemma", kind)
+    return rows.select(*sent, "id", "form", "lemma", "cpos", "pos", "feat_str", "head", "deprel", word.alias("word"), F.concat_ws("~", word, "cpos").alias("word_pos"), format_feats(host_feats("feats")).alias("host"), format_feats(suffix_feats("feats")).alias("suffix"))
+
+
+def from_conllu(rows: DataFrame, sent: list[str], kind: str = "form") -> DataFrame:
+    """Rows of read_conllu -> tree rows with tok_no and token; the universal tag is the tag."""
+    named = rows.withColumnsRenamed({"upos": "cpos", "xpos": "pos"})
+    return from_conll(named, sent, kind).join(rows.select(*sent, "id", "tok_no", "token"), [*sent, "id"])
+
+
+def to_lattice(morphs: DataFrame, sent: list[str]) -> DataFrame:
+    """Morphemes of a sentence in a row (id from 1, tok_no) -> the lattice that has this one path, from id - 1 to id, for sinks.lattice_lines; an empty feat_str is _."""
+    return morphs.select(*sent, "tok_no", "token", (F.col("id") - 1).alias("from_node"), F.col("id").alias("to_node"), "form", "lemma", "cpos", "pos", F.coalesce(F.nullif("feat_str", F.lit("")), F.lit("_")).alias("feat_str"))
+
+
+def to_tagged(arcs: DataFrame, sent: list[str]) -> DataFrame:
+    """sent, tagged: an array of (form, cpos) in order."""
+    made = F.array_sort(F.collect_list(F.struct("id", "form", "cpos")))
+    return arcs.groupBy(*sent).agg(F.transform(made, lambda r: F.struct(r["form"].alias("form"), r["cpos"].alias("cpos"))).alias("tagged"))
+
+
+RELATIVES = ("h", "h2", "l", "l2", "r", "r2")
+
+
+def _token_attributes(arcs: DataFrame, sent: list[str]) -> DataFrame:
+    """arcs (id, head, deprel, form, cpos, host, suffix) with all attributes of F3 that a finished tree has, as strings, and the places of l, l2, r, r2."""
+    left = F.col("id") < F.col("head")
+    places = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("id"))))
+    down = arcs.filter("head > 0").groupBy(*sent, F.col("head").alias("id")).agg(places(left).alias("_l"), places(~left).alias("_r"))
+    labels = label_sets(arcs, sent)
+    n = lambda c: F.coalesce(F.size(c), F.lit(0))
+    at = lambda c, i: F.get(c, F.lit(i)) if i >= 0 else F.get(c, F.size(c) + i)
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = arcs.join(down, [*sent, "id"], "left").join(labels, [*sent, "id"], "left")
+    sides = [F.when(F.col("_l").isNotNull(), n("_l")).otherwise(0), F.when(F.col("_r").isNotNull(), n("_r")).otherwise(0)]
+    return rows.select(
+        *sent, "id", "head", F.col("form").alias("w"), F.concat_ws("~", "form", "cpos").alias("wp"), F.col("cpos").alias("p"), F.when(F.col("head").isNotNull(), F.col("deprel")).alias("l"),
+        sides[0].cast("string").alias("vl"), sides[1].cast("string").alias("vr"), (sides[0] + sides[1]).cast("string").alias("vf"),
+        text("left_labels").alias("sl"), text("right_labels").alias("sr"), text("all_labels").alias("sf"), text("all_tags").alias("fp"), F.col("host").alias("h"), F.col("suffix").alias("x"),
+        at("_l", 0).alias("at_l"), at("_l", 1).alias("at_l2"), at("_r", -1).alias("at_r"), at("_r", -2).alias("at_r2"),
+    )
+
+
+def arc_features(arcs: DataFrame, sent: list[str], templates: list[str]) -> DataFrame:
+    """Arcs between two tokens of finished trees -> sent, id, head, features: an array of name=value for each template that has a value.
+
+    arcs: id (1 to n in a sentence), head, deprel, form, cpos, host, suffix. Addresses: S0 and N0 are the left and the right end of the arc,
+    N1, N2, ... the tokens after N0, and h, h2, l, l2, r, r2 after them their relatives. Attributes: w, wp, p, l (relation), d (distance of S0 and N0 by
+    distance_bucket), vl, vr, vf (numbers of modifiers), sl, sr, sf (their relations), fp (their tags), h, x (host and suffix features). What hangs on a
+    parser's state (S1 and beyond, the heads on its stack) has no value in a finished tree and is an error.
+    A feature is missing where a requirement is; other missing values are empty. Sentences without such arcs, and null heads, give no row.
+
+    One row holds a sentence, and its arcs look their tokens up there: the work is linear in its length, and the tree is joined with itself nowhere."""
+    toks = _token_attributes(arcs, sent)
+    given = [c for c in toks.columns if c not in sent]
+    one = toks.groupBy(*sent).agg(F.array_sort(F.collect_list(F.struct(*given))).alias("_t"))
+    compiled = compile_templates(templates)
+    addresses = sorted({a for _, elements, needs in compiled for a, _ in elements + needs})
+
+    def node(arc: Column, address: str) -> Column:
+        base, found = re.fullmatch("([A-Z][0-9]+)(.*)", address).groups()
+        token = lambda place: F.get("_t", place - 1)
+        if base == "S0":
+            start = token(F.least(arc["id"], arc["head"]))
+        elif base.startswith("N"):
+            start = token(F.greatest(arc["id"], arc["head"]) + int(base[1:]))
+        else:
+            raise ValueError(f"no address {address} in finished trees")
+        if not found:
+            return start
+        if found not in RELATIVES:
+            raise ValueError(f"no relative {found}")
+        return token(token(start["head"])["head"]) if found == "h2" else token(start["head"] if found == "h" else start[f"at_{found}"])
+
+    def value(address: str, attr: str) -> Column:
+        if attr == "d":
+            return F.when(F.col(f"a.{address}").isNotNull(), distance_bucket("a.id", "a.head").cast("string"))
+        if attr not in given or attr.startswith("at_") or attr in ("id", "head"):
+            raise ValueError(f"no attribute {attr} in finished trees")
+        return F.col(f"a.{address}.{attr}")
+
+    made = []
+    for name, elements, needs in compiled:
+        text = F.concat_ws("~", *(F.coalesce(value(a, x), F.lit("")) for a, xs in elements for x in xs))
+        there = F.lit(True)
+        for a, xs in needs:
+            for x in xs:
+                there = there & value(a, x).isNotNull()
+        made.append(F.when(there, F.concat(F.lit(f"{name}="), text)))
+    ends = F.transform(F.filter("_t", lambda t: t["head"] > 0), lambda t: F.struct(t["id"].alias("id"), t["head"].alias("head"), *(node(t, a).alias(a) for a in addresses)))
+    return one.select(*sent, F.explode(ends).alias("a")).select(*sent, F.col("a.id").alias("id"), F.col("a.head").alias("head"), F.array_compact(F.array(*made)).alias("features"))
