@@ -120,16 +120,15 @@ def to_conllu(arcs: DataFrame, sent: list[str], root_label: str = "ROOT") -> Dat
     return attach_orphans(arcs, sent, root_label).select(*sent, "id", "tok_no", "token", "form", "lemma", F.col("cpos").alias("upos"), F.col("pos").alias("xpos"), "feat_str", "head", "deprel")
 
 
-def from_conll(rows: DataFrame, sent: list[str], kind: str = "form") -> DataFrame:
-    """Rows of read_conll (sent: path, block or others) -> tree rows with word (by kind as in word_key), word_pos, host and suffix features."""
+def from_conll(rows: DataFrame, sent: list[str], kind: str = "form", more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of read_conll (sent: path, block or others) -> tree rows with word (by kind as in word_key), word_pos, host and suffix features, and the columns in more."""
     word = word_key("form", "lemma", kind)
-    return rows.select(*sent, "id", "form", "lemma", "cpos", "pos", "feat_str", "head", "deprel", word.alias("word"), F.concat_ws("~", word, "cpos").alias("word_pos"), format_feats(host_feats("feats")).alias("host"), format_feats(suffix_feats("feats")).alias("suffix"))
+    return rows.select(*sent, "id", "form", "lemma", "cpos", "pos", "feat_str", "head", "deprel", word.alias("word"), F.concat_ws("~", word, "cpos").alias("word_pos"), format_feats(host_feats("feats")).alias("host"), format_feats(suffix_feats("feats")).alias("suffix"), *more)
 
 
 def from_conllu(rows: DataFrame, sent: list[str], kind: str = "form") -> DataFrame:
     """Rows of read_conllu -> tree rows with tok_no and token; the universal tag is the tag."""
-    named = rows.withColumnsRenamed({"upos": "cpos", "xpos": "pos"})
-    return from_conll(named, sent, kind).join(rows.select(*sent, "id", "tok_no", "token"), [*sent, "id"])
+    return from_conll(rows.withColumnsRenamed({"upos": "cpos", "xpos": "pos"}), sent, kind, ("tok_no", "token"))
 
 
 def to_lattice(morphs: DataFrame, sent: list[str]) -> DataFrame:

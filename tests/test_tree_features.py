@@ -3,6 +3,7 @@
 import pytest
 
 from lexloom.operators import depgraph, evaluation
+from lexloom.sources import readers
 
 # a <- b -> c -> d, with e below c too: ids 1 to 5, root 2
 TREE = "s int, id int, head int, deprel string, form string, cpos string, host string, suffix string"
@@ -50,3 +51,10 @@ def test_realigned_sentences(spark):
     got = evaluation.realign_tokens(old, new, ["s"])
     assert sorted((r.s, r.pos, r.tok_id, r.rule) for r in got.collect()) == [(1, 1, 1, "proper"), (1, 2, 2, "proper"), (2, 1, 1, "joined"), (2, 2, 2, "joined"), (3, 1, 1, "joined"), (3, 2, 1, "joined"), (4, 1, 1, "proper"), (4, 2, None, "nomatch")]
     assert {r.kind: r.n for r in evaluation.realign_report(old, got, ["s"]).collect()} == {"proper": 1, "match": 2, "nomatch": 1}
+
+
+def test_trees_from_universal_rows(spark, tmp_path):
+    lines = ["1-2\tabc\t_\t_\t_\t_\t_\t_\t_\t_", "1\ta\t_\tADP\tIN\t_\t2\tcase\t_\t_", "2\tbc\tbcd\tNOUN\tNN\tgen=F|suf_gen=M\t0\troot\t_\t_"]
+    (tmp_path / "x.conllu").write_text("\n".join(lines) + "\n\n", encoding="utf-8")
+    rows = depgraph.from_conllu(readers.read_conllu(spark, f"file://{tmp_path}/x.conllu"), ["path", "block"], "either").orderBy("id").collect()
+    assert [(r.tok_no, r.token, r.word, r.word_pos, r.pos, r.host, r.suffix, r["head"], r.deprel) for r in rows] == [(1, "abc", "a", "a~ADP", "IN", "_", "_", 2, "case"), (1, "abc", "bcd", "bcd~NOUN", "NN", "gen=F", "suf_gen=M", 0, "root")]
