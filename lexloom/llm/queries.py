@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_format, fingerprints, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, url_filters
+from . import bpe, chat_format, fingerprints, mixing, ngram_join, pii, quality_classifier, quality_rules, token_counts, url_filters, vector_search
 from ._tables import small_batches
 
 
@@ -67,6 +67,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.target_slots(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_ngram_jaccard, op4_fingerprints, op5_pii, op6_quality, op7_url_filters, op8_chat_format, op9_quality_rules, op10_mixing)} | {"pipeline": corpus_pipeline.run}
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 256)
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return vector_search.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_ngram_jaccard, op4_fingerprints, op5_pii, op6_quality, op7_url_filters, op8_chat_format, op9_quality_rules, op10_mixing, op11_vector_search)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {"op7_url_filters": url_filters.oracle(), "op8_chat_format": chat_format.oracle(), "op9_quality_rules": quality_rules.oracle()}
