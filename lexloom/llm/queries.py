@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe, chat_format, fingerprints, mixing, ngram_join, pii, quality_classifier, quality_rules, token_alignment, token_counts, url_filters, vector_search
+from . import bpe, chat_format, conversation_repair, fingerprints, mixing, ngram_join, pii, quality_classifier, quality_rules, token_alignment, token_counts, url_filters, vector_search
 from ._tables import small_batches
 
 
@@ -79,6 +79,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.weigh(docs, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_ngram_jaccard, op4_fingerprints, op5_pii, op6_quality, op7_url_filters, op8_chat_format, op9_quality_rules, op10_mixing, op11_vector_search, op12_token_alignment)} | {"pipeline": corpus_pipeline.run}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_ngram_jaccard, op4_fingerprints, op5_pii, op6_quality, op7_url_filters, op8_chat_format, op9_quality_rules, op10_mixing, op11_vector_search, op12_token_alignment, op13_conversation_repair)} | {"pipeline": corpus_pipeline.run}
 
 ORACLES: dict[str, str] = {"op7_url_filters": url_filters.oracle(), "op8_chat_format": chat_format.oracle(), "op9_quality_rules": quality_rules.oracle()}
