@@ -40,40 +40,80 @@ def repair_circular(edges: DataFrame) -> DataFrame:
     return edges.withColumn("to_node", F.when(F.col("from_node") == F.col("to_node"), F.col("to_node") + 1).otherwise(F.col("to_node")))
 
 
-def paths(edges: DataFrame, token: list[str], longest: int, max_paths: int | None = None) -> DataFrame:
-    """token, path_id, morphs (array of from_node, to_node, form, cpos), truncated: all paths of at most `longest` edges (G1).
-
-    Each step is an equi-join of open paths with the edges at their end. max_paths keeps the first ones in order, flagged."""
-    e = edges.select(*token, *EDGE).distinct()
-    ends = bounds(e, token)
-    morph = F.struct(*EDGE)
-    step = e.select(*token, F.col("from_node").alias("at"), morph.alias("edge"))
-    open_paths = step.join(ends, token).filter("at = bottom").select(*token, "top", F.array("edge").alias("morphs"))
-    done = open_paths.filter("morphs[0].to_node = top")
-    for n in range(1, longest):
-        open_paths = open_paths.filter(f"morphs[{n - 1}].to_node < top").withColumn("at", F.expr(f"morphs[{n - 1}].to_node")).join(step, [*token, "at"]).select(*token, "top", F.array_append("morphs", F.col("edge")).alias("morphs"))
-        done = done.unionByName(open_paths.filter(f"morphs[{n}].to_node = top"))
-    key = F.transform("morphs", lambda m: F.concat_ws("\x01", m["form"], m["cpos"], m["from_node"].cast("string")))
-    numbered = done.withColumn("path_id", F.row_number().over(Window.partitionBy(*token).orderBy(key))).withColumn("n", F.count("*").over(Window.partitionBy(*token)))
-    out = numbered.select(*token, "path_id", "morphs", (F.col("n") > max_paths).alias("truncated") if max_paths else F.lit(False).alias("truncated"))
-    return out.filter(F.col("path_id") <= max_paths) if max_paths else out
-
-
-def is_var_len(path_table: DataFrame, token: list[str]) -> DataFrame:
-    """token, n_paths, var_len: whether its paths differ in length."""
-    return path_table.groupBy(*token).agg(F.count("*").alias("n_paths"), (F.min(F.size("morphs")) < F.max(F.size("morphs"))).alias("var_len"))
-
-
-def single_path(path_table: DataFrame, token: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Tagged morphemes of tokens with exactly one path, and the tokens with none or more."""
-    n = path_table.withColumn("n", F.count("*").over(Window.partitionBy(*token)))
-    good = n.filter("n = 1").select(*token, F.posexplode("morphs").alias("morph_idx", "m")).select(*token, "morph_idx", "m.form", "m.cpos")
-    return good, n.filter("n > 1").select(*token, "n").distinct()
-
-
-def fused_forms(path_table: DataFrame, token: list[str]) -> DataFrame:
-    """token, fused: distinct surface strings of the paths, inner H left out."""
-    return path_table.select(*token, token_of_path("morphs", fused=True).alias("fused")).distinct()
+#: Counts of paths stop here: more are "so many at least".
+MANY = 4_000_000_000_000_000_000
+
+
+def _element(df: DataFrame, array: str) -> str:
+    """The type of an array column's elements, as in SQL."""
+    return df.schema[array].dataType.elementType.simpleString()
+
+
+def _ways(edges: DataFrame, token: list[str]) -> DataFrame:
+    """token, bottom, top, w: one row a token, with its distinct edges that lead to the top, each with how many ways it begins (ways), those of
+    edges before it at its node in order of form, tag and end (before), and the longest and shortest of them (deep, flat). One shuffle.
+
+    Edges lead to greater nodes (see repair_circular); others are on no path. Edges are met from the highest node down, so what follows an edge is known."""
+    rows = edges.groupBy(*token).agg(F.array_sort(F.collect_set(F.struct(*EDGE))).alias("e"), F.min("from_node").alias("bottom"), F.max("to_node").alias("top"))
+    edge, one = _element(rows, "e"), "named_struct('e', e[0], 'ways', 1L, 'deep', 1, 'flat', 1, 'before', 0L)"
+    step = f"""transform(array(filter(acc, y -> y.e.from_node = x.to_node)), f -> named_struct('e', x,
+        'ways', if(x.to_node = top, 1L, aggregate(f, 0L, (n, y) -> least(n + y.ways, {MANY}L))),
+        'deep', if(x.to_node = top, 1, coalesce(array_max(transform(f, y -> y.deep)), 0) + 1),
+        'flat', if(x.to_node = top, 1, coalesce(array_min(transform(f, y -> y.flat)), 0) + 1)))[0]"""
+    met = f"""aggregate(reverse(e), cast(array() as array<struct<e: {edge}, ways: bigint, deep: int, flat: int>>),
+        (acc, x) -> transform(array({step}), y -> if(y.ways > 0 and x.from_node < x.to_node, array_append(acc, y), acc))[0])"""
+    earlier = "z.e.from_node = y.e.from_node and struct(z.e.form, z.e.cpos, z.e.to_node) < struct(y.e.form, y.e.cpos, y.e.to_node)"
+    ordered = f"""transform(array({met}), m -> transform(m, y -> named_struct('e', y.e, 'ways', y.ways, 'deep', y.deep, 'flat', y.flat,
+        'before', aggregate(filter(m, z -> {earlier}), 0L, (n, z) -> least(n + z.ways, {MANY}L)))))[0]"""
+    return rows.select(*token, "bottom", "top", F.expr(f"if(size(e) = 1 and bottom < top, array({one}), {ordered})").alias("w"))
+
+
+def path_counts(edges: DataFrame, token: list[str]) -> DataFrame:
+    """token, bottom, top, n_paths (MANY at most), longest, shortest: of each token's paths, counted without making them (A23). 0 and nulls where there is none."""
+    first = "filter(w, y -> y.e.from_node = bottom)"
+    counted = f"aggregate({first}, 0L, (n, y) -> least(n + y.ways, {MANY}L))"
+    return _ways(edges, token).selectExpr(*token, "bottom", "top", f"{counted} n_paths", f"array_max(transform({first}, y -> y.deep)) longest", f"array_min(transform({first}, y -> y.flat)) shortest")
+
+
+def paths(edges: DataFrame, token: list[str], max_paths: int | None = None) -> DataFrame:
+    """token, path_id, morphs (array of from_node, to_node, form, cpos), truncated: all paths, of any length (G1).
+
+    A token's paths are counted, then made by their numbers, within its row: path_id is from 1 in the order of the morphemes' forms, tags and ends.
+    max_paths keeps the first ones, and says so of a token that has more. Without it a token of more than a billion paths is an error."""
+    some = f"least(n_paths, {max_paths}L)" if max_paths is not None else "if(n_paths > 1000000000, raise_error('more than a billion paths'), n_paths)"
+    first = "filter(w, y -> y.e.from_node = bottom)"
+    counted = _ways(edges, token).withColumn("n_paths", F.expr(f"aggregate({first}, 0L, (n, y) -> least(n + y.ways, {MANY}L))")).withColumn("longest", F.expr(f"array_max(transform({first}, y -> y.deep))"))
+    edge = counted.schema["w"].dataType.elementType["e"].dataType.simpleString()
+    turn = "transform(filter(w, y -> y.e.from_node = s.at and y.before <= s.rest and s.rest < y.before + y.ways), y -> named_struct('at', y.e.to_node, 'rest', s.rest - y.before, 'morphs', array_append(s.morphs, y.e)))[0]"
+    one = f"aggregate(sequence(1, longest), named_struct('at', bottom, 'rest', k, 'morphs', cast(array() as array<{edge}>)), (s, i) -> if(s.at = top, s, {turn}), s -> s.morphs)"
+    made = F.expr(f"if(n_paths = 1 and size(w) = 1, array(array(w[0].e)), if(n_paths > 0, transform(sequence(0L, cast({some} as bigint) - 1), k -> {one}), array()))")
+    over = F.lit(False) if max_paths is None else F.col("n_paths") > max_paths
+    return counted.filter(F.lit(max_paths is None or max_paths > 0)).select(*token, over.alias("truncated"), F.posexplode(made).alias("path_id", "morphs")).select(*token, (F.col("path_id") + 1).alias("path_id"), "morphs", "truncated")
+
+
+def is_var_len(edges: DataFrame, token: list[str]) -> DataFrame:
+    """token, n_paths, var_len: whether its paths differ in length (P14). No path is made for it; tokens without one are left out."""
+    return path_counts(edges, token).filter("n_paths > 0").select(*token, "n_paths", (F.col("shortest") < F.col("longest")).alias("var_len"))
+
+
+def single_path(edges: DataFrame, token: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Tagged morphemes of tokens with exactly one path, and the tokens with none or more, with their number n."""
+    counts = path_counts(edges, token)
+    one = edges.join(counts.filter("n_paths = 1").select(*token), token, "left_semi")
+    good = paths(one, token).select(*token, F.posexplode("morphs").alias("morph_idx", "m")).select(*token, "morph_idx", "m.form", "m.cpos")
+    return good, counts.filter("n_paths <> 1").select(*token, F.col("n_paths").alias("n"))
+
+
+def fused_forms(edges: DataFrame, token: list[str], every_node: bool = False) -> DataFrame:
+    """token, node, fused: distinct surface strings from the bottom (or from every node) to the top (G2). An H behind the bottom that is
+    its node's only edge is not written. Nodes from which nothing leads to the top have none."""
+    rows = _ways(edges, token)
+    alone = "size(filter(w, y -> y.e.from_node = x.e.from_node)) = 1"
+    said = f"if(x.e.form = 'H' and x.e.from_node > bottom and {alone}, '', x.e.form)"
+    after = "if(x.e.to_node = top, array(''), flatten(transform(filter(acc, y -> y.node = x.e.to_node), y -> y.said)))"
+    met = f"aggregate(w, cast(array() as array<struct<node: bigint, said: array<string>>>), (acc, x) -> array_append(acc, named_struct('node', cast(x.e.from_node as bigint), 'said', transform({after}, z -> concat({said}, z)))))"
+    each = rows.select(*token, "bottom", F.explode(F.expr(met)).alias("m")).select(*token, "bottom", F.col("m.node").alias("node"), F.explode(F.array_distinct("m.said")).alias("fused"))
+    return (each if every_node else each.filter("node = bottom")).select(*token, "node", "fused").distinct()
 
 
 def build(analyses: DataFrame, token: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
@@ -106,32 +146,34 @@ def bridge(edges: DataFrame, token: list[str]) -> DataFrame:
     return found.withColumn("to_node", F.when(lost, F.col("to_node") + 1).otherwise(F.col("to_node"))).select(*edges.columns)
 
 
-def meet_join(edges: DataFrame, token: list[str], longest: int) -> DataFrame:
+def meet_join(edges: DataFrame, token: list[str]) -> DataFrame:
     """token, x, y (nodes, x < y), meet (the nearest node that reaches both) and join (the nearest that both reach).
 
     Of the nodes that a way from y first shares with x, the one with the fewest edges to x (then to y, then the greater number for meet, the lesser
-    for join). Up to `longest` edges are followed."""
-    link = edges.select(*token, "from_node", "to_node").distinct()
-    every = edges.select(*token, F.explode(F.array("from_node", "to_node")).alias("node")).distinct()
-    reach = front = every.select(*token, F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("d"))
-    for n in range(1, longest + 1):
-        front = front.join(link.withColumnRenamed("from_node", "b"), [*token, "b"]).select(*token, "a", F.col("to_node").alias("b"), F.lit(n).alias("d")).distinct()
-        reach = reach.unionByName(front)
-    reach = reach.groupBy(*token, "a", "b").agg(F.min("d").alias("d"))
-    pair = every.withColumnRenamed("node", "x").join(every.withColumnRenamed("node", "y"), token).filter("x < y")
-    back = link.select(*token, F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"))
-    xy = [*token, "x", "y"]
-
-    def nearest(start: str, end: str, way: DataFrame, sign: int, name: str) -> DataFrame:
-        from_x, from_y = (reach.select(*token, F.col(start).alias(v), F.col(end).alias("m"), F.col("d").alias(f"d{v}")) for v in "xy")
-        of_x, of_y = pair.join(from_x, [*token, "x"]), pair.join(from_y, [*token, "y"])
-        alone = of_y.join(of_x, [*xy, "m"], "left_anti").withColumnRenamed("m", "from_node").join(way, [*token, "from_node"]).select(*xy, F.col("to_node").alias("m"))
-        first = alone.unionByName(pair.select(*xy, F.col("y").alias("m"))).distinct()
-        both = of_x.join(of_y, [*xy, "m"]).join(first, [*xy, "m"], "left_semi")
-        return both.groupBy(*xy).agg(F.min(F.struct("dx", "dy", (sign * F.col("m")).alias("o"), "m"))["m"].alias(name))
-
-    above, below = nearest("b", "a", back, -1, "meet"), nearest("a", "b", link, 1, "join")
-    return pair.join(above, [*token, "x", "y"], "left").join(below, [*token, "x", "y"], "left")
+    for join). Distances of all nodes are found within the token's row, so a way may have any number of edges, which lead to greater nodes."""
+    link = edges.select(*token, F.col("from_node").cast("bigint").alias("a"), F.col("to_node").cast("bigint").alias("b"))
+    rows = link.groupBy(*token).agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("l"))
+    rows = rows.withColumn("nodes", F.expr("array_sort(array_distinct(flatten(transform(l, x -> array(x.a, x.b)))))")).withColumn("l", F.expr("filter(l, x -> x.a < x.b)"))
+
+    def reach(nodes: str, start: str, end: str) -> Column:
+        """For each node the nodes it reaches along links from start to end, with the fewest links: array of (node, to: array of (m, d))."""
+        more = f"flatten(transform(filter(l, x -> x.{start} = v), x -> transform(filter(acc, r -> r.node = x.{end})[0].to, t -> struct(t.m as m, t.d + 1 as d))))"
+        least = "transform(array_distinct(transform(a, t -> t.m)), m -> struct(m, array_min(transform(filter(a, t -> t.m = m), t -> t.d)) as d))"
+        zero = "cast(array() as array<struct<node: bigint, to: array<struct<m: bigint, d: int>>>>)"
+        return F.expr(f"aggregate({nodes}, {zero}, (acc, v) -> array_append(acc, struct(v as node, transform(array(array_append({more}, struct(v as m, 0 as d))), a -> {least})[0] as to)))")
+
+    rows = rows.withColumn("down", reach("reverse(nodes)", "a", "b")).withColumn("up", reach("nodes", "b", "a"))
+
+    def nearest(table: str, start: str, end: str, sign: str) -> str:
+        of = lambda v: f"filter({table}, r -> r.node = {v})[0].to"
+        # nodes that y but not x reaches, and one link on from there: where a way from y first may meet one from x
+        alone = "filter(ty, t -> not exists(tx, u -> u.m = t.m))"
+        first = f"array_append(flatten(transform({alone}, t -> transform(filter(l, k -> k.{start} = t.m), k -> k.{end}))), y)"
+        best = f"array_min(transform(filter(ty, t -> exists(tx, u -> u.m = t.m) and array_contains({first}, t.m)), t -> struct(filter(tx, u -> u.m = t.m)[0].d as dx, t.d as dy, {sign}t.m as o, t.m as m))).m"
+        return f"transform(array({of('x')}), tx -> transform(array({of('y')}), ty -> {best})[0])[0]"
+
+    pair = f"flatten(transform(nodes, x -> transform(filter(nodes, y -> x < y), y -> struct(x, y, {nearest('up', 'b', 'a', '-')} as meet, {nearest('down', 'a', 'b', '')} as join))))"
+    return rows.select(*token, F.expr(f"inline({pair})"))
 
 
 def path_key(morphs: str | Column = "morphs") -> Column:
@@ -147,16 +189,86 @@ def infuse(candidates: DataFrame, gold: DataFrame, token: list[str]) -> DataFram
     return c.withColumn("added", F.lit(False)).unionByName(missing.withColumn("added", F.lit(True)))
 
 
-def infuse_edges(candidates: DataFrame, gold: DataFrame, token: list[str]) -> DataFrame:
-    """Gold edges (token, from_node, to_node, form, cpos) that candidates lack, with how they come in.
-
-    tags: a candidate edge has the form at the same nodes with other tags; fused: the forms of candidate edges in a row give the
-    form; path: nothing does, the whole gold path is added."""
-    lacking = gold.select(*token, *EDGE).join(candidates.select(*token, *EDGE), [*token, *EDGE], "left_anti")
-    same = candidates.select(*token, "from_node", "to_node", "form").distinct().withColumn("tags", F.lit(True))
-    rows = adjacency(candidates, token).select(*token, F.concat("form", "next_form").alias("form")).distinct().withColumn("fused", F.lit(True))
-    how = lacking.join(same, [*token, "from_node", "to_node", "form"], "left").join(rows, [*token, "form"], "left")
-    return how.select(*token, *EDGE, F.when(F.col("tags"), F.lit("tags")).when(F.col("fused"), F.lit("fused")).otherwise(F.lit("path")).alias("how"))
+def _with_gold(candidates: DataFrame, gold: DataFrame, token: list[str], more: list[str]) -> DataFrame:
+    """token, c, g (arrays of distinct candidate edges and of the gold path's in order), bottom, top: one shuffle for both sides. An edge is (from_node, to_node, form, cpos, more)."""
+    edge = F.struct(F.col("from_node").cast("bigint").alias("from_node"), F.col("to_node").cast("bigint").alias("to_node"), "form", "cpos", *more)
+    both = candidates.select(*token, edge.alias("e"), F.lit(False).alias("gold")).unionByName(gold.select(*token, edge.alias("e"), F.lit(True).alias("gold")))
+    side = lambda is_gold: F.array_sort(F.collect_set(F.when(F.col("gold") == is_gold, F.col("e"))))
+    return both.groupBy(*token).agg(side(False).alias("c"), side(True).alias("g")).withColumns({n: F.expr(f"coalesce(array_{f}(transform(c, x -> x.{col})), array_{f}(transform(g, x -> x.{col})))") for n, f, col in (("bottom", "min", "from_node"), ("top", "max", "to_node"))})
+
+
+def _same(a: str, b: str, more: list[str]) -> str:
+    return " and ".join(f"{a}.{k} <=> {b}.{k}" for k in ("form", "cpos", *more))
+
+
+def _row(x: str, start: str, end: str, how: str, more: list[str]) -> str:
+    return f"struct({start} as from_node, {end} as to_node, " + ", ".join(f"{x}.{k}" for k in ("form", "cpos", *more)) + f", {how} as how)"
+
+
+def _shifted(rows: DataFrame, sent: list[str], more: list[str]) -> DataFrame:
+    """Rows (sent, tok_no, grown, e: edges) as edge rows, each token's nodes moved on by what the tokens before it have grown."""
+    before = F.coalesce(F.sum("grown").over(Window.partitionBy(*sent).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = rows.select(*sent, "tok_no", "grown", "e").withColumn("shift", before).select(*sent, "tok_no", "shift", F.explode("e").alias("e"))
+    return each.select(*sent, "tok_no", *((F.col(f"e.{n}") + F.col("shift")).alias(n) for n in ("from_node", "to_node")), *(F.col(f"e.{k}").alias(k) for k in ("form", "cpos", *more, "how")))
+
+
+def infuse_lattices(candidates: DataFrame, gold: DataFrame, sent: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Candidate edges and the gold path's (sent, tok_no, from_node, to_node, form, cpos, more) -> edges with how: `path` where added, else null.
+
+    Where no path of a token equals the gold one, its beginning is shared with the lattice as far as edges equal it (without reaching the top early), and the rest
+    is added: inner nodes from the token's top on, the top behind them, which the old edges to the top follow. Later tokens of the sentence are moved on
+    as far. Tokens without candidates get the gold path, those without gold stay; nodes are numbered along the sentence, each token between its own bottom and top."""
+    rows = _with_gold(candidates, gold, [*sent, "tok_no"], more)
+    hit = f"array_distinct(transform(filter(c, x -> array_contains(s.at, x.from_node) and {_same('x', 'm', more)} and (x.to_node = top) = (i = size(g) - 1)), x -> x.to_node))"
+    # how far the gold path can be followed (n morphemes) and where that leads
+    walk = f"aggregate(transform(g, (m, i) -> struct(m, i)), struct(array(bottom) as at, 0 as n, true as `on`), (s, t) -> transform(array(transform(array(t.m), m -> transform(array(t.i), i -> {hit})[0])[0]), h -> if(s.`on` and size(h) > 0, struct(h as at, s.n + 1 as n, true as `on`), struct(s.at as at, s.n as n, false as `on`)))[0])"
+    rows = rows.withColumn("walk", F.expr(walk)).withColumn("start", F.expr("array_min(walk.at)")).withColumn("rest", F.expr("size(g) - walk.n"))
+    empty = "size(c) = 0"
+    grown = f"if({empty} or size(g) = 0 or rest = 0, 0L, cast(rest - 1 as bigint))"
+    old = f"transform(c, x -> {_row('x', 'x.from_node', 'if(x.to_node = top, top + grown, x.to_node)', 'cast(null as string)', more)})"
+    node = lambda k: f"if({k} = 0, start, top + {k} - 1)"
+    added = f"transform(slice(g, walk.n + 1, rest), (x, k) -> {_row('x', node('k'), f'if(k = rest - 1, top + grown, {node("k + 1")})', "'path'", more)})"
+    whole = f"transform(g, x -> {_row('x', 'x.from_node', 'x.to_node', "'path'", more)})"
+    rows = rows.withColumn("grown", F.expr(grown)).withColumn("e", F.expr(f"if({empty}, {whole}, if(size(g) = 0 or rest = 0, {old}, concat({old}, {added})))"))
+    return _shifted(rows, sent, more)
+
+
+def infuse_edges(candidates: DataFrame, gold: DataFrame, sent: list[str], more: list[str] = []) -> DataFrame:  # noqa: B006
+    """Candidate edges and the gold path's (sent, tok_no, from_node, to_node, form, cpos, more) -> edges with how, null for candidates (J12):
+
+    tags: candidates have the form with other tags; the gold edge is added at all their places. Where the candidates lack a form of the gold path, that path is
+    followed from the bottom: fused: a missing form is spelled by some way from the node reached to the top (an H behind the bottom that is its node's only edge
+    is not spelled), and the edge goes from that node to the top, which ends it; previous: it is not, but the form before it is spelled by a way from the node before to the
+    top, then it is added from the node reached to the top as well. path: the candidates have one form, which the gold forms spell together; the gold path is added by
+    new nodes before the top, and later tokens are moved on. Tokens without candidates or gold stay as they are."""
+    rows = _with_gold(candidates, gold, [*sent, "tok_no"], more)
+    record = _element(rows, "c")[:-1] + ",how:string>"
+    tags = f"""flatten(transform(filter(g, m -> exists(c, x -> x.form <=> m.form) and not exists(c, x -> {_same('x', 'm', more)})),
+        m -> transform(array_distinct(transform(filter(c, x -> x.form <=> m.form), x -> struct(x.from_node, x.to_node))), p -> {_row('m', 'p.from_node', 'p.to_node', "'tags'", more)})))"""
+    rows = rows.withColumn("missing", F.expr("exists(g, m -> not exists(c, x -> x.form <=> m.form))")).withColumn("added", F.expr(f"if(size(c) = 0, cast(array() as array<{record}>), {tags})"))
+    rows = rows.withColumn("n", F.expr(f"array_sort(concat(transform(c, x -> {_row('x', 'x.from_node', 'x.to_node', 'cast(null as string)', more)}), added))"))
+    said = "if(x.form = 'H' and x.from_node > bottom and size(filter(n, y -> y.from_node = x.from_node)) = 1, '', x.form)"
+
+    def spelled(word: str, node: str) -> str:
+        """Whether a way from node to the top spells word: places in word, carried over edges in the order of their nodes."""
+        on = "transform(filter(r, p -> p.node = x.from_node and substring(v.word, p.at + 1, length(v.said)) = v.said), p -> struct(x.to_node as node, p.at + length(v.said) as at))"
+        met = f"aggregate(n, array(struct({node} as node, 0 as at)), (r, x) -> transform(array(struct({word} as word, {said} as said)), v -> array_union(r, {on}))[0])"
+        return f"exists({met}, p -> p.node = top and p.at = length({word}))"
+
+    state = f"struct(bottom as at, -1L as before, cast(null as string) as last, false as over, cast(array() as array<{record}>) as added)"
+    new = lambda how: f"array_append(s.added, {_row('m', 's.at', 'top', f"'{how}'", more)})"
+    hit = f"filter(n, x -> x.from_node = s.at and {_same('x', 'm', more)})"
+    step = f"""transform(array({hit}), h -> if(s.over, s, if(size(h) > 0, struct(h[0].to_node as at, s.at as before, m.form as last, false as over, s.added as added),
+        if({spelled('m.form', 's.at')}, struct(s.at as at, s.before as before, m.form as last, true as over, {new('fused')} as added),
+        if(s.before >= 0 and {spelled('s.last', 's.before')}, struct(s.at as at, s.before as before, m.form as last, false as over, {new('previous')} as added),
+        struct(s.at as at, s.before as before, m.form as last, false as over, s.added as added))))))[0]"""
+    rows = rows.withColumn("walked", F.expr(f"if(missing and size(c) > 0, aggregate(g, {state}, (s, m) -> {step}, s -> s.added), cast(array() as array<{record}>))"))
+    whole = "missing and size(c) > 0 and size(g) > 1 and size(array_distinct(transform(c, x -> x.form))) = 1 and c[0].form = array_join(transform(g, x -> x.form), '')"
+    rows = rows.withColumn("grown", F.expr(f"if({whole}, cast(size(g) - 1 as bigint), 0L)"))
+    moved = f"transform(concat(n, walked), x -> {_row('x', 'x.from_node', 'if(x.to_node = top, top + grown, x.to_node)', 'x.how', more)})"
+    node = lambda k: f"if({k} = 0, c[0].from_node, top + {k} - 1)"
+    path = f"transform(g, (x, k) -> {_row('x', node('k'), f'if(k = size(g) - 1, top + grown, {node("k + 1")})', "'path'", more)})"
+    return _shifted(rows.withColumn("e", F.expr(f"if(grown > 0, concat({moved}, {path}), {moved})")), sent, more)
 
 
 def fusion_report(infused: DataFrame, sent: list[str]) -> DataFrame:

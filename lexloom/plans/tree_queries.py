@@ -77,30 +77,29 @@ def j16_adjacency(spark, d):
 
 
 # a node of the derived lattices that is neither bottom nor top is 1: prefixes and hosts of one token may be combined
-G1_SQL = f"""WITH {EDGES_SQL}, e AS (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos FROM edge),
+G1_SQL = f"""WITH {EDGES_SQL}, e AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line_no, tok_no, from_node) AS hosts FROM (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, cpos FROM edge)),
 g1 AS (SELECT doc_id, line_no, tok_no, form || '_' || cpos AS key, form AS fused, 1 AS len FROM e WHERE to_node - from_node = 2
-  UNION ALL SELECT a.doc_id, a.line_no, a.tok_no, a.form || '_' || a.cpos || ';' || b.form || '_' || b.cpos, a.form || b.form, 2 FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.tok_no = b.tok_no AND a.to_node = b.from_node) """
+  UNION ALL SELECT a.doc_id, a.line_no, a.tok_no, a.form || '_' || a.cpos || ';' || b.form || '_' || b.cpos, a.form || CASE WHEN b.form = 'H' AND b.hosts = 1 THEN '' ELSE b.form END, 2 FROM e a JOIN e b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.tok_no = b.tok_no AND a.to_node = b.from_node) """
 
 
 @query(G1_SQL + "SELECT doc_id, line_no, tok_no, key FROM g1")
 def g1_paths(spark, d):
-    return lattice.paths(_edges(spark, d), TOKEN, 2).select(*TOKEN, lattice.path_key().alias("key"))
+    return lattice.paths(_edges(spark, d), TOKEN).select(*TOKEN, lattice.path_key().alias("key"))
 
 
 @query(G1_SQL + "SELECT doc_id, line_no, tok_no, count(*) AS n_paths, min(len) < max(len) AS var_len FROM g1 GROUP BY ALL")
 def p14_var_len(spark, d):
-    return lattice.is_var_len(lattice.paths(_edges(spark, d), TOKEN, 2), TOKEN)
+    return lattice.is_var_len(_edges(spark, d), TOKEN)
 
 
 @query(G1_SQL + "SELECT doc_id, line_no, tok_no, fused FROM (SELECT DISTINCT doc_id, line_no, tok_no, fused FROM g1)")
 def g2_fused_forms(spark, d):
-    # an H at a path's end is kept: paths here have two morphemes at most
-    return lattice.fused_forms(lattice.paths(_edges(spark, d), TOKEN, 2), TOKEN)
+    return lattice.fused_forms(_edges(spark, d), TOKEN).drop("node")
 
 
 @query(G1_SQL + "SELECT DISTINCT doc_id, line_no, tok_no, n FROM (SELECT doc_id, line_no, tok_no, count(*) AS n FROM g1 GROUP BY ALL) WHERE n > 1")
 def p15_ambiguous_tokens(spark, d):
-    return lattice.single_path(lattice.paths(_edges(spark, d), TOKEN, 2), TOKEN)[1]
+    return lattice.single_path(_edges(spark, d), TOKEN)[1]
 
 
 @query(PATH_SQL + ", m AS (SELECT DISTINCT doc_id, line_no, tok_no, token, string_split(key, ';') AS p FROM pth), i AS (SELECT doc_id, line_no, tok_no, p[1] AS a, row_number() OVER (PARTITION BY doc_id, line_no, tok_no ORDER BY p[1]) AS node FROM (SELECT DISTINCT doc_id, line_no, tok_no, p FROM m WHERE len(p) > 1) GROUP BY doc_id, line_no, tok_no, p[1]) SELECT doc_id, sum(n_inner) AS n_inner, max(n_inner) AS most FROM (SELECT doc_id, line_no, tok_no, count(*) AS n_inner FROM i GROUP BY ALL) GROUP BY doc_id")
@@ -128,7 +127,7 @@ def g4_bridge(spark, d):
 
 @query(LAT + "SELECT doc_id, count(*) AS n_pairs, sum(meet) AS meets, sum(j) AS joins FROM (SELECT doc_id, 0 AS meet, 2 AS j FROM (SELECT DISTINCT doc_id, line_no, tok_no FROM edge) UNION ALL SELECT doc_id, 0, 1 FROM (SELECT DISTINCT doc_id, line_no, tok_no FROM edge WHERE path > 0) UNION ALL SELECT doc_id, 1, 2 FROM (SELECT DISTINCT doc_id, line_no, tok_no FROM edge WHERE path > 0)) GROUP BY doc_id")
 def g5_meet_join(spark, d):
-    return lattice.meet_join(_edges(spark, d), TOKEN, 2).groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum("meet").alias("meets"), F.sum("join").alias("joins"))
+    return lattice.meet_join(_edges(spark, d), TOKEN).groupBy("doc_id").agg(F.count("*").alias("n_pairs"), F.sum("meet").alias("meets"), F.sum("join").alias("joins"))
 
 
 INFUSE_SQL = PATH_SQL + ", cand AS (SELECT * FROM pth WHERE path = 0), inf AS (SELECT doc_id, line_no, tok_no, key, false AS added FROM cand UNION ALL SELECT doc_id, line_no, tok_no, key, true FROM gold WHERE path > 0) "
@@ -149,10 +148,35 @@ def a14_fusion_report(spark, d):
     return lattice.fusion_report(_infused(spark, d), SENT)
 
 
-@query(LAT + "SELECT cpos, how, count(*) AS n FROM (SELECT cpos, CASE WHEN from_node = 0 AND to_node = 2 THEN 'tags' ELSE 'path' END AS how FROM edge WHERE path > 0) GROUP BY ALL")
+# by tok_no modulo 3: 1: the whole token, gold is the split (`path`); 2: the split, gold is the whole token (`fused`); 0: the whole token with another tag (`tags`)
+J12_SQL = LAT.rstrip() + """, mx AS (SELECT *, max(path) OVER (PARTITION BY doc_id, line_no, tok_no) AS best FROM edge),
+cd AS (SELECT doc_id, line_no, tok_no, best, from_node, to_node, form, cpos, CASE WHEN tok_no % 3 = 1 AND best > 0 THEN 1 ELSE 0 END AS grown FROM mx WHERE path = CASE WHEN tok_no % 3 = 2 THEN best ELSE 0 END),
+gr AS (SELECT doc_id, line_no, tok_no, 2 * (tok_no - 1) + coalesce(sum(any_value(grown)) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, any_value(grown) AS grown FROM cd GROUP BY doc_id, line_no, tok_no),
+al AS (SELECT doc_id, line_no, tok_no, from_node AS a, CASE WHEN to_node = 2 THEN 2 + grown ELSE to_node END AS b, form, cpos, NULL AS how FROM cd
+    UNION ALL SELECT doc_id, line_no, tok_no, 2 * from_node, to_node + 1, form, cpos, 'path' FROM mx WHERE tok_no % 3 = 1 AND path = best AND best > 0
+    UNION ALL SELECT doc_id, line_no, tok_no, 0, 2, form, cpos, 'fused' FROM mx WHERE tok_no % 3 = 2 AND path = 0 AND best > 0
+    UNION ALL SELECT doc_id, line_no, tok_no, 0, 2, form, 'ZZ', 'tags' FROM mx WHERE tok_no % 3 = 0 AND path = 0) """
+
+
+@query(J12_SQL + "SELECT doc_id, line_no, tok_no, low + a AS from_node, low + b AS to_node, form, cpos, how FROM al JOIN gr USING (doc_id, line_no, tok_no)")
 def j12_infuse_edges(spark, d):
-    e = _edges(spark, d)
-    return lattice.infuse_edges(e.filter("path = 0"), e.filter("path > 0"), TOKEN).groupBy("cpos", "how").agg(F.count("*").alias("n"))
+    e = _once(lattice.renumber(_edges(spark, d), SENT))
+    e = e.join(e.groupBy(*TOKEN).agg(F.max("path").alias("best")), TOKEN)
+    candidates = e.filter("path = if(tok_no % 3 = 2, best, 0)")
+    gold = e.filter("path = if(tok_no % 3 = 1, best, 0)").withColumn("cpos", F.when(F.expr("tok_no % 3 = 0"), "ZZ").otherwise(F.col("cpos")))
+    return lattice.infuse_edges(candidates, gold, SENT)
+
+
+J11_SQL = LAT.rstrip() + """, mx AS (SELECT *, max(path) OVER (PARTITION BY doc_id, line_no, tok_no) AS best FROM edge),
+gr AS (SELECT doc_id, line_no, tok_no, 2 * (tok_no - 1) + coalesce(sum(sign(max(path))) OVER (PARTITION BY doc_id, line_no ORDER BY tok_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low FROM mx GROUP BY doc_id, line_no, tok_no),
+al AS (SELECT doc_id, line_no, tok_no, 0 AS a, 2 + sign(best) AS b, form, cpos, NULL AS how FROM mx WHERE path = 0 UNION ALL SELECT doc_id, line_no, tok_no, 2 * from_node, to_node + 1, form, cpos, 'path' FROM mx WHERE path = best AND best > 0) """
+
+
+@query(J11_SQL + "SELECT doc_id, line_no, tok_no, low + a AS from_node, low + b AS to_node, form, cpos, how FROM al JOIN gr USING (doc_id, line_no, tok_no)")
+def j11_infuse_lattices(spark, d):
+    e = _once(lattice.renumber(_edges(spark, d), SENT))
+    gold = e.join(e.groupBy(*TOKEN).agg(F.max("path").alias("path")), [*TOKEN, "path"])
+    return lattice.infuse_lattices(e.filter("path = 0"), gold, SENT)
 
 
 @query(PATH_SQL + "SELECT CASE WHEN path = 0 THEN 'ok' ELSE 'missing_path' END AS status, count(*) AS n FROM gold WHERE tok_no % 11 <> 0 GROUP BY 1 UNION ALL SELECT 'missing_token', count(*) FROM gold WHERE tok_no % 11 = 0")

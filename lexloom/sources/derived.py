@@ -111,6 +111,29 @@ edge AS (
 )
 
 
+DEEP = 5
+
+
+def deep_edges(toks: DataFrame) -> DataFrame:
+    """tokens -> lattices of up to DEEP edges in a row: doc_id, line_no, tok_no, token, from_node, to_node, form, cpos. A form is cut into DEEP pieces (as many
+    as it has characters, if fewer); an edge is a piece (M1) or, from nodes that are even or odd as the token's number is, two (M2). No shuffle."""
+    k, n = f"least({DEEP}, length(form))", "length(form)"
+    place = lambda i: f"(({i}) * {n} div {k})"
+    piece = lambda w: f"struct(i as from_node, i + {w} as to_node, substring(form, cast({place('i')} as int) + 1, cast({place(f'i + {w}')} - {place('i')} as int)) as form, 'M{w}' as cpos)"
+    made = f"flatten(transform(sequence(0, {k} - 1), i -> if((i + tok_no) % 2 = 0 and i + 2 <= {k}, array({piece(1)}, {piece(2)}), array({piece(1)}))))"
+    return toks.select(*SENT, "tok_no", F.col("form").alias("token"), F.expr(f"explode({made})").alias("e")).select(*SENT, "tok_no", "token", "e.*")
+
+
+# the lattice of a token follows from its form and whether its number is even: they are made once for each such pair
+DEEP_SQL = (
+    TOKENS_SQL
+    + f""",
+dl AS (SELECT form AS token, tok_no % 2 AS odd, count(*) AS n, least({DEEP}, length(form)) AS k FROM tok GROUP BY ALL),
+de AS (SELECT token, odd, k, i AS a, i + w AS b, substr(token, (i * length(token)) // k + 1, ((i + w) * length(token)) // k - (i * length(token)) // k) AS form, 'M' || w AS cpos
+    FROM (SELECT *, unnest(range(k)) AS i FROM dl), (VALUES (1), (2)) AS v(w) WHERE i + w <= k AND (w = 1 OR (i + odd) % 2 = 0))"""
+)
+
+
 def arcs(docs: DataFrame, predicted: bool = False) -> DataFrame:
     """Trees by rule: doc_id, line_no, id, form, cpos, head, deprel. A token's head is half its number, rounded down (the first is the root, head 0); the
     relation is its tag. Predicted trees differ at every fifth token (head) and every seventh (relation dep)."""

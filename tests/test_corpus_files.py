@@ -134,9 +134,9 @@ def test_text_functions(spark):
 def test_paths_of_a_dag(spark):
     rows = [(1, a, b) for a, b in ((1, 2), (1, 3), (2, 4), (4, 5), (4, 6), (5, 6), (3, 6), (1, 6))]
     e = spark.createDataFrame(rows, "tok_no int, from_node int, to_node int").withColumns({"form": F.concat_ws("-", "from_node", "to_node"), "cpos": F.lit("X")})
-    got = {"".join(f"{m.from_node}" for m in r.morphs) + "6" for r in lattice.paths(e, ["tok_no"], 5).collect()}
+    got = {"".join(f"{m.from_node}" for m in r.morphs) + "6" for r in lattice.paths(e, ["tok_no"]).collect()}
     assert got == {"16", "136", "1246", "12456"}
-    assert lattice.paths(e, ["tok_no"], 5, max_paths=2).filter("truncated").count() == 2
+    assert lattice.paths(e, ["tok_no"], max_paths=2).filter("truncated").count() == 2
 
 
 def test_training_separates_a_toy_set(spark, tmp_path):

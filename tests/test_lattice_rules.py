@@ -23,10 +23,10 @@ def test_bridge_needs_an_edge_to_go_on_to(spark):
 def test_meet_and_join_count_edges(spark):
     # 0 -> 4 directly and by 1, 2, 3; both 1 and 4 lead to 5
     e = edges(spark, [(1, a, b, "x", "X") for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (0, 4), (4, 5), (1, 5))])
-    found = {(r.x, r.y): (r.meet, r["join"]) for r in lattice.meet_join(e, ["t"], 5).collect()}
+    found = {(r.x, r.y): (r.meet, r["join"]) for r in lattice.meet_join(e, ["t"]).collect()}
     assert found[(1, 4)] == (1, 4) and found[(2, 5)] == (2, 5) and found[(3, 5)] == (3, 5) and found[(0, 5)] == (0, 5)
     e = edges(spark, [(1, a, b, "x", "X") for a, b in ((0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (1, 4), (2, 4))])
-    found = {(r.x, r.y): (r.meet, r["join"]) for r in lattice.meet_join(e, ["t"], 4).collect()}
+    found = {(r.x, r.y): (r.meet, r["join"]) for r in lattice.meet_join(e, ["t"]).collect()}
     assert found[(1, 2)] == (0, 3)
 
 
