@@ -17,6 +17,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from ._text import fragment_names, slices, utf8
 RADIX, FAN, FRAME, PACKED = 32, 64, 1 << 14, 1 << 15
 #: Bytes of text whose pairs make one run for each radix; pairs of tokens looked at together.
 RUN_BYTES, TOGETHER = 1 << 22, 1 << 21
-#: Distinct fragments of side B that a worker remembers; longer ones are encoded each time.
-REMEMBERED, LONGEST = 150_000, 48
+#: Distinct fragments of side B that a worker remembers before it begins anew.
+REMEMBERED = 400_000
 DIGESTS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
@@ -50,10 +51,16 @@ class Pieces:
     def __init__(self, path: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.model, self.known = SentencePieceProcessor(model_file=path), {}
+        self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         self.cut = not any(" " in p.replace("▁", " ").lstrip(" ") for p in names)
+        self._forget()
+
+    def _forget(self) -> None:
+        # fragments by their two names, sorted by the first: bytes of text, sizes and beginnings of their ids in flat
+        self.name, self.other, self.length = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.start, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, data: bytes, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: texts, each with a space before it, that begin at `begin` (its last is the end) -> all ids in a row, and where each text's begin."""
@@ -63,28 +70,33 @@ class Pieces:
             one = np.flatnonzero((b[1:-1] == 0x20) & (b[:-2] != 0x20) & (b[2:] != 0x20)) + 1
             at = bpe.merged(one.astype(np.int64), begin)
         name, other = fragment_names(data, at)
-        size = np.diff(at)
-        _, first, which = np.unique(name, return_index=True, return_inverse=True)
-        if (other[first][which] != other).any() or (size[first][which] != size).any():  # two fragments with one name
-            first = which = np.arange(len(size))
-        ids = self._ids([data[i + 1 : i + n] for i, n in zip(at[:-1][first].tolist(), size[first].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate([*ids, np.zeros(0, np.int32)])
-        out = flat[bpe.ragged((np.cumsum(sizes) - sizes)[which], sizes[which])]
-        return out, np.concatenate([[0], np.cumsum(sizes[which])])[np.searchsorted(at, begin)]
-
-    def _ids(self, fragments: list[bytes]) -> list[np.ndarray]:
-        out = [self.known.get(f) for f in fragments]
-        new = [i for i, x in enumerate(out) if x is None]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-        for a in range(0, len(new), 2000):
-            part = new[a : a + 2000]
-            for i, ids in zip(part, self.model.encode([fragments[i].decode() for i in part], num_threads=1), strict=True):
-                out[i] = np.array(ids, np.int32)
-                if len(fragments[i]) <= LONGEST:
-                    self.known[fragments[i]] = out[i]
-        return out
+        length = np.diff(at)
+        if len(self.name) > REMEMBERED:
+            self._forget()
+        fresh, first = np.unique(name, return_index=True)
+        place = np.minimum(np.searchsorted(self.name, fresh), max(0, len(self.name) - 1))
+        new = first if not len(self.name) else first[self.name[place] != fresh]
+        self._learn([data[i + 1 : i + n] for i, n in zip(at[:-1][new].tolist(), length[new].tolist(), strict=True)], name[new], other[new], length[new])
+        which = np.searchsorted(self.name, name)
+        if (self.other[which] != other).any() or (self.length[which] != length).any():  # two fragments with one name
+            self._forget()
+            ids = self.model.encode([data[i + 1 : j].decode() for i, j in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], num_threads=1)
+            return np.fromiter(chain.from_iterable(ids), np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        out = self.flat[bpe.ragged(self.start[which], self.size[which])]
+        return out, np.concatenate([[0], np.cumsum(self.size[which])])[np.searchsorted(at, begin)]
+
+    def _learn(self, fragments: list[bytes], name: np.ndarray, other: np.ndarray, length: np.ndarray) -> None:
+        flat, sizes = [self.flat], []
+        for a in range(0, len(fragments), 2000):
+            ids = self.model.encode([f.decode() for f in fragments[a : a + 2000]], num_threads=1)
+            sizes += map(len, ids)
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int32))
+        size = np.array(sizes, np.int64)
+        start = len(self.flat) + np.cumsum(size) - size
+        order = np.argsort(np.concatenate([self.name, name]), kind="stable")
+        self.flat = np.concatenate(flat)
+        for field, more in (("name", name), ("other", other), ("length", length), ("size", size), ("start", start)):
+            setattr(self, field, np.concatenate([getattr(self, field), more])[order])
 
 
 @lru_cache(maxsize=2)
@@ -202,27 +214,34 @@ def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 # runs
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers in frames of FRAME records, zstd: each frame with its size before it. The first column is sorted and kept as steps."""
+def _pack(*columns: np.ndarray, kind: type = np.int64) -> bytes:
+    """Columns of whole numbers in frames of FRAME records, zstd: each frame with its size before it. Of 64-bit columns the first is sorted and kept as steps."""
     press, out = zstandard.ZstdCompressor(level=1), []
     for i in range(0, len(columns[0]), FRAME):
-        parts = [c[i : i + FRAME].astype(np.int64) for c in columns]
-        parts[0] = np.diff(parts[0], prepend=0)
+        parts = [c[i : i + FRAME].astype(kind) for c in columns]
+        if kind is np.int64:
+            parts[0] = np.diff(parts[0], prepend=0)
         frame = press.compress(b"".join(p.tobytes() for p in parts))
         out += [len(frame).to_bytes(4, "little"), frame]
     return b"".join(out)
 
 
-def _frames(blob: bytes, columns: int) -> Iterator[list[np.ndarray]]:
+def _frames(blob: bytes, columns: int, kind: type = np.int64) -> Iterator[list[np.ndarray]]:
     """The frames of a packed run, one at a time."""
     press, at = zstandard.ZstdDecompressor(), 0
     while at < len(blob):
         size = int.from_bytes(blob[at : at + 4], "little")
-        parts = np.frombuffer(press.decompress(blob[at + 4 : at + 4 + size]), np.int64).reshape(columns, -1)
-        yield [np.cumsum(parts[0]), *parts[1:]]
+        parts = list(np.frombuffer(press.decompress(blob[at + 4 : at + 4 + size]), kind).reshape(columns, -1))
+        if kind is np.int64:
+            parts[0] = np.cumsum(parts[0])
+        yield parts
         at += 4 + size
 
 
+def _unpack(blob: bytes, columns: int, kind: type = np.int64) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*_frames(blob, columns, kind), strict=True)]
+
+
 def merge(runs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Packed runs (sorted keys, numbers) -> sorted distinct keys with the sums of their numbers, in chunks.
 
@@ -264,14 +283,15 @@ def _written(docs: DataFrame, kept: list[str], a_path: str, b_path: str, scratch
                 cols = dict(zip(docs_of, [*(batch[c].slice(i, j - i).cast(types[c]) for c in kept), count(of.a_text), count(of.b_text), count(of.text_group), pa.array(of.links().astype(np.int64)), pa.array(of.digests()), pa.array(np.arange(row, row + j - i))], strict=True))
                 yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(j - i, f.type)) for f in pa_schema], schema=pa_schema)
                 key, n = of.pairs()
-                at = (key >> 42) * 0x9E3779B1 % (1 << 32) >> 16
-                for radix in range(RADIX) if len(key) else ():
-                    mine = at % RADIX == radix
-                    if not mine.any():
+                at = ((key >> 42) * 0x9E3779B1 % (1 << 32) >> 16) % RADIX
+                order = np.argsort(at.astype(np.uint8 if RADIX <= 256 else np.int64), kind="stable")
+                key, n, ends = key[order], n[order], np.searchsorted(at[order], np.arange(RADIX + 1))
+                for radix, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if a == b:
                         continue
-                    pair, first = np.unique(key[mine] >> 22, return_index=True)
-                    size = np.diff([*first, int(mine.sum())])
-                    cols = {"radix": [radix], "row": [row], "pairs": [_pack(pair, size)], "held": [_pack(np.arange(int(mine.sum())), key[mine] & (1 << 22) - 1, n[mine])]}
+                    pair = key[a:b] >> 22
+                    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+                    cols = {"radix": [radix], "row": [row], "pairs": [_pack(pair[first], np.diff([*first, b - a]))], "held": [_pack(key[a:b] & (1 << 22) - 1, n[a:b], kind=np.int32)]}
                     yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(1, f.type) for f in pa_schema], schema=pa_schema)
                 row += j - i
 
@@ -367,23 +387,30 @@ def weigh(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     packed = scratch.save(packed)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted = lru_cache(maxsize=16)(lambda blob: _unpack(blob, 3))
+        last, mine, held = None, [], []
         for batch in batches:
-            for first, pairs, held, counts in zip(*(batch[c] for c in ("row", "pairs", "held", "counts")), strict=True):
-                pair, n, best = (np.concatenate(x) for x in zip(*_frames(counts.as_py(), 3), strict=True))
-                mine, size = (np.concatenate(x) for x in zip(*_frames(pairs.as_py(), 2), strict=True))
-                if mine[-1] < pair[0] or mine[0] > pair[-1]:
+            for radix, first, pairs, own, counts in zip(*(batch[c] for c in ("radix", "row", "pairs", "held", "counts")), strict=True):
+                pair, n, best = counted(counts.as_py())
+                if last != (radix.as_py(), first.as_py()):  # a run's rows come together
+                    last, mine, held = (radix.as_py(), first.as_py()), _unpack(pairs.as_py(), 2), _unpack(own.as_py(), 2, np.int32)
+                a, b = np.searchsorted(mine[0], [pair[0], pair[-1] + 1])
+                at = np.minimum(np.searchsorted(pair, mine[0][a:b]), len(pair) - 1)
+                here = pair[at] == mine[0][a:b]
+                size = mine[1][a:b]
+                i, j = int(mine[1][:a].sum()), int(mine[1][:b].sum())
+                text, linked = (x[i:j].astype(np.int64) for x in held)
+                some = np.repeat(here, size)
+                text, linked, at = text[some], linked[some], np.repeat(at, size)[some]
+                if not len(text):
                     continue
-                at = np.minimum(np.searchsorted(pair, mine), len(pair) - 1)
-                here = np.repeat(pair[at] == mine, size)
-                _, text, linked = (np.concatenate(x) for x in zip(*_frames(held.as_py(), 3), strict=True))
-                at, text, linked = np.repeat(at, size)[here], text[here], linked[here]
-                which, place = np.unique(text, return_inverse=True)
-                total, most = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-                np.add.at(total, place, linked * n[at])
-                np.add.at(most, place, linked * (n[at] == best[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(which + first.as_py()), pa.array(most), pa.array(total)], names=["row", "n_best", "count_sum"])
-
-    given = runs.select("radix", "row", "pairs", "held").join(packed, "radix").select("row", "pairs", "held", "counts").mapInArrow(give, "row long, n_best long, count_sum long")
+                add = lambda weight: np.bincount(text, weight).astype(np.int64)  # noqa: B023, E731
+                times, low = n[at], (1 << 24) - 1
+                total = add(linked * (times & low)) + (add(linked * (times >> 24)) << 24)  # sums of doubles are whole below 2^53
+                which = np.flatnonzero(np.bincount(text))
+                yield pa.RecordBatch.from_arrays([pa.array(which + first.as_py()), pa.array(add(linked * (times == best[at]))[which]), pa.array(total[which])], names=["row", "n_best", "count_sum"])
+
+    given = runs.select("radix", "row", "pairs", "held").join(packed, "radix").mapInArrow(give, "row long, n_best long, count_sum long")
     sums = given.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return rows.filter("radix is null").join(sums, "row", "left").select(*kept, "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
