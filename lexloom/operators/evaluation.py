@@ -116,29 +116,3 @@ def backoff_match(gold: DataFrame, candidates: DataFrame, token: list[str], keys
         hits = found if hits is None else hits.unionByName(found)
     best = hits.groupBy(*token, "gold_id").agg(F.min(F.struct("priority", "level", "n_matches")).alias("b"))
     return gold.select(*token, "gold_id").join(best, [*token, "gold_id"], "left").select(*token, "gold_id", F.coalesce("b.level", F.lit("none")).alias("level"), F.coalesce("b.n_matches", F.lit(0)).alias("n_matches"))
-
-
-def realign_tokens(old: DataFrame, new: DataFrame, sent: list[str]) -> DataFrame:
-    """new (sent, pos, form) with tok_id of old (sent, pos, form, tok_id) and rule.
-
-    proper: the same form at the same character offset; joined: inside an old form, or spanning old ones, by offsets of the
-    forms in a row (the first old form that it overlaps gives the id); nomatch: past the end of the old sentence. One sweep over both sides by offset."""
-    def upto(df: DataFrame) -> DataFrame:
-        end = F.sum(F.length("form")).over(Window.partitionBy(*sent).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn("end", end).withColumn("start", F.col("end") - F.length("form"))
-
-    o = upto(old).filter("end > start").select(*sent, "start", F.lit(0).alias("side"), F.lit(None).cast(new.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("form"), F.col("end"), F.struct(F.col("start").alias("os"), F.col("end").alias("oe"), F.col("form").alias("oform"), "tok_id").alias("hit"))
-    n = upto(new).select(*sent, "start", F.lit(1).alias("side"), "pos", "form", "end", F.lit(None).cast(o.schema["hit"].dataType).alias("hit"))
-    both = o.unionByName(n)
-    last = F.last("hit", True).over(Window.partitionBy(*sent).orderBy("start", "side", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    every = both.withColumn("hit", last).filter("side = 1").withColumn("hit", F.when((F.col("start") < F.col("hit.oe")) & (F.col("hit.os") < F.col("end")), F.col("hit")))
-    rule = F.when(F.col("hit.os").isNull(), F.lit("nomatch")).when((F.col("hit.os") == F.col("start")) & (F.col("hit.oform") == F.col("form")), F.lit("proper")).otherwise(F.lit("joined"))
-    return every.select(*sent, "pos", "form", F.col("hit.tok_id").alias("tok_id"), rule.alias("rule"))
-
-
-def realign_report(old: DataFrame, realigned: DataFrame, sent: list[str]) -> DataFrame:
-    """kind, n: sentences of realign_tokens that are the same on both sides (proper), have an id for every new form (match), or not (nomatch)."""
-    lengths = old.groupBy(*sent).agg(F.count("*").alias("n_old"))
-    per = realigned.groupBy(*sent).agg(F.count("*").alias("n_new"), F.bool_and(F.col("rule") == "proper").alias("same"), F.bool_or(F.col("rule") == "nomatch").alias("lost")).join(lengths, sent, "left")
-    kind = F.when(F.col("lost"), F.lit("nomatch")).when(F.col("same") & (F.col("n_new") == F.col("n_old")), F.lit("proper")).otherwise(F.lit("match"))
-    return per.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))

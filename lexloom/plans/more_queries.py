@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluation, lattice, lexicon
+from ..operators import evaluation, lattice, lexicon, realign
 from ..sources import derived, readers, sinks
 from ..sources.derived import ARCS_SQL, EDGES_SQL, MORPHS_SQL, SENT, TOKENS_SQL
 from ..streaming import jobs
@@ -176,13 +177,28 @@ def j18_merge_clitics(spark, d):
     return lattice.merge_clitics(e, [*TOKEN, "path"]).groupBy("doc_id", "form", "cpos", "to_node", "feat_str").agg(F.count("*").alias("n"))
 
 
-@query(TREE + "SELECT CASE WHEN length(form) > 6 THEN 'joined' ELSE 'proper' END AS rule, sum(CASE WHEN length(form) > 6 THEN 2 ELSE 1 END) AS n FROM gold GROUP BY 1")
-def j22_realign(spark, d):
+# every fourth token from the first on is cut in two if it is long (and its end is not the next form), the third and fourth of four are written as one; in
+# every fifth line the second token, if its form is alone in the line, is another, and what follows it is as in the old sentence
+J22_SQL = f"""WITH {ARCS_SQL}, c AS (SELECT doc_id, line_no, id, form, line_no % 5 = 0 AS lost, lead(form) OVER w AS nxt, count(*) OVER (PARTITION BY doc_id, line_no, form) AS same FROM gold WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY id)),
+n AS (SELECT doc_id, line_no, 3 * id AS pos, CASE WHEN lost AND id = 2 AND same = 1 THEN '@@' ELSE form END AS form, CASE WHEN lost AND id = 2 AND same = 1 THEN NULL ELSE id END AS tok_id, CASE WHEN lost AND id = 2 AND same = 1 THEN 'none' ELSE 'equal' END AS rule FROM c WHERE lost OR id % 4 = 2 OR (id % 4 = 1 AND NOT (length(form) > 6 AND right(form, 3) <> coalesce(nxt, ''))) OR (id % 4 = 3 AND nxt IS NULL)
+    UNION ALL SELECT doc_id, line_no, 3 * id, left(form, 3), id, 'part' FROM c WHERE NOT lost AND id % 4 = 1 AND length(form) > 6 AND right(form, 3) <> coalesce(nxt, '')
+    UNION ALL SELECT doc_id, line_no, 3 * id + 1, substr(form, 4), id, 'rest' FROM c WHERE NOT lost AND id % 4 = 1 AND length(form) > 6 AND right(form, 3) <> coalesce(nxt, '')
+    UNION ALL SELECT doc_id, line_no, 3 * id, form || nxt, id, 'fused' FROM c WHERE NOT lost AND id % 4 = 3 AND nxt IS NOT NULL) """
+
+
+def _realigned(spark, d):
     g = _arcs(spark, d)[0]
-    old = g.select(*SENT, F.col("id").alias("pos"), "form", F.col("id").alias("tok_id"))
-    parts = F.when(F.length("form") > 6, F.array(F.left("form", F.lit(3)), F.expr("substring(form, 4)"))).otherwise(F.array("form"))
-    new = g.select(*SENT, "id", F.posexplode(parts).alias("i", "form")).select(*SENT, (F.col("id") * 2 + F.col("i")).alias("pos"), "form")
-    return evaluation.realign_tokens(old, new, SENT).groupBy("rule").agg(F.count("*").alias("n"))
+    old = g.select(*SENT, F.col("id").alias("pos"), "form", F.col("id").alias("tok_id"), F.lit("X").alias("cpos"))
+    c = g.select(*SENT, "id", "form", F.expr("line_no % 5 = 0").alias("lost"), F.lead("form").over(Window.partitionBy(*SENT).orderBy("id")).alias("nxt"), F.count("*").over(Window.partitionBy(*SENT, "form")).alias("same"))
+    cut, two = "length(form) > 6 and right(form, 3) <> coalesce(nxt, '')", "id % 4 = 3 and nxt is not null"
+    parts = f"case when lost then array(if(id = 2 and same = 1, '@@', form)) when id % 4 = 1 and {cut} then array(left(form, 3), substring(form, 4)) when {two} then array(concat(form, nxt)) when id % 4 = 0 then array() else array(form) end"
+    new = c.select(*SENT, "id", F.posexplode(F.expr(parts)).alias("i", "form")).select(*SENT, (F.col("id") * 3 + F.col("i")).alias("pos"), "form", F.lit("X").alias("cpos"))
+    return old, realign.realign_tokens(old, new, SENT)
+
+
+@query(J22_SQL + "SELECT doc_id, line_no, pos, form, tok_id, rule FROM n")
+def j22_realign(spark, d):
+    return _realigned(spark, d)[1]
 
 
 @query(PATH_SQL + "SELECT doc_id, line_no, tok_no, string_agg(forms, ' ' ORDER BY key) AS sorted FROM pth GROUP BY ALL")

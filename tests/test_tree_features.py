@@ -2,7 +2,7 @@
 
 import pytest
 
-from lexloom.operators import depgraph, evaluation
+from lexloom.operators import depgraph
 from lexloom.sources import readers
 
 # a <- b -> c -> d, with e below c too: ids 1 to 5, root 2
@@ -45,14 +45,6 @@ def test_conversions_of_absent_arcs(spark):
     assert [tuple(x) for x in depgraph.to_tagged(t, ["s"]).first().tagged] == [("a", "N"), ("b", "V"), ("c", "N")]
 
 
-def test_realigned_sentences(spark):
-    old = spark.createDataFrame([(s, i, f, i) for s, fs in ((1, "ab cd"), (2, "ab cd e"), (3, "abc d"), (4, "ab")) for i, f in enumerate(fs.split(), 1)], "s int, pos int, form string, tok_id int")
-    new = spark.createDataFrame([(s, i, f) for s, fs in ((1, "ab cd"), (2, "abc d"), (3, "a bcd"), (4, "ab x")) for i, f in enumerate(fs.split(), 1)], "s int, pos int, form string")
-    got = evaluation.realign_tokens(old, new, ["s"])
-    assert sorted((r.s, r.pos, r.tok_id, r.rule) for r in got.collect()) == [(1, 1, 1, "proper"), (1, 2, 2, "proper"), (2, 1, 1, "joined"), (2, 2, 2, "joined"), (3, 1, 1, "joined"), (3, 2, 1, "joined"), (4, 1, 1, "proper"), (4, 2, None, "nomatch")]
-    assert {r.kind: r.n for r in evaluation.realign_report(old, got, ["s"]).collect()} == {"proper": 1, "match": 2, "nomatch": 1}
-
-
 def test_trees_from_universal_rows(spark, tmp_path):
     lines = ["1-2\tabc\t_\t_\t_\t_\t_\t_\t_\t_", "1\ta\t_\tADP\tIN\t_\t2\tcase\t_\t_", "2\tbc\tbcd\tNOUN\tNN\tgen=F|suf_gen=M\t0\troot\t_\t_"]
     (tmp_path / "x.conllu").write_text("\n".join(lines) + "\n\n", encoding="utf-8")
