@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluation, lattice, learn, lexicon
+from ..operators import evaluation, lattice, learn, lexicon, sequences
 from ..sources import derived, readers, sinks
 from ..sources.derived import ARCS_SQL, EDGES_SQL, MORPHS_SQL, SENT, TOKENS_SQL
 from ..streaming import jobs
@@ -271,10 +271,7 @@ def m3_train(spark, d):
 
 @query()
 def m5_joint(spark, d):
-    e = _once(_edges(spark, d))
-    found, gold = _paths(e)
-    tags = lattice.path_key(F.transform("morphs", lambda m: F.struct(m["cpos"].alias("form"), F.lit("").alias("cpos"))))
-    candidates = found.select(*TOKEN, F.col("path").alias("path_id"), tags.alias("key"), F.col("path").alias("score"), "morphs")
-    pair = gold.select(*TOKEN, tags.alias("key"))
-    pair = pair.join(pair.select(*SENT, (F.col("tok_no") - 1).alias("tok_no"), F.col("key").alias("next_key")), TOKEN).groupBy("key", "next_key").agg(F.floor(F.log2(F.count("*") + 1)).alias("w"))
-    return learn.joint(candidates, SENT, pair, learn.attachment_weights(_arcs(spark, d)[0]))
+    candidates = _once(tq.path_candidates(*_paths(_edges(spark, d))))
+    weights = tq.trained_paths(candidates)
+    scored = sequences.scored(candidates, weights, SENT)
+    return learn.joint(scored, SENT, sequences.pair_weights(weights), tq.trained_attachment(_arcs(spark, d)[0]), save=_once)

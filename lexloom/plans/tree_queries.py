@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import depgraph, evaluation, features, lattice, learn
+from ..operators import depgraph, evaluation, features, lattice, learn, sequences
 from ..sources import derived, sinks
 from ..sources.derived import ARCS_SQL, EDGES_SQL, MORPHS_SQL, SENT
 from .scratch import scratch_path
@@ -552,20 +552,54 @@ def a18_average_weights(spark, d):
     return learn.average_weights(h.crossJoin(F.broadcast(end)), F.col("end"))
 
 
+#: Sentences that path choice and attachment are trained on in the queries, by the least hashes, and epochs over them.
+TRAIN_SENTENCES, EPOCHS = 2000, 3
+
+
+def _sample(rows: DataFrame) -> DataFrame:
+    """The rows of TRAIN_SENTENCES sentences."""
+    some = rows.select(*SENT).distinct().orderBy(F.xxhash64(*SENT), *SENT).limit(TRAIN_SENTENCES)
+    return _once(rows.join(F.broadcast(some), SENT, "left_semi"))  # TRAIN_SENTENCES rows
+
+
+def _tags(morphs: str = "morphs") -> Column:
+    return F.array_join(F.transform(morphs, lambda m: m["cpos"]), ";")
+
+
+def path_candidates(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """Candidate paths with a key (their tags) and features: tags, tags with the number of morphemes, each tag, and the first form; gold: whether it is the gold path."""
+    feats = F.array_distinct(F.concat(F.array(F.concat(F.lit("t|"), _tags()), F.concat_ws("|", F.lit("n"), F.size("morphs").cast("string"), F.col("morphs")[0]["cpos"]), F.concat_ws("|", F.lit("f"), F.col("morphs")[0]["form"], _tags())), F.transform("morphs", lambda m: F.concat(F.lit("c|"), m["cpos"]))))
+    best = gold.select(*TOKEN, F.col("path").alias("_best"))
+    return found.join(best, TOKEN).select(*TOKEN, F.col("path").alias("path_id"), _tags().alias("key"), feats.alias("feats"), (F.col("path") == F.col("_best")).alias("gold"), "morphs")
+
+
+def trained_paths(candidates: DataFrame) -> DataFrame:
+    """Weights of path choice, trained on a bounded sample of sentences."""
+    return sequences.train_paths(_sample(candidates.drop("morphs")), SENT, EPOCHS, _once)[0]
+
+
 @query()
 def m1_disambiguate(spark, d):
-    found, gold = _paths(_once(_edges(spark, d)))
-    scored = found.select(*TOKEN, F.col("path").alias("path_id"), lattice.path_key(F.transform("morphs", lambda m: F.struct(m["cpos"].alias("form"), F.lit("").alias("cpos")))).alias("key"), F.col("path").alias("score"))
-    pair = gold.select(*TOKEN, lattice.path_key(F.transform("morphs", lambda m: F.struct(m["cpos"].alias("form"), F.lit("").alias("cpos")))).alias("key"))
-    nxt = pair.select(*SENT, (F.col("tok_no") - 1).alias("tok_no"), F.col("key").alias("next_key"))
-    pair = pair.join(nxt, TOKEN).groupBy("key", "next_key").agg(F.floor(F.log2(F.count("*") + 1)).alias("w"))
-    return learn.disambiguate(scored, SENT, pair)
+    candidates = _once(path_candidates(*_paths(_edges(spark, d))))
+    weights = trained_paths(candidates)
+    return learn.disambiguate(sequences.scored(candidates.drop("morphs"), weights, SENT), SENT, sequences.pair_weights(weights), save=_once)
+
+
+@query()
+def m3_train_paths(spark, d):
+    """Two epochs over all sentences."""
+    return sequences.train_paths(_once(path_candidates(*_paths(_edges(spark, d))).drop("morphs")), SENT, 2, _once, stop=learn.should_stop)[0]
+
+
+def trained_attachment(arcs: DataFrame) -> DataFrame:
+    """Weights of attachment, trained on a bounded sample of sentences."""
+    return _once(learn.train_attachment(_sample(arcs.select(*SENT, "id", "cpos", "head", "deprel")), SENT, EPOCHS, _once)[0])
 
 
 @query()
 def m2_attach(spark, d):
     g = _arcs(spark, d)[0]
-    return learn.attach(g, learn.attachment_weights(g), SENT)
+    return learn.attach(g, trained_attachment(g), SENT)
 
 
 @query(PATH_SQL + "SELECT doc_id, line_no, tok_no FROM gold WHERE path > 0")
