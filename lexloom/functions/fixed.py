@@ -49,6 +49,9 @@ MSR_FEATURE = {
 #: Codes of a pronominal suffix -> pronoun; others give OTHER_PRONOUN.
 PRONOUN = {"MF-P-1": "אנחנו", "MF-S-1": "אני", "F-S-2": "את", "M-S-2": "אתה", "M-P-2": "אתם", "F-P-2": "אתן", "M-S-3": "הוא", "F-S-3": "היא", "M-P-3": "הם", "F-P-3": "הן"}
 OTHER_PRONOUN = "הם"
+#: Tags whose suffixes are features of the host; the tags of the word between host and pronoun, and of the pronoun.
+SUFFIX_IN_HOST = ("NN", "DT", "EX", "PRP", "PRP-REF", "PRP-PERS", "QW")
+BRIDGE_TAG, PRONOUN_TAG = "POS", "S_PRN"
 BRIDGE = {"CD": "של", "NN": "של", "VB": "את", "BN": "את", "IN": "", "INTJ": "", "RB": ""}
 
 # The published templates for dependency arcs (Zhang and Nivre, 2011), as template strings of operators/features.py.

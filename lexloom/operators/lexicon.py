@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions.text import punct_tag, regex_tag
 from ..plans.ranking import top_n, top_n_per
 
+#: Fixed value.
 PUNCTUATION = ",.|?!:;-&»«\"[]()<>"
 ANALYSIS = ["lemma", "cpos", "feat_str"]
 
@@ -63,12 +65,18 @@ def lookup(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return tokens.join(found, "form")
 
 
-def prefix_lookup(forms: DataFrame, prefixes: DataFrame, dictionary: DataFrame, longest: int = 3) -> DataFrame:
-    """forms (form) -> form, prefix, host and the host's analyses: every known prefix followed by a known host, or by a number.
+def _cuts(forms: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """forms (form) -> form, prefix, host: each known prefix of any length with what follows it. The lengths that occur are one row."""
+    lengths = prefixes.select(F.length("prefix").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("lengths"))
+    cut = forms.select("form").distinct().join(F.broadcast(lengths)).select("form", F.explode("lengths").alias("n")).filter("n > 0 and n < length(form)")
+    return cut.select("form", F.expr("left(form, n)").alias("prefix"), F.expr("substring(form, n + 1)").alias("host")).join(prefixes.select("prefix").distinct(), "prefix")
+
+
+def prefix_lookup(forms: DataFrame, prefixes: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """forms (form) -> form, prefix, host and the host's analyses: every known prefix, of any length, followed by a known host, or by a number.
 
     prefixes (prefix) is a closed list of a language; Spark broadcasts it where its size allows."""
-    cut = forms.select("form").distinct().select("form", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("len")).filter("len < length(form)")
-    cut = cut.select("form", F.expr("left(form, len)").alias("prefix"), F.expr("substring(form, len + 1)").alias("host")).join(prefixes.select("prefix").distinct(), "prefix")
+    cut = _cuts(forms, prefixes)
     known = cut.join(dictionary.withColumnRenamed("form", "host"), "host")
     numbers = cut.withColumn("cpos", regex_tag("host")).filter("cpos is not null").join(dictionary.select(F.col("form").alias("host")).distinct(), "host", "left_anti")
     return known.select("form", "prefix", "host", *ANALYSIS).unionByName(numbers.select("form", "prefix", "host", F.lit("").alias("lemma"), "cpos", F.lit("").alias("feat_str")))
@@ -83,7 +91,7 @@ def expand_oov(forms: DataFrame, known: DataFrame, oov: DataFrame) -> DataFrame:
 def with_readings(forms: DataFrame, oov: DataFrame) -> DataFrame:
     """Each form with each reading: tag of the first part of oov_msr, features of what follows the second."""
     parts = F.split("oov_msr", r"\|")
-    readings = oov.select(parts[0].alias("cpos"), F.array_join(F.slice(parts, 3, 1000), "|").alias("feat_str")).agg(F.collect_list(F.struct("cpos", "feat_str")).alias("readings"))
+    readings = oov.select(parts[0].alias("cpos"), F.array_join(F.filter(parts, lambda x, i: i > 1), "|").alias("feat_str")).agg(F.collect_list(F.struct("cpos", "feat_str")).alias("readings"))
     return forms.join(F.broadcast(readings)).select("form", F.explode("readings").alias("r")).select("form", "r.cpos", "r.feat_str")
 
 
@@ -93,12 +101,10 @@ def dope(forms: DataFrame, dictionary: DataFrame, oov: DataFrame, tags: int = 5)
     return with_readings(forms.select("form").distinct().join(open_forms, "form", "left_semi"), oov)
 
 
-def always_propn(forms: DataFrame, prefixes: DataFrame, oov: DataFrame, longest: int = 3) -> DataFrame:
+def always_propn(forms: DataFrame, prefixes: DataFrame, oov: DataFrame) -> DataFrame:
     """form, prefix (empty for none), host, cpos, feat_str: proper-noun and other open readings of every form, and of every host of two characters or more behind a known prefix."""
-    each = forms.select("form").distinct()
-    whole = each.select("form", F.lit("").alias("prefix"), F.col("form").alias("host"))
-    cut = each.select("form", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("len")).filter("length(form) - len >= 2").select("form", F.expr("left(form, len)").alias("prefix"), F.expr("substring(form, len + 1)").alias("host")).join(prefixes.select("prefix").distinct(), "prefix")
-    hosts = whole.unionByName(cut.select("form", "prefix", "host"))
+    whole = forms.select("form").distinct().select("form", F.lit("").alias("prefix"), F.col("form").alias("host"))
+    hosts = whole.unionByName(_cuts(forms, prefixes).filter("length(host) >= 2").select("form", "prefix", "host"))
     made = with_readings(hosts.select(F.col("host").alias("form")).distinct(), oov).withColumnRenamed("form", "host")
     return hosts.join(made, "host").select("form", "prefix", "host", "cpos", "feat_str")
 
@@ -141,23 +147,91 @@ def analyze_dictionary(tokens: DataFrame, dictionary: DataFrame, oov: DataFrame,
     return tokens.join(out, "form")
 
 
+MORPH = ["form", *ANALYSIS]
+
+
+def _morph(form: Column, lemma: Column | str = "", cpos: Column | str = "", feat_str: Column | str = "") -> Column:
+    text = lambda c: F.coalesce(c, F.lit("")) if isinstance(c, Column) else F.lit(c)
+    return F.struct(text(form).alias("form"), text(lemma).alias("lemma"), text(cpos).alias("cpos"), text(feat_str).alias("feat_str"))
+
+
+def lexicon_entries(lexicon: DataFrame) -> DataFrame:
+    """Rows of read_lexicon -> token, morphs: the host, and where its suffix is a pronoun of its own, the word between (by the host's tag, if any) and the pronoun.
+
+    The host of such a chain has its lemma for a form. Tags of fixed.SUFFIX_IN_HOST take the suffix' features themselves; suffixes whose code begins neither with
+    - nor with S (S_ANP is none) add nothing. Definite hosts have def=D among their features."""
+    joined = lambda *c: F.array_join(F.filter(F.array(*c), lambda x: x != ""), "|")
+    tag, code, suffix = F.col("tag"), F.coalesce("suffix_code", F.lit("")), F.col("suffix")
+    within = tag.isin(*fixed.SUFFIX_IN_HOST) & (code != "")
+    alone = ~within & (F.startswith(code, F.lit("-")) | (F.startswith(code, F.lit("S")) & ~F.startswith(code, F.lit("S_ANP"))))
+    feats = joined(F.col("feat_str"), F.when(F.col("definite"), "def=D").otherwise(""))
+    host = _morph(F.when(alone, F.col("lemma")).otherwise(F.col("token")), F.col("lemma"), tag, F.when(within, joined(feats, F.coalesce(suffix["feat_str"], F.lit("")))).otherwise(feats))
+    bridge, pronoun = _morph(suffix["bridge"], suffix["bridge"], fixed.BRIDGE_TAG), _morph(suffix["form"], suffix["form"], fixed.PRONOUN_TAG, suffix["feat_str"])
+    chain = F.when(~alone, F.array(host)).when(suffix["bridge"] == "", F.array(host, pronoun)).otherwise(F.array(host, bridge, pronoun))
+    return lexicon.select("token", chain.alias("morphs")).distinct()
+
+
+def learn_entries(morphs: DataFrame, token: list[str]) -> DataFrame:
+    """Distinct analyses of several morphemes from annotated tokens (token's columns, form: the token's, morph_idx, morph, lemma, cpos, feat_str) -> token, morphs (A1)."""
+    each = morphs.groupBy(*token, "form").agg(F.array_sort(F.collect_list(F.struct("morph_idx", _morph(F.col("morph"), F.col("lemma"), F.col("cpos"), F.col("feat_str")).alias("m")))).alias("a"))
+    return each.select(F.col("form").alias("token"), F.transform("a", lambda x: x["m"]).alias("morphs")).distinct()
+
+
+def learn_from_lattices(edges: DataFrame, tokens: DataFrame, sent: list[str]) -> DataFrame:
+    """The same from lattices of one path a token (sent, tok_no, from_node, to_node, form, lemma, cpos, feat_str) and raw tokens (sent, tok_no, form), which are
+    joined by their places. The job fails where a sentence has more tokens on one side (A1)."""
+    path = edges.groupBy(*sent, "tok_no").agg(F.array_sort(F.collect_list(F.struct("from_node", "to_node", _morph(F.col("form"), F.col("lemma"), F.col("cpos"), F.col("feat_str")).alias("m")))).alias("a"))
+    both = tokens.select(*sent, "tok_no", "form").join(path, [*sent, "tok_no"], "full_outer")
+    checked = F.expr("if(form is null or a is null, raise_error('numbers of tokens differ between lattices and raw text'), form)")
+    return both.select(checked.alias("token"), F.transform("a", lambda x: x["m"]).alias("morphs")).distinct()
+
+
+def _known_splits(tokens: DataFrame, entries: DataFrame, prefixes: DataFrame, oov: DataFrame) -> DataFrame:
+    """Distinct forms -> form, oov, found: an array of (prefix, host, before: the prefix' morphemes, morphs: a reading of the host).
+
+    Each form is cut once, also before its first character; one join finds the hosts' readings, and the rest is decided in the form's row."""
+    forms = tokens.select("form").distinct()
+    before = prefixes.select("prefix", F.col("morphs").alias("before")) if "morphs" in prefixes.columns else prefixes.select("prefix", F.array(F.struct(F.col("prefix").alias("form"), F.lit("PREFIX").alias("cpos"))).alias("before"))
+    before = before.select("prefix", F.transform("before", lambda m: _morph(m["form"], "", m["cpos"])).alias("before"))
+    nothing = F.array().cast(before.schema["before"].dataType)
+    lengths = prefixes.select(F.length("prefix").alias("n")).filter("n > 0").distinct().agg(F.array_sort(F.collect_list("n")).alias("lengths"))  # one row
+    words = forms.withColumn("punct", punct_tag("form"))
+    at = F.when(F.col("punct").isNull(), F.concat(F.array(F.lit(0)), "lengths")).otherwise(F.array(F.lit(0)))
+    cut = words.join(F.broadcast(lengths)).select("form", "punct", F.explode(at).alias("n")).filter("n = 0 or n < length(form)").select("form", "punct", F.expr("left(form, n)").alias("prefix"), F.expr("substring(form, n + 1)").alias("host"))
+    whole = cut.filter("prefix = ''").withColumn("before", nothing)
+    split = whole.unionByName(cut.filter("prefix <> ''").join(before, "prefix"))
+    readings = entries.select(F.col("token").alias("host"), F.transform("morphs", lambda m: _morph(m["form"], m["lemma"], m["cpos"], m["feat_str"])).alias("morphs")).groupBy("host").agg(F.collect_set("morphs").alias("readings"))
+    number = F.when(regex_tag("host").isNotNull(), F.array(F.array(_morph(F.col("host"), "", regex_tag("host")))))
+    mark = F.array(F.array(_morph(F.col("form"), "", F.col("punct"))))
+    known = split.join(readings, "host", "left").withColumn("readings", F.when(F.col("punct").isNotNull(), mark).otherwise(F.coalesce("readings", number)))
+    each = known.groupBy("form").agg(F.collect_list(F.struct("prefix", "host", "before", "readings")).alias("cuts"))
+    parts = F.split("oov_msr", r"\|")
+    opened = oov.select(F.struct(parts[0].alias("cpos"), F.array_join(F.filter(parts, lambda x, i: i > 1), "|").alias("feat_str")).alias("r")).agg(F.collect_list("r").alias("open"))  # one row
+    each = each.join(F.broadcast(opened)).withColumn("oov", ~F.exists("cuts", lambda c: c["readings"].isNotNull()))
+    use = """transform(filter(cuts, c -> c.readings is not null or c.prefix = '' or (oov and length(c.host) >= 2)),
+        c -> struct(c.prefix, c.host, c.before, coalesce(c.readings, transform(open, r -> array(struct(c.host as form, '' as lemma, r.cpos, r.feat_str)))) as readings))"""
+    found = f"flatten(transform({use}, c -> transform(c.readings, m -> struct(c.prefix, c.host, c.before, m as morphs))))"
+    return each.select("form", "oov", F.expr(found).alias("found"))
+
+
+def analyze_morphs(tokens: DataFrame, entries: DataFrame, prefixes: DataFrame, oov: DataFrame) -> DataFrame:
+    """Lexicon analyser over entries of several morphemes (G10): form, morphs (array of form, lemma, cpos, feat_str), oov for each distinct form of tokens.
+
+    entries (token, morphs), as lexicon_entries, learn_entries or read_ud_lexicon give them; prefixes (prefix, and morphs as read_prefixes gives them; without, a
+    prefix is one morpheme tagged PREFIX) may be of any length. Rules are those of analyze_lexicon; token_lattices makes lattices of the result."""
+    each = _known_splits(tokens, entries, prefixes, oov).withColumn("all", F.array_distinct(F.transform("found", lambda x: F.concat(x["before"], x["morphs"]))))
+    return each.select("form", F.explode("all").alias("morphs"), "oov")
+
+
 def analyze_lexicon(tokens: DataFrame, dictionary: DataFrame, prefixes: DataFrame, oov: DataFrame) -> DataFrame:
     """Lexicon analyser (G10): punctuation has its name alone; else lexicon or number readings, or open readings where there are none; and prefix splits.
 
-    form, prefix (empty for none), host, cpos, feat_str, oov (neither lexicon, number nor split knows the form) for each token."""
-    forms = tokens.select("form").distinct().withColumn("punct", punct_tag("form"))
-    marks = forms.filter("punct is not null").select("form", F.lit("").alias("prefix"), F.col("form").alias("host"), F.col("punct").alias("cpos"), F.lit("").alias("feat_str"))
-    words = forms.filter("punct is null").select("form")
-    exact = words.join(dictionary, "form").select("form", F.lit("").alias("prefix"), F.col("form").alias("host"), "cpos", "feat_str")
-    numbers = words.join(dictionary.select("form").distinct(), "form", "left_anti").select("form", F.lit("").alias("prefix"), F.col("form").alias("host"), regex_tag("form").alias("cpos"), F.lit("").alias("feat_str")).filter("cpos is not null")
-    whole = exact.unionByName(numbers)
-    split = prefix_lookup(words, prefixes, dictionary).select("form", "prefix", "host", "cpos", "feat_str")
-    found = whole.unionByName(split)
-    open_whole = expand_oov(words, whole, oov).select("form", F.lit("").alias("prefix"), F.col("form").alias("host"), "cpos", "feat_str")
-    unknown = words.join(found.select("form").distinct(), "form", "left_anti")
-    open_split = always_propn(unknown, prefixes, oov).filter("prefix <> ''")
-    every = marks.unionByName(found).unionByName(open_whole).unionByName(open_split).distinct().join(unknown.withColumn("oov", F.lit(True)), "form", "left").withColumn("oov", F.coalesce("oov", F.lit(False)))
-    return tokens.join(every, "form")
+    form, prefix (empty for none), host, cpos, feat_str, oov (neither lexicon, number nor split knows the form: then splits have open readings too) for each
+    token. Distinct forms are cut and looked up once."""
+    entries = dictionary.select(F.col("form").alias("token"), F.array(_morph(F.col("form"), F.col("lemma"), F.col("cpos"), F.col("feat_str"))).alias("morphs"))
+    each = _known_splits(tokens, entries, prefixes.select("prefix").distinct(), oov)
+    flat = F.array_distinct(F.transform("found", lambda x: F.struct(x["prefix"], x["host"], x["morphs"][0]["cpos"].alias("cpos"), x["morphs"][0]["feat_str"].alias("feat_str"))))
+    return tokens.join(each.select("form", "oov", flat.alias("found")), "form").select("*", F.explode("found").alias("f")).select(*tokens.columns, "f.*", "oov")
 
 
 def split_morphs(analyses: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def lattice_rows(found: DataFrame, fmt: str = "spmrl") -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str, tagset: str = "source", decode: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Lines `token (msr lemma)*` (S7, S8): token, analysis_id, tag, feat_str, lemma, suffix (bridge, form, feat_str); UNK analyses go; lines of one token are one entry.
+    """Lines `token (msr lemma)*` (S7, S8): token, analysis_id, tag, feat_str, lemma, suffix (bridge, form, feat_str), suffix_code, definite (the prefix is DEF); UNK analyses go; lines of one token are one entry.
 
     An msr is `prefix:host:suffix`, its codes after -. tagset universal converts tags and features. decode (E3) makes an array of
     struct(msr, lemma) of a line instead."""
@@ -133,7 +133,7 @@ def read_lexicon(spark: SparkSession, path: str, tagset: str = "source", decode:
         other = F.when(feats != "", universal_feats(feats)).otherwise(F.lit(""))
         feats = F.array_join(F.array_sort(F.filter(F.concat(F.split(own, r"\|"), F.split(other, r"\|")), lambda x: x != "")), "|")
         tag = converted[0]
-    out = rows.select("token", tag.alias("tag"), feats.alias("feat_str"), "lemma", F.when(suffix != "", parse_msr_suffix(F.col("host.tag"), suffix)).alias("suffix"))
+    out = rows.select("token", tag.alias("tag"), feats.alias("feat_str"), "lemma", F.when(suffix != "", parse_msr_suffix(F.col("host.tag"), suffix)).alias("suffix"), suffix.alias("suffix_code"), (F.col("parts")[0] == "DEF").alias("definite"))
     return out.withColumn("analysis_id", F.row_number().over(Window.partitionBy("token").orderBy("tag", "feat_str", "lemma")))
 
 
