@@ -47,7 +47,7 @@ def _edges(spark, d):
 
 
 FORM_SQL = f"WITH {MORPHS_SQL}, f AS (SELECT form, cpos, lemma, feat_str, lang, count(*) AS n FROM morph GROUP BY ALL) "
-DICT_SQL = f"WITH {MORPHS_SQL}, train AS (SELECT DISTINCT form, lemma, cpos, feat_str FROM morph WHERE doc_id % 10 <> 0), test AS (SELECT * FROM morph) "
+DICT_SQL = f"WITH {MORPHS_SQL}, train AS MATERIALIZED (SELECT DISTINCT form, lemma, cpos, feat_str FROM morph WHERE doc_id % 10 <> 0), test AS (SELECT * FROM morph) "
 
 
 def _forms(spark, d):

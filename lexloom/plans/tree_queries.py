@@ -56,8 +56,8 @@ def _arcs(spark, d) -> tuple[DataFrame, DataFrame]:
 
 LAT = f"WITH {EDGES_SQL} "
 # paths as strings of form_tag, joined by ;
-PATH_SQL = f"""WITH {EDGES_SQL}, pth AS (SELECT doc_id, line_no, tok_no, token, path, string_agg(form || '_' || cpos, ';' ORDER BY from_node) AS key, string_agg(form, ';' ORDER BY from_node) AS forms, count(*) AS len FROM edge GROUP BY doc_id, line_no, tok_no, token, path),
-gold AS (SELECT * FROM pth QUALIFY path = max(path) OVER (PARTITION BY doc_id, line_no, tok_no)) """
+PATH_SQL = f"""WITH {EDGES_SQL}, pth AS MATERIALIZED (SELECT doc_id, line_no, tok_no, token, path, string_agg(form || '_' || cpos, ';' ORDER BY from_node) AS key, string_agg(form, ';' ORDER BY from_node) AS forms, count(*) AS len FROM edge GROUP BY doc_id, line_no, tok_no, token, path),
+gold AS MATERIALIZED (SELECT pth.* FROM pth JOIN (SELECT doc_id, line_no, tok_no, max(path) AS path FROM pth GROUP BY ALL) USING (doc_id, line_no, tok_no, path)) """
 
 
 @query(LAT + "SELECT doc_id, path, count(*) AS n_edges, count(DISTINCT form) AS n_forms, sum(to_node - from_node) AS width FROM edge GROUP BY doc_id, path")

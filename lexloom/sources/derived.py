@@ -31,7 +31,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 TOKENS_SQL = """
 line AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
 sent AS (SELECT doc_id, lang, line_no, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS forms FROM line),
-tok AS (SELECT doc_id, lang, CAST(line_no AS INTEGER) AS line_no, CAST(generate_subscripts(forms, 1) AS INTEGER) AS tok_no, unnest(forms) AS form FROM sent)"""
+tok AS MATERIALIZED (SELECT doc_id, lang, CAST(line_no AS INTEGER) AS line_no, CAST(generate_subscripts(forms, 1) AS INTEGER) AS tok_no, unnest(forms) AS form FROM sent)"""
 
 
 def cpos(form: Column) -> Column:
@@ -57,7 +57,7 @@ def morphs(docs: DataFrame) -> DataFrame:
 MORPHS_SQL = (
     TOKENS_SQL
     + r""",
-morph AS (SELECT *, CASE WHEN regexp_matches(form, '[0-9]') THEN 'NUM' WHEN NOT regexp_matches(form, '\p{L}') THEN 'PUNCT' WHEN regexp_matches(form, '^\p{Lu}') THEN 'PROPN' ELSE 'X' END AS cpos,
+morph AS MATERIALIZED (SELECT *, CASE WHEN regexp_matches(form, '[0-9]') THEN 'NUM' WHEN NOT regexp_matches(form, '\p{L}') THEN 'PUNCT' WHEN regexp_matches(form, '^\p{Lu}') THEN 'PROPN' ELSE 'X' END AS cpos,
     regexp_replace(lower(form), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS lemma,
     'Lang=' || coalesce(lang, 'xx') || '|gen=' || CASE WHEN length(form) % 2 = 1 THEN 'F' ELSE 'M' END || '|num=' || CASE WHEN ends_with(form, 's') THEN 'P' ELSE 'S' END
         || CASE WHEN length(form) > 8 THEN '|suf_gen=F|suf_gen=M' ELSE '' END AS feat_str FROM tok)"""
@@ -100,11 +100,11 @@ def edges(toks: DataFrame) -> DataFrame:
 EDGES_SQL = (
     MORPHS_SQL
     + f""",
-forms AS (SELECT form, count(*) AS n FROM tok GROUP BY form),
+forms AS MATERIALIZED (SELECT form, count(*) AS n FROM tok GROUP BY form),
 pre AS (SELECT left(form, l) AS prefix, l AS len, sum(n) AS n FROM forms, (VALUES (1), (2), (3)) AS v(l) WHERE l < length(form) GROUP BY 1, 2 ORDER BY n DESC, prefix LIMIT {N_PREFIXES}),
-split AS (SELECT f.form, p.prefix, p.len, h.form AS host FROM forms f JOIN pre p ON p.len < length(f.form) AND left(f.form, p.len) = p.prefix JOIN forms h ON h.form = substr(f.form, p.len + 1)),
+split AS MATERIALIZED (SELECT f.form, p.prefix, p.len, h.form AS host FROM forms f JOIN pre p ON p.len < length(f.form) AND left(f.form, p.len) = p.prefix JOIN forms h ON h.form = substr(f.form, p.len + 1)),
 cp AS (SELECT DISTINCT form, cpos FROM morph),
-edge AS (
+edge AS MATERIALIZED (
     SELECT doc_id, line_no, tok_no, form AS token, 0 AS path, 0 AS from_node, 2 AS to_node, form, cpos FROM morph
     UNION ALL SELECT doc_id, line_no, tok_no, t.form, len, 0, 1, prefix, 'PREFIX' FROM tok t JOIN split USING (form)
     UNION ALL SELECT doc_id, line_no, tok_no, t.form, len, 1, 2, host, cp.cpos FROM tok t JOIN split USING (form) JOIN cp ON cp.form = host)"""
@@ -128,8 +128,8 @@ def deep_edges(toks: DataFrame) -> DataFrame:
 DEEP_SQL = (
     TOKENS_SQL
     + f""",
-dl AS (SELECT form AS token, tok_no % 2 AS odd, count(*) AS n, least({DEEP}, length(form)) AS k FROM tok GROUP BY ALL),
-de AS (SELECT token, odd, k, i AS a, i + w AS b, substr(token, (i * length(token)) // k + 1, ((i + w) * length(token)) // k - (i * length(token)) // k) AS form, 'M' || w AS cpos
+dl AS MATERIALIZED (SELECT form AS token, tok_no % 2 AS odd, count(*) AS n, least({DEEP}, length(form)) AS k FROM tok GROUP BY ALL),
+de AS MATERIALIZED (SELECT token, odd, k, i AS a, i + w AS b, substr(token, (i * length(token)) // k + 1, ((i + w) * length(token)) // k - (i * length(token)) // k) AS form, 'M' || w AS cpos
     FROM (SELECT *, unnest(range(k)) AS i FROM dl), (VALUES (1), (2)) AS v(w) WHERE i + w <= k AND (w = 1 OR (i + odd) % 2 = 0))"""
 )
 
