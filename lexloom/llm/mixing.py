@@ -23,26 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots in a period, documents in a block, documents that one task numbers at most, about, and blocks up to which the schedule is broadcast.
-PERIOD, BLOCK, CHUNK, SMALL = 1000, 16, 2_000, 1_000_000
+#: Documents in a block, documents that one task numbers at most, about, and blocks up to which the schedule is broadcast.
+BLOCK, CHUNK, SMALL = 16, 2_000, 1_000_000
 #: Blocks that the schedule has at most, about (blocks get larger beyond), and sources; more of these are an error.
 BLOCKS, SOURCES = 1 << 18, 100_000
 
 
-def apportion(shares: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots for each source, one at least, in proportion to shares by largest remainder; a period grows with very many sources."""
-    shares = {s: max(0.0, float(x)) for s, x in shares.items()}
-    period = max(period, 4 * len(shares))
-    total = sum(shares.values()) or 1.0
-    exact = {s: (period - len(shares)) * x / total for s, x in shares.items()}
-    slots = {s: 1 + int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: period - sum(slots.values())]:
-        slots[s] += 1
-    if slots and sum(slots.values()) < period:  # no share is positive
-        slots[min(slots)] += period - sum(slots.values())
-    return slots
-
-
 def deal(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """All blocks by earliest deadline first: source, block, slot, release, deadline. Ties go by deadline of the next block, then name.
 
@@ -73,11 +59,6 @@ def deal(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[st
         start = t
 
 
-def schedule(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period of whole slots."""
-    return list(deal(slots, slots))
-
-
 def _counts(docs: DataFrame) -> list[tuple[str, int]]:
     """The sources with their numbers of documents."""
     found = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s")).count().limit(SOURCES + 1).collect()
@@ -86,20 +67,19 @@ def _counts(docs: DataFrame) -> list[tuple[str, int]]:
     return [(s, n) for s, n in found]
 
 
-def target_slots(docs: DataFrame, weights: dict[str, float] | None = None, period: int | None = None) -> dict[str, float]:
-    """The weight of each source of docs: of weights (0 where it has none), else the root of its count; with a period, rounded to whole slots of it."""
+def target_slots(docs: DataFrame, weights: dict[str, float] | None = None) -> dict[str, float]:
+    """The weight of each source of docs: of weights (0 where it has none), else the root of its count. A null source and '' are one source, named ''."""
     counts = dict(_counts(docs))
-    found = {s: max(0.0, float(weights.get(s, 0.0))) if weights is not None else isqrt(n << 20) for s, n in counts.items()}
-    return apportion(found, period) if period else found
+    return {s: max(0.0, float(weights.get(s, 0.0))) if weights is not None else isqrt(n << 20) for s, n in counts.items()}
 
 
 def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs (doc_id, source) -> the same columns and rank, from 0 in each source, in the order of the key's hash.
+    """docs (doc_id, source) -> the same columns and rank, from 0 in each source, in the order of the key's hash, where the key is null of the whole row's.
 
-    Rows with equal keys are ranked one after another; a null key is ranked as any other."""
+    Rows with equal keys are ranked one after another."""
     total = docs.agg(F.count("*")).first()[0]
     bits = max(0, (total // CHUNK).bit_length())
-    hashed = docs.withColumn("_h", F.xxhash64(key)).withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    hashed = docs.withColumn("_h", F.when(F.col(key).isNull(), F.xxhash64(*docs.columns)).otherwise(F.xxhash64(key))).withColumn("_s", F.coalesce(F.col("source").cast("string"), F.lit("")))
     hashed = hashed.withColumn("_c", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
     sizes = hashed.groupBy("_s", "_c").agg(F.count("*").alias("n"))
     sizes = sizes.select("_s", "_c", F.coalesce(F.sum("n").over(Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -111,7 +91,7 @@ def mix(docs: DataFrame, slots: dict[str, float], block: int | None = None) -> D
     """docs (doc_id, source, more) -> the same columns with block (in the source), slot, place (in the slot), release and deadline (slots).
 
     slots: weights of the sources, relative to their sum. No document is dropped or repeated: a source that has run out leaves its share
-    free, one without a weight comes last. A null source is one source. Columns of those five names are replaced. Read in the order of
+    free, one without a weight comes last. A null source and '' are one source. Columns of those five names are replaced. Read in the order of
     slot and place."""
     spark: SparkSession = docs.sparkSession
     added = ["block", "slot", "place", "release", "deadline"]

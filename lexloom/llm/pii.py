@@ -50,7 +50,7 @@ TLDS = frozenset("com org net edu gov mil int info biz io dev app co uk de fr es
 CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "6011", "65", "35", "36", "62")
 FOR = {
-    "email": ("mail", "contact", "write", "reach", "courriel", "correo"), "ip": ("ip", "host", "server", "address", "adresse", "client", "from"),
+    "email": ("mail", "email", "contact", "write", "reach", "courriel", "correo"), "ip": ("ip", "host", "server", "address", "adresse", "client"),
     "card": ("card", "visa", "master", "credit", "payment", "karte", "carte", "tarjeta"), "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "whatsapp"),
     "id": ("ssn", "social", "security", "insurance", "id"), "secret": ("key", "password", "secret", "token", "aws", "credential", "auth"),
 }
@@ -104,10 +104,17 @@ def matches(text: str) -> list[tuple[str, int, int, bool]]:
     return out
 
 
+def _two_cards(text: str, a: int, b: int) -> list[tuple[str, int, int]]:
+    """A failed card match as two numbers of 16 digits, if both pass the check, else as it is."""
+    places = [i for i in range(a, b) if "0" <= text[i] <= "9"] if b - a <= 72 else []
+    parts = [("card", places[0], places[15] + 1), ("card", places[16], places[31] + 1)] if len(places) == 32 else []
+    return parts if parts and all(luhn(_digits(text[i:j])) for _, i, j in parts) else [("card", a, b)]
+
+
 def candidates(text: str) -> list[tuple[str, int, int, bool]]:
     """Base matches, flagged, and further candidates that don't overlap those that pass; by kind and start."""
     found = matches(text)
-    more = [(k, a, b) for k, a, b, ok in found if not ok]
+    more = [part for k, a, b, ok in found if not ok for part in (_two_cards(text, a, b) if k == "card" else [(k, a, b)])]
     for kind, pattern, needs in _MORE:
         if needs is None or needs.search(text):
             more += [(kind, *(m.span("s") if "s" in pattern.groupindex else m.span())) for m in pattern.finditer(text)]
@@ -132,8 +139,10 @@ def votes(text: str, kind: str, a: int, b: int, ok: bool) -> tuple[int, ...]:
     """Votes (1, -1, 0) of the labelers: pattern, gazetteer, context, edges, shape."""
     s, low = text[a:b], text[max(0, a - CONTEXT) : a].lower()
     digits = _digits(s)
-    if kind in ("email", "ip", "card", "phone"):
-        pattern = 1 if ok else -1 if kind in ("ip", "card") else 0
+    if kind in ("ip", "card"):
+        pattern = 1 if base_ok(kind, s) else -1
+    elif kind in ("email", "phone"):
+        pattern = 1 if ok else 0
     else:
         pattern = 1 if kind == "id" or s.startswith(("AKIA", "ASIA")) else 0
     if kind == "email":
@@ -149,8 +158,10 @@ def votes(text: str, kind: str, a: int, b: int, ok: bool) -> tuple[int, ...]:
         gazetteer = -1 if s.startswith(("000", "666", "9")) or s[4:6] == "00" or s.endswith("0000") else 1
     else:
         gazetteer = 1 if s.startswith(("AKIA", "ASIA")) else 0
-    words = set(_WORD.findall(low))
-    context = 1 if any(w in low for w in FOR[kind]) else -1 if words & set(AGAINST) else 0
+    words = _WORD.findall(low)
+    # short context words are whole words, longer ones may go on (mastercard, hostname)
+    names = lambda w: any(w.strip(":") == c or (len(c) > 3 and w.startswith(c)) for c in FOR[kind])
+    context = 1 if any(map(names, words)) else -1 if set(words) & set(AGAINST) else 0
     beside = (text[a - 1] if a else " ") + (text[b] if b < len(text) else " ")
     edges = -1 if any(c.isalnum() or c == "_" for c in beside) else 1
     distinct = len(set(digits)) if kind != "secret" else len(set(s))
@@ -175,7 +186,7 @@ class Model:
 
     prior: tuple[float, ...] = (0.5,) * len(KINDS)
     kind: tuple[float, ...] = (0.0,) * len(KINDS)
-    vote: tuple[tuple[float, float, float], ...] = ((-1.0, 0.0, 1.0),) * LABELERS
+    vote: tuple[tuple[float, float, float], ...] = ((-3.0, 0.0, 1.0), *((-1.0, 0.0, 1.0),) * (LABELERS - 1))  # a failed check counts most
     trait: tuple[float, ...] = (0.0,) * HASHED
 
     def score(self, kind: str, v: tuple[int, ...], seen: tuple[int, ...] = ()) -> float:
@@ -205,18 +216,19 @@ def reliabilities(kind: np.ndarray, v: np.ndarray, n: np.ndarray, rounds: int =
     return prior, given, post
 
 
-def train(kind: np.ndarray, v: np.ndarray, n: np.ndarray, sample: list[tuple[tuple[int, ...], tuple[int, ...]]] = ()) -> Model:
+def train(kind: np.ndarray, v: np.ndarray, n: np.ndarray, sample: list[tuple[tuple[int, ...], tuple[int, ...], int]] = ()) -> Model:
     """Logistic regression on the posteriors of counted vote vectors by gradient steps of fixed number.
 
-    sample: (kind and votes, hashed inputs) of candidates; without one, the vectors themselves are learned from, by their counts."""
+    sample: (kind and votes, hashed inputs, how many candidates have these); without one, the vectors themselves are learned from, by their counts."""
     if not len(n):
         return Model()
     prior, _, post = reliabilities(kind, v, n)
     at = {(k, *row): i for i, (k, row) in enumerate(zip(kind.tolist(), v.tolist(), strict=True))}
-    rows = np.array([at[key] for key, _ in sample] or np.arange(len(n)), int)
-    share = np.full(len(rows), 1 / len(rows)) if len(sample) else n / n.sum()
+    rows = np.array([at[key] for key, _, _ in sample] or np.arange(len(n)), int)
+    share = np.array([times for _, _, times in sample], float) if len(sample) else n
+    share = share / share.sum()
     seen = np.zeros((len(rows), HASHED))
-    for i, (_, traits_) in enumerate(sample):
+    for i, (_, traits_, _) in enumerate(sample):
         seen[i, list(traits_)] = 1
     x = np.concatenate([np.eye(len(KINDS))[kind[rows]], *(np.eye(3)[v[rows, j] + 1] for j in range(LABELERS)), seen], axis=1)
     start, post = Model(), post[rows]
@@ -248,7 +260,7 @@ def fit(docs: DataFrame) -> Model:
     rows = sorted(found.groupBy("kind", *names).agg(F.sum("n").alias("n")).collect())
     picked = found.withColumn("h", F.xxhash64("kind", *names, "seen")).orderBy("h", "kind", *names, "seen").limit(SAMPLED).collect()
     scratch.keep_only()
-    sample = [((KINDS.index(r[0]), *r[1 : 1 + LABELERS]), tuple(r["seen"])) for r in picked]
+    sample = [((KINDS.index(r[0]), *r[1 : 1 + LABELERS]), tuple(r["seen"]), r["n"]) for r in picked]
     return train(np.array([KINDS.index(r[0]) for r in rows], int), np.array([r[1:-1] for r in rows], int).reshape(len(rows), LABELERS), np.array([r[-1] for r in rows], float), sample)
 
 

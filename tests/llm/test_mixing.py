@@ -70,3 +70,11 @@ def test_blocks_grow_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SOURCES", 1)
     with pytest.raises(ValueError, match="more than 1 sources"):
         mixing.target_slots(docs)
+
+
+def test_rows_without_a_key_are_spread(spark):
+    docs = spark.createDataFrame([(None, "a", f"t{i}") for i in range(9000)], "doc_id long, source string, text string")
+    rows = mixing.numbered(docs)
+    assert sorted(r["rank"] for r in rows.select("rank").collect()) == list(range(9000))
+    again = {r.text: r["rank"] for r in mixing.numbered(docs.repartition(7)).collect()}
+    assert again == {r.text: r["rank"] for r in rows.collect()}

@@ -78,20 +78,6 @@ def test_nulls_count_as_what_they_are_rendered_as(spark, tmp_path):
     assert [r[:3] for r in got] == [(2, 3, 1), (3, 1, 2), (5, 1, 1)]
 
 
-def test_schedule_keeps_every_source_within_a_block():
-    for shares in ({"a": 1}, {"a": 5, "b": 3, "c": 1}, {f"s{i}": i * i + 1 for i in range(23)}, {"a": 1e9, "b": 1, "c": 0}):
-        slots = mixing.apportion(shares, 200)
-        plan = mixing.schedule(slots)
-        period = sum(slots.values())
-        assert len(plan) == period and min(slots.values()) >= 1
-        done = dict.fromkeys(slots, 0)
-        for s, j, t, release, due in plan:
-            assert release <= t < due and done[s] == j
-            done[s] += 1
-            assert all(abs(done[x] - slots[x] * (t + 1) / period) < 1 for x in slots)
-        assert done == slots
-
-
 def test_mixing_query(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -113,7 +99,7 @@ def test_mixing_query(spark):
 def test_mixing_edges(spark):
     rows = [(i, None if i % 3 == 0 else "a", "x") for i in range(100)] + [(None, "b", "y"), (5, "a", "x"), (5, "a", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, slot string")
-    got = mixing.mix(docs, mixing.target_slots(docs, {"a": 2.0, "": 1.0}, 30), 4).collect()
+    got = mixing.mix(docs, mixing.target_slots(docs, {"a": 2.0, "": 1.0}), 4).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.source or "") for r in got) == sorted((i is None, i or 0, s or "") for i, s, _ in rows)
     assert len({(r.slot, r.place) for r in got}) == len(rows)
     assert mixing.mix(docs.limit(0), mixing.target_slots(docs.limit(0))).collect() == []
