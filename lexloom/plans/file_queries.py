@@ -200,17 +200,43 @@ def _streamed(stream, spark, job=lambda b: b):
     return spark.read.parquet(out)
 
 
-@query(f"WITH {ARCS_SQL} SELECT {SHOWN}, cpos, deprel, count(*) AS n, sum(head) AS heads FROM gold GROUP BY ALL")
+# sentences as files' blocks give them: their rows in a row, and how often there is such a sentence
+@query(f"WITH {ARCS_SQL}, se AS (SELECT doc_id, line_no, sha256(string_agg(id || chr(9) || {SHOWN.split(' AS ')[0]} || chr(9) || cpos || chr(9) || head || chr(9) || deprel, chr(10) ORDER BY id)) AS sentence, count(*) AS n_rows FROM gold GROUP BY ALL) SELECT sentence, n_rows, count(*) AS n FROM se GROUP BY ALL")
 def x1_stream_conll(spark, d):
     g = _arcs(spark, d)[0].withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")})
-    rows = jobs.stream_conll(spark, _written(spark, sinks.conll_lines(g, SENT), "conll"))
-    return _streamed(rows.drop("feats"), spark).groupBy("form", "cpos", "deprel").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
+    rows = _streamed(jobs.stream_blocks(spark, _written(spark, sinks.conll_lines(g, SENT), "conll")), spark, lambda b: jobs.conll_batch(b).drop("feats"))
+    line = F.concat_ws("\t", F.col("id").cast("string"), "form", "cpos", F.col("head").cast("string"), "deprel")
+    each = rows.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("all"))
+    return each.groupBy(F.sha2(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), 256).alias("sentence"), F.size("all").cast("long").alias("n_rows")).agg(F.count("*").alias("n"))
 
 
-@query(NODES + f"SELECT {SHOWN}, cpos, count(*) AS n, sum(from_node) AS starts, sum(to_node) AS ends, sum(tok_no) AS places FROM re GROUP BY ALL")
+@query(NODES + f", se AS (SELECT doc_id, line_no, sha256(string_agg(from_node || chr(9) || to_node || chr(9) || {SHOWN.split(' AS ')[0]} || chr(9) || cpos || chr(9) || tok_no, chr(10) ORDER BY from_node, to_node, {SHOWN.split(' AS ')[0]}, cpos, tok_no)) AS sentence, count(*) AS n_rows FROM re GROUP BY ALL) SELECT sentence, n_rows, count(*) AS n FROM se GROUP BY ALL")
 def x1_stream_lattice(spark, d):
-    rows = jobs.stream_lattice(spark, _written(spark, sinks.lattice_lines(_lattice_rows(spark, d), SENT), "lattice"))
-    return _streamed(rows.drop("feats", "token"), spark).groupBy("form", "cpos").agg(F.count("*").alias("n"), F.sum("from_node").alias("starts"), F.sum("to_node").alias("ends"), F.sum("tok_no").alias("places"))
+    rows = _streamed(jobs.stream_blocks(spark, _written(spark, sinks.lattice_lines(_lattice_rows(spark, d), SENT), "lattice")), spark, lambda b: jobs.lattice_batch(b).drop("feats", "token"))
+    line = F.concat_ws("\t", *(F.col(c).cast("string") for c in ("from_node", "to_node", "form", "cpos", "tok_no")))
+    each = rows.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("from_node", "to_node", "form", "cpos", "tok_no", line.alias("line")))).alias("all"))
+    return each.groupBy(F.sha2(F.array_join(F.transform("all", lambda x: x["line"]), "\n"), 256).alias("sentence"), F.size("all").cast("long").alias("n_rows")).agg(F.count("*").alias("n"))
+
+
+# candidates and gold paths are written to files of eight buckets of documents; sentences are joined by bucket and number
+@query(
+    tq.J11_SQL.rstrip()
+    + f""", nb AS (SELECT doc_id, line_no, CAST(doc_id % 8 AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id, line_no) AS INTEGER) AS block FROM (SELECT DISTINCT doc_id, line_no FROM mx))
+SELECT file, block, tok_no, low + a AS from_node, low + b AS to_node, {SHOWN}, cpos, how FROM al JOIN gr USING (doc_id, line_no, tok_no) JOIN nb USING (doc_id, line_no)"""
+)
+def x4_stream_infuse(spark, d):
+    e = _once(lattice.renumber(_edges(spark, d), SENT).withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")}))
+    best = e.join(e.groupBy(*TOKEN).agg(F.max("path").alias("path")), [*TOKEN, "path"])
+
+    def buckets(edges, name):
+        path = scratch_path(spark, name)
+        blocks = sinks.lattice_lines(edges, SENT).withColumn("bucket", F.pmod("doc_id", F.lit(8)))
+        blocks.repartition("bucket").sortWithinPartitions("bucket", *SENT).select("value", "bucket").write.partitionBy("bucket").option("lineSep", "\n\n").text(path)
+        return path
+
+    of = lambda p: F.regexp_extract(p, "bucket=([0-9]+)", 1)
+    gold = readers.read_lattice(spark, f"{buckets(best, 'gold')}/*/*")
+    return _streamed(jobs.stream_blocks(spark, f"{buckets(e.filter('path = 0'), 'candidates')}/*"), spark, lambda b: jobs.fuse_batch(b, gold, of)).drop("batch")
 
 
 @query(PATH_SQL + f", mp AS (SELECT e.form, e.cpos, e.tok_no, e.token FROM edge e JOIN gold USING (doc_id, line_no, tok_no, path)) SELECT {SHOWN}, cpos, count(*) AS n, sum(tok_no) AS places FROM mp GROUP BY ALL")

@@ -231,10 +231,9 @@ def x3_stream_stats(spark, d):
     known = events.filter("value > 0").groupBy(F.col("event_type").alias("form")).count().filter("count > 1").select("form")
     # the source reads files of a folder: the table's own, or those of its folder
     stream = spark.readStream.schema(events.schema).parquet(f"{d}/events*.parquet").withColumn("form", F.col("event_type"))
-    name = "x3_" + scratch_path(spark, "x3").rpartition("-")[2]
-    q = jobs.stream_stats(stream, known, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", scratch_path(spark, "x3")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = scratch_path(spark, "x3")
+    jobs.stream_latest(jobs.stream_stats(stream, known, ["event_type"]), out, scratch_path(spark, "x3")).awaitTermination()
+    return jobs.latest(spark, out)
 
 
 @query(f"WITH {MORPHS_SQL}, train AS (SELECT DISTINCT form, cpos FROM morph WHERE doc_id % 10 <> 0) SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE train.cpos IS NULL) AS n_oov FROM morph LEFT JOIN train USING (form) GROUP BY doc_id")
