@@ -115,13 +115,19 @@ def universal_tag(tag: str | Column, prefix: bool = False) -> Column:
 
 
 def universal_feats(feats: str | Column) -> Column:
-    """Universal features, sorted; _ stays. Features that have no universal one go."""
+    """Universal features, sorted; _ stays. Features without a universal one are no part of it: unknown_feats names those that the table doesn't know."""
     feats = _col(feats)
     table = {k: v or "" for k, v in fixed.UNIVERSAL_FEATURE.items()}
     made = F.filter(F.transform(F.split(feats, r"\|"), lambda p: _lookup(table, p)), lambda p: p.isNotNull() & (p != ""))
     return F.when(feats == "_", feats).otherwise(F.array_join(F.array_sort(F.flatten(F.transform(made, lambda p: F.split(p, r"\|")))), "|"))
 
 
+def unknown_feats(feats: str | Column) -> Column:
+    """Array of the features, in their order, that the table of universal features doesn't know; a caller stops or sets the row aside where it is not empty."""
+    pairs = F.filter(F.split(_col(feats), r"\|"), lambda p: ~p.isin("", "_"))
+    return F.filter(pairs, lambda p: ~p.isin(*fixed.UNIVERSAL_FEATURE))
+
+
 # B7, B8
 def parse_msr(msr: str | Column, suffix: bool = False, skip: tuple[str, ...] = ("binyan", "type", "polar")) -> Column:
     """Lexicon code tag-code-code -> struct(tag, feat_str): known codes' features sorted, without the families in skip."""

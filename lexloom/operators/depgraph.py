@@ -84,9 +84,14 @@ def merge_tokens(arcs: DataFrame, mapping: DataFrame, sent: list[str]) -> DataFr
 
 
 def training_record(arcs: DataFrame, gold: DataFrame, candidates: DataFrame, sent: list[str]) -> DataFrame:
-    """By sentence: n_arcs, n_gold paths, n_candidates and whether all three sides have it."""
-    count = lambda df, name: df.groupBy(*sent).agg(F.count("*").alias(name))
-    return count(arcs, "n_arcs").join(count(gold, "n_gold"), sent, "full_outer").join(count(candidates, "n_candidates"), sent, "full_outer").withColumn("complete", F.col("n_arcs").isNotNull() & F.col("n_gold").isNotNull() & F.col("n_candidates").isNotNull())
+    """One nested row a sentence (J15): tree (array of id, head, deprel), gold (array of tok_no, morphs), lattice (array of tok_no, paths: an array of morphs), and
+    complete, whether all three are there; sentences that lack one keep nulls in its place, for the caller to set aside."""
+    tree = arcs.groupBy(*sent).agg(F.array_sort(F.collect_list(F.struct("id", "head", "deprel"))).alias("tree"))
+    paths = gold.groupBy(*sent).agg(F.array_sort(F.collect_list(F.struct("tok_no", "morphs"))).alias("gold"))
+    tokens = candidates.groupBy(*sent, "tok_no").agg(F.array_sort(F.collect_list("morphs")).alias("paths"))
+    lattice = tokens.groupBy(*sent).agg(F.array_sort(F.collect_list(F.struct("tok_no", "paths"))).alias("lattice"))
+    whole = F.col("tree").isNotNull() & F.col("gold").isNotNull() & F.col("lattice").isNotNull()
+    return tree.join(paths, sent, "full_outer").join(lattice, sent, "full_outer").withColumn("complete", whole)
 
 
 def address(arcs: DataFrame, sent: list[str], values: dict[str, Column]) -> DataFrame:

@@ -107,12 +107,25 @@ def duplicate_audit(rows: DataFrame, sent: list[str], key: list[str]) -> DataFra
     return rows.groupBy(*sent, *key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def backoff_match(gold: DataFrame, candidates: DataFrame, token: list[str], keys: list[tuple[str, Column]]) -> DataFrame:
-    """gold rows with the candidates that match by the first key in order that any candidate of the token matches by: level and n_matches."""
-    hits = None
-    for i, (name, column) in enumerate(keys):
-        g = gold.select(*token, "gold_id", column.alias("k"))
-        found = g.join(candidates.select(*token, column.alias("k")), [*token, "k"]).groupBy(*token, "gold_id").agg(F.count("*").alias("n_matches")).withColumns({"priority": F.lit(i), "level": F.lit(name)})
-        hits = found if hits is None else hits.unionByName(found)
-    best = hits.groupBy(*token, "gold_id").agg(F.min(F.struct("priority", "level", "n_matches")).alias("b"))
-    return gold.select(*token, "gold_id").join(best, [*token, "gold_id"], "left").select(*token, "gold_id", F.coalesce("b.level", F.lit("none")).alias("level"), F.coalesce("b.n_matches", F.lit(0)).alias("n_matches"))
+def backoff_match(gold: DataFrame, candidates: DataFrame, token: list[str], keys: list[tuple[str, Column]], oov_tag: str = "NNP") -> DataFrame:
+    """The gold path of each token followed through its lattice with back-off (J20): token, morph_idx, level, n_matches, from_node, to_node, form, cpos of the edge taken.
+
+    At the node reached, the first key in order counts by which an edge equals the gold morpheme; of several such edges the last (by end, form, tag) is taken. Where none
+    does by any key, a node whose one edge has oov_tag is left by it (level oov); else the level is none and the token is over. gold and candidates are edges; the keys' columns
+    are theirs, null ones count as empty."""
+    value = F.array(*(F.coalesce(c.cast("string"), F.lit("")) for _, c in keys))
+    edge = F.struct(F.col("to_node").cast("bigint").alias("to_node"), F.coalesce("form", F.lit("")).alias("form"), F.coalesce("cpos", F.lit("")).alias("cpos"), F.col("from_node").cast("bigint").alias("from_node"), value.alias("k"))
+    side = lambda df, name: df.groupBy(*token).agg(F.array_sort(F.collect_set(edge)).alias(name))
+    g = gold.groupBy(*token).agg(F.array_sort(F.collect_list(F.struct("from_node", "to_node", value.alias("k")))).alias("g"))
+    names = ", ".join(f"'{n}'" for n, _ in keys)
+    record = "struct<i: int, level: string, n: int, from_node: bigint, to_node: bigint, form: string, cpos: string>"
+    level = f"get(filter(sequence(0, {len(keys) - 1}), l -> exists(here, e -> e.k[l] = m.k[l])), 0)"
+    took = lambda e, name, n: f"named_struct('at', {e}.to_node, 'i', s.i + 1, 'over', false, 'out', array_append(s.out, named_struct('i', s.i, 'level', {name}, 'n', {n}, 'from_node', s.at, 'to_node', {e}.to_node, 'form', {e}.form, 'cpos', {e}.cpos)))"
+    hits = "filter(here, e -> e.k[l] = m.k[l])"
+    found = f"transform(array({hits}), h -> {took('element_at(h, -1)', f'array({names})[l]', 'size(h)')})[0]"
+    alone = f"if(size(here) = 1 and here[0].cpos = '{oov_tag}', {took('here[0]', chr(39) + 'oov' + chr(39), '0')}, named_struct('at', s.at, 'i', s.i + 1, 'over', true, 'out', array_append(s.out, named_struct('i', s.i, 'level', 'none', 'n', 0, 'from_node', s.at, 'to_node', cast(null as bigint), 'form', cast(null as string), 'cpos', cast(null as string)))))"
+    step = f"transform(array(filter(c, e -> e.from_node = s.at)), here -> transform(array({level}), l -> if(l is not null, {found}, {alone}))[0])[0]"
+    start = f"named_struct('at', bottom, 'i', 0, 'over', false, 'out', cast(array() as array<{record}>))"
+    rows = g.join(side(candidates, "c"), token).withColumn("bottom", F.expr("array_min(transform(c, e -> e.from_node))"))
+    walked = F.expr(f"aggregate(g, {start}, (s, m) -> if(s.over, s, {step}), s -> s.out)")
+    return rows.select(*token, F.explode(walked).alias("w")).select(*token, F.col("w.i").alias("morph_idx"), "w.level", F.col("w.n").alias("n_matches"), "w.from_node", "w.to_node", "w.form", "w.cpos")

@@ -104,6 +104,12 @@ def b6_universal_feats(spark, d):
     return _forms(spark, d).select("form", text.universal_feats(F.array_join(F.filter(text.feature_pairs("feat_str"), lambda p: ~F.rlike(p, F.lit("^suf_"))), "|")).alias("feats")).distinct()
 
 
+# features that the table does not know, beside the universal ones
+@query(FORM_SQL + "SELECT DISTINCT form, feat_str, array_to_string(list_filter(string_split(feat_str, '|'), lambda p: starts_with(p, 'Lang=') OR starts_with(p, 'suf_')), ',') AS unknown FROM f")
+def b6_unknown_feats(spark, d):
+    return _forms(spark, d).select("form", "feat_str", F.array_join(text.unknown_feats("feat_str"), ",").alias("unknown")).distinct()
+
+
 @query(FORM_SQL + "SELECT DISTINCT form, 'NN' AS tag, CASE WHEN length(form) % 2 = 1 THEN 'gen=F' ELSE 'gen=M' END || '|num=S|per=' || (1 + length(form) % 3) AS feat_str FROM f")
 def b7_parse_msr(spark, d):
     code = F.concat(F.lit("NN-S-PAAL-"), (1 + F.length("form") % 3).cast("string"), F.when(F.length("form") % 2 == 1, F.lit("-F-zz")).otherwise(F.lit("-M")))
@@ -139,6 +145,21 @@ def b11_to_latin(spark, d):
     return _forms(spark, d).select("form", text.to_latin("form").alias("latin")).distinct()
 
 
+_ASCII = "translate(form, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_LAST = "translate(right(letters, 1), '" + fixed.BEFORE_FINAL + "', '" + fixed.AS_FINAL + "')"
+
+
+# the letters of capitals, with a final one at the end, and back
+@query(FORM_SQL + f""", h AS (SELECT form, translate(regexp_replace({_ASCII}, '[^{fixed.LATIN.replace("'", "''")}]', '', 'g'), '{fixed.LATIN.replace("'", "''")}', '{fixed.LETTERS}') AS letters FROM f),
+k AS (SELECT form, CASE WHEN letters = '' THEN '' ELSE left(letters, length(letters) - 1) || {_LAST} END AS letters FROM h),
+m AS (SELECT form, CASE WHEN letters = '' THEN coalesce(CASE {_ASCII} {" ".join(f"WHEN '{v}' THEN '{k}'" for k, v in fixed.PUNCTUATION.items())} END, '') ELSE letters END AS letters FROM k)
+SELECT DISTINCT form, letters, CASE letters {_MARKS} ELSE translate(letters, '{fixed.LETTERS + fixed.FINAL_LETTERS}', '{(fixed.LATIN + fixed.FINAL_LATIN).replace("'", "''")}') END AS latin FROM m""")
+def b11_letters(spark, d):
+    upper = F.translate("form", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    letters = text.from_latin(upper)
+    return _forms(spark, d).select("form", letters.alias("letters"), text.to_latin(letters).alias("latin")).distinct()
+
+
 @query(FORM_SQL + "SELECT DISTINCT lemma, CASE WHEN lemma = '' THEN '_' ELSE lemma END AS shown, CASE WHEN regexp_matches(lemma, '^[0-9]+$') THEN TRY_CAST(lemma AS INTEGER) END AS number FROM f")
 def b12_underscore(spark, d):
     return _forms(spark, d).select("lemma", text.to_underscore("lemma").alias("shown"), F.when(F.rlike("lemma", F.lit("^[0-9]+$")), text.parse_int("lemma")).alias("number")).distinct()
@@ -175,9 +196,11 @@ def p4_regex_tag(spark, d):
     return _forms(spark, d).select("form", text.regex_tag("form").alias("tag")).filter("tag is not null").distinct()
 
 
-@query(FORM_SQL + f"SELECT CASE form {_MARKS} END AS tag, sum(n) AS n FROM f GROUP BY 1")
+# the forms themselves and their last characters, where most marks are
+@query(FORM_SQL + f"SELECT CASE form {_MARKS} END AS tag, CASE right(form, 1) {_MARKS} END AS last, CASE WHEN CASE right(form, 1) {_MARKS} END IS NULL THEN NULL ELSE 'PUNCT' END AS universal, right(form, 1) AS mark, sum(n) AS n FROM f GROUP BY ALL")
 def p5_punct_tag(spark, d):
-    return _forms(spark, d).groupBy(text.punct_tag("form").alias("tag")).agg(F.sum("n").alias("n"))
+    mark = F.right("form", F.lit(1))
+    return _forms(spark, d).groupBy(text.punct_tag("form").alias("tag"), text.punct_tag(mark).alias("last"), text.punct_tag(mark, universal=True).alias("universal"), mark.alias("mark")).agg(F.sum("n").alias("n"))
 
 
 @query(FORM_SQL + "SELECT cpos, cpos IN ('PUNCT', 'NUM', 'PROPN') AS open_class, count(*) AS n FROM f GROUP BY ALL")
@@ -185,11 +208,22 @@ def p6_open_class(spark, d):
     return _forms(spark, d).groupBy("cpos", text.is_open_class("cpos", "UD").alias("open_class")).agg(F.count("*").alias("n"))
 
 
-@query(FORM_SQL + "SELECT CASE WHEN cpos IN ('PUNCT', 'NUM', 'PROPN') THEN cpos ELSE form || '_' || cpos END AS main_pos, cpos || '_' || feat_str AS pos_prop, lemma || '_' || cpos || '_' || feat_str AS wlemma, sum(n) AS n FROM f GROUP BY ALL")
+_P = {k: "||'_'||".join(v.split()) for k, v in {
+    "Form": "form", "Lemma": "lemma", "Form_Prop": "form feat_str", "POS": "cpos", "POS_Prop": "cpos feat_str", "Form_POS_Prop": "form cpos feat_str", "Lemma_POS_Prop": "lemma cpos feat_str",
+    "Form_Lemma_POS_Prop": "form lemma cpos feat_str", "Form_POS": "form cpos", "Funcs_Main_POS_Both_Prop_WLemma": "lemma cpos feat_str", "Funcs_All_WLemma": "form lemma cpos cpos feat_str",
+}.items()}
+_OPEN = {"Funcs_Main_POS": ("POS", "Form_POS"), "Funcs_Main_POS_Prop": ("POS_Prop", "Form_POS_Prop"), "Funcs_Main_POS_No_Prop": ("POS", "Form_POS_Prop"), "Funcs_Main_POS_Both_Prop": ("POS_Prop", "Form_POS_Prop")}
+_P |= {k: f"CASE WHEN cpos IN ('PUNCT', 'NUM', 'PROPN') THEN {_P[a]} ELSE {_P[b]} END" for k, (a, b) in _OPEN.items()}
+_P["Funcs_Lemma_Main_POS"] = "CASE WHEN cpos IN ('PUNCT', 'NUM', 'PROPN') THEN cpos ELSE lemma || '_' || cpos END"
+_P["Funcs_Main_POS_Both_Prop_Clitic"] = f"CASE WHEN cpos NOT IN ('PUNCT', 'NUM', 'PROPN') THEN {_P['Form_POS_Prop']} WHEN length(form) > 1 AND ends_with(form, '_') THEN 's_' || {_P['POS_Prop']} ELSE {_P['POS_Prop']} END"
+
+
+# all projections of each morpheme, of which those of open classes also come with a mark of clitics behind the form
+@query(FORM_SQL + ", g AS (SELECT form, lemma, cpos, feat_str, n FROM f UNION ALL SELECT form || '_', lemma, cpos, feat_str, n FROM f WHERE cpos = 'NUM') SELECT " + ", ".join(f"{v} AS {k.lower()}" for k, v in _P.items()) + ", sum(n) AS n FROM g GROUP BY ALL")
 def p7_projections(spark, d):
-    m = F.struct("form", "lemma", "cpos", F.col("cpos").alias("pos"), "feat_str")
-    f = _forms(spark, d).withColumn("m", m)
-    return f.groupBy(text.projection("Funcs_Main_POS", "m", "UD").alias("main_pos"), text.projection("POS_Prop", "m").alias("pos_prop"), text.projection("Funcs_Main_POS_Both_Prop_WLemma", "m").alias("wlemma")).agg(F.sum("n").alias("n"))
+    f = _forms(spark, d).select("form", "lemma", "cpos", "feat_str", "n")
+    f = f.unionByName(f.filter("cpos = 'NUM'").withColumn("form", F.concat("form", F.lit("_")))).withColumn("m", F.struct("form", "lemma", "cpos", F.col("cpos").alias("pos"), "feat_str"))
+    return f.groupBy(*(text.projection(k, "m", "UD").alias(k.lower()) for k in _P)).agg(F.sum("n").alias("n"))
 
 
 @query(FORM_SQL + "SELECT DISTINCT CASE WHEN cpos = 'PROPN' THEN '_' ELSE feat_str END AS stripped, cpos FROM f")

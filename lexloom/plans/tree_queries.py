@@ -356,10 +356,21 @@ def j14_merge_tokens(spark, d):
     return depgraph.merge_tokens(_arcs(spark, d)[0], mapping, SENT).select(*SENT, "id", "head", "tok_no", "morph")
 
 
-@query(PATH_SQL + "SELECT doc_id, line_no, count(*) FILTER (WHERE path = 0) AS n_arcs, count(DISTINCT tok_no) AS n_gold, count(*) AS n_candidates, true AS complete FROM pth GROUP BY doc_id, line_no")
+# every seventh line lacks its tree, every eleventh its gold paths
+J15_SQL = PATH_SQL.rstrip() + """, tr AS (SELECT doc_id, line_no, string_agg(tok_no || '>' || (tok_no // 2) || ' ' || cpos, ' ' ORDER BY tok_no) AS tree FROM morph WHERE line_no % 7 <> 0 GROUP BY ALL),
+go AS (SELECT doc_id, line_no, string_agg(tok_no || ':' || key, ' ' ORDER BY tok_no) AS gold FROM gold WHERE line_no % 11 <> 0 GROUP BY ALL),
+ca AS (SELECT doc_id, line_no, string_agg(tok_no || ':' || keys, ' ' ORDER BY tok_no) AS lattice FROM (SELECT doc_id, line_no, tok_no, string_agg(key, '/' ORDER BY key) AS keys FROM pth GROUP BY ALL) GROUP BY doc_id, line_no)
+SELECT doc_id, line_no, sha256(tree) AS tree, sha256(gold) AS gold, sha256(lattice) AS lattice, tree IS NOT NULL AND gold IS NOT NULL AND lattice IS NOT NULL AS complete FROM tr FULL JOIN go USING (doc_id, line_no) FULL JOIN ca USING (doc_id, line_no)"""
+
+
+@query(J15_SQL)
 def j15_training_record(spark, d):
     found, gold = _paths(_once(_edges(spark, d)))
-    return depgraph.training_record(_arcs(spark, d)[0], gold, found, SENT)
+    r = depgraph.training_record(_arcs(spark, d)[0].filter("line_no % 7 <> 0"), gold.filter("line_no % 11 <> 0"), found, SENT)
+    shown = lambda c, one: F.sha2(F.array_join(F.transform(c, one), " "), 256).alias(c)
+    tree = shown("tree", lambda x: F.concat(x["id"].cast("string"), F.lit(">"), x["head"].cast("string"), F.lit(" "), x["deprel"]))
+    paths = lambda x: F.array_join(F.array_sort(F.transform(x["paths"], lambda p: lattice.path_key(p))), "/")
+    return r.select(*SENT, tree, shown("gold", lambda x: F.concat(x["tok_no"].cast("string"), F.lit(":"), lattice.path_key(x["morphs"]))), shown("lattice", lambda x: F.concat(x["tok_no"].cast("string"), F.lit(":"), paths(x))), "complete")
 
 
 @query(TREE + "SELECT doc_id, line_no, string_agg(id || chr(9) || form || chr(9) || '_' || chr(9) || cpos || chr(9) || cpos || chr(9) || '_' || chr(9) || head || chr(9) || deprel || chr(9) || '_' || chr(9) || '_', chr(10) ORDER BY id) AS value FROM gold GROUP BY ALL")
@@ -447,12 +458,29 @@ def w5_number_repeats(spark, d):
     return evaluation.number_repeats(_arcs(spark, d)[0].select(*SENT, "id", "form"), SENT, ["form"], ["id"])
 
 
-@query(f"WITH {MORPHS_SQL}, g AS (SELECT *, form || CASE WHEN tok_no % 3 = 0 THEN 'x' ELSE '' END AS g_form, CASE WHEN tok_no % 4 = 0 THEN 'ZZ' ELSE cpos END AS g_cpos FROM morph) SELECT doc_id, line_no, tok_no, CASE WHEN g_form = form AND g_cpos = cpos THEN 'Form_POS' WHEN g_cpos = cpos THEN 'POS' WHEN g_form = form THEN 'Form' ELSE 'none' END AS level, CASE WHEN g_form = form OR g_cpos = cpos THEN 1 ELSE 0 END AS n_matches FROM g")
+# gold: the longest prefix' path; at every third token its forms have another letter, at every fourth its tags are others; PROPN is called NNP
+J20_SQL = LAT.rstrip() + """, ce AS (SELECT DISTINCT doc_id, line_no, tok_no, from_node, to_node, form, CASE cpos WHEN 'PROPN' THEN 'NNP' ELSE cpos END AS cpos FROM edge),
+gp AS (SELECT DISTINCT doc_id, line_no, tok_no, from_node AS i, form || CASE WHEN tok_no % 3 = 0 THEN 'x' ELSE '' END AS form, CASE WHEN tok_no % 4 = 0 THEN 'ZZ' WHEN cpos = 'PROPN' THEN 'NNP' ELSE cpos END AS cpos
+    FROM edge JOIN (SELECT doc_id, line_no, tok_no, max(path) AS path FROM edge GROUP BY ALL) USING (doc_id, line_no, tok_no, path))"""
+
+
+def _backoff_sql(i: int, at: str) -> str:
+    """Step i of the walk: of the tokens in at (with node cur) the edges there that match, by the first key that any does."""
+    keys = {"Form_POS": "c.form = g.form AND c.cpos = g.cpos", "POS": "c.cpos = g.cpos", "Form": "c.form = g.form"}
+    part = ", ".join(f"count(*) FILTER ({k}) AS n{j}, max(struct_pack(t := c.to_node, f := c.form, p := c.cpos)) FILTER ({k}) AS e{j}" for j, k in enumerate(keys.values()))
+    pick = lambda c, none: "CASE " + " ".join(f"WHEN n{j} > 0 THEN {c(j)}" for j in range(3)) + f" ELSE {none} END"
+    oov = "CASE WHEN n_all = 1 AND only_edge.p = 'NNP' THEN "
+    return f"""h{i} AS (SELECT g.doc_id, g.line_no, g.tok_no, a.cur, count(c.form) AS n_all, max(struct_pack(t := c.to_node, f := c.form, p := c.cpos)) AS only_edge, {part} FROM {at} a JOIN gp g ON g.doc_id = a.doc_id AND g.line_no = a.line_no AND g.tok_no = a.tok_no AND g.i = {i}
+    LEFT JOIN ce c ON c.doc_id = g.doc_id AND c.line_no = g.line_no AND c.tok_no = g.tok_no AND c.from_node = a.cur GROUP BY ALL),
+s{i} AS (SELECT doc_id, line_no, tok_no, {i} AS morph_idx, {pick(lambda j: repr(list(keys)[j]), oov + "'oov' ELSE 'none' END")} AS level, {pick(lambda j: f'n{j}', '0')} AS n_matches, cur AS from_node, {pick(lambda j: f'e{j}', oov + 'only_edge END')} AS e FROM h{i})"""
+
+
+@query(J20_SQL + ", a0 AS (SELECT DISTINCT doc_id, line_no, tok_no, 0 AS cur FROM gp), " + _backoff_sql(0, "a0") + ", a1 AS (SELECT doc_id, line_no, tok_no, e.t AS cur FROM s0 WHERE level <> 'none'), " + _backoff_sql(1, "a1") + " SELECT doc_id, line_no, tok_no, morph_idx, level, n_matches, from_node, e.t AS to_node, e.f AS form, e.p AS cpos FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)")
 def j20_backoff_match(spark, d):
-    c = _edges(spark, d).filter("path = 0").select(*TOKEN, "form", "cpos")
-    g = c.withColumns({"form": F.concat("form", F.when(F.col("tok_no") % 3 == 0, F.lit("x")).otherwise(F.lit(""))), "cpos": F.when(F.col("tok_no") % 4 == 0, F.lit("ZZ")).otherwise(F.col("cpos")), "gold_id": F.lit(1)})
-    keys = [("Form_POS", F.concat_ws("_", "form", "cpos")), ("POS", F.col("cpos")), ("Form", F.col("form"))]
-    return evaluation.backoff_match(g, c, TOKEN, keys).drop("gold_id")
+    e = _once(_edges(spark, d).withColumn("cpos", F.expr("if(cpos = 'PROPN', 'NNP', cpos)")))
+    g = e.join(e.groupBy(*TOKEN).agg(F.max("path").alias("path")), [*TOKEN, "path"])
+    g = g.withColumns({"form": F.expr("concat(form, if(tok_no % 3 = 0, 'x', ''))"), "cpos": F.expr("if(tok_no % 4 = 0, 'ZZ', cpos)")})
+    return evaluation.backoff_match(g, e, TOKEN, [("Form_POS", F.concat_ws("_", "form", "cpos")), ("POS", F.col("cpos")), ("Form", F.col("form"))])
 
 
 # --- features and learning
@@ -501,8 +529,7 @@ def a17_vector_difference(spark, d):
 @query(VEC + "SELECT (SELECT sum(a.value * b.value) FROM a JOIN b USING (feature)) AS dot, (SELECT sum(value) FROM a) AS l1")
 def a17_vector_dot(spark, d):
     a, b = _vectors(spark, d)
-    both = a.join(b.withColumnRenamed("value", "other"), "feature", "left")
-    return both.agg(F.sum(F.col("value") * F.col("other")).alias("dot"), F.sum("value").alias("l1"))
+    return learn.vector_dot(a, b).crossJoin(learn.vector_l1(a))  # one row each
 
 
 # language of a token from its affixes, over labelled features
@@ -608,10 +635,10 @@ def m4_failed_instances(spark, d):
     return learn.failed_instances(found.filter("path = 0"), gold, TOKEN, lattice.path_key())
 
 
-@query(f"WITH {MORPHS_SQL}, h AS (SELECT line_no % 50 AS epoch, count(*) AS n, count(*) FILTER (WHERE cpos = 'X') AS r FROM morph GROUP BY 1), c AS (SELECT epoch, r AS right_n, n, round(r / n, 6) AS rate, round(round(r / n, 6) - lag(round(r / n, 6)) OVER (ORDER BY epoch), 6) AS change FROM h) SELECT epoch, n, rate, change, count(*) FILTER (WHERE change = 0) OVER (ORDER BY epoch) AS n_equal, count(*) FILTER (WHERE change < 0) OVER (ORDER BY epoch) AS n_falling FROM c")
+@query(f"WITH {MORPHS_SQL}, h AS (SELECT line_no % 50 AS epoch, count(*) AS n, count(*) FILTER (WHERE cpos = 'X') AS r FROM morph GROUP BY 1), c AS (SELECT epoch, r AS right_n, n, round(r / n, 6) AS rate, round(round(r / n, 6) - lag(round(r / n, 6)) OVER (ORDER BY epoch), 6) AS change FROM h) SELECT epoch, n, rate, change, count(*) FILTER (WHERE change = 0) OVER (ORDER BY epoch) AS n_equal, count(*) FILTER (WHERE change < 0) OVER (ORDER BY epoch) AS n_falling, row_number() OVER (ORDER BY rate DESC, epoch) = 1 AS best FROM c")
 def a26_w9_history(spark, d):
     h = derived.morphs(_docs(spark, d)).groupBy((F.col("line_no") % 50).alias("epoch")).agg(F.count("*").alias("n"), F.count_if(F.expr("cpos = 'X'")).alias("right"))
-    return learn.history_changes(h).select("epoch", "n", "rate", "change", "n_equal", "n_falling")
+    return learn.history_changes(h).select("epoch", "n", "rate", "change", "n_equal", "n_falling", "best")
 
 
 @query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place FROM conversations")
