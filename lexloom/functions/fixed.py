@@ -54,7 +54,7 @@ SUFFIX_IN_HOST = ("NN", "DT", "EX", "PRP", "PRP-REF", "PRP-PERS", "QW")
 BRIDGE_TAG, PRONOUN_TAG = "POS", "S_PRN"
 BRIDGE = {"CD": "של", "NN": "של", "VB": "את", "BN": "את", "IN": "", "INTJ": "", "RB": ""}
 
-# The published templates for dependency arcs (Zhang and Nivre, 2011), as template strings of operators/features.py.
+#: The published templates for dependency arcs (Zhang and Nivre, 2011), as template strings of operators/features.py.
 ARC_TEMPLATES = (
     "S0|w,S0|w", "S0|p,S0|w", "S0|w|p,S0|w",
     "N0|w,N0|w", "N0|p,N0|w", "N0|w|p,N0|w",
@@ -75,3 +75,19 @@ ARC_TEMPLATES = (
     "S0|w|vr,S0|w", "S0|p|vr,S0|w", "S0|w|vl,S0|w", "S0|p|vl,S0|w", "N0|w|vl,N0|w", "N0|p|vl,N0|w",
     "S0|w|sr,S0|w", "S0|p|sr,S0|w", "S0|w|sl,S0|w", "S0|p|sl,S0|w", "N0|w|sl,N0|w", "N0|p|sl,N0|w",
 )
+
+#: The templates of path choice, as template strings of operators/choice.py.
+CHOICE_TEMPLATES = (
+    "M0|m,M0|m", "M0|p,M0|m", "M0|mp,M0|m", "M0|f,M0|m", "M0|m|f,M0|m", "M0|p|f,M0|m", "M0|mp|f,M0|m",
+    "M0|m+M1|m,M0|m;M1|m", "M0|m|f+M1|m,M0|m;M1|m", "M0|mp+M1|m,M0|m;M1|m", "M0|mp|f+M1|m,M0|m;M1|m",
+    "M0|m+M1|mp,M0|m;M1|m", "M0|m|f+M1|mp,M0|m;M1|m", "M0|mp+M1|mp,M0|m;M1|m", "M0|mp|f+M1|mp,M0|m;M1|m",
+    "M0|p+M1|p,M0|m;M1|m", "M0|p|f+M1|p|f,M0|m;M1|m", "M0|p|f+M1|p,M0|m;M1|m", "M0|f+M1|p,M0|m;M1|m",
+    "M0|m+M1|m+M2|m,M0|m;M1|m;M2|m", "M0|p+M1|p+M2|p,M0|m;M1|m;M2|m", "M0|mp+M1|mp+M2|mp,M0|m;M1|m;M2|m",
+    "M0|mp|f+M1|mp+M2|mp,M0|m;M1|m;M2|m", "M0|mp|f+M1|mp|f+M2|mp|f,M0|m;M1|m;M2|m", "M0|f+M1|p+M2|p,M0|m;M1|m;M2|m",
+    "L1|n,L1|n", "L1|n|a,L1|n", "L1|n|t,L1|n", "L1|t,L1|n",
+    "L0|n,L0|n", "L0|n|a,L0|n", "L0|n|t,L0|n", "L0|t,L0|n", "L0|g,L0|t", "L0|e,L0|t", "L0|x,L0|t",
+    "L-1|n,L-1|n", "L-1|n|a,L-1|n", "L-1|n|t,L-1|n", "L-1|t,L-1|n",
+    "L1|i+L0|n,L0|n", "L1|i+L0|n|a,L0|n", "L1|i+L0|n|t,L0|n", "L1|i|a+L0|n,L0|n", "L1|i|a+L0|n|a,L0|n", "L1|i|a+L0|n|t,L0|n", "L1|i|t+L0|n,L0|n", "L1|i|t+L0|n|a,L0|n", "L1|i|t+L0|n|t,L0|n",
+    "L-1|i+L0|n,L0|n", "L-1|i+L0|n|a,L0|n", "L-1|i+L0|n|t,L0|n", "L-1|i|a+L0|n,L0|n", "L-1|i|a+L0|n|a,L0|n", "L-1|i|a+L0|n|t,L0|n", "L-1|i|t+L0|n,L0|n", "L-1|i|t+L0|n|a,L0|n", "L-1|i|t+L0|n|t,L0|n",
+    "L-1|i,n/a", "L-1|i|t,n/a", "L-1|i|a,n/a",
+)

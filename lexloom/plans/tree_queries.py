@@ -580,7 +580,7 @@ def a18_average_weights(spark, d):
 
 
 #: Sentences that path choice and attachment are trained on in the queries, by the least hashes, and epochs over them.
-TRAIN_SENTENCES, EPOCHS = 2000, 3
+TRAIN_SENTENCES, EPOCHS = 1000, 2
 
 
 def _sample(rows: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from lexloom.functions import text
 from lexloom.operators import depgraph, evaluation, learn
 
 EDGE = "t int, from_node int, to_node int, form string, cpos string"
-KEYS = [("Form_POS", F.concat_ws("_", "form", "cpos")), ("POS", F.col("cpos")), ("Form", F.col("form"))]
 
 
 def walked(spark, gold, candidates):
+    keys = [("Form_POS", F.concat_ws("_", "form", "cpos")), ("POS", F.col("cpos")), ("Form", F.col("form"))]
     g, c = spark.createDataFrame(gold, EDGE), spark.createDataFrame(candidates, EDGE)
-    return sorted(((r.t, r.morph_idx, r.level, r.n_matches, r.from_node, r.to_node, r.form) for r in evaluation.backoff_match(g, c, ["t"], KEYS).collect()), key=str)
+    return sorted(((r.t, r.morph_idx, r.level, r.n_matches, r.from_node, r.to_node, r.form) for r in evaluation.backoff_match(g, c, ["t"], keys).collect()), key=str)
 
 
 def test_matches_start_where_the_walk_is(spark):
