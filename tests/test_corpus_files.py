@@ -36,7 +36,7 @@ def test_block_order_over_splits(spark, tmp_path):
 
 
 CONLL = (
-    "1\tEFRWT\t_\tCDT\tCDT\tgen=F|num=P\t2\tnum\t_\t_\n# note\n2\tKF\t_\tTEMP\tTEMP\t_\t0\tccomp\t_\t_\n3\tPRCWPNW\t_\tNN\tNN_S_PP\tgen=M|num=S|suf_gen=F|suf_gen=M|suf_num=P|suf_per=1\t2\tpobj\t_\t_\nbad row\n\n"
+    "1\tseven\t_\tQTY\tQTY\tgen=F|num=P\t2\tamount\t_\t_\n# note\n2\tonce\t_\tADVT\tADVT\t_\t0\ttop\t_\t_\n3\thouse\t_\tNOUN\tNOUN_OWN\tnum=D|suf_gen=F|suf_gen=M|suf_per=2\t2\targ\t_\t_\nbad row\n\n"
     "1\tx\ty\tA\tB\t_\t0\tr\t_\t_\n"
 )
 
@@ -65,11 +65,11 @@ def test_conllu(spark, tmp_path):
 
 
 def test_lattices(spark, tmp_path):
-    p = write(tmp_path / "a.lat", "0\t1\tEFRWT\t_\tCDT\tCDT\tgen=F|num=P\t1\n4\t4\tTAILND\t_\tNNP\tNNP\tbare\t4\n\n")
+    p = write(tmp_path / "a.lat", "0\t1\tseven\t_\tQTY\tQTY\tgen=F|num=P\t1\n4\t4\tLagoon\t_\tPLACE\tPLACE\tbare\t4\n\n")
     rows = readers.read_lattice(spark, p).orderBy("from_node").collect()
     assert rows[0].feats == {"gen": "F", "num": "P"} and rows[1].to_node == 5 and rows[1].feats == {"bare": "bare"}
     back = sinks.lattice_lines(readers.read_lattice(spark, p), ["block"]).first().value
-    assert back.startswith("0\t1\tEFRWT\t_\tCDT\tCDT\tgen=F|num=P\t1\n4\t5")
+    assert back.startswith("0\t1\tseven\t_\tQTY\tQTY\tgen=F|num=P\t1\n4\t5")
     u = write(tmp_path / "u.lat", "# ab c\n0\t1\ta\t_\tX\tX\t_\t_\t1\n1\t2\tb\t_\tX\tX\t_\t_\t1\n2\t3\tc\t_\tX\tX\t_\t_\t2\n\n")
     assert [r.token for r in readers.read_lattice(spark, u, "ud").orderBy("from_node").collect()] == ["ab", "ab", "c"]
     s = write(tmp_path / "s.lat", "0-2\tab\n0\t1\ta\t_\tX\tX\t_\t_\n1\t2\tb\t_\tX\tX\t_\t_\n2-3\tc\n2\t3\tc\t_\tX\tX\t_\t_\n\n")
@@ -119,7 +119,7 @@ def test_lexicons(spark, tmp_path):
     assert sorted(r.value for r in readers.read_list(spark, c).collect()) == ["a", "b"]
     assert readers.provenance(spark, c).first().md5 == hashlib.md5(b"# c\n\n a \nb\n").hexdigest()
     d = write(tmp_path / "dep", CONLL)
-    assert readers.read_dep(spark, d).filter("form = 'KF'").first().head == -1
+    assert readers.read_dep(spark, d).filter("form = 'once'").first().head == -1
 
 
 def test_text_functions(spark):
