@@ -130,7 +130,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprint(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """docs (text, more) -> the columns of keep (all by default) and fingerprint; null texts are empty.
 
-    Equal texts have equal fingerprints. A column of that name is replaced. One row for each row."""
+    Equal texts have equal fingerprints. A column of that name is replaced. One row for each row; an empty table gives an empty result."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != "fingerprint"]
     schema = extended(docs, kept, "fingerprint string")
 

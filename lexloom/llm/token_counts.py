@@ -126,7 +126,8 @@ def edit(known: Vocabulary, trees: list[Tree], edits: list[tuple[int, int, str]]
 def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs (text, more) -> the same columns, n_tokens, and the tree: char_sums and token_sums in heap order.
 
-    Null texts count as empty and stay null. Columns of those three names are replaced."""
+    Null texts count as empty and stay null, however long texts are encoded in pieces; repeated rows stay, each with its tree; an empty table gives
+    an empty result. Columns of those three names are replaced."""
     path = path or default_vocabulary()
     kept = [c for c in docs.columns if c not in ("n_tokens", "char_sums", "token_sums")]
     schema = extended(docs, kept, "n_tokens long, char_sums array<long>, token_sums array<long>")
@@ -148,7 +149,7 @@ def apply_edits(counted: DataFrame, path: str | None = None) -> DataFrame:
     the edits, in their order, and n_encoded: the characters that were encoded again.
 
     edits is an array of (at, removed, inserted) in characters, each upon the text that the one before left; null
-    edits or parts of them do nothing. A column named n_encoded is replaced."""
+    edits or parts of them do nothing. A column named n_encoded is replaced. Repeated rows stay; an empty table gives an empty result."""
     path = path or default_vocabulary()
     kept = [c for c in counted.columns if c not in ("n_encoded", "text", "n_tokens", "char_sums", "token_sums")]
     names = ["text", "n_tokens", "char_sums", "token_sums", "n_encoded"]

@@ -70,8 +70,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
 
     A rule fits its host and all subdomains where the path begins with its path. The longest rule (host and path
     together) wins, of equal ones the longer host, then the greater rule and verdict. Null urls and those without ://
-    have empty host and path and get the default, as all do that no rule fits. Columns of those four names are
-    replaced; repeated rows stay."""
+    have empty host and path and get the default, as all do that no rule fits; so do those whose rule has a null verdict (the rule is still
+    named). Columns of those four names are replaced; repeated rows stay; an empty table gives an empty result."""
     scratch = Scratch(pages.sparkSession, "urls")
     host, path = split_url(F.col("url").cast("string"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]

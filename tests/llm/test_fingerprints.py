@@ -59,3 +59,73 @@ def test_likeness_column(spark):
     (a, b) = zip(*fingerprints.sketches([t.encode() for t in texts]), strict=True)
     row = spark.createDataFrame([(fingerprints.written(*a), fingerprints.written(*b))], "a string, b string").select(fingerprints.likeness(F.col("a"), F.col("b"))).first()[0]
     assert abs(row - fingerprints.alike(a, b)) < 1e-12
+
+
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x, salt):
+    x ^= (salt * 0xD6E8FEB86659FD93 + 0x2545F4914F6CDD1D) & M64
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def plain_labels(names):
+    """Tossed against the left neighbour until all are below 6; the first one's neighbour is itself with another lowest bit."""
+    for _ in range(3 if max(names, default=0) < 256 and plain_labels.level == 0 else 4):
+        lefts = [names[0] ^ 1, *names[:-1]]
+        tossed = []
+        for left, own in zip(lefts, names, strict=True):
+            place = 0
+            while left != own and (left >> place & 1) == (own >> place & 1):
+                place += 1
+            tossed.append(2 * place + (own >> place & 1))
+        names = tossed
+    return names
+
+
+def plain_parse(text):
+    """The fingerprint by plain loops over one text, level by level."""
+    names, level, kept, root = list(text), 0, [], 0
+    while names:
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        plain_labels.level = level
+        label = plain_labels([x for x, _ in runs])
+        assert all(0 <= x < 6 for x in label)
+        phrases = []
+        for i, run in enumerate(runs):
+            peak = 0 < i < len(runs) - 1 and label[i] > label[i - 1] and label[i] > label[i + 1]
+            if i == 0 or peak:
+                phrases.append([])
+            phrases[-1].append(run)
+        level += 1
+        names = [plain_mix(sum(plain_mix((x + n * 0x9E3779B97F4A7C15 + place * 0xC2B2AE3D27D4EB4F) & M64, 31) for place, (x, n) in enumerate(p)) & M64, 32) for p in phrases]
+        if level >= 3 or len(names) == 1:
+            kept += names
+        if len(names) == 1:
+            root = names[0]
+            break
+    least = ["ffffff"] * 64
+    for x in kept:
+        held = plain_mix(x, 33)
+        least[held >> 58] = min(least[held >> 58], f"{held & 0xFFFFFE:06x}")
+    return f"{root:016x}" + "".join(least)
+
+
+def test_fingerprints_equal_a_plain_parse(spark, sf):
+    rng = random.Random(11)
+    texts = ["", "a", "ab", "aab", "z" * 300, "ab" * 200, "é日本😀" * 30, "".join(rng.choice("ab \n") for _ in range(5000)), "".join(chr(rng.randint(1, 0x7FF)) for _ in range(3000))]
+    texts += [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    got = fingerprints.fingerprint(spark.createDataFrame(enumerate(texts), "i int, text string")).collect()
+    assert {r.i: r.fingerprint for r in got} == {i: plain_parse(t.encode()) for i, t in enumerate(texts)}
+
+
+def test_empty_table(spark):
+    out = fingerprints.fingerprint(spark.createDataFrame([], "text string, source string"))
+    assert out.collect() == [] and out.columns == ["text", "source", "fingerprint"]
