@@ -22,7 +22,7 @@ def _sized(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go, and the documents that the rules reject."""
+    """Failing lines go, and the documents that the rules reject: those with null or empty texts among them. Repeated rows are judged alike; an empty table gives an empty one."""
     return _sized(quality_rules.judge(docs, text="text").filter("kept"), docs)
 
 
