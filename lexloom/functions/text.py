@@ -264,6 +264,23 @@ def morph_string(m: str | Column, lemma: bool = True) -> Column:
     return F.concat_ws(":", m["edge_id"].cast("string"), F.concat_ws("-", m["from_node"].cast("string"), m["to_node"].cast("string")), *(to_underscore(m[n]) for n in names))
 
 
+def full_string(m: Column) -> Column:
+    """form-lemma-cpos-pos-features-(from->to)."""
+    nodes = F.concat(F.lit("("), m["from_node"].cast("string"), F.lit("->"), m["to_node"].cast("string"), F.lit(")"))
+    return F.concat_ws("-", *(F.coalesce(m[n], F.lit("")) for n in ("form", "lemma", "cpos", "pos", "feat_str")), nodes)
+
+
+def path_string(morphs: str | Column, sep: str = ";") -> Column:
+    """A path's morphemes in full, by which paths are ordered; with sep : as it is shown."""
+    return F.array_join(F.transform(_col(morphs), full_string), sep)
+
+
+def mapping_string(token: str | Column, morphs: str | Column) -> Column:
+    """A token with the form, tag and features of its path's last morpheme; the token alone where the path is empty."""
+    last = lambda n: F.coalesce(F.try_element_at(_col(morphs), F.lit(-1))[n], F.lit(""))
+    return F.when(F.size(_col(morphs)) > 0, F.concat(_col(token), F.lit("|"), F.concat_ws("-", last("form"), last("pos"), last("feat_str")))).otherwise(_col(token))
+
+
 # B15, B16, B17
 def token_of_path(morphs: str | Column, fused: bool = False) -> Column:
     """The morphemes' forms in a row; fused: an inner H (not at the path's ends) is not written."""
@@ -297,3 +314,19 @@ def same_morph(a: str | Column, b: str | Column) -> Column:
     """Null-safe equality of two morphemes' forms, tags and features."""
     a, b = _col(a), _col(b)
     return F.lit(True) if a is b else a["form"].eqNullSafe(b["form"]) & a["cpos"].eqNullSafe(b["cpos"]) & a["pos"].eqNullSafe(b["pos"]) & a["feat_str"].eqNullSafe(b["feat_str"])
+
+
+def same_path(a: str | Column, b: str | Column) -> Column:
+    """Whether two arrays of morphemes are equal in order: form, lemma, tags and features; nodes don't count."""
+    bare = lambda c: F.transform(_col(c), lambda m: F.struct(*(m[n].alias(n) for n in ("form", "lemma", "cpos", "pos", "feat_str"))))
+    return bare(a).eqNullSafe(bare(b))
+
+
+def same_mapping(token_a: str | Column, a: str | Column, token_b: str | Column, b: str | Column) -> Column:
+    """The same token with the same path."""
+    return _col(token_a).eqNullSafe(_col(token_b)) & same_path(a, b)
+
+
+def same_sentence(a: str | Column, b: str | Column) -> Column:
+    """Whether two arrays of tokens are equal."""
+    return _col(a).eqNullSafe(_col(b))

@@ -143,6 +143,34 @@ def b19_same_morphs(spark, d):
     return m.join(prior, TOKEN).filter(text.same_morph("m", "before")).groupBy("doc_id").agg(F.count("*").alias("n_same"))
 
 
+_FULL = "form || '-' || lower(form) || '-' || cpos || '-' || cpos || '--(' || from_node || '->' || to_node || ')'"
+
+
+def _full_paths(spark, d):
+    m = F.struct("from_node", "to_node", "form", F.lower("form").alias("lemma"), "cpos", F.col("cpos").alias("pos"), F.lit("").alias("feat_str"))
+    return _edges(spark, d).groupBy(*TOKEN, "token", "path").agg(F.array_sort(F.collect_list(m)).alias("morphs"))
+
+
+@query(LAT.rstrip() + f", ps AS (SELECT token, path, string_agg({_FULL}, ';' ORDER BY from_node) AS ordered, string_agg({_FULL}, ':' ORDER BY from_node) AS shown, max(struct_pack(i := from_node, s := token || '|' || form || '-' || cpos || '-')).s AS mapping FROM edge GROUP BY doc_id, line_no, tok_no, token, path) SELECT token, path, ordered, shown, mapping, count(*) AS n FROM ps GROUP BY ALL")
+def b13_path_strings(spark, d):
+    return _full_paths(spark, d).groupBy("token", "path", text.path_string("morphs").alias("ordered"), text.path_string("morphs", ":").alias("shown"), text.mapping_string("token", "morphs").alias("mapping")).agg(F.count("*").alias("n"))
+
+
+# gold paths and tokens beside those of the line's next token, and the tokens of neighbouring lines
+@query(PATH_SQL + """, nx AS (SELECT doc_id, key = lead(key) OVER w AS p, token = lead(token) OVER w AS t FROM gold WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY tok_no)),
+ln AS (SELECT doc_id, line_no, list(token ORDER BY tok_no) AS tokens FROM gold GROUP BY ALL), sl AS (SELECT a.doc_id, count(*) FILTER (WHERE a.tokens = b.tokens) AS lines FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND b.line_no = a.line_no + 1 GROUP BY ALL)
+SELECT doc_id, paths, mappings, coalesce(lines, 0) AS lines FROM (SELECT doc_id, count(*) FILTER (WHERE p) AS paths, count(*) FILTER (WHERE p AND t) AS mappings FROM nx GROUP BY doc_id) LEFT JOIN sl USING (doc_id)""")
+def b19_same_paths(spark, d):
+    gold = _full_paths(spark, d).groupBy(*TOKEN, "token").agg(F.max_by("morphs", "path").alias("morphs"))
+    by = Window.partitionBy(*SENT).orderBy("tok_no")
+    nxt = gold.withColumns({"m2": F.lead("morphs").over(by), "t2": F.lead("token").over(by)})
+    per = nxt.groupBy("doc_id").agg(F.count_if(text.same_path("morphs", "m2")).alias("paths"), F.count_if(text.same_mapping("token", "morphs", "t2", "m2")).alias("mappings"))
+    lines = gold.groupBy(*SENT).agg(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "token"))), lambda x: x["token"]).alias("tokens"))
+    after = lines.select("doc_id", (F.col("line_no") - 1).alias("line_no"), F.col("tokens").alias("t2"))
+    same = lines.join(after, SENT).groupBy("doc_id").agg(F.count_if(text.same_sentence("tokens", "t2")).alias("lines"))
+    return per.join(same, "doc_id", "left").select("doc_id", "paths", "mappings", F.coalesce("lines", F.lit(0)).alias("lines"))
+
+
 # prefixes become B, K or X by their length and come fused to node 2 as well; behind the bare ones comes H (and at every fifth token another edge); W follows
 @query(LAT.rstrip() + """, px AS (SELECT DISTINCT doc_id, line_no, tok_no, CASE path WHEN 1 THEN 'B' WHEN 2 THEN 'K' ELSE 'X' END AS form FROM edge WHERE cpos = 'PREFIX'),
 tk AS (SELECT DISTINCT doc_id, line_no, tok_no FROM px), okay AS (SELECT * FROM tk WHERE tok_no % 5 <> 0),
