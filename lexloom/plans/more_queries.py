@@ -27,6 +27,9 @@ def query(sql: str | None = None):
     return add
 
 
+SHOWN = "CASE WHEN form = '_' THEN '' ELSE form END AS form"  # the formats can't tell the form _ from an empty one
+
+
 # --- files: forms that begin with # would be comment lines of the formats, and count as such
 
 
@@ -42,14 +45,14 @@ def s1_k1_raw_files(spark, d):
     return readers.read_tokens(spark, path).groupBy("form").agg(F.count("*").alias("n"), F.sum("tok_no").alias("places"))
 
 
-@query(f"WITH {ARCS_SQL}, m AS (SELECT form, cpos, head, deprel FROM gold WHERE form <> '_') SELECT form, cpos, deprel, count(*) AS n, sum(head) AS heads FROM m GROUP BY ALL")
+@query(f"WITH {ARCS_SQL}, m AS (SELECT {SHOWN}, cpos, head, deprel FROM gold) SELECT form, cpos, deprel, count(*) AS n, sum(head) AS heads FROM m GROUP BY ALL")
 def s2_k2_conll_files(spark, d):
     g = _arcs(spark, d)[0].withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")})
     rows = readers.read_conll(spark, _written(spark, sinks.conll_lines(g, SENT), "conll"))
-    return rows.filter("_corrupt is null and form <> ''").groupBy("form", "cpos", "deprel").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
+    return rows.groupBy("form", "cpos", "deprel").agg(F.count("*").alias("n"), F.sum("head").alias("heads"))
 
 
-@query(PATH_SQL + ", mp AS (SELECT e.form, e.cpos, e.tok_no, e.token FROM edge e JOIN gold USING (doc_id, line_no, tok_no, path)) SELECT form, cpos, token, count(*) AS n, sum(tok_no) AS places FROM mp WHERE form <> '_' GROUP BY ALL")
+@query(PATH_SQL + f", mp AS (SELECT e.form, e.cpos, e.tok_no, CASE WHEN e.token = '_' THEN '' ELSE e.token END AS token FROM edge e JOIN gold USING (doc_id, line_no, tok_no, path)) SELECT {SHOWN}, cpos, token, count(*) AS n, sum(tok_no) AS places FROM mp GROUP BY ALL")
 def s3_k3_conllu_files(spark, d):
     e = _edges(spark, d)
     _, gold = _paths(e)
@@ -57,7 +60,7 @@ def s3_k3_conllu_files(spark, d):
     m = evaluation.number_repeats(m.withColumn("one", F.lit(1)), SENT, ["one"], ["tok_no", "from_node"]).withColumnRenamed("ordinal", "id")
     m = m.withColumns({"lemma": F.lit(""), "upos": F.col("cpos"), "xpos": F.lit("_"), "feat_str": F.lit("_"), "head": F.lit(0), "deprel": F.lit("r")})
     rows = readers.read_conllu(spark, _written(spark, sinks.conllu_lines(m, SENT), "conllu"))
-    return rows.filter("_corrupt is null and form <> ''").groupBy("form", F.col("upos").alias("cpos"), "token").agg(F.count("*").alias("n"), F.sum("tok_no").alias("places"))
+    return rows.groupBy("form", F.col("upos").alias("cpos"), "token").agg(F.count("*").alias("n"), F.sum("tok_no").alias("places"))
 
 
 def _lattice_rows(spark, d):
@@ -68,10 +71,10 @@ def _lattice_rows(spark, d):
 NODES = LAT.rstrip() + ", re AS (SELECT doc_id, line_no, tok_no, token, from_node + 2 * (tok_no - 1) AS from_node, to_node + 2 * (tok_no - 1) AS to_node, form, cpos, path FROM edge) "
 
 
-@query(NODES + "SELECT form, cpos, count(*) AS n, sum(from_node) AS starts, sum(to_node) AS ends, sum(tok_no) AS places FROM re WHERE form <> '_' GROUP BY ALL")
+@query(NODES + f"SELECT {SHOWN}, cpos, count(*) AS n, sum(from_node) AS starts, sum(to_node) AS ends, sum(tok_no) AS places FROM re GROUP BY ALL")
 def s4_k4_lattice_files(spark, d):
     rows = readers.read_lattice(spark, _written(spark, sinks.lattice_lines(_lattice_rows(spark, d), SENT), "lattice"))
-    return rows.filter("form <> '' and cpos <> ''").groupBy("form", "cpos").agg(F.count("*").alias("n"), F.sum("from_node").alias("starts"), F.sum("to_node").alias("ends"), F.sum("tok_no").alias("places"))
+    return rows.groupBy("form", "cpos").agg(F.count("*").alias("n"), F.sum("from_node").alias("starts"), F.sum("to_node").alias("ends"), F.sum("tok_no").alias("places"))
 
 
 @query(NODES + ", sp AS (SELECT doc_id, line_no, tok_no, any_value(token) AS token, min(from_node) AS a, max(to_node) AS b, max(path) > 0 AS oov FROM re GROUP BY doc_id, line_no, tok_no) SELECT doc_id, line_no, string_agg(a || '-' || b || chr(9) || token || CASE WHEN oov THEN ' oov=1' ELSE '' END, chr(10) ORDER BY tok_no) AS spans FROM sp GROUP BY ALL")
@@ -123,9 +126,9 @@ def b13_morph_strings(spark, d):
     return _whole(spark, d).groupBy("token", "form", text.morph_string(m, lemma=False).alias("shown")).agg(F.count("*").alias("n"))
 
 
-@query(PATH_SQL + "SELECT token, path, replace(forms, ';', '') AS joined, key AS projected, count(*) AS n FROM pth WHERE NOT contains(token, ';') GROUP BY ALL")
+@query(LAT + "SELECT token, path, joined, projected, count(*) AS n FROM (SELECT token, path, string_agg(form, '' ORDER BY from_node) AS joined, string_agg(form || '_' || cpos, ';' ORDER BY from_node) AS projected FROM edge GROUP BY doc_id, line_no, tok_no, token, path) GROUP BY ALL")
 def b15_p8_paths(spark, d):
-    found = _paths(_whole(spark, d).filter("not contains(token, ';')"))[0]
+    found = _paths(_whole(spark, d))[0]
     morphs = F.transform("morphs", lambda m: F.struct(m["form"].alias("form"), m["cpos"].alias("cpos"), F.lit("").alias("feat_str"), F.lit("").alias("lemma"), F.lit("").alias("pos")))
     return found.groupBy("token", "path", text.token_of_path("morphs").alias("joined"), text.project_path("Form_POS", morphs).alias("projected")).agg(F.count("*").alias("n"))
 

@@ -283,12 +283,11 @@ def k4_lattice_lines(spark, d):
     return sinks.lattice_lines(e.withColumns({"lemma": F.lit(""), "pos": F.col("cpos"), "feat_str": F.lit("_")}), SENT)
 
 
-@query(PATH_SQL + "SELECT doc_id, line_no, string_agg(token || chr(9) || replace(forms, ';', ':'), chr(10) ORDER BY tok_no) AS value FROM gold WHERE NOT contains(token, ';') GROUP BY ALL")
+@query(LAT + "SELECT doc_id, line_no, string_agg(token || chr(9) || forms, chr(10) ORDER BY tok_no) AS value FROM (SELECT doc_id, line_no, tok_no, token, path, string_agg(form, ':' ORDER BY from_node) AS forms FROM edge GROUP BY ALL) JOIN (SELECT doc_id, line_no, tok_no, max(path) AS path FROM edge GROUP BY ALL) USING (doc_id, line_no, tok_no, path) GROUP BY doc_id, line_no")
 def k7_segmentation(spark, d):
-    e = _edges(spark, d).filter("not contains(token, ';')")
+    e = _once(_edges(spark, d))
     _, gold = _paths(e)
-    rows = gold.join(e, [*TOKEN, "path"])
-    return sinks.segmentation_lines(rows, SENT)
+    return sinks.segmentation_lines(gold.select(*TOKEN, "path").join(e, [*TOKEN, "path"]), SENT)
 
 
 # --- trees
@@ -572,9 +571,9 @@ def a19_m3_epoch(spark, d):
     return learn.epoch(f, w, ["form", "lang"])[1]
 
 
-@query(f"WITH {MORPHS_SQL}, h AS (SELECT lang AS feature, doc_id AS generation, CAST(count(*) % 7 AS BIGINT) AS value FROM morph WHERE lang IS NOT NULL GROUP BY ALL) SELECT feature, sum(value * (u - generation)) AS total FROM (SELECT *, coalesce(lead(generation) OVER (PARTITION BY feature ORDER BY generation), 1000000) AS u FROM h) GROUP BY feature")
+@query(f"WITH {MORPHS_SQL}, h AS (SELECT coalesce(lang, '') AS feature, doc_id AS generation, CAST(count(*) % 7 AS BIGINT) AS value FROM morph GROUP BY ALL) SELECT feature, sum(value * (u - generation)) AS total FROM (SELECT *, coalesce(lead(generation) OVER (PARTITION BY feature ORDER BY generation), 1000000) AS u FROM h) GROUP BY feature")
 def a18_average_weights(spark, d):
-    h = derived.morphs(_docs(spark, d)).filter("lang is not null").groupBy(F.col("lang").alias("feature"), F.col("doc_id").alias("generation")).agg((F.count("*") % 7).alias("value"))
+    h = derived.morphs(_docs(spark, d)).groupBy(F.coalesce("lang", F.lit("")).alias("feature"), F.col("doc_id").alias("generation")).agg((F.count("*") % 7).alias("value"))
     end = _docs(spark, d).agg(F.greatest(F.lit(1_000_000), F.max("doc_id") + 1).alias("end"))  # past every generation, however many documents
     return learn.average_weights(h.crossJoin(F.broadcast(end)), F.col("end"))
 
