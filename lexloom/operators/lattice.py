@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_of_path
-
 EDGE = ["from_node", "to_node", "form", "cpos"]
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import evaluation, lattice, lexicon, realign
 from ..sources import derived, readers, sinks
-from ..sources.derived import ARCS_SQL, EDGES_SQL, MORPHS_SQL, SENT, TOKENS_SQL
+from ..sources.derived import ARCS_SQL, MORPHS_SQL, SENT, TOKENS_SQL
 from ..streaming import jobs
 from .scratch import scratch_path
-from .tree_queries import LAT, PATH_SQL, TOKEN, TREE, _arcs, _docs, _edges, _paths
+from .tree_queries import LAT, PATH_SQL, TOKEN, _arcs, _docs, _edges, _paths
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
