@@ -87,14 +87,13 @@ def segment_f1(pred: DataFrame, gold: DataFrame, sent: list[str], order: list[st
 
     em is the share of sentences whose rows agree in order and in all columns of both sides; it is the same at every level."""
     columns = [c for c in gold.columns if c in pred.columns and c not in sent]
-    whole = F.array_sort(F.collect_list(F.struct(*order, *(c for c in columns if c not in order))))
-    both = pred.groupBy(*sent).agg(whole.alias("p")).join(gold.groupBy(*sent).agg(whole.alias("g")), sent, "full_outer")
-    em = both.agg(F.round(F.try_divide(F.count_if(F.col("p") == F.col("g")), F.count("*")), 6).alias("em"))
+    # one shuffle: equal rows of a sentence are counted on both sides, and all levels and em follow from these counts
+    side = lambda df, p: df.select(*sent, *columns, F.lit(p).alias("_p"))
+    same = side(pred, 1).unionByName(side(gold, 0)).repartition(*sent).groupBy(*sent, *columns).agg(F.sum("_p").alias("np"), F.sum(1 - F.col("_p")).alias("ng"))
+    em = same.groupBy(*sent).agg(F.bool_and(F.col("np") == F.col("ng")).alias("ok")).agg(F.round(F.try_divide(F.count_if("ok"), F.count("*")), 6).alias("em"))
     out = None
     for name, key in levels.items():
-        p = pred.groupBy(*sent, *key).agg(F.count("*").alias("np"))
-        g = gold.groupBy(*sent, *key).agg(F.count("*").alias("ng"))
-        both = p.join(g, [*sent, *key], "full_outer").fillna(0, ["np", "ng"])
+        both = same.groupBy(*sent, *key).agg(F.sum("np").alias("np"), F.sum("ng").alias("ng"))
         total = both.agg(F.sum("ng").alias("gold"), F.sum("np").alias("pred"), F.sum(F.least("np", "ng")).alias("tp")).withColumn("level", F.lit(name))
         out = total if out is None else out.unionByName(total)
     ratio = lambda x, y: F.round(F.try_divide(x, y), 6)
