@@ -1,5 +1,6 @@
 """Jobs over trees, features and lattices shuffle what they need once."""
 
+from lexloom.operators import learn
 from lexloom.plans import catalog
 
 
@@ -11,3 +12,11 @@ def test_feature_strings_need_no_tags_and_lemmas(spark, sf):
     for name in ("b2_format_feats", "b3_host_suffix", "b4_merge_feats"):
         text = plan(catalog.QUERIES[name](spark, sf))
         assert text.count("Aggregate [") == 1 and "regexp_replace" not in text, name
+
+
+def test_scores_are_summed_without_counting_features_first(spark):
+    f = spark.createDataFrame([("a", 0, "x"), ("a", 0, "x"), ("a", 0, "y"), ("a", 1, "z"), ("b", 0, "y")], "form string, candidate int, feature string")
+    w = spark.createDataFrame([("x", 2), ("y", 3)], "feature string, w long")
+    out = learn.score(f, w, ["form", "candidate"])
+    assert plan(out).count("Aggregate [") == 1
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 7), ("a", 1, 0), ("b", 0, 3)]
