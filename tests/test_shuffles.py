@@ -1,6 +1,8 @@
 """Jobs over trees, features and lattices shuffle what they need once."""
 
-from lexloom.operators import learn
+import pytest
+
+from lexloom.operators import lattice, learn
 from lexloom.plans import catalog
 
 
@@ -20,3 +22,30 @@ def test_scores_are_summed_without_counting_features_first(spark):
     out = learn.score(f, w, ["form", "candidate"])
     assert plan(out).count("Aggregate [") == 1
     assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 7), ("a", 1, 0), ("b", 0, 3)]
+
+
+@pytest.fixture
+def planned(spark):
+    """Counts exchanges of plans as they are before adaptive changes."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+    def exchanges(df):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        return text.count("Exchange hashpartitioning") - text.count("ReusedExchange")
+
+    yield exchanges
+    spark.conf.set("spark.sql.adaptive.enabled", before)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+EDGES = "s int, tok_no int, from_node int, to_node int, form string, cpos string"
+
+
+def test_infusion_shuffles_both_sides_once_by_sentence(spark, planned):
+    c = spark.createDataFrame([(1, 1, 0, 1, "ab", "W"), (1, 2, 1, 2, "c", "W")], EDGES)
+    g = spark.createDataFrame([(1, 1, 0, 1, "a", "P"), (1, 1, 1, 2, "b", "X"), (1, 2, 1, 2, "c", "W")], EDGES)
+    out = lattice.infuse_lattices(c, g, ["s"])
+    assert planned(out) == 1
+    assert sorted((r.tok_no, r.from_node, r.to_node, r.form) for r in out.collect()) == [(1, 0, 1, "a"), (1, 0, 2, "ab"), (1, 1, 2, "b"), (2, 2, 3, "c")]
