@@ -1,8 +1,9 @@
 """Jobs over trees, features and lattices shuffle what they need once."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from lexloom.operators import lattice, learn
+from lexloom.operators import depgraph, lattice, learn
 from lexloom.plans import catalog
 
 
@@ -49,3 +50,15 @@ def test_infusion_shuffles_both_sides_once_by_sentence(spark, planned):
     out = lattice.infuse_lattices(c, g, ["s"])
     assert planned(out) == 1
     assert sorted((r.tok_no, r.from_node, r.to_node, r.form) for r in out.collect()) == [(1, 0, 1, "a"), (1, 0, 2, "ab"), (1, 1, 2, "b"), (2, 2, 3, "c")]
+
+
+ARCS = "s int, id int, head int, deprel string"
+
+
+def test_differing_arcs_take_one_shuffle_and_keep_repeats_and_nulls(spark, planned):
+    a = spark.createDataFrame([(1, 1, 0, "r"), (1, 2, 1, "x"), (1, 2, 1, "x"), (1, 2, 1, "x"), (2, 1, None, None), (3, 1, 0, "r")], ARCS)
+    b = spark.createDataFrame([(1, 1, 0, "r"), (1, 2, 1, "x"), (2, 1, None, None), (4, 1, 0, "r")], ARCS)
+    differ, same = depgraph.diff_arcs(a, b, ["s"]), depgraph.same_arcs(a, b, ["s"])
+    assert planned(differ) <= 1 and planned(same) <= 1
+    assert sorted((r.s, r.id, r.side) for r in differ.collect()) == [(1, 2, "a"), (1, 2, "a"), (3, 1, "a"), (4, 1, "b")]
+    assert sorted((r.s, r.same) for r in same.collect()) == [(1, False), (2, True), (3, False), (4, False)]
