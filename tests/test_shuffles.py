@@ -62,3 +62,8 @@ def test_differing_arcs_take_one_shuffle_and_keep_repeats_and_nulls(spark, plann
     assert planned(differ) <= 1 and planned(same) <= 1
     assert sorted((r.s, r.id, r.side) for r in differ.collect()) == [(1, 2, "a"), (1, 2, "a"), (3, 1, "a"), (4, 1, "b")]
     assert sorted((r.s, r.same) for r in same.collect()) == [(1, False), (2, True), (3, False), (4, False)]
+
+
+def test_lexicon_analysis_learns_its_dictionary_once(spark, sf):
+    # the text is read for the forms and for the tokens; the dictionary is a table of its own
+    assert plan(catalog.QUERIES["g10_analyze_lexicon"](spark, sf)).count("regexp_extract_all") <= 4
