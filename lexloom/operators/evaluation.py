@@ -72,6 +72,14 @@ def morph_scores(pred: DataFrame, gold: DataFrame, token: list[str], key: Callab
     return out.withColumn("status", F.when(F.col("fp") == 0, F.lit("Success")).otherwise(F.lit("Error")))
 
 
+def morph_scores_within(rows: DataFrame, pred: Column, gold: Column) -> DataFrame:
+    """rows of a token each with tp, fp, missed_gold and status, as morph_scores: pred and gold are arrays of keys. No shuffle."""
+    rows = rows.withColumns({"_p": F.array_distinct(pred), "_g": F.array_distinct(gold)})
+    size = lambda a: F.size(a).cast("long")
+    out = rows.withColumns({"tp": size(F.array_intersect("_p", "_g")), "fp": size(F.array_except("_p", "_g")), "missed_gold": size(F.array_except("_g", "_p"))}).drop("_p", "_g")
+    return out.withColumn("status", F.when(F.col("fp") == 0, F.lit("Success")).otherwise(F.lit("Error")))
+
+
 def errors_by_class(scores: DataFrame, cls: str) -> DataFrame:
     """class, n_errors over rows that are not a success."""
     return scores.filter("status = 'Error'").groupBy(F.col(cls).alias("class")).agg(F.count("*").alias("n_errors"))
