@@ -62,7 +62,24 @@ def shuffles(df):
     return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"Exchange \w+\(([^()]*?), \d+\)", plan)]
 
 
-@pytest.mark.parametrize("name", ["a8_errors_by_class", "a1_entries_from_lattices"])
-def test_no_token_is_shuffled_by_its_form(spark, sf, name):
+@pytest.mark.parametrize("name", ["a8_errors_by_class", "a1_entries_from_lattices", "g10_chain_lattices"])
+def test_tokens_are_shuffled_by_slice_alone(spark, sf, name):
     by = shuffles(catalog.QUERIES[name](spark, sf))
-    assert "slice" in by and not [x for x in by if x in ("token", "form") or "line_no" in x]
+    assert "slice" in by and not [x for x in by if "line_no" in x or "tok_no" in x]
+
+
+def test_lattices_of_rows_are_those_that_are_built(spark):
+    m = lambda *p: [(f, "", c, "") for f, c in p]
+    sets = [("kbit", [m(("k", "IN"), ("bit", "NN")), m(("k", "IN"), ("h", "DEF"), ("bit", "NN")), m(("k", "IN"), ("bit", "VB")), m(("kbit", "NN"))], False), ("q", [m(("q", "X"))], True)]
+    rows = spark.createDataFrame(sets, "form string, analyses array<array<struct<form: string, lemma: string, cpos: string, feat_str: string>>>, oov boolean")
+    named = rows.select(F.col("form").alias("token"), F.explode("analyses").alias("morphs"))
+    columns = ["token", "from_node", "to_node", "form", "cpos", "lemma", "feat_str"]
+    got = lexicon.row_lattices(rows).select("token", F.inline("edges")).select(columns).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, lattice.build(named, ["token"], ["lemma", "feat_str"]).select(columns).collect()))
+
+
+def test_entries_of_a_form_stay_in_its_row(spark):
+    entries = spark.createDataFrame([("a", [("a", None, "NN", "")]), ("a", [("a", "", "VB", "")]), ("z", [("z", "", "X", "")])], "token string, morphs array<struct<form: string, lemma: string, cpos: string, feat_str: string>>")
+    args = spark.createDataFrame([("a",), ("b",)], "form string"), entries, spark.createDataFrame([("NN|NN|gen=M|num=S",), ("X|X|",)], "oov_msr string")
+    flat = lambda df: sorted((r.form, r.oov, [tuple(m) for m in r.morphs]) for r in df.collect())
+    assert flat(lexicon.entry_morph_sets(*args).select("form", F.explode("analyses").alias("morphs"), "oov")) == flat(lexicon.entry_morphs(*args))
