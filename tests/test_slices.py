@@ -83,3 +83,9 @@ def test_entries_of_a_form_stay_in_its_row(spark):
     args = spark.createDataFrame([("a",), ("b",)], "form string"), entries, spark.createDataFrame([("NN|NN|gen=M|num=S",), ("X|X|",)], "oov_msr string")
     flat = lambda df: sorted((r.form, r.oov, [tuple(m) for m in r.morphs]) for r in df.collect())
     assert flat(lexicon.entry_morph_sets(*args).select("form", F.explode("analyses").alias("morphs"), "oov")) == flat(lexicon.entry_morphs(*args))
+
+
+def test_each_shape_of_links_is_searched_once(spark, sf):
+    plan = catalog.QUERIES["g5_meet_join"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    searched = next(x for x in plan.split("Aggregate [")[1:] if "collect_set" in x)
+    assert searched.startswith("shape#"), searched[:80]
