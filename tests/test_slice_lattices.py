@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.plans import catalog
+from lexloom.plans import catalog, tree_queries
 from lexloom.sources import derived, readers, sinks
 from tests.test_slices import shuffles
 
@@ -59,7 +59,13 @@ def test_sentences_of_lattice_files_have_the_rows_of_edges(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, readers.lattice_rows(found).select(columns).collect()))
 
 
-@pytest.mark.parametrize("name", ["k5_a25_span_lines", "k6_json_lattice", "k7_segmentation", "b19_same_paths", "j17_repair_fused_h"])
+def test_all_edges_are_written(spark, sf):
+    lines = catalog.QUERIES["k4_lattice_lines"](spark, sf)
+    n = lines.select(F.sum(F.size(F.split("value", "\n"))).alias("n")).first().n
+    assert n == tree_queries._edges(spark, sf).count() > tree_queries._tokens(spark, sf).count()
+
+
+@pytest.mark.parametrize("name", ["k4_lattice_lines", "k5_a25_span_lines", "k6_json_lattice", "k7_segmentation", "b19_same_paths", "j17_repair_fused_h"])
 def test_tokens_are_shuffled_by_slice_alone(spark, sf, name):
     by = shuffles(catalog.QUERIES[name](spark, sf))
     assert "slice" in by and not [x for x in by if "line_no" in x or "tok_no" in x or "doc_id" in x]
