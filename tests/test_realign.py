@@ -79,3 +79,57 @@ def test_rows_of_a_table(spark):
     assert sorted((r.s, r.pos, r.tok_id, r.rule) for r in out.collect()) == [(1, 0, 100, "fused_h"), (1, 1, 102, "equal"), (2, 0, 100, "equal"), (2, 1, 101, "equal"), (2, 9, None, "none"), (3, 0, None, "none")]
     assert {r.kind: r.n for r in realign.realign_report(old, out, ["s"]).collect()} == {"match": 1, "nomatch": 2}
     assert realign.realign_tokens(old, new.filter("false"), ["s"]).collect() == []
+
+
+def _random_sides(rng):
+    word = lambda: ("".join(rng.choices("abH", k=rng.randint(1, 3))) if rng.random() < 0.8 else rng.choice(["EM", "AT", "ATH", "B", "H", "EMx", "ATy"]), rng.choice([X, X, X, "S_PRN", "IN", "PREPOSITION"]))
+    old, new = [word() for _ in range(rng.randint(0, 14))], []
+    for w in old:
+        new += [w] if rng.random() < 0.6 else [word()] if rng.random() < 0.5 else [(w[0][:1], X), (w[0][1:] or "a", w[1])]
+    return old, new
+
+
+def test_rows_of_costs_give_what_cells_give(monkeypatch):
+    rng = random.Random(11)
+    for n in range(800):
+        old, new = _random_sides(rng)
+        s = realign.Sides(old, new)
+        i, j = rng.randint(0, len(new)), rng.randint(0, len(old))
+        end, old_end = rng.randint(i, len(new)), rng.randint(j, len(old))
+        monkeypatch.setattr(realign, "HELD", 0 if n % 2 else 8_000_000)
+        one, two = [None] * len(new), [None] * len(new)
+        realign._fewest_left_out(s, i, end, j, old_end, one)
+        realign._fewest_left_out_by_rows(s, i, end, j, old_end, two)
+        assert one == two, (old, new, i, end, j, old_end)
+
+
+def test_rows_know_every_rule():
+    rng = random.Random(12)
+    for _ in range(400):
+        old, new = _random_sides(rng)
+        s = realign.Sides(old, new)
+        rows = realign._Rows(s, len(new), 0, len(old))
+        for a in range(len(new)):
+            got = {(t, o, b) for t, o, here in rows.fits(a) for b in range(len(old)) if here[b] and a + t <= len(new) and b + o <= len(old)}
+            assert got == {(t, o, b) for b in range(len(old)) for _, t, o in realign._fits(s, a, b, len(new), len(old))}
+
+
+def test_long_stretch_without_anchors_is_matched_as_a_short_one():
+    """Rules from the left alone would lose their step for good at the first strange morpheme."""
+    rng = random.Random(13)
+    old = [(rng.choice("abcd"), X) for _ in range(3000)]
+    new = old[:10] + [("@@", X)] + old[10:]
+    got = realign.matched(old, new)
+    assert got[10] is None and all(m is not None for k, m in enumerate(got) if k != 10)
+
+
+def test_equal_cells_and_rows_of_a_long_stretch(monkeypatch):
+    rng = random.Random(14)
+    old = [(rng.choice("abcd"), X) for _ in range(120)]
+    new = [x for x in old if rng.random() < 0.9]
+    new.insert(5, ("@@", X))
+    found = []
+    for cells in (10**9, 0):
+        monkeypatch.setattr(realign, "CELLS", cells)
+        found.append(realign.matched(old, new))
+    assert found[0] == found[1]
