@@ -133,3 +133,21 @@ def test_equal_cells_and_rows_of_a_long_stretch(monkeypatch):
         monkeypatch.setattr(realign, "CELLS", cells)
         found.append(realign.matched(old, new))
     assert found[0] == found[1]
+
+
+def test_rows_of_sentences_are_matched_as_tables_are(spark):
+    old = spark.createDataFrame([(s, 10 + i, f, 100 + i, t) for s, text in ((1, "B HBIT X"), (2, "a b"), (4, "z")) for i, (f, t) in enumerate(side(text))], "s int, pos int, form string, tok_id int, cpos string")
+    new = spark.createDataFrame([(s, i, f, t) for s, text in ((1, "BBIT X"), (2, "a b"), (3, "q"), (4, "z")) for i, (f, t) in enumerate(side(text))], "s int, pos int, form string, cpos string")
+    rows = lambda df: df.groupBy("s").agg(realign.F.expr("array_sort(collect_list(struct(pos, form, cpos as tag)))").alias("a"))
+    both = rows(new).withColumnRenamed("a", "n").join(rows(old).withColumnRenamed("a", "o"), "s", "left")
+    want = realign.realign_report(old, realign.realign_tokens(old, new, ["s"]), ["s"])
+    assert sorted(map(tuple, realign.realign_report_rows(realign.matched_rows(both, ["s"])).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_only_lines_are_shuffled(spark, sf):
+    from lexloom.plans import catalog
+    from tests.test_slices import shuffles
+
+    for name, more in (("j22_realign", 0), ("j22_realign_report", 1)):  # the report is counted by kind
+        by = shuffles(catalog.QUERIES[name](spark, sf))
+        assert by.count("doc_id, line_no") == 1 and len(by) == 1 + more, name
