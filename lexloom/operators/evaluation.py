@@ -124,7 +124,30 @@ def backoff_match(gold: DataFrame, candidates: DataFrame, token: list[str], keys
     edge = F.struct(F.col("to_node").cast("bigint").alias("to_node"), F.coalesce("form", F.lit("")).alias("form"), F.coalesce("cpos", F.lit("")).alias("cpos"), F.col("from_node").cast("bigint").alias("from_node"), value.alias("k"))
     side = lambda df, name: df.groupBy(*token).agg(F.array_sort(F.collect_set(edge)).alias(name))
     g = gold.groupBy(*token).agg(F.array_sort(F.collect_list(F.struct("from_node", "to_node", value.alias("k")))).alias("g"))
-    names = ", ".join(f"'{n}'" for n, _ in keys)
+    rows = g.join(side(candidates, "c"), token)
+    return steps(rows.select(*token, _backed_off([n for n, _ in keys], oov_tag).alias("steps")), token)
+
+
+def steps(rows: DataFrame, token: list[str]) -> DataFrame:
+    """The rows of backoff_match, of rows of a token each with its steps in an array."""
+    return rows.select(*token, F.explode("steps").alias("w")).select(*token, F.col("w.i").alias("morph_idx"), "w.level", F.col("w.n").alias("n_matches"), "w.from_node", "w.to_node", "w.form", "w.cpos")
+
+
+def backoff_rows(rows: DataFrame, gold: Column, candidates: Column, keys: list[tuple[str, Callable[[Column], Column]]], oov_tag: str = "NNP") -> DataFrame:
+    """rows of a token each with steps, an array that steps() makes the rows of backoff_match of: gold and candidates are arrays of edges (from_node, to_node, form, cpos), keys functions of an edge. No shuffle."""
+    value = lambda e: F.array(*(F.coalesce(k(e).cast("string"), F.lit("")) for _, k in keys))
+    big = lambda e, c: e[c].cast("bigint").alias(c)
+    edge = lambda e: F.struct(big(e, "to_node"), F.coalesce(e["form"], F.lit("")).alias("form"), F.coalesce(e["cpos"], F.lit("")).alias("cpos"), big(e, "from_node"), value(e).alias("k"))
+    made = rows.withColumns({
+        "c": F.array_sort(F.array_distinct(F.transform(candidates, edge))),
+        "g": F.array_sort(F.transform(gold, lambda e: F.struct(e["from_node"].alias("from_node"), e["to_node"].alias("to_node"), value(e).alias("k")))),
+    })
+    return made.filter("size(g) > 0 and size(c) > 0").withColumn("steps", _backed_off([n for n, _ in keys], oov_tag)).drop("c", "g")
+
+
+def _backed_off(keys: list[str], oov_tag: str) -> Column:
+    """The walk along g through c, both with keys k, as an array of steps."""
+    names = ", ".join(f"'{n}'" for n in keys)
     record = "struct<i: int, level: string, n: int, from_node: bigint, to_node: bigint, form: string, cpos: string>"
     level = f"get(filter(sequence(0, {len(keys) - 1}), l -> exists(here, e -> e.k[l] = m.k[l])), 0)"
     took = lambda e, name, n: f"named_struct('at', {e}.to_node, 'i', s.i + 1, 'over', false, 'out', array_append(s.out, named_struct('i', s.i, 'level', {name}, 'n', {n}, 'from_node', s.at, 'to_node', {e}.to_node, 'form', {e}.form, 'cpos', {e}.cpos)))"
@@ -132,7 +155,5 @@ def backoff_match(gold: DataFrame, candidates: DataFrame, token: list[str], keys
     found = f"transform(array({hits}), h -> {took('element_at(h, -1)', f'array({names})[l]', 'size(h)')})[0]"
     alone = f"if(size(here) = 1 and here[0].cpos = '{oov_tag}', {took('here[0]', chr(39) + 'oov' + chr(39), '0')}, named_struct('at', s.at, 'i', s.i + 1, 'over', true, 'out', array_append(s.out, named_struct('i', s.i, 'level', 'none', 'n', 0, 'from_node', s.at, 'to_node', cast(null as bigint), 'form', cast(null as string), 'cpos', cast(null as string)))))"
     step = f"transform(array(filter(c, e -> e.from_node = s.at)), here -> transform(array({level}), l -> if(l is not null, {found}, {alone}))[0])[0]"
-    start = f"named_struct('at', bottom, 'i', 0, 'over', false, 'out', cast(array() as array<{record}>))"
-    rows = g.join(side(candidates, "c"), token).withColumn("bottom", F.expr("array_min(transform(c, e -> e.from_node))"))
-    walked = F.expr(f"aggregate(g, {start}, (s, m) -> if(s.over, s, {step}), s -> s.out)")
-    return rows.select(*token, F.explode(walked).alias("w")).select(*token, F.col("w.i").alias("morph_idx"), "w.level", F.col("w.n").alias("n_matches"), "w.from_node", "w.to_node", "w.form", "w.cpos")
+    start = f"named_struct('at', array_min(transform(c, e -> e.from_node)), 'i', 0, 'over', false, 'out', cast(array() as array<{record}>))"
+    return F.expr(f"aggregate(g, {start}, (s, m) -> if(s.over, s, {step}), s -> s.out)")

@@ -51,3 +51,22 @@ def test_unknown_features_are_named(spark):
 def test_best_epoch(spark):
     h = spark.createDataFrame([(0, 1, 4), (1, 3, 4), (2, 3, 4), (3, 2, 4)], "epoch int, right int, n int")
     assert [r.epoch for r in learn.history_changes(h).collect() if r.best] == [1]
+
+
+def test_rows_of_tokens_walk_as_tables_do(spark):
+    E = "array<struct<from_node: int, to_node: int, form: string, cpos: string>>"
+    w, a, b, n = (0, 2, "ab", "W"), (0, 1, "a", "P"), (1, 2, "b", "X"), (0, 1, "q", "NNP")
+    made = [(1, [a, b], [w, a, b, a]), (2, [(0, 1, "a", "ZZ"), (1, 2, "c", "X")], [w, a, b]), (3, [w], [n]), (4, [w], []), (5, [(0, 2, "z", "Y")], [a]), (6, [], [a]), (7, [(0, 1, None, "P")], [(0, 1, None, None)])]
+    rows = spark.createDataFrame(made, f"t int, x {E}, y {E}")
+    side = lambda c: rows.select("t", F.inline(c))
+    want = evaluation.backoff_match(side("x"), side("y"), ["t"], [("both", F.concat_ws("_", "form", "cpos")), ("tag", F.col("cpos"))])
+    got = evaluation.steps(evaluation.backoff_rows(rows, F.col("x"), F.col("y"), [("both", lambda e: F.concat_ws("_", e["form"], e["cpos"])), ("tag", lambda e: e["cpos"])]), ["t"])
+    assert want.dtypes == got.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_tokens_are_shuffled_by_slice_alone(spark, sf):
+    from lexloom.plans import catalog
+    from tests.test_slices import shuffles
+
+    by = shuffles(catalog.QUERIES["j20_backoff_match"](spark, sf))
+    assert "slice" in by and not [x for x in by if "line_no" in x or "tok_no" in x]
